@@ -10,6 +10,7 @@ from kinfold.functions import text as T
 from kinfold.functions.text import let
 from kinfold.operators.blocks import text_of
 from kinfold.operators.classify import UNKNOWN
+from kinfold.operators.identifiers import Ids, id_columns
 
 
 def _text_map(**values: Column) -> Column:
@@ -25,15 +26,15 @@ def location_from_bank(bank: Column) -> Column:
     return let(code, lambda c: F.when(c.isNotNull(), _text_map(country_code=c, country=T.country_name(c))))
 
 
-def personal_from_ids(ids: Column) -> Column:
+def personal_from_ids(ids: Ids) -> Column:
     return _text_map(email=ids["email"], phone=ids["phone"])
 
 
-def net_from_email(ids: Column) -> Column:
+def net_from_email(ids: Ids) -> Column:
     return _text_map(domain=T.email_domain(ids["email"]))
 
 
-def professional_from_domain(ids: Column, net: Column) -> Column:
+def professional_from_domain(ids: Ids, net: Column) -> Column:
     """Company named by the mail domain, else by the net block's domain; marked as inferred."""
     domain = F.coalesce(T.email_domain(ids["email"]), text_of(net, "domain"))
     company = let(domain, T.company_from_domain)
@@ -57,7 +58,7 @@ def contribution_columns() -> dict[str, Column]:
     def own(k: str) -> Column:
         return F.when((kind == k) & (F.size(block(k)) > 0), block(k))
 
-    ids = F.col("ids")
+    ids = id_columns()
     real_job = F.when(F.size(block("professional")) > 0, block("professional"))
     made = {
         "personal": F.coalesce(own("personal"), personal_from_ids(ids)),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinfold import vocabulary as V
 from kinfold.config import PREFER_OBSERVED, Config
-from kinfold.operators.identifiers import presence
+from kinfold.operators.identifiers import id_columns, presence
 
 SLOTS = [f"k_{k}" for k in V.KINDS] + [f"i_{i}" for i in V.IDENTIFIERS]
 
@@ -42,8 +42,8 @@ def message_states(contributed: DataFrame, config: Config = Config()) -> DataFra
         return F.array_contains("observed", kind).cast("int")
 
     kinds = [_slot(F.col(f"c_{k}"), rank(k)).alias(f"k_{k}") for k in V.KINDS]
-    ids = [F.when(adds, _slot(F.col("ids")[i], F.lit(0))).alias(f"i_{i}") for i in V.IDENTIFIERS]
-    best = F.when(adds, F.struct((31 - presence(F.col("ids"))).alias("rank"), order().alias("at"),
+    ids = [F.when(adds, _slot(F.col(f"id_{i}"), F.lit(0))).alias(f"i_{i}") for i in V.IDENTIFIERS]
+    best = F.when(adds, F.struct((31 - presence(id_columns())).alias("rank"), order().alias("at"),
                                  F.col("proposed_key").alias("key")))
     return contributed.filter(adds | (F.size("tokens") > 1)).select(
         "tokens", "proposed_key", *kinds, *ids, best.alias("best"),

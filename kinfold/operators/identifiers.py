@@ -9,11 +9,18 @@ from kinfold import vocabulary as V
 from kinfold.functions.fields import first_text, let
 
 
-def identifiers(stream: Column) -> Column:
-    """Struct of the five identifiers, normalised; null where absent or no string."""
-    return F.struct(*[
-        F.nullif(first_text(stream, V.IDENTIFIER_ALIASES[name]), F.lit("")).alias(name)
-        for name in V.IDENTIFIERS])
+#: Identifiers as columns by name. They travel as flat columns ``id_<name>``: pruning fields of a
+#: struct through several generators loses attributes in Spark 4.1.
+Ids = dict[str, Column]
+
+
+def id_columns() -> Ids:
+    return {name: F.col(f"id_{name}") for name in V.IDENTIFIERS}
+
+
+def identifiers(stream: Column) -> Ids:
+    """The five identifiers, normalised; null where absent or no string."""
+    return {name: F.nullif(first_text(stream, V.IDENTIFIER_ALIASES[name]), F.lit("")) for name in V.IDENTIFIERS}
 
 
 def name_birth_key(stream: Column) -> Column:
@@ -22,19 +29,19 @@ def name_birth_key(stream: Column) -> Column:
                     F.lit("::"), first_text(stream, V.BIRTH_ALIASES))
 
 
-def grouping_key(ids: Column, name_birth: Column, raw_id: Column) -> Column:
+def grouping_key(ids: Ids, name_birth: Column, raw_id: Column) -> Column:
     strong = [F.concat(F.lit(f"{name}::"), ids[name]) for name in ("passport", "email", "phone")]
     return F.coalesce(*strong, name_birth, F.concat(F.lit("rawid::"), raw_id))
 
 
-def presence(ids: Column) -> Column:
+def presence(ids: Ids) -> Column:
     """Presence vector (passport first) as a number; higher is the better anchor."""
     bits = [F.when(ids[name].isNotNull(), 1 << (len(V.IDENTIFIERS) - 1 - i)).otherwise(0)
             for i, name in enumerate(V.IDENTIFIERS)]
     return sum(bits[1:], bits[0])
 
 
-def tokens(ids: Column, name_birth: Column, raw_id: Column) -> Column:
+def tokens(ids: Ids, name_birth: Column, raw_id: Column) -> Column:
     """What links a message to others: its identifiers and its name-and-birth key.
 
     A message with none of these stands alone under its raw id.

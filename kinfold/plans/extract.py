@@ -11,10 +11,11 @@ from kinfold.functions.fields import entries, joined, keys, strings
 from kinfold.operators.blocks import block_of
 from kinfold.operators.classify import score, winner
 from kinfold.operators.derive import contribution_columns
-from kinfold.operators.identifiers import grouping_key, identifiers, name_birth_key, tokens
+from kinfold.operators.identifiers import grouping_key, id_columns, identifiers, name_birth_key, tokens
 from kinfold.session import per_context
 
 COORDINATES = ["topic", "partition", "offset", "ts", "raw_id"]
+IDS = [f"id_{name}" for name in V.IDENTIFIERS]
 
 
 def computed_once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -47,7 +48,8 @@ def _joined_columns() -> dict[str, Column]:
 
 @per_context
 def _identifier_columns() -> dict[str, Column]:
-    return {"ids": identifiers(F.col("stream")), "name_birth": name_birth_key(F.col("stream"))}
+    found = {f"id_{name}": c for name, c in identifiers(F.col("stream")).items()}
+    return {**found, "name_birth": name_birth_key(F.col("stream"))}
 
 
 @per_context
@@ -65,7 +67,7 @@ def _score_columns() -> dict[str, Column]:
 
 @per_context
 def _key_columns() -> dict[str, Column]:
-    ids, name_birth, row = F.col("ids"), F.col("name_birth"), F.col("raw_id")
+    ids, name_birth, row = id_columns(), F.col("name_birth"), F.col("raw_id")
     return {"proposed_key": grouping_key(ids, name_birth, row), "tokens": tokens(ids, name_birth, row)}
 
 
@@ -87,7 +89,7 @@ def field_streams(messages: DataFrame) -> DataFrame:
 def keyed(messages: DataFrame) -> DataFrame:
     """Identifiers, proposed key and link tokens only (no blocks)."""
     made = computed_once(field_streams(messages), COORDINATES, **_identifier_columns())
-    return computed_once(made, [*COORDINATES, "ids"], **_key_columns())
+    return computed_once(made, [*COORDINATES, *IDS], **_key_columns())
 
 
 def texts(messages: DataFrame, config: Config = Config()) -> DataFrame:
@@ -101,11 +103,11 @@ def extract(messages: DataFrame, config: Config = Config()) -> DataFrame:
     """Blocks, scores, kind, identifiers, proposed key and tokens of every message."""
     names = [f"b_{k}" for k in V.KINDS]
     blocks = computed_once(texts(messages, config), [*COORDINATES, "strings", "joined"], **_block_columns())
-    scored = computed_once(blocks, [*COORDINATES, *names, "ids", "name_birth"], **_score_columns())
-    return computed_once(scored, [*COORDINATES, *names, "ids"], **_kind_columns())
+    scored = computed_once(blocks, [*COORDINATES, *names, *IDS, "name_birth"], **_score_columns())
+    return computed_once(scored, [*COORDINATES, *names, *IDS], **_kind_columns())
 
 
 def contribute(messages: DataFrame, config: Config = Config()) -> DataFrame:
     """One row per message with at most one block per kind, ready to fold."""
-    keep = [*COORDINATES, "ids", "kind", "proposed_key", "tokens"]
+    keep = [*COORDINATES, *IDS, "kind", "proposed_key", "tokens"]
     return computed_once(extract(messages, config), keep, **_contribution_columns())

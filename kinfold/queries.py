@@ -202,7 +202,7 @@ def extract_patterns(spark, sf_dir):
 @query
 def identifiers(spark, sf_dir):
     rows = E.keyed(mv.messages(spark, sf_dir))
-    return rows.select("raw_id", *[F.col("ids")[i].alias(i) for i in V.IDENTIFIERS])
+    return rows.select("raw_id", *[F.col(f"id_{i}").alias(i) for i in V.IDENTIFIERS])
 
 
 @query
