@@ -11,15 +11,19 @@ from kinfold.functions.fields import JSON_OPTIONS, MAP, decode
 ENVELOPE = "topic string, partition int, offset long, timestamp timestamp, value binary"
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None) -> DataFrame:
+def kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None,
+                 min_partitions: int | None = None) -> DataFrame:
     """Topic from its earliest offset; offsets are kept by the query's checkpoint.
 
+    ``min_partitions`` splits the offset ranges of a topic with few partitions over more tasks.
     Needs the Kafka connector on the class path.
     """
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
               .option("subscribe", topic).option("startingOffsets", "earliest"))
     if max_offsets:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets)
+    if min_partitions:
+        reader = reader.option("minPartitions", min_partitions)
     return reader.load().select("topic", "partition", "offset", "timestamp", "value")
 
 

@@ -100,10 +100,29 @@ KIND_VIEWS = {"personal": personal, "location": location, "professional": profes
 VIEWS = {**KIND_VIEWS, "text": free_text, "chat": chat}
 
 
+#: Table whose rows drive each view.
+SOURCES = {"personal": "customer", "location": "customer", "professional": "supplier", "bank": "orders",
+           "net": "events", "text": "documents", "chat": "conversations"}
+
+
+def _spread(rows: DataFrame, scans: list[DataFrame]) -> DataFrame:
+    """Spread messages over all cores when a source is one small file that cannot be split.
+
+    Parsing costs far more than moving such a file. Sources with a split per core or more, any
+    large table that is, are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if min(scan.rdd.getNumPartitions() for scan in scans) >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def landed(spark: SparkSession, sf_dir: str, *views: str) -> DataFrame:
     """Landed rows ``topic, partition, offset, ts, payload, raw_id`` of the named views (default: five kinds)."""
-    parts = [VIEWS[v](spark, sf_dir) for v in views or KIND_VIEWS]
-    return reduce(DataFrame.unionByName, parts).withColumn("raw_id", raw_id())
+    names = views or tuple(KIND_VIEWS)
+    rows = reduce(DataFrame.unionByName, [VIEWS[v](spark, sf_dir) for v in names])
+    scans = [table(spark, sf_dir, name) for name in {SOURCES[v] for v in names}]
+    return _spread(rows, scans).withColumn("raw_id", raw_id())
 
 
 def messages(spark: SparkSession, sf_dir: str, *views: str) -> DataFrame:
