@@ -134,4 +134,6 @@ def is_useful(value: Column) -> Column:
 def is_truthy(value: Column) -> Column:
     """True unless missing, null, empty, zero or false."""
     text = F.coalesce(json_of(value), F.lit("null"))
-    return ~(text.isin("null", '""', "[]", "{}", "false") | F.coalesce(text.try_cast("double") == 0, F.lit(False)))
+    other = ~(text.isin("null", "[]", "{}", "false") | F.coalesce(text.try_cast("double") == 0, F.lit(False)))
+    return (F.when(value.isNull(), F.lit(False))
+            .when(F.schema_of_variant(value) == "STRING", value.cast("string") != "").otherwise(other))

@@ -39,13 +39,13 @@ def alias_block(stream: Column, kind: str) -> Column:
 
 def _filled(block: Column, name: str, found: Column) -> Column:
     """Fill ``name`` from ``found`` when the alias gave nothing truthy."""
-    def fill(p: Column) -> Column:
-        b, value = p["block"], p["found"]
-        extra = F.map_from_arrays(F.array(F.lit(name)), F.array(value.cast("variant")))
-        rest = F.map_filter(b, lambda k, _: k != name)
-        return (F.when(value.isNull() | is_truthy(F.try_element_at(b, F.lit(name))), b)
-                .otherwise(F.map_concat(rest, extra)))
-    return let(F.struct(block.alias("block"), found.alias("found")), fill)
+    def fill(b: Column) -> Column:
+        def add(value: Column) -> Column:
+            extra = F.map_from_arrays(F.array(F.lit(name)), F.array(value.cast("variant")))
+            rest = F.map_filter(b, lambda k, _: k != name)
+            return F.when(value.isNull(), b).otherwise(F.map_concat(rest, extra))
+        return F.when(is_truthy(F.try_element_at(b, F.lit(name))), b).otherwise(let(found, add))
+    return let(block, fill)
 
 
 def block_of(kind: str, stream: Column, keys: Column, strings: Column, joined: Column) -> Column:
