@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold import vocabulary as V
+from kinfold.config import Config
 from kinfold.operators.fold import complete
+from kinfold.operators.skew import lookup
 
 
 def stored_kinds() -> Column:
@@ -30,14 +32,16 @@ def refine(profiles: DataFrame) -> DataFrame:
             .drop("old_types", "old_complete"))
 
 
-def merge_groups(profiles: DataFrame, mapping: DataFrame) -> DataFrame:
+def merge_groups(profiles: DataFrame, mapping: DataFrame, config: Config = Config()) -> DataFrame:
     """Merge groups ``source_key -> target_key``: the target wins, sources fill what it lacks.
 
     ``mapping`` names each source once. Several sources of one target fill it in key order.
-    Groups whose target does not exist stay as they are.
+    Groups whose target does not exist stay as they are. Both inputs are read more than once and
+    should be stored tables.
     """
-    targets = profiles.select(F.col("grouping_key").alias("target_key"))
-    valid = mapping.filter("source_key <> target_key").join(targets, "target_key", "left_semi")
+    targets = profiles.select(F.col("grouping_key").alias("target_key"), F.lit(True).alias("exists"))
+    valid = (lookup(mapping.filter("source_key <> target_key"), targets, "target_key", config.hot_key_share)
+             .filter("exists").drop("exists"))
     moved = (profiles.join(valid.withColumnRenamed("source_key", "grouping_key"), "grouping_key", "left")
              .withColumn("is_source", F.col("target_key").isNotNull())
              .withColumn("into", F.coalesce("target_key", "grouping_key")))

@@ -14,9 +14,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, share: int) -> DataFrame
     task. All other rows join by shuffle, where no key exceeds 1/``share`` of the rows.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("total"))
-    hot_keys = (counts.crossJoin(F.broadcast(total)).filter(F.col("n") * share > F.col("total"))
-                .filter(F.col(key).isNotNull()).select(key))
+    total = rows.select(F.count("*")).scalar()
+    hot_keys = counts.filter((F.col("n") * share > total) & F.col(key).isNotNull()).select(key)
     hot_table = table.join(F.broadcast(hot_keys), key, "left_semi").withColumn("is_hot", F.lit(True))
     marked = rows.join(F.broadcast(hot_keys.withColumn("is_hot", F.lit(True))), key, "left")
     hot = (marked.filter(F.col("is_hot").isNotNull()).drop("is_hot")

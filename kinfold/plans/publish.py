@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from kinfold.functions.fields import is_object, json_of, let
 from kinfold.functions.text import column_name
 from kinfold.operators.fold import complete
 from kinfold.operators.upsert import COALESCE_NEW, newest_per_key, upsert
+from kinfold.session import written
 
 
 def gate(profiles: DataFrame, required: list[str] = V.KINDS) -> DataFrame:
@@ -156,11 +155,13 @@ def flat_pairs(block: Column, parent: Column | None = None, depth: int = 3) -> C
 def wide_children(profiles: DataFrame, kind: str) -> DataFrame:
     """One typed column per field of the kind's blocks, person key and times in front.
 
-    Only the list of column names and types comes to the driver; it is the table's schema.
+    Only the list of column names and types comes to the driver; it is the table's schema. The
+    flattened rows are written before it is read, so profiles are folded once.
     """
     df = profiles.filter(F.size(payload(profiles, kind)) > 0).select(
         publish_key(profiles).alias("grouping_key"), "created_at", "updated_at",
-        F.inline(F.array(F.struct(flat_pairs(payload(profiles, kind)).alias("pairs")))))
+        flat_pairs(payload(profiles, kind)).alias("pairs"))
+    df = written(df, f"wide-{kind}")
     names = (df.select(F.inline("pairs")).groupBy("name")
              .agg(F.schema_of_variant_agg("value").alias("type")).orderBy("name").collect())
 
@@ -181,9 +182,10 @@ def wide_children(profiles: DataFrame, kind: str) -> DataFrame:
 
 def export_metrics(profiles: DataFrame, as_of: Column) -> DataFrame:
     """Rows per published table and the newest update."""
-    people = persons(profiles, as_of).select(F.lit("persons").alias("table"), "updated_at")
-    kids = children(profiles, as_of).select(F.col("kind").alias("table"), "updated_at")
-    return people.unionByName(kids).groupBy("table").agg(
+    df = _with_times(profiles, as_of).filter(publish_key(profiles).isNotNull())
+    filled = [F.when(has_content(payload(df, k)), k) for k in V.KINDS]
+    names = F.filter(F.array(F.lit("persons"), *filled), lambda n: n.isNotNull())
+    return df.select("updated_at", F.explode(names).alias("table")).groupBy("table").agg(
         F.count("*").alias("rows"), F.max("updated_at").alias("max_ts"))
 
 
@@ -204,9 +206,9 @@ def publish(profiles: DataFrame, root: str, version: int, as_of: Column, previou
     run again. Parquet has no row updates; a JDBC target takes the same rows as a staging table.
     """
     spark = profiles.sparkSession
-    ready = gate(profiles, config.required_kinds)
+    ready = written(gate(profiles, config.required_kinds), "export")
     people = newest_per_key(persons(ready, as_of), "grouping_key", ["updated_at"])
-    kids = children(ready, as_of)
+    kids = written(children(ready, as_of), "children")
     tables = {"persons": people}
     for kind, name in V.CHILD_TABLES.items():
         rows = kids.filter(F.col("kind") == kind).drop("kind")
@@ -218,6 +220,37 @@ def publish(profiles: DataFrame, root: str, version: int, as_of: Column, previou
             f"{root}/version={version}/{name}")
 
 
+CHECKPOINT = "ts timestamp, last_id string, version int"
+
+
+def load_checkpoint(spark: SparkSession, root: str) -> tuple:
+    """``(version, ts, last_id)`` of the newest finished export; version -1 before the first."""
+    try:
+        rows = spark.read.schema(CHECKPOINT).parquet(f"{root}/state")
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return -1, None, None
+    last = rows.orderBy(F.desc("version")).first()
+    return last["version"], last["ts"], last["last_id"]
+
+
+def publish_next(profiles: DataFrame, root: str, as_of: Column, config: Config = Config()) -> int | None:
+    """Publish all complete profiles behind the checkpoint, then move it; None when there are none.
+
+    Tables first, checkpoint last: a job lost in between publishes the same rows again, which the
+    upsert makes harmless. The whole backlog goes in one batch, since each version rewrites its tables.
+    """
+    version, ts, last_id = load_checkpoint(profiles.sparkSession, root)
+    pending = gate(profiles, config.required_kinds).filter(after(ts, last_id, config.skew_seconds))
+    batch = written(pending, "pending")
+    if batch.isEmpty():
+        return None
+    publish(batch, root, version + 1, as_of, version, config)
+    checkpoint_of(batch).coalesce(1).write.mode("overwrite").parquet(f"{root}/state/version={version + 1}")
+    return version + 1
+
+
 def upsert_children_wide(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Wide rows replaced by person; columns new to the table are added; the first creation time stays."""
     return upsert(stored, rows, "person_id")
@@ -226,7 +259,3 @@ def upsert_children_wide(stored: DataFrame, rows: DataFrame) -> DataFrame:
 def upsert_persons_keep(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Person rows merged without ever blanking a stored identifier."""
     return upsert(stored, rows, "grouping_key", COALESCE_NEW)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

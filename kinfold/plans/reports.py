@@ -17,7 +17,8 @@ def pipeline_stats(landed: DataFrame, profiles: DataFrame) -> DataFrame:
     raw = landed.agg(F.count("*").alias("raw_total"), F.count_if(done).alias("raw_processed"),
                      F.count_if(~done).alias("raw_pending"))
     people = profiles.agg(F.count("*").alias("profiles_total"), F.count_if("is_complete").alias("profiles_complete"))
-    return raw.crossJoin(people).select(
+    both = raw.select("*", people.select(F.struct("*")).scalar().alias("people")).select("*", "people.*").drop("people")
+    return both.select(
         "*", (F.col("profiles_total") - F.col("profiles_complete")).alias("profiles_pending"),
         percent(F.col("raw_processed"), F.col("raw_total")).alias("processed_pct"),
         percent(F.col("profiles_complete"), F.col("profiles_total")).alias("complete_pct"))
@@ -31,12 +32,13 @@ def kind_distribution(profiles: DataFrame) -> DataFrame:
 def kind_frequency(profiles: DataFrame) -> DataFrame:
     """Profiles per kind and their share of all profiles.
 
-    Both counts come from one pass: a profile adds one row for itself and one per kind.
+    Both counts come from one pass: a profile adds one row for itself and one per kind. The window
+    runs over those six counts.
     """
     marks = profiles.select(F.explode(F.concat(F.array(F.lit("")), types_or_empty())).alias("kind"))
     counts = marks.groupBy("kind").agg(F.count("*").alias("n"))
-    total = counts.filter("kind = ''").select(F.col("n").alias("total"))
-    return (counts.filter("kind <> ''").crossJoin(F.broadcast(total))
+    total = F.max(F.when(F.col("kind") == "", F.col("n"))).over(Window.partitionBy())
+    return (counts.withColumn("total", total).filter("kind <> ''")
             .select("kind", "n", percent(F.col("n"), F.col("total")).alias("share_pct")))
 
 

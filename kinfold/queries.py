@@ -11,17 +11,16 @@ from pyspark.sql import functions as F
 from kinfold import vocabulary as V
 from kinfold.config import PREFER_OBSERVED, Config
 from kinfold.functions import text as T
-from kinfold.functions.fields import MAP, decode, joined, strings
 from kinfold.operators import derive, refine, resolve, typed, upsert
 from kinfold.operators.blocks import light_block
 from kinfold.operators.fold import exact_profiles
 from kinfold.plans import extract as E
 from kinfold.plans import publish as P
 from kinfold.plans import reports as R
-from kinfold.session import configure, scratch_dir
+from kinfold.session import configure, scratch_dir, written
 from kinfold.sources import landing as L
 from kinfold.sources import message_view as mv
-from kinfold.sources.envelope import ENVELOPE, dead_letters, file_stream, messages
+from kinfold.sources.envelope import ENVELOPE, dead_letters, decoded, file_stream
 from kinfold.streaming import landing as SL
 from kinfold.streaming.profiles import ProfileStore, profile_query
 
@@ -109,9 +108,8 @@ def landing_dedupe(spark, sf_dir):
 
 @query
 def landing_metrics(spark, sf_dir):
-    records = _broken(spark, sf_dir)
     earlier = mv.landed(spark, sf_dir, "net").filter(F.col("offset") % 10 == 1)
-    return L.landing_metrics(messages(records), earlier, dead_letters(records))
+    return L.landing_metrics(decoded(_broken(spark, sf_dir)), earlier)
 
 
 @query
@@ -146,8 +144,9 @@ def replay_reset(spark, sf_dir):
 @query
 def retention_window(spark, sf_dir):
     rows = mv.landed(spark, sf_dir, "net")
-    newest = rows.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("cutoff"))
-    return L.retained(rows.crossJoin(F.broadcast(newest)), F.col("cutoff")).select("raw_id", micros("ts").alias("ts_us"))
+    cutoff = mv.table(spark, sf_dir, "events").select(
+        (F.max("ts").cast("timestamp") - F.expr("INTERVAL 1 HOUR"))).scalar()
+    return L.retained(rows, cutoff).select("raw_id", micros("ts").alias("ts_us"))
 
 
 # --- classification and extraction --------------------------------------------
@@ -283,7 +282,7 @@ def resolve_mapping(spark, sf_dir):
 @query
 def merge_groups(spark, sf_dir):
     """Groups of the exact fold merged along the identifier they share with a customer's passport group."""
-    groups = people(spark, sf_dir)
+    groups = written(people(spark, sf_dir), "groups")
     targets = groups.filter(F.col("grouping_key").startswith("passport::")).select(
         F.col("grouping_key").alias("target_key"), F.col("identifiers")["email"].alias("email"))
     mapping = (groups.filter(F.col("grouping_key").startswith("email::"))
@@ -369,8 +368,8 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stored and incoming person rows made from customers; they overlap in the middle."""
     base = mv.table(spark, sf_dir, "customer").selectExpr(
         "concat('passport::p', c_custkey) as grouping_key", "c_custkey as k", "c_name", "c_mktsegment", "c_nationkey")
-    count = mv.table(spark, sf_dir, "customer").agg(F.count("*").alias("total"))
-    rows = base.crossJoin(F.broadcast(count))
+    count = mv.table(spark, sf_dir, "customer").select(F.count("*")).scalar()
+    rows = base.withColumn("total", count)
     stored = rows.filter("k < total * 2 / 3").selectExpr(
         "grouping_key", "c_name as passport", "if(k % 2 = 0, c_mktsegment, null) as email",
         "if(k % 5 = 0, null, timestamp'2023-01-01 00:00:00') as created_at",

@@ -33,14 +33,15 @@ def new_rows(batch: DataFrame, landed: DataFrame, arrival: str | None = None) ->
     return first_per_coordinate(batch, arrival).join(landed.select(*COORDS), COORDS, "left_anti")
 
 
-def landing_metrics(batch: DataFrame, landed: DataFrame, dead: DataFrame) -> DataFrame:
-    """Consumed, inserted, duplicate and error counts of one batch in one row."""
-    tagged = (batch.select(F.lit(1).alias("consumed"), F.lit(0).alias("inserted"), F.lit(0).alias("errors"))
-              .unionByName(new_rows(batch, landed).select(
-                  F.lit(0).alias("consumed"), F.lit(1).alias("inserted"), F.lit(0).alias("errors")))
-              .unionByName(dead.select(
-                  F.lit(1).alias("consumed"), F.lit(0).alias("inserted"), F.lit(1).alias("errors"))))
-    sums = tagged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("consumed", "inserted", "errors")])
+def landing_metrics(rows: DataFrame, landed: DataFrame) -> DataFrame:
+    """Consumed, inserted, duplicate and error counts of decoded rows, in one pass and one row."""
+    per = rows.groupBy(*COORDS).agg(F.count("*").alias("n"), F.count("fields").alias("good"))
+    known = landed.select(*COORDS).withColumn("old", F.lit(True))
+    new = (F.when(~_has_coordinates(), F.col("good"))
+           .when(F.col("old").isNull() & (F.col("good") > 0), 1).otherwise(0))
+    sums = per.join(known, COORDS, "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("consumed"), F.coalesce(F.sum(new), F.lit(0)).alias("inserted"),
+        F.coalesce(F.sum(F.col("n") - F.col("good")), F.lit(0)).alias("errors"))
     return sums.withColumn("duplicates", F.expr("consumed - inserted - errors"))
 
 

@@ -16,6 +16,7 @@ from kinfold.config import Config
 from kinfold.operators.components import components
 from kinfold.operators.fold import SLOTS, merge, profiles
 from kinfold.operators.resolve import labelled, link_edges, token_set_states
+from kinfold.operators.skew import lookup
 from kinfold.plans.extract import contribute
 from kinfold.session import written
 from kinfold.sources.envelope import messages
@@ -68,19 +69,20 @@ class ProfileStore:
             merge(rows, "label").withColumn("key", F.coalesce(F.col("best")["key"], F.concat(F.lit("?"), "label"))),
             "heads")
         keys = heads.select("label", "key")
-        moved = written(rows.filter("old_key is not null").select("label", "old_key").join(keys, "label")
+        share = self.config.hot_key_share
+        moved = written(lookup(rows.filter("old_key is not null").select("label", "old_key"), keys, "label", share)
                         .filter("old_key <> key").select("old_key", "key"), "moved")
         gone = moved.select(F.col("old_key").alias("key"), F.lit(True).alias("gone"))
         (heads.select("key", *STATE).withColumn("gone", F.lit(False))
          .unionByName(gone, allowMissingColumns=True)
          .write.mode("overwrite").parquet(f"{self.root}/states/batch={batch}"))
-        index = (rows.filter("old_key is null").select("label", F.explode("tokens").alias("token"))
-                 .filter(~F.col("token").startswith("key=rawid::")).distinct()
-                 .join(keys, "label").select("token", "key"))
+        own = (rows.filter("old_key is null").select("label", F.explode("tokens").alias("token"))
+               .filter(~F.col("token").startswith("key=rawid::")).distinct())
+        index = lookup(own, keys, "label", share).select("token", "key")
         if batch:
-            followers = (self._rows("index", batch).withColumnRenamed("key", "old_key").select("token", "old_key")
-                         .distinct().join(moved, "old_key").select("token", "key"))
-            index = index.unionByName(followers)
+            earlier = self._rows("index", batch).select("token", F.col("key").alias("old_key")).distinct()
+            followers = lookup(earlier, moved, "old_key", share).filter("key is not null")
+            index = index.unionByName(followers.select("token", "key"))
         (index.distinct().sortWithinPartitions("token")
          .write.mode("overwrite").parquet(f"{self.root}/index/batch={batch}"))
 

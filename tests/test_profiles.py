@@ -156,6 +156,29 @@ def test_publish_versions_merge(spark, tmp_path):
     assert spark.read.parquet(f"{root}/version=1/bank_data").count() == 2
 
 
+def test_incremental_publish_follows_its_checkpoint(spark, tmp_path):
+    as_of, root = F.lit("2024-02-01").cast("timestamp"), str(tmp_path)
+    first = exact_profiles(contributed(spark, PERSON))
+    assert P.publish_next(first, root, as_of) == 0
+    assert P.publish_next(first, root, as_of) is None
+    later = exact_profiles(contributed(spark, [*PERSON, *[dict(m, passport="P2") for m in PERSON], {"passport": "P3", "IBAN": "x"}]))
+    assert P.publish_next(later, root, as_of) == 1
+    people = spark.read.parquet(f"{root}/version=1/persons")
+    assert sorted(r["grouping_key"] for r in people.collect()) == ["passport::p1", "passport::p2"]
+    assert P.load_checkpoint(spark, root)[2] == "passport::p2"
+    assert P.publish_next(later, root, as_of, Config(skew_seconds=60)) == 2
+
+
+def test_wide_rows_gain_columns(spark):
+    one = exact_profiles(contributed(spark, [{"passport": "P1", "company": "A", "salary": 10}]))
+    two = exact_profiles(contributed(spark, [{"passport": "P1", "company": "B", "role": "x"}, {"passport": "P2", "dept": "y"}]))
+    stored, new = P.wide_children(one, "professional"), P.wide_children(two, "professional")
+    assert dict(stored.dtypes)["salary"] == "bigint"
+    rows = {r["person_id"]: r for r in P.upsert_children_wide(stored, new).collect()}
+    assert rows["passport::p1"]["company"] == "b" and rows["passport::p2"]["department"] == "y"
+    assert set(rows["passport::p1"].asDict()) >= {"company", "salary", "position", "department"}
+
+
 def test_published_key_falls_back(spark):
     df = spark.createDataFrame([("", "p", None), (None, None, "t")], "grouping_key string, passport string, tax_id string")
     keys = [r["k"] for r in df.select(P.composed_key(df).alias("k")).collect()]
