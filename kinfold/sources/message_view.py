@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _message(rows: DataFrame, topic: str, key: str, ts: str, payload: str) -> DataFrame:
     return rows.selectExpr(
-        f"'{topic}' as topic", f"cast({key} % 3 as int) as partition", f"cast(floor({key} / 3) as bigint) as offset",
+        f"'{topic}' as topic", f"cast({key} % 3 as int) as partition", f"cast({key} div 3 as bigint) as offset",
         f"cast({ts} as timestamp) as ts", f"{payload} as payload")
 
 

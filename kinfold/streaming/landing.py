@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,14 +27,17 @@ def _earlier(spark: SparkSession, root: str, batch: int, low: int, high: int) ->
 def land_batch(envelopes: DataFrame, batch: int, root: str) -> None:
     """Land one micro-batch. Each batch owns its folder, so running it again replaces its own rows only."""
     spark = envelopes.sparkSession
-    rows = decoded(envelopes)
-    spread = envelopes.agg(F.min("offset").alias("low"), F.max("offset").alias("high")).first()
-    low, high = (spread["low"] or 0), (spread["high"] or 0)
-    good = rows.filter(F.col("fields").isNotNull()).drop("fields", "value")
-    fresh = new_rows(good, _earlier(spark, root, batch, low, high))
-    fresh.sortWithinPartitions(*COORDS).write.mode("overwrite").parquet(f"{root}/landed/batch={batch}")
-    dead = rows.filter(F.col("fields").isNull()).drop("fields", "payload")
-    dead.write.mode("overwrite").parquet(f"{root}/dead/batch={batch}")
+    rows = decoded(envelopes).withColumn("good", F.col("fields").isNotNull()).drop("fields")
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        spread = rows.agg(F.min("offset").alias("low"), F.max("offset").alias("high")).first()
+        low, high = (spread["low"] or 0), (spread["high"] or 0)
+        fresh = new_rows(rows.filter("good").drop("good", "value"), _earlier(spark, root, batch, low, high))
+        fresh.sortWithinPartitions(*COORDS).write.mode("overwrite").parquet(f"{root}/landed/batch={batch}")
+        dead = rows.filter("not good").drop("good", "payload")
+        dead.write.mode("overwrite").parquet(f"{root}/dead/batch={batch}")
+    finally:
+        rows.unpersist()
 
 
 def landing_query(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -70,12 +70,12 @@ def test_swift_needs_a_word_boundary_in_any_script(spark):
 
 def test_metadata_scan_is_an_option(spark):
     body = [{"q": True}]
-    records = messages(envelopes(spark, body, topic="probando"))
+    records = messages(envelopes(spark, body, topic="metadata"))
     from kinfold.config import Config
     from kinfold.plans.extract import extract
     assert by_offset(extract(records))[0]["kind"] == "unknown"
     scanned = by_offset(extract(records, Config(scan_metadata=True)))[0]
-    assert scanned["kind"] == "bank" and scanned["b_bank"]["swift"] == "PROBANDO"
+    assert scanned["kind"] == "bank" and scanned["b_bank"]["swift"] == "METADATA"
 
 
 def test_derived_blocks(spark):
