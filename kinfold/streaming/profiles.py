@@ -30,9 +30,40 @@ class ProfileStore:
     def __init__(self, spark: SparkSession, root: str, config: Config = Config()):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config
 
+    def _compacted(self, before: int | None) -> int | None:
+        """Last batch held by the newest finished compaction."""
+        try:
+            marks = self.spark.read.schema("done boolean, upto int").parquet(f"{self.root}/compacted")
+        except Exception as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return None
+        marks = marks if before is None else marks.filter(F.col("upto") < before)
+        return marks.agg(F.max("upto")).first()[0]
+
     def _rows(self, table: str, before: int | None) -> DataFrame:
+        """Rows of batches before ``before``; those a compaction holds come from it."""
         rows = self.spark.read.parquet(f"{self.root}/{table}")
-        return rows if before is None else rows.filter(F.col("batch") < before)
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        upto = self._compacted(before)
+        if upto is None:
+            return rows
+        base = self.spark.read.parquet(f"{self.root}/{table}_base").filter(F.col("upto") == upto)
+        return rows.filter(F.col("batch") > upto).unionByName(base.withColumnRenamed("upto", "batch"))
+
+    def compact(self, upto: int) -> None:
+        """Write the newest row per key and token of all batches up to ``upto`` to one place.
+
+        The mark comes last, so readers never see half a compaction. Older folders are no longer
+        read and can be removed by the storage's own retention.
+        """
+        live = self._newest_states(self._rows("states", upto + 1)).withColumn("gone", F.lit(False))
+        live.write.mode("overwrite").parquet(f"{self.root}/states_base/upto={upto}")
+        index = self._rows("index", upto + 1).groupBy("token").agg(F.max_by("key", "batch").alias("key"))
+        (index.sortWithinPartitions("token").write.mode("overwrite")
+         .parquet(f"{self.root}/index_base/upto={upto}"))
+        self.spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(
+            f"{self.root}/compacted/upto={upto}")
 
     def _newest_states(self, rows: DataFrame) -> DataFrame:
         newest = rows.groupBy("key").agg(F.max_by(F.struct(*STATE, "gone"), F.col("batch")).alias("row"))

@@ -65,6 +65,11 @@ def test_stream_of_profiles_equals_batch(spark, tmp_path):
     last = contribute(messages(records.filter("offset % 3 = 0")))
     store.merge_batch(last, 2)
     assert profile_rows(store.profiles()) == want
+    store.compact(1)
+    store.merge_batch(last, 2)
+    assert profile_rows(store.profiles()) == want
+    store.compact(2)
+    assert profile_rows(store.profiles()) == want
 
 
 def test_replay_and_unprocessed(spark):
