@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, lines, packing, sharding
+from kinfold.llm import bpe, lines, minhash, packing, sharding, substrings, text
 from kinfold.llm.text import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,31 @@ def packing_encoder() -> Callable:
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), packing_encoder)
+
+
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(documents(spark, sf_dir))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicated(text.id_text(documents(spark, sf_dir)))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op2_substring_dedup"] = r"""
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w
+  from documents),
+windows as (
+  select doc_id, unnest(range(1, len(w) - 48)) as place, w from words where len(w) >= 50),
+hashed as (select doc_id, place, md5(array_to_string(w[place:place + 49], ' ')) as h from windows),
+least as (select h, min(doc_id) as first_doc from hashed group by h),
+lost as (select distinct doc_id, unnest(range(place, place + 50)) as gone
+         from hashed join least using (h) where doc_id > first_doc),
+lists as (select doc_id, list(gone) as gone from lost group by doc_id),
+placed as (select words.doc_id, w, gone from words left join lists using (doc_id)),
+cut as (select doc_id, len(w) as n_words, len(coalesce(gone, [])) as n_removed,
+               list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)) as kept from placed)
+select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from cut"""

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step takes at a time; a single longer text is taken whole.
 PIECE_BYTES = 1 << 20
@@ -48,9 +49,10 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]],
+                schema: str | StructType) -> DataFrame:
     """``mapInArrow`` of a function that yields columns by name; the schema gives order and types."""
-    spark_schema = df.sparkSession.createDataFrame([], schema).schema
+    spark_schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -143,3 +145,25 @@ def rows_of(first: np.ndarray) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned hashes as the longs that Spark stores."""
     return x.view(np.int64)
+
+
+def rewritten(docs: DataFrame, found: DataFrame, rewrite: Callable, added: str) -> DataFrame:
+    """``docs`` with each text rewritten by what ``found(doc_id, found)`` has for its ``doc_id``.
+
+    ``rewrite(batch, found)`` gives the new texts and the added columns, which replace those of the same name.
+    ``found`` has at most one row for each id and is null where it has none.
+    """
+    new = StructType.fromDDL(added)
+    names = {f.name.lower() for f in new}
+    own = docs.select(*[docs[c].cast("long").alias(c) if c == "doc_id" else docs[c].cast("string").alias(c)
+                        if c == "text" else docs[c] for c in docs.columns if c.lower() not in names])
+    joined = own.join(found.select(F.col("doc_id").alias("__doc"), F.col("found").alias("__found")),
+                      F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    schema = StructType([*own.schema, *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            texts, extra = rewrite(batch, batch.column("__found").to_pylist())
+            yield {f.name: batch.column(f.name) for f in own_fields} | {"text": texts} | extra
+    own_fields = list(own.schema)
+    return map_batches(joined, run, schema)
