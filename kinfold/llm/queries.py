@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, lines, minhash, packing, sharding, substrings, text
+from kinfold.llm import bpe, lines, minhash, packing, quality, sharding, spotsigs, substrings, suffix_tree, text
 from kinfold.llm.text import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,24 @@ placed as (select words.doc_id, w, gone from words left join lists using (doc_id
 cut as (select doc_id, len(w) as n_words, len(coalesce(gone, [])) as n_removed,
                list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)) as kept from placed)
 select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from cut"""
+
+
+@query
+def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(documents(spark, sf_dir))
+
+
+@query
+def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(documents(spark, sf_dir))
+
+
+def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the corpus as one: bad is what is of no quality or toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (
+        (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
+
+
+@query
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), labels_of(spark, sf_dir))
