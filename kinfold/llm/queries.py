@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, lines, minhash, packing, quality, sharding, spotsigs, substrings, suffix_tree, text
+from kinfold.llm import ann, bpe, lines, minhash, packing, quality, sharding, spotsigs, substrings, suffix_tree, text
 from kinfold.llm.text import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,9 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), labels_of(spark, sf_dir))
+
+
+@query
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = text.importable(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
