@@ -1,15 +1,68 @@
-"""A corpus cleaned and packed: quality, lines, near copies, repeated passages, sequences."""
+"""A corpus cleaned and packed: quality, lines, near copies, repeated passages, sequences.
+
+Each stage takes and returns rows with the columns of ``documents``, with ``n_chars`` kept true to the text,
+but for the last, which returns the packed pieces. Rows without an id pass all stages but the quality filter
+unchanged in number.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinfold.llm import lines, minhash, packing, quality, substrings
+from kinfold.llm.queries import labels_of, packing_encoder
+from kinfold.llm.text import importable
+from kinfold.session import written
+
+
+def _as_documents(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from rows with new texts."""
+    return made.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) \
+        if "n_chars" in docs.columns else made.select(docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.scored(docs, labels_of(importable(spark), sf_dir)).filter("not rejected").select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of three or more documents stay in the last of them only."""
+    return _as_documents(lines.deduplicated(docs), docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the least id; of rows that repeat an id the least text.
+
+    Rows without an id cannot be told apart and stay.
+    """
+    first = minhash.classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("__copy", copy).filter("__copy = 1").drop("__copy")
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay in the first document that holds them."""
+    return _as_documents(substrings.deduplicated(docs), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, as pieces of sequences of 1024 tokens."""
+    return packing.packed(docs, packing_encoder)
+
 
-STAGES: list = []
+STAGES = [("quality classifier", keep_good), ("line dedup", drop_lines), ("near-dedup", drop_near_copies),
+          ("substring dedup", drop_passages), ("packing", pack)]
+#: Neither the classifier nor the tokenizer can be said in SQL; a test holds the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs, "stage")
     return docs

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.text import LOWER, id_text, map_batches, texts_of
+from kinfold.llm.text import LOWER, id_text, map_batches, rewritten, texts_of
 from kinfold.session import scratch_dir
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 #: Runs of a level that are merged into one of the next level.
 FAN_IN = 4
+#: Batches that a whole corpus is ingested in: the runs of the first four are compacted into one.
+BATCHES = 5
 _WHITE = b" \t\n\x0b\x0c\r"
 _LOWER = LOWER.tobytes()
 _RUN = "key binary, n_docs long, last_doc long"
@@ -96,7 +98,7 @@ class LineRuns:
         return merged(self._read(paths)).filter(F.col("n_docs") >= min_docs).select("key", "last_doc")
 
     def dropped(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """``(doc_id, keys)``: for each document the keys whose lines it loses."""
+        """``(doc_id, found)``: for each document the keys whose lines it loses."""
         min_chars = self.min_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -107,36 +109,34 @@ class LineRuns:
                 yield {"doc_id": [d for d, _ in rows], "key": [k for _, k in rows]}
         held = map_batches(id_text(docs), run, "doc_id long, key binary")
         lost = held.join(self.frequent(min_docs), "key").filter(F.col("doc_id") < F.col("last_doc"))
-        return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        return lost.groupBy("doc_id").agg(F.collect_set("key").alias("found"))
 
 
 def without_lines(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(doc_id, kept, n_lines, n_dropped)``: the texts without the lines of the lost keys."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            kept, n_lines, n_dropped = [], [], []
-            for text, keys in zip(texts_of(batch), batch.column("keys").to_pylist()):
-                lines = text.split(b"\n")
-                gone = set(keys or ())
-                stay = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
-                kept.append(b"\n".join(stay).decode())
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(stay))
-            yield {"doc_id": batch.column("doc_id"), "kept": kept, "n_lines": n_lines, "n_dropped": n_dropped}
-    joined = id_text(docs).join(lost, "doc_id", "left").select("doc_id", "text", "keys")
-    return map_batches(joined, run, "doc_id long, kept string, n_lines long, n_dropped long")
-
-
-def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = 1,
+    """``docs`` with the lines of the lost keys taken from ``text``, and ``n_lines``, ``n_dropped``."""
+    def rewrite(batch: pa.RecordBatch, found: list) -> tuple[list, dict]:
+        kept, n_lines, n_dropped = [], [], []
+        for text, keys in zip(texts_of(batch), found):
+            lines = text.split(b"\n")
+            gone = set(keys or ())
+            stay = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
+            kept.append(b"\n".join(stay).decode())
+            n_lines.append(len(lines))
+            n_dropped.append(len(lines) - len(stay))
+        return kept, {"n_lines": n_lines, "n_dropped": n_dropped}
+    return rewritten(docs, lost, rewrite, "n_lines long, n_dropped long")
+
+
+def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES,
                  fan_in: int = FAN_IN) -> DataFrame:
-    """``(doc_id, kept, n_lines, n_dropped)`` for all documents, ingested in ``batches`` hashed batches.
+    """``docs`` without its frequent lines, and ``n_lines``, ``n_dropped``, ingested in ``batches`` hashed batches.
 
     A key of at least ``min_chars`` code points found in at least ``min_docs`` documents loses its lines in
-    all documents but the one with the largest id. Null and empty texts are one empty line. Rows that
-    repeat a ``doc_id`` count as one document and each give a row; rows without an id keep all their lines.
+    all documents but the one with the largest id. Null and empty texts are one empty line and become empty
+    texts. Rows that repeat a ``doc_id`` count as one document and each give a row; rows without an id keep all their
+    lines. Columns of ``docs`` named as the new ones are replaced.
     """
     runs = LineRuns(docs.sparkSession, fan_in, min_chars)
     for i in range(batches):
-        part = docs if batches == 1 else docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
-        runs.add(part)
+        runs.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
     return without_lines(docs, runs.dropped(docs, min_docs), min_chars)

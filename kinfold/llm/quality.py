@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinfold.llm.text import LOWER, id_text, map_batches, pieces, rows_of, signed, word_hashes, word_spans
 
@@ -254,14 +255,17 @@ def learned(docs: DataFrame, labels: DataFrame | None, labelled: int = LABELLED,
 
 
 def scored(docs: DataFrame, labels: DataFrame | None = None, labelled: int = LABELLED, fit_on: int = FITTED) -> DataFrame:
-    """``(doc_id, score, rejected)`` of every row: the probability that its text is bad, and whether it goes.
+    """``docs`` with ``score``, the probability that the text is bad, and ``rejected``, whether it goes.
 
     A null or empty text has no features and is scored by the bias. Equal texts have equal scores. Rows that
     repeat an id are scored by their own texts; one without an id is scored, but not sampled. A
-    document with several labels is bad if one of them says so.
+    document with several labels is bad if one of them says so. Columns named as the new ones are replaced.
     """
     model = learned(docs, labels, labelled, fit_on)
     weights, bias = model.weights, model.bias
+    own = docs.select(*[docs[c].cast("string").alias(c) if c == "text" else docs[c] for c in docs.columns
+                        if c.lower() not in ("score", "rejected")])
+    names = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -269,7 +273,6 @@ def scored(docs: DataFrame, labels: DataFrame | None = None, labelled: int = LAB
                 row, bucket = hashed(features(data, offsets), hi - lo)
                 pair = np.unique(row * len(weights) + bucket)
                 row, bucket = pair // len(weights), pair % len(weights)
-                total = np.bincount(row, weights[bucket], hi - lo) + bias
-                score = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
-                yield {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "score": score, "rejected": score >= REJECT}
-    return map_batches(id_text(docs), run, "doc_id long, score double, rejected boolean")
+                score = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[bucket], hi - lo) + bias, -50, 50)))
+                yield {n: batch.column(n).slice(lo, hi - lo) for n in names} | {"score": score, "rejected": score >= REJECT}
+    return map_batches(own, run, StructType([*own.schema, *StructType.fromDDL("score double, rejected boolean")]))

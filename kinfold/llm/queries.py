@@ -29,8 +29,8 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.deduplicated(documents(spark, sf_dir))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    out = lines.deduplicated(text.id_text(documents(spark, sf_dir)))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 ORACLE["op5_line_dedup"] = r"""
@@ -118,7 +118,7 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.scored(documents(spark, sf_dir), labels_of(spark, sf_dir))
+    return quality.scored(text.id_text(documents(spark, sf_dir)), labels_of(spark, sf_dir)).drop("text")
 
 
 @query
