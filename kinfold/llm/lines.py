@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.text import LOWER, id_text, map_batches, rewritten, texts_of
-from kinfold.session import scratch_dir
+from kinfold.session import scratch_dir, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -108,7 +108,8 @@ class LineRuns:
                         if (key := line_key(line, min_chars)) is not None}
                 yield {"doc_id": [d for d, _ in rows], "key": [k for _, k in rows]}
         held = map_batches(id_text(docs), run, "doc_id long, key binary")
-        lost = held.join(self.frequent(min_docs), "key").filter(F.col("doc_id") < F.col("last_doc"))
+        # written, so that both sides of the join are shuffled for it alone and a hot key's rows can be split
+        lost = held.join(written(self.frequent(min_docs), "frequent-lines"), "key").filter(F.col("doc_id") < F.col("last_doc"))
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("found"))
 
 
