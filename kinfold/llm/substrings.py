@@ -48,8 +48,9 @@ def _places(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, at - first[row], first[row + 1] - at
 
 
-def _starts(hashes: np.ndarray) -> np.ndarray:
-    return np.r_[True, np.any(hashes[1:] != hashes[:-1], axis=1)] if len(hashes) else np.zeros(0, bool)
+def _short(anchor: np.ndarray) -> np.ndarray:
+    """Half of an anchor's hash, enough to find it again in its own document; a false one only adds windows to hash."""
+    return anchor.astype(np.uint32).view(np.int32)
 
 
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -73,7 +74,7 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
         size = np.diff(np.r_[np.flatnonzero(first), len(anchor)])
         shared = np.repeat(size > 1, size)
         own = mixed(anchor ^ mixed(doc.view(np.uint64)))
-        return {"key": signed(np.where(first, anchor, own)), "anchor": signed(anchor), "doc_id": doc, "shared": shared}
+        return {"key": signed(np.where(first, anchor, own)), "anchor": _short(anchor), "doc_id": doc, "shared": shared}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         parts: list = []
@@ -91,7 +92,7 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                     parts = []
         if parts:
             yield reduced(parts)
-    return map_batches(id_text(docs), run, "key long, anchor long, doc_id long, shared boolean")
+    return map_batches(id_text(docs), run, "key long, anchor int, doc_id long, shared boolean")
 
 
 def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -103,10 +104,10 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
-    """``(key, other, doc_id, start, n, lost)``: windows around shared anchors.
+    """``(key, other, doc_id, start, n, more, lost)``: windows around shared anchors.
 
-    A lost row is a run of ``n`` windows that a smaller document of the same part holds too; all others
-    are single windows in the group of their hash ``(key, other)``.
+    A lost row is a run of ``n`` windows that a smaller document of the same part holds too. Each other row is
+    the one of its hash ``(key, other)`` in its part; ``more`` has the window's further starts in the document.
     """
     length = window - PERIOD + 1
 
@@ -125,11 +126,17 @@ def window_rows(docs: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
         begins[1:] = (lost_doc[1:] != lost_doc[:-1]) | (lost_start[1:] != lost_start[:-1] + 1)
         place = np.flatnonzero(begins)
         own = mixed(mixed(lost_doc[place].view(np.uint64)) ^ lost_start[place].view(np.uint64))
-        live = ~lost
-        return {"key": signed(np.r_[key[live], own]), "other": signed(np.r_[other[live], own]),
-                "doc_id": np.r_[doc[live], lost_doc[place]], "start": np.r_[start[live], lost_start[place]],
-                "n": np.r_[np.ones(live.sum(), np.int64), np.diff(np.r_[place, len(lost_doc)])],
-                "lost": np.r_[np.zeros(live.sum(), bool), np.ones(len(place), bool)]}
+        # all live rows of a key are of one document: its first start in one row, the others with it
+        top = np.flatnonzero(first)
+        size = np.add.reduceat((~lost).astype(np.int64), top) if len(top) else top
+        cuts = np.r_[0, np.cumsum(size - 1)].astype(np.int32)
+        more = pa.ListArray.from_arrays(pa.array(cuts), pa.array(start[~lost & ~first]), mask=pa.array(size == 1))
+        none = np.zeros(len(place), np.int64)
+        return {"key": signed(np.r_[key[top], own]), "other": signed(np.r_[other[top], none.view(np.uint64)]),
+                "doc_id": np.r_[doc[top], lost_doc[place]], "start": np.r_[start[top], lost_start[place]],
+                "n": np.r_[np.ones(len(top), np.int64), np.diff(np.r_[place, len(lost_doc)])],
+                "more": pa.concat_arrays([more, pa.nulls(len(place), more.type)]),
+                "lost": np.r_[np.zeros(len(top), bool), np.ones(len(place), bool)]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         parts: list = []
@@ -142,10 +149,10 @@ def window_rows(docs: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
                 row, rank, left = _places(first)
                 words = word_hashes(data, starts, ends)
                 at = _anchors(rank, left, length)
-                values = found.slice(lo, hi - lo).flatten().to_numpy(False).view(np.uint64)
+                values = found.slice(lo, hi - lo).flatten().to_numpy(False).astype(np.uint64) << np.uint64(32)
                 owners = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(found.slice(lo, hi - lo)).to_numpy(False))
-                hit = np.isin(mixed(window_hashes(words, at, length) + mixed(row[at].astype(np.uint64))),
-                              mixed(values + mixed(owners.astype(np.uint64))))
+                own = _short(window_hashes(words, at, length)).astype(np.uint64) << np.uint64(32)
+                hit = np.isin(own | row[at].astype(np.uint64), values | owners.astype(np.uint64))
                 near = np.zeros(len(row) + PERIOD + 1, np.int64)
                 near[at[hit] + 1] = 1
                 near = np.cumsum(near)
@@ -159,16 +166,16 @@ def window_rows(docs: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
         if parts:
             yield reduced(parts)
     joined = docs.join(anchors, "doc_id", "left").select("doc_id", "text", "found")
-    return map_batches(joined, run, "key long, other long, doc_id long, start long, n long, lost boolean")
+    return map_batches(joined, run, "key long, other long, doc_id long, start long, n long, more array<long>, lost boolean")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, found)``: runs ``(start, n)`` of windows of ``window`` words that a smaller ``doc_id`` holds too."""
+    """``(doc_id, found)``: ``(start, n, more)``, runs of windows of ``window`` words that a smaller ``doc_id`` holds too."""
     texts = id_text(docs)
     rows = window_rows(texts, shared_anchors(texts, window), window)
     group = Window.partitionBy("key", "other")
     return (rows.withColumn("least", F.min("doc_id").over(group)).filter("lost or doc_id > least")
-            .groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("found")))
+            .groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "more")).alias("found")))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -192,6 +199,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for span in spans:
                     change[span["start"]] += 1
                     change[span["start"] + span["n"] + window - 1] -= 1
+                    for start in span["more"] or ():
+                        change[start] += 1
+                        change[start + window] -= 1
                 words = [w for w, gone in zip(words, (np.cumsum(change) > 0).tolist()) if not gone]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words).decode())
