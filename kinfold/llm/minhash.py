@@ -9,7 +9,7 @@ probability of their weighted Jaccard similarity. Documents with an empty coordi
 
 Coordinates are cut into bands; documents with an equal band meet in a bucket. Equal texts are one document
 first. In a bucket each document is compared with a hub, links are verified on the texts, and linked documents
-become one class before the next round, with twice as many hubs, compares what is still apart. So a bucket of
+become one class before the next round, with eight times as many hubs, compares what is still apart. So a bucket of
 thousands of near copies costs a row for each copy, and only documents of different classes are ever paired.
 It ends when no bucket holds two classes that have not been compared: no candidate is dropped.
 """
@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.text import (id_text, map_batches, mixed, pieces, rows_of, signed, window_hashes, word_hashes,
-                              word_spans)
-from kinfold.operators.components import components
+from kinfold.llm.text import (id_text, map_batches, mixed, pieces, rows_of, signed, texts_of, window_hashes,
+                              word_hashes, word_spans)
 from kinfold.session import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
+#: Times as many hubs in each further round.
+MORE_HUBS = 8
 #: Pairs whose signatures agree on fewer coordinates than this below the similarity are not read: at 0.15 below,
 #: one link in more than a hundred million is missed.
 SLACK = 0.15
@@ -137,20 +138,23 @@ def sketches(docs: DataFrame, bands: int, rows: int, length: int, counts: bool)
 
 def similar(pairs: DataFrame, length: int, counts: bool, similarity: float) -> DataFrame:
     """Those of ``(a, b, a_text, b_text)`` whose shingles have at least the similarity."""
+    def alike(a: bytes, b: bytes) -> bool:
+        element, row, weight = shingles(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]), length)
+        weight = weight if counts else np.ones_like(weight)
+        cut = np.searchsorted(row, 1)
+        _, i, j = np.intersect1d(element[:cut], element[cut:], True, True)
+        both = np.minimum(weight[:cut][i], weight[cut:][j]).sum()
+        return both >= similarity * (weight.sum() - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a_text").cast(pa.binary()).to_pylist(),
-                            batch.column("b_text").cast(pa.binary()).to_pylist()):
-                element, row, weight = shingles(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]), length)
-                weight = weight if counts else np.ones_like(weight)
-                cut = np.searchsorted(row, 1)
-                _, i, j = np.intersect1d(element[:cut], element[cut:], True, True)
-                both = np.minimum(weight[:cut][i], weight[cut:][j]).sum()
-                keep.append(both >= similarity * (weight.sum() - both))
-            chosen = batch.filter(pa.array(keep, pa.bool_()))
-            yield {"a": chosen.column("a"), "b": chosen.column("b")}
-    return map_batches(pairs, run, "a long, b long")
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                keep = [alike(a, b) for a, b in zip(texts_of(part, "a_text"), texts_of(part, "b_text"))]
+                chosen = part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if chosen.num_rows:
+                    yield {"a": chosen.column("a"), "b": chosen.column("b")}
+    return map_batches(pairs, run, "a long, b long").distinct()
 
 
 def agreeing(pairs: DataFrame, least: float) -> DataFrame:
@@ -164,54 +168,66 @@ def agreeing(pairs: DataFrame, least: float) -> DataFrame:
     return map_batches(pairs, run, "a long, b long")
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """``(v, label)``: for each vertex of ``edges(u, v)`` but the least of a component, that least one.
+
+    Alternating star steps, both in one plan: minima are pre-aggregated, and no neighbourhood is collected.
+    """
+    def lowest(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("u").agg(F.min("v").alias("low")), "u")
+    current = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    mark = None
+    while (new := current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()) != mark:
+        mark = new
+        both = current.union(current.select("v", "u"))
+        large = lowest(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
+        small = lowest(large)
+        current = written(small.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(
+            small.select("u", "low")).filter("u <> v").distinct(), "edges")
+    return current.select(F.col("u").alias("v"), F.col("v").alias("label"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHINGLE, bands: int = BANDS,
             rows: int = ROWS, counts: bool = False) -> DataFrame:
     """``(doc_id, class_id)`` of every row: the least id linked to it, directly or not, by near copies.
 
     Two texts are linked if their sets of ``length``-word shingles (with ``counts``, their bags) have at least
     the Jaccard similarity. Equal texts are always linked, null as empty. A text without words is linked
-    to equal texts only. Rows that repeat an id have the class of each of their texts. A null id has the class of
-    its text's other rows, null if none has an id. Words are bytes between white space, unchanged.
+    to equal texts only. Rows that repeat an id are linked. A null id has the class of its text's other rows,
+    null if none has an id. Words are bytes between white space, unchanged.
     """
     made = written(sketches(docs, bands, rows, length, counts), "sketches")
     texts = written(made.filter("doc_id is not null").groupBy("text_key").agg(
         F.min_by(F.struct("doc_id", "size", "bands", "bytes"), "doc_id").alias("x")).select("text_key", "x.*"), "texts")
-    # one id can stand for several texts if it is repeated; they are one vertex
-    labels, links = None, []
-    apart = written(texts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("v"), "size"), "buckets")
-    whole = id_text(docs).filter("doc_id is not null")
-    hubs = 1
+    sketch = texts.select("doc_id", "bytes")
+    whole = id_text(docs)
+    apart = texts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("v"), "size", F.col("doc_id").alias("label"))
+    labels, links, hubs = None, None, 1
     while True:
-        held = apart.withColumn("label", F.col("v")) if labels is None else \
-            apart.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        several = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        held = written(held.join(several.select("key"), "key"), "held")
-        if held.isEmpty():
+        several = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        held = written(apart.join(several.select("key"), "key"), "held")
+        slot = F.pmod(F.xxhash64("v", F.lit(hubs)), F.lit(hubs)).alias("slot")
+        hub = written(held.groupBy("key", slot).agg(F.min(F.struct("v", "label", "size")).alias("hub")).select("key", "hub"), "hubs")
+        if hub.isEmpty():
             break
-        hub = written(held.groupBy("key", F.pmod(F.xxhash64("v", F.lit(hubs)), F.lit(hubs)).alias("slot")).agg(
-            F.min(F.struct("v", "label", "size")).alias("hub")).select("key", "hub"), "hubs")
-        met = held.join(hub, "key").filter("v <> hub.v and label <> hub.label").filter(
+        met = held.join(hub, "key").filter("label <> hub.label").filter(
             F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size"))
         pairs = met.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
-        sketch = texts.groupBy("doc_id").agg(F.first("bytes").alias("bytes"))
         close = written(agreeing(
             pairs.join(sketch.withColumnsRenamed({"doc_id": "a", "bytes": "a_bytes"}), "a")
             .join(sketch.withColumnsRenamed({"doc_id": "b", "bytes": "b_bytes"}), "b"), similarity - SLACK), "close")
-        if not close.isEmpty():
-            wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-            named = written(whole.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "named")
-            found = written(similar(
-                close.join(named.withColumnsRenamed({"doc_id": "a", "text": "a_text"}), "a")
-                .join(named.withColumnsRenamed({"doc_id": "b", "text": "b_text"}), "b"), length, counts, similarity), "links")
-            links.append(found)
-            edges = links[0]
-            for more in links[1:]:
-                edges = edges.union(more)
-            labels = written(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(
-                F.col("token").alias("v"), "label"), "labels")
-        # every document of these buckets has met the hubs, which need not meet any again
-        apart = held.select("key", "v", "size").join(hub.select("key", F.col("hub.v").alias("v")), ["key", "v"], "left_anti")
-        hubs *= 2
+        wanted = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        named = written(whole.join(wanted, "doc_id"), "named")
+        found = written(similar(
+            close.join(named.withColumnsRenamed({"doc_id": "a", "text": "a_text"}), "a")
+            .join(named.withColumnsRenamed({"doc_id": "b", "text": "b_text"}), "b"), length, counts, similarity), "links")
+        # hubs have met every document of their buckets and need not meet any again
+        apart = held.join(hub.select("key", F.col("hub.v").alias("v")), ["key", "v"], "left_anti")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            apart = apart.drop("label").join(labels, "v", "left").select("key", "v", "size", F.coalesce("label", "v").alias("label"))
+        hubs *= MORE_HUBS
     of_text = texts.select("text_key", F.col("doc_id").alias("v"))
     if labels is not None:
         of_text = of_text.join(labels, "v", "left").select("text_key", F.coalesce("label", "v").alias("v"))

@@ -37,6 +37,8 @@ def importable(spark: SparkSession) -> SparkSession:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+        # workers give memory back after each batch instead of keeping it for themselves
+        spark.sparkContext.environment["ARROW_DEFAULT_MEMORY_POOL"] = "system"
     return spark
 
 
