@@ -23,13 +23,15 @@ JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
 
 def decode(payload: Column) -> Column:
-    """JSON object text to ``map<string,variant>``; null for anything else.
+    """JSON object text to ``map<string,variant>``; null for anything else. A repeated key has its last value.
 
     The payload is parsed as the first of two array elements: text after the object would make
     the array malformed or of another length, while a bare parse would ignore it.
     """
     wrapped = F.from_json(F.concat(F.lit("["), payload, F.lit(',{"":0}]')), f"array<{MAP}>", JSON_OPTIONS)
-    return let(wrapped, lambda w: F.when(F.size(w) == 2, F.get(w, F.lit(0))))
+    found = let(wrapped, lambda w: F.when(F.size(w) == 2, F.get(w, F.lit(0))))
+    return let(found, lambda m: F.when(F.size(F.array_distinct(F.map_keys(m))) < F.size(m), F.map_from_entries(
+        _one_per_key(F.map_entries(m)))).otherwise(m))
 
 
 def _one_per_key(entries: Column) -> Column:
@@ -42,10 +44,6 @@ def _one_per_key(entries: Column) -> Column:
     return let(entries, dedupe)
 
 
-def top_entries(fields: Column) -> Column:
-    return _one_per_key(F.map_entries(fields))
-
-
 def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
@@ -73,7 +71,7 @@ def entries(payload: Column, fields: Column) -> Column:
     def all_pairs(top: Column) -> Column:
         return F.when(has_inner, F.concat(top, _nested_entries(payload, top))).otherwise(top)
 
-    pairs = let(top_entries(fields), all_pairs)
+    pairs = let(F.map_entries(fields), all_pairs)
     typed = F.transform(pairs, lambda e: F.struct(
         F.lower(e["key"]).alias("k"),
         F.when(F.schema_of_variant(e["value"]) == "STRING", e["value"].cast("string")).alias("s"),

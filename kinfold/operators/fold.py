@@ -68,18 +68,18 @@ def complete(types: Column, required: list[str] = V.KINDS) -> Column:
     return F.size(F.array_except(wanted, F.coalesce(types, F.array().cast("array<string>")))) == 0
 
 
-def profiles(states: DataFrame, key: Column) -> DataFrame:
-    """Published profile shape from merged states."""
-    return states.filter(F.col("last_ts").isNotNull()).select(
+def profiles(states: DataFrame, key: Column, *kept: str) -> DataFrame:
+    """Published profile shape from merged states; those that only link have nothing to publish."""
+    return states.filter(F.col("best").isNotNull()).select(
         key.alias("grouping_key"),
         F.struct(*[F.col(f"i_{i}")["value"].alias(i) for i in V.IDENTIFIERS]).alias("identifiers"),
         F.struct(*[F.col(f"k_{k}")["value"].alias(k) for k in V.KINDS]).alias("data"),
         F.array_sort(kinds_of()).alias("types_received"),
         complete(kinds_of()).alias("is_complete"),
-        F.col("first_ts").alias("created_at"), F.col("last_ts").alias("updated_at"))
+        F.col("first_ts").alias("created_at"), F.col("last_ts").alias("updated_at"), *kept)
 
 
 def exact_profiles(contributed: DataFrame, config: Config = Config()) -> DataFrame:
     """Profiles by proposed key alone, without identifier resolution."""
-    states = message_states(contributed, config).filter(F.col("last_ts").isNotNull())
+    states = message_states(contributed, config).filter(F.col("best").isNotNull())
     return profiles(merge(states, "proposed_key"), F.col("proposed_key"))

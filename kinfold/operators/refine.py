@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from kinfold import vocabulary as V
 from kinfold.config import Config
+from kinfold.operators.components import components
 from kinfold.operators.fold import complete
 from kinfold.operators.skew import lookup
+from kinfold.session import written
 
 
 def stored_kinds() -> Column:
@@ -32,16 +34,31 @@ def refine(profiles: DataFrame) -> DataFrame:
             .drop("old_types", "old_complete"))
 
 
+def final_targets(mapping: DataFrame, config: Config = Config()) -> DataFrame:
+    """``(source_key, target_key)`` with every chain followed to its end.
+
+    A source named several times goes to its least target. Each source then has one way on, so a chain ends
+    in the one key of its component that is no source; of a circle the least key is the end.
+    """
+    hops = written(mapping.groupBy("source_key").agg(F.min("target_key").alias("target_key")), "hops")
+    labels = written(components(hops.select(F.col("source_key").alias("u"), F.col("target_key").alias("v")), config), "chains")
+    ends = (labels.join(hops.select(F.col("source_key").alias("token")), "token", "left_anti")
+            .select("label", F.col("token").alias("end")))
+    found = lookup(labels, ends, "label", config.hot_key_share)
+    return (found.select(F.col("token").alias("source_key"), F.coalesce("end", "label").alias("target_key"))
+            .filter("source_key <> target_key"))
+
+
 def merge_groups(profiles: DataFrame, mapping: DataFrame, config: Config = Config()) -> DataFrame:
     """Merge groups ``source_key -> target_key``: the target wins, sources fill what it lacks.
 
-    ``mapping`` names each source once. Several sources of one target fill it in key order.
-    Groups whose target does not exist stay as they are. Both inputs are read more than once and
-    should be stored tables.
+    Chains are followed to their end, and a source named several times goes to its least target. Several
+    sources of one target fill it in key order. Groups whose target does not exist stay as they are.
+    Both inputs are read more than once and should be stored tables.
     """
     targets = profiles.select(F.col("grouping_key").alias("target_key"), F.lit(True).alias("exists"))
-    valid = (lookup(mapping.filter("source_key <> target_key"), targets, "target_key", config.hot_key_share)
-             .filter("exists").drop("exists"))
+    valid = final_targets(lookup(mapping.filter("source_key <> target_key"), targets, "target_key", config.hot_key_share)
+                          .filter("exists").drop("exists"), config)
     moved = (profiles.join(valid.withColumnRenamed("source_key", "grouping_key"), "grouping_key", "left")
              .withColumn("is_source", F.col("target_key").isNotNull())
              .withColumn("into", F.coalesce("target_key", "grouping_key")))

@@ -25,7 +25,7 @@ def token_set_states(contributed: DataFrame, config: Config = Config()) -> DataF
 def link_edges(states: DataFrame) -> DataFrame:
     """Star edges from the first token of a set to its others."""
     pairs = states.filter(F.size("tokens") > 1).select(
-        F.get("tokens", F.lit(0)).alias("u"), F.explode(F.slice("tokens", 2, 16)).alias("v"))
+        F.get("tokens", F.lit(0)).alias("u"), F.explode(F.slice("tokens", F.lit(2), F.size("tokens"))).alias("v"))
     return pairs.distinct()
 
 
@@ -55,7 +55,7 @@ def key_mapping(contributed: DataFrame, config: Config = Config()) -> DataFrame:
     """``(proposed_key, grouping_key)``: where each group proposed by some message ended up."""
     states = written(merge(message_states(contributed, config), "tokens", "proposed_key"), "proposed")
     labels = components(link_edges(states), config)
-    rows = written(labelled(states, labels, config).filter(F.col("last_ts").isNotNull())
+    rows = written(labelled(states, labels, config).filter(F.col("best").isNotNull())
                    .select("proposed_key", "label", "best"), "labelled")
     heads = rows.groupBy("label").agg(F.min("best").alias("head"))
     return (lookup(rows.select("proposed_key", "label").distinct(), heads, "label", config.hot_key_share)

@@ -389,8 +389,7 @@ ORACLE["export_skew"] = _profiles(
     f"SELECT grouping_key, updated_us FROM profiles WHERE is_complete AND updated_at >= {_SINCE} - INTERVAL 1 DAY "
     "ORDER BY updated_at, grouping_key LIMIT 100")
 ORACLE["export_gate"] = _profiles(
-    "SELECT count(*) FILTER (is_complete) AS passed, count(*) FILTER (NOT is_complete) AS skipped FROM "
-    "(SELECT * FROM profiles ORDER BY updated_at, grouping_key LIMIT 100000)")
+    "SELECT count(*) FILTER (is_complete) AS passed, count(*) FILTER (NOT is_complete) AS skipped FROM profiles")
 ORACLE["export_checkpoint"] = _profiles(
     "SELECT updated_us AS ts_us, grouping_key AS last_id FROM (SELECT * FROM profiles ORDER BY updated_at, grouping_key "
     "LIMIT 1000) ORDER BY updated_at DESC, grouping_key DESC LIMIT 1")
@@ -481,3 +480,22 @@ ORACLE["stream_landing"] = f"""
 SELECT 'hr.net' AS topic, CAST(event_id % 3 AS INTEGER) AS "partition", count(*) AS n,
   CAST(sum(event_id // 3) AS BIGINT) AS offset_sum FROM events WHERE NOT ({_BAD}) GROUP BY ALL"""
 ORACLE["stream_kind_counts"] = ORACLE["exact_kind_counts"]
+ORACLE["stream_counts_replay"] = ORACLE["exact_kind_counts"]
+ORACLE["stream_profiles_two_sources"] = ORACLE["stream_profiles"]
+ORACLE["stream_landing_replay"] = f"""
+SELECT 'hr.net' AS topic, CAST(event_id % 3 AS INTEGER) AS "partition", CASE WHEN {_BAD} THEN 'dead' ELSE 'landed' END AS state,
+  count(*) AS n, CAST(sum(event_id // 3) AS BIGINT) AS offset_sum, CAST(0 AS BIGINT) AS changed FROM events GROUP BY ALL"""
+ORACLE["publish_late_profiles"] = (
+    "SELECT 'passport::p' || c_custkey AS grouping_key, CAST(c_custkey % 2 AS BIGINT) AS export FROM customer "
+    "WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+ORACLE["typed_repeated_keys"] = (
+    "SELECT 'twice_' || c_custkey AS raw_id, 'B' || c_custkey AS passport, 'Y' || c_custkey AS \"IBAN\", '1' AS salary FROM customer")
+ORACLE["profile_fold_no_timestamp"] = f"""WITH timed AS (
+  SELECT o_custkey, CASE WHEN o_orderkey // 3 % 2 = 1 THEN epoch_us(o_orderdate::TIMESTAMP) END AS us FROM orders)
+SELECT 'passport::p' || o_custkey AS grouping_key, 'bank,location,professional' AS types, min(us) AS created_us, max(us) AS updated_us
+FROM timed GROUP BY o_custkey"""
+ORACLE["merge_groups_chain"] = """WITH kept AS (
+  SELECT c_custkey AS k, least((c_custkey // 3) * 3 + 2, (SELECT max(c_custkey) FROM customer)) AS survivor FROM customer)
+SELECT 'passport::p' || survivor AS grouping_key, 'p' || survivor AS passport,
+  epoch_us(TIMESTAMP '2023-01-01' + to_seconds(survivor)) AS created_us,
+  epoch_us(TIMESTAMP '2023-01-01' + to_seconds(max(k))) AS updated_us FROM kept GROUP BY survivor"""

@@ -12,22 +12,12 @@ from kinfold.operators.blocks import block_of
 from kinfold.operators.classify import score, winner
 from kinfold.operators.derive import contribution_columns
 from kinfold.operators.identifiers import grouping_key, id_columns, identifiers, name_birth_key, tokens
-from kinfold.session import per_context
+from kinfold.session import computed_once, per_context
 
 COORDINATES = ["topic", "partition", "offset", "ts", "raw_id"]
 IDS = [f"id_{name}" for name in V.IDENTIFIERS]
 
 
-def computed_once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
-    """Add columns that later projections use many times.
-
-    A plain projection would be merged into its consumers and evaluated once per use, filters
-    included. A generator over a one-element array is a boundary the optimizer keeps.
-    """
-    made = df.select(*keep, *[c.alias(n) for n, c in columns.items()])
-    return made.select(*keep, F.inline(F.array(F.struct(*columns))))
-
-
 @per_context
 def _stream_columns() -> dict[str, Column]:
     return {"stream": entries(F.col("payload"), F.col("fields"))}

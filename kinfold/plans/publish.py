@@ -11,7 +11,8 @@ from kinfold.functions.fields import is_object, json_of, let
 from kinfold.functions.text import column_name
 from kinfold.operators.fold import complete
 from kinfold.operators.upsert import COALESCE_NEW, newest_per_key, upsert
-from kinfold.session import written
+from kinfold.session import scratch, written
+from kinfold.streaming.store import stored
 
 
 def gate(profiles: DataFrame, required: list[str] = V.KINDS) -> DataFrame:
@@ -27,7 +28,7 @@ def after(since_ts, since_id: str | None, skew_seconds: int = 0,
     """
     if since_ts is None:
         return F.lit(True)
-    start = F.lit(since_ts).cast("timestamp")
+    start = F.lit(since_ts) if isinstance(since_ts, int) else F.lit(since_ts).cast("timestamp")
     if skew_seconds:
         return F.col(ts) >= start - F.make_dt_interval(secs=F.lit(skew_seconds))
     if not since_id:
@@ -112,10 +113,10 @@ def persons(profiles: DataFrame, as_of: Column, composed: bool = False) -> DataF
 def has_content(value: Column) -> Column:
     """A payload with any leaf besides null, ``""``, ``{}`` and ``[]``; numbers and booleans count.
 
-    Read from the compact JSON text: without its keys and empty leaves only punctuation is left.
+    Read from the compact JSON text, string by string: keys, empty strings and nulls go, another string
+    leaves its closing quote. If nothing but punctuation of lists and objects is left, there is no leaf.
     """
-    text = F.regexp_replace(json_of(value), r'"(?:[^"\\]|\\.)*"\s*:', "")
-    leaf = F.regexp_replace(F.regexp_replace(text, '""', ""), "null", "")
+    leaf = F.regexp_replace(json_of(value), r'"(?:[^"\\]|\\.)*"\s*:|""|null|"(?:[^"\\]|\\.)+(")', "$1")
     return F.coalesce(leaf.rlike(r"[^\[\]{},\s]"), F.lit(False))
 
 
@@ -220,34 +221,34 @@ def publish(profiles: DataFrame, root: str, version: int, as_of: Column, previou
             f"{root}/version={version}/{name}")
 
 
-CHECKPOINT = "ts timestamp, last_id string, version int"
+CHECKPOINT = "change long, last_id string, version int"
 
 
 def load_checkpoint(spark: SparkSession, root: str) -> tuple:
-    """``(version, ts, last_id)`` of the newest finished export; version -1 before the first."""
-    try:
-        rows = spark.read.schema(CHECKPOINT).parquet(f"{root}/state")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return -1, None, None
-    last = rows.orderBy(F.desc("version")).first()
-    return last["version"], last["ts"], last["last_id"]
+    """``(version, change, last_id)`` of the newest finished export; version -1 before the first."""
+    last = stored(spark, f"{root}/state", CHECKPOINT).orderBy(F.desc("version")).first()
+    return (-1, None, None) if last is None else (last["version"], last["change"], last["last_id"])
 
 
 def publish_next(profiles: DataFrame, root: str, as_of: Column, config: Config = Config()) -> int | None:
-    """Publish all complete profiles behind the checkpoint, then move it; None when there are none.
+    """Publish all complete profiles that changed behind the checkpoint, then move it; None when there are none.
 
-    Tables first, checkpoint last: a job lost in between publishes the same rows again, which the
-    upsert makes harmless. The whole backlog goes in one batch, since each version rewrites its tables.
+    ``profiles`` has ``version``, a number that grows with every change the profile store makes, so a profile that late
+    messages complete is published as surely as any other. Tables first, checkpoint last: a job
+    lost in between publishes the same rows again, which the upsert makes harmless. The whole backlog goes
+    in one batch, since each version rewrites its tables.
     """
-    version, ts, last_id = load_checkpoint(profiles.sparkSession, root)
-    pending = gate(profiles, config.required_kinds).filter(after(ts, last_id, config.skew_seconds))
-    batch = written(pending, "pending")
-    if batch.isEmpty():
-        return None
-    publish(batch, root, version + 1, as_of, version, config)
-    checkpoint_of(batch).coalesce(1).write.mode("overwrite").parquet(f"{root}/state/version={version + 1}")
+    spark = profiles.sparkSession
+    version, change, last_id = load_checkpoint(spark, root)
+    with scratch(spark):
+        pending = gate(profiles, config.required_kinds).filter(after(change, last_id, ts="version"))
+        batch = written(pending, "pending")
+        if batch.isEmpty():
+            return None
+        publish(batch, root, version + 1, as_of, version, config)
+        last = batch.agg(F.max(F.struct("version", "grouping_key")).alias("last"))
+        (last.select(F.col("last.version").alias("change"), F.col("last.grouping_key").alias("last_id")).coalesce(1)
+         .write.mode("overwrite").parquet(f"{root}/state/version={version + 1}"))
     return version + 1
 
 

@@ -20,7 +20,7 @@ from kinfold.plans import reports as R
 from kinfold.session import configure, scratch_dir, written
 from kinfold.sources import landing as L
 from kinfold.sources import message_view as mv
-from kinfold.sources.envelope import ENVELOPE, dead_letters, decoded, file_stream
+from kinfold.sources.envelope import ENVELOPE, dead_letters, decoded, file_stream, with_fields
 from kinfold.streaming import landing as SL
 from kinfold.streaming.profiles import ProfileStore, profile_query
 
@@ -209,6 +209,14 @@ def grouping_key(spark, sf_dir):
     return E.keyed(mv.messages(spark, sf_dir)).select("raw_id", "proposed_key")
 
 
+@query
+def typed_repeated_keys(spark, sf_dir):
+    """Bank messages whose keys come twice: the last value counts, as for any JSON reader."""
+    twice = F.format_string('{"passport":"A%1$d","IBAN":"x","passport":"B%1$d","salary":"1","IBAN":"Y%1$d"}', "c_custkey")
+    rows = mv.table(spark, sf_dir, "customer").select(F.concat(F.lit("twice_"), "c_custkey").alias("raw_id"), twice.alias("payload"))
+    return typed.typed(with_fields(rows), "bank")
+
+
 # --- derivation -----------------------------------------------------------------
 
 def _derived(spark, sf_dir, kind: str, views: tuple[str, ...], fields: list[str]) -> DataFrame:
@@ -263,6 +271,15 @@ def profile_fold(spark, sf_dir):
     return flat(people(spark, sf_dir))
 
 
+@query
+def profile_fold_no_timestamp(spark, sf_dir):
+    """Bank messages of which half have no time: their profiles exist, with the time of the others, if any."""
+    rows = mv.messages(spark, sf_dir, "bank").withColumn("ts", F.when(F.col("offset") % 2 == 1, F.col("ts")))
+    made = exact_profiles(E.contribute(rows))
+    return made.select("grouping_key", listed("types_received").alias("types"), micros("created_at").alias("created_us"),
+                       micros("updated_at").alias("updated_us"))
+
+
 @query
 def profile_fold_observed(spark, sf_dir):
     config = Config(fold_policy=PREFER_OBSERVED)
@@ -291,6 +308,21 @@ def merge_groups(spark, sf_dir):
     return flat(refine.merge_groups(groups, mapping))
 
 
+@query
+def merge_groups_chain(spark, sf_dir):
+    """Customers' groups merged along chains of three, their sources before the end listed twice."""
+    groups = written(exact_profiles(contributed(spark, sf_dir, "personal")), "groups")
+    key = F.regexp_extract("grouping_key", "passport::p(.*)", 1).cast("long")
+
+    def of(step: Column) -> Column:
+        return F.concat(F.lit("passport::p"), step.cast("string"))
+    hops = groups.filter(key % 3 < 2).select(F.col("grouping_key").alias("source_key"), of(key + 1).alias("target_key"), key.alias("k"))
+    mapping = hops.drop("k").unionByName(hops.filter("k % 3 = 1").drop("k"))
+    return refine.merge_groups(groups, mapping).select(
+        "grouping_key", F.col("identifiers")["passport"].alias("passport"), micros("created_at").alias("created_us"),
+        micros("updated_at").alias("updated_us"))
+
+
 @query
 def refine_profiles(spark, sf_dir):
     kept = people(spark, sf_dir).withColumn("types_received", F.when(
@@ -324,7 +356,7 @@ def export_skew(spark, sf_dir):
 
 @query
 def export_gate(spark, sf_dir):
-    return P.gate_counts(P.export_batch(people(spark, sf_dir), limit=100000, gated=False))
+    return P.gate_counts(people(spark, sf_dir))
 
 
 @query
@@ -526,3 +558,56 @@ def stream_profiles(spark, sf_dir):
     store = ProfileStore(spark, f"{root}/store")
     profile_query(stream, store, f"{root}/checkpoint").awaitTermination()
     return flat(store.profiles())
+
+
+@query
+def stream_landing_replay(spark, sf_dir):
+    """The topic read again under a new checkpoint, with other bodies: what landed first stays, once."""
+    root, records = _root(spark), _broken(spark, sf_dir)
+    again = records.withColumn("value", F.when(F.col("offset") % 50 == 0, F.lit("{still broken").cast("binary")).otherwise(
+        F.when((F.col("offset") % 50).isin(10, 20, 30), F.col("value")).otherwise(F.lit('{"again":true}').cast("binary"))))
+    half = records.filter("offset % 2 = 0")
+    for i, rows in enumerate((half, again.filter("offset % 2 = 0").unionByName(records.filter("offset % 2 = 1")))):
+        SL.landing_query(file_stream(spark, _as_files(spark, rows, 2), 1), root, f"{root}/checkpoint{i}").awaitTermination()
+    counted = [SL.landed(spark, root).select("topic", "partition", "offset", F.lit("landed").alias("state"),
+                                             F.contains("payload", F.lit("again")).cast("long").alias("changed")),
+               SL.dead(spark, root).select("topic", "partition", "offset", F.lit("dead").alias("state"),
+                                           F.contains(F.col("value").cast("string"), F.lit("still")).cast("long").alias("changed"))]
+    return counted[0].unionByName(counted[1]).groupBy("topic", "partition", "state").agg(
+        F.count("*").alias("n"), F.sum("offset").alias("offset_sum"), F.sum("changed").alias("changed"))
+
+
+@query
+def stream_counts_replay(spark, sf_dir):
+    """Counts of a stream started anew replace those of the earlier stream."""
+    records = mv.envelopes(spark, sf_dir).select(*[c.split()[0] for c in ENVELOPE.split(", ")])
+    root = _root(spark)
+    for i, rows in enumerate((records.filter("offset % 2 = 0"), records)):
+        SL.kind_counts_query(file_stream(spark, _as_files(spark, rows, 2), 1), root, f"{root}/checkpoint{i}").awaitTermination()
+    return SL.latest_kind_counts(spark, root)
+
+
+@query
+def stream_profiles_two_sources(spark, sf_dir):
+    """Two streams, each with its own checkpoint, fold into one store."""
+    root = _root(spark)
+    store = ProfileStore(spark, f"{root}/store")
+    for i, views in enumerate((("net", "bank"), ("personal",))):
+        stream = file_stream(spark, _as_files(spark, mv.envelopes(spark, sf_dir, *views), 2), 2)
+        profile_query(stream, store, f"{root}/checkpoint{i}").awaitTermination()
+    return flat(store.profiles())
+
+
+@query
+def publish_late_profiles(spark, sf_dir):
+    """Profiles that messages older than the last export complete are published by the next one, each once."""
+    root, config = _root(spark), Config(required_kinds=["personal", "bank"])
+    store = ProfileStore(spark, f"{root}/store", config)
+    bank = mv.envelopes(spark, sf_dir, "bank")
+    odd = F.get_json_object(F.col("value").cast("string"), "$.passport").rlike("[13579] $")
+    for i, rows in enumerate((mv.envelopes(spark, sf_dir, "personal").unionByName(bank.filter(~odd)), bank.filter(odd))):
+        profile_query(file_stream(spark, _as_files(spark, rows, 1), 1), store, f"{root}/checkpoint{i}").awaitTermination()
+        P.publish_next(store.profiles(), f"{root}/tables", _as_of(), config)
+    people = [spark.read.parquet(f"{root}/tables/version={v}/persons") for v in (0, 1)]
+    first = people[0].select("grouping_key", F.lit(0).cast("long").alias("export"))
+    return people[1].join(first, "grouping_key", "left").select("grouping_key", F.coalesce("export", F.lit(1).cast("long")).alias("export"))

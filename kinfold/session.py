@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Runtime SQL settings the semantics rely on.
 SEMANTIC_CONF = {
@@ -18,6 +20,7 @@ SEMANTIC_CONF = {
 }
 
 _local_scratch: str | None = None
+_open: list[list[str]] = []
 
 
 def per_context(build: Callable) -> Callable:
@@ -45,6 +48,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def computed_once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """Add columns that later projections and filters use many times.
+
+    A plain projection would be merged into its consumers and evaluated once per use, filters
+    included. A generator over a one-element array is a boundary the optimizer keeps.
+    """
+    made = df.select(*keep, *[c.alias(n) for n, c in columns.items()])
+    return made.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the one the cluster names, else (local runs only) our own."""
     global _local_scratch
@@ -66,4 +79,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``written`` wrote inside; results must have been stored elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

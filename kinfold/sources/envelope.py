@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.fields import JSON_OPTIONS, MAP, decode
+from kinfold.session import computed_once
 
 #: Columns of a broker record. ``value`` is the raw body.
 ENVELOPE = "topic string, partition int, offset long, timestamp timestamp, value binary"
@@ -39,8 +40,8 @@ def raw_id() -> Column:
     return F.concat_ws("_", "topic", "partition", "offset")
 
 
-def decoded(envelopes: DataFrame) -> DataFrame:
-    """``topic, partition, offset, ts, raw_id, payload, fields``.
+def decoded(envelopes: DataFrame, *kept: str) -> DataFrame:
+    """``topic, partition, offset, ts, raw_id, payload, fields`` and the columns ``kept``.
 
     ``fields`` is null for bodies that are not one JSON object in valid UTF-8. A timestamp at or
     before the epoch means the broker had none.
@@ -48,8 +49,8 @@ def decoded(envelopes: DataFrame) -> DataFrame:
     ts = F.when(F.unix_micros("timestamp") > 0, F.col("timestamp"))
     body = F.col("value").cast("string")
     text = envelopes.select("topic", "partition", "offset", ts.alias("ts"), raw_id().alias("raw_id"),
-                            F.when(F.is_valid_utf8(body), body).alias("payload"), "value")
-    return text.withColumn("fields", decode(F.col("payload")))
+                            F.when(F.is_valid_utf8(body), body).alias("payload"), "value", *kept)
+    return computed_once(text, text.columns, fields=decode(F.col("payload")))
 
 
 def messages(envelopes: DataFrame) -> DataFrame:
@@ -69,4 +70,4 @@ def strict_fields(payload: Column) -> Column:
 
 def with_fields(landed: DataFrame) -> DataFrame:
     """Landed rows with their payload decoded again."""
-    return landed.withColumn("fields", decode(F.col("payload")))
+    return computed_once(landed, landed.columns, fields=decode(F.col("payload")))

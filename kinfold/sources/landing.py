@@ -15,17 +15,14 @@ def _has_coordinates() -> Column:
 def first_per_coordinate(batch: DataFrame, arrival: str | None = None) -> DataFrame:
     """One row per (topic, partition, offset); the first by ``arrival`` when given.
 
-    Rows without coordinates have no key to collide on and are all kept.
+    Rows without coordinates have no key to collide on: each is a group of its own, and all are kept.
     """
-    keyed = batch.filter(_has_coordinates())
-    loose = batch.filter(~_has_coordinates())
-    if arrival is None:
-        unique = keyed.dropDuplicates(COORDS)
-    else:
-        rest = [c for c in batch.columns if c not in COORDS]
-        first = keyed.groupBy(*COORDS).agg(F.min_by(F.struct(*rest), F.col(arrival)).alias("row"))
-        unique = first.select(*COORDS, "row.*").select(*batch.columns)
-    return unique.unionByName(loose)
+    loose = F.when(~_has_coordinates(), F.monotonically_increasing_id()).alias("loose")
+    rest = [c for c in batch.columns if c not in COORDS]
+    order = F.monotonically_increasing_id() if arrival is None else F.col(arrival)
+    rows = batch.select(*COORDS, loose, F.struct(*rest).alias("row"), order.alias("arrival"))
+    first = rows.groupBy(*COORDS, "loose").agg(F.min_by("row", "arrival").alias("row"))
+    return first.select(*COORDS, "row.*").select(*batch.columns)
 
 
 def new_rows(batch: DataFrame, landed: DataFrame, arrival: str | None = None) -> DataFrame:

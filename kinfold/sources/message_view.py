@@ -105,24 +105,22 @@ SOURCES = {"personal": "customer", "location": "customer", "professional": "supp
            "net": "events", "text": "documents", "chat": "conversations"}
 
 
-def _spread(rows: DataFrame, scans: list[DataFrame]) -> DataFrame:
-    """Spread messages over all cores when a source is one small file that cannot be split.
+def _spread(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """Messages of a view, over all cores where its source is a few small files that cannot be split.
 
-    Parsing costs far more than moving such a file. Sources with a split per core or more, any
-    large table that is, are left as they are.
+    Parsing costs far more than moving such files. A source of as many files as there are cores, any large
+    table that is, is left as it is, whatever other sources it is read with.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if min(scan.rdd.getNumPartitions() for scan in scans) >= cores:
-        return rows
-    return rows.repartition(cores)
+    rows = VIEWS[view](spark, sf_dir)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if len(table(spark, sf_dir, SOURCES[view]).inputFiles()) >= cores else rows.repartition(cores)
 
 
 def landed(spark: SparkSession, sf_dir: str, *views: str) -> DataFrame:
     """Landed rows ``topic, partition, offset, ts, payload, raw_id`` of the named views (default: five kinds)."""
     names = views or tuple(KIND_VIEWS)
-    rows = reduce(DataFrame.unionByName, [VIEWS[v](spark, sf_dir) for v in names])
-    scans = [table(spark, sf_dir, name) for name in {SOURCES[v] for v in names}]
-    return _spread(rows, scans).withColumn("raw_id", raw_id())
+    rows = reduce(DataFrame.unionByName, [_spread(spark, sf_dir, v) for v in names])
+    return rows.withColumn("raw_id", raw_id())
 
 
 def messages(spark: SparkSession, sf_dir: str, *views: str) -> DataFrame:

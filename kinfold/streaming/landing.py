@@ -10,39 +10,50 @@ from pyspark.sql.streaming import StreamingQuery
 from kinfold.operators.typed import exact_kind
 from kinfold.sources.envelope import decoded
 from kinfold.sources.landing import COORDS, new_rows
+from kinfold.streaming.store import folder_number, stored, stream_id
 
 LANDED = ("topic string, partition int, offset long, ts timestamp, raw_id string, payload string, batch long")
+DEAD = "topic string, partition int, offset long, ts timestamp, raw_id string, value binary, batch long"
 
 
 def landed(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(LANDED).parquet(f"{root}/landed")
+    return stored(spark, f"{root}/landed", LANDED)
 
 
-def _earlier(spark: SparkSession, root: str, batch: int, low: int, high: int) -> DataFrame:
-    """Rows of earlier batches within the offset range of this one; file statistics prune the rest."""
-    rows = landed(spark, root) if batch else spark.createDataFrame([], LANDED)
-    return rows.filter((F.col("batch") < batch) & F.col("offset").between(low, high))
+def dead(spark: SparkSession, root: str) -> DataFrame:
+    return stored(spark, f"{root}/dead", DEAD)
 
 
-def land_batch(envelopes: DataFrame, batch: int, root: str) -> None:
-    """Land one micro-batch. Each batch owns its folder, so running it again replaces its own rows only."""
+def land_batch(envelopes: DataFrame, batch: int, root: str, stream: str = "") -> None:
+    """Land one micro-batch of a stream. Each batch owns its folder, so running it again replaces its own rows only.
+
+    Of several bodies at one coordinate the first stays: of those of earlier batches, of whatever stream,
+    then of those of this batch in the order they are read. The same holds for dead letters.
+    """
     spark = envelopes.sparkSession
-    rows = decoded(envelopes).withColumn("good", F.col("fields").isNotNull()).drop("fields")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    number = folder_number(spark, root, stream, batch)
+    rows = decoded(envelopes.withColumn("arrival", F.monotonically_increasing_id()), "arrival")
+    rows = rows.withColumn("good", F.col("fields").isNotNull()).drop("fields").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def add(fresh: DataFrame, earlier: DataFrame, name: str) -> None:
+        """File statistics prune the earlier rows to the offset range of this batch."""
+        known = earlier.filter((F.col("batch") != number) & F.col("offset").between(low, high))
+        new = new_rows(fresh, known, "arrival").drop("arrival")
+        new.sortWithinPartitions(*COORDS).write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
     try:
         spread = rows.agg(F.min("offset").alias("low"), F.max("offset").alias("high")).first()
         low, high = (spread["low"] or 0), (spread["high"] or 0)
-        fresh = new_rows(rows.filter("good").drop("good", "value"), _earlier(spark, root, batch, low, high))
-        fresh.sortWithinPartitions(*COORDS).write.mode("overwrite").parquet(f"{root}/landed/batch={batch}")
-        dead = rows.filter("not good").drop("good", "payload")
-        dead.write.mode("overwrite").parquet(f"{root}/dead/batch={batch}")
+        add(rows.filter("good").drop("good", "value"), landed(spark, root), "landed")
+        add(rows.filter("not good").drop("good", "payload"), dead(spark, root), "dead")
     finally:
         rows.unpersist()
 
 
 def landing_query(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Start landing; ``trigger`` as in ``writeStream.trigger`` (default: all available data, then stop)."""
-    return (stream.writeStream.foreachBatch(lambda df, batch: land_batch(df, batch, root))
+    def land(df: DataFrame, batch: int) -> None:
+        land_batch(df, batch, root, stream_id(df.sparkSession))
+    return (stream.writeStream.foreachBatch(land)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
@@ -57,16 +68,16 @@ def kind_counts(stream: DataFrame) -> DataFrame:
 def kind_counts_query(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep the counts as a small table, rewritten whole per batch (one row per kind)."""
     def save(df: DataFrame, batch: int) -> None:
-        df.coalesce(1).write.mode("overwrite").parquet(f"{root}/kind_counts/batch={batch}")
+        number = folder_number(df.sparkSession, f"{root}/kind_counts", stream_id(df.sparkSession), batch)
+        df.coalesce(1).write.mode("overwrite").parquet(f"{root}/kind_counts/counts/batch={number}")
     return (kind_counts(stream).writeStream.outputMode("complete").foreachBatch(save)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def latest_kind_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Counts as of the newest batch."""
-    rows = spark.read.schema("kind string, n long, batch long").parquet(f"{root}/kind_counts")
-    newest = rows.groupBy("kind").agg(F.max_by("n", "batch").alias("n"))
-    return newest
+    """Counts as of the batch written last, by whatever stream."""
+    rows = stored(spark, f"{root}/kind_counts/counts", "kind string, n long, batch long")
+    return rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar()).select("kind", "n")
 
 
 def bounded_dedupe(stream: DataFrame, delay: str) -> DataFrame:

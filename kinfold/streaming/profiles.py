@@ -1,6 +1,7 @@
 """Incremental profiles: each batch merges into the profiles it touches, and only those.
 
-The store is two append-only tables with one folder per batch. ``states`` holds the new state of
+The store is two append-only tables with one folder per batch, numbered by the store itself, so that any
+number of streams can fold into it one after the other. ``states`` holds the new state of
 every touched profile, and a tombstone for a key that was merged away; ``index`` maps a token to
 the key of its profile. Readers take the newest row per key or token. A batch writes only its own
 folders and reads only earlier ones, so running it again changes nothing.
@@ -18,8 +19,9 @@ from kinfold.operators.fold import SLOTS, merge, profiles
 from kinfold.operators.resolve import labelled, link_edges, token_set_states
 from kinfold.operators.skew import lookup
 from kinfold.plans.extract import contribute
-from kinfold.session import written
+from kinfold.session import scratch, written
 from kinfold.sources.envelope import messages
+from kinfold.streaming.store import folder_number, stored, stream_id
 
 STATE = [*SLOTS, "best", "first_ts", "last_ts"]
 #: Marks a stored profile as a vertex of the link graph; no token starts like this.
@@ -41,6 +43,9 @@ class ProfileStore:
         marks = marks if before is None else marks.filter(F.col("upto") < before)
         return marks.agg(F.max("upto")).first()[0]
 
+    def _exists(self, table: str) -> bool:
+        return not stored(self.spark, f"{self.root}/{table}", "batch int").isEmpty()
+
     def _rows(self, table: str, before: int | None) -> DataFrame:
         """Rows of batches before ``before``; those a compaction holds come from it."""
         rows = self.spark.read.parquet(f"{self.root}/{table}")
@@ -49,7 +54,9 @@ class ProfileStore:
         if upto is None:
             return rows
         base = self.spark.read.parquet(f"{self.root}/{table}_base").filter(F.col("upto") == upto)
-        return rows.filter(F.col("batch") > upto).unionByName(base.withColumnRenamed("upto", "batch"))
+        batch = F.col("changed").cast("int") if "changed" in base.columns else F.col("upto")
+        base = base.withColumn("batch", batch).drop("upto", "changed")
+        return rows.filter(F.col("batch") > upto).unionByName(base)
 
     def compact(self, upto: int) -> None:
         """Write the newest row per key and token of all batches up to ``upto`` to one place.
@@ -58,7 +65,7 @@ class ProfileStore:
         read and can be removed by the storage's own retention.
         """
         live = self._newest_states(self._rows("states", upto + 1)).withColumn("gone", F.lit(False))
-        live.write.mode("overwrite").parquet(f"{self.root}/states_base/upto={upto}")
+        live.withColumnRenamed("version", "changed").write.mode("overwrite").parquet(f"{self.root}/states_base/upto={upto}")
         index = self._rows("index", upto + 1).groupBy("token").agg(F.max_by("key", "batch").alias("key"))
         (index.sortWithinPartitions("token").write.mode("overwrite")
          .parquet(f"{self.root}/index_base/upto={upto}"))
@@ -66,23 +73,31 @@ class ProfileStore:
             f"{self.root}/compacted/upto={upto}")
 
     def _newest_states(self, rows: DataFrame) -> DataFrame:
-        newest = rows.groupBy("key").agg(F.max_by(F.struct(*STATE, "gone"), F.col("batch")).alias("row"))
+        newest = rows.groupBy("key").agg(F.max_by(F.struct(*STATE, "gone", F.col("batch").cast("long").alias("version")),
+                                                  F.col("batch")).alias("row"))
         return newest.select("key", "row.*").filter(~F.col("gone")).drop("gone")
 
     def current(self, before: int | None = None) -> DataFrame:
-        """Live states by key."""
+        """Live states by key, with the version that changed them last."""
         return self._newest_states(self._rows("states", before))
 
     def profiles(self) -> DataFrame:
-        return profiles(self.current(), F.col("key"))
+        return profiles(self.current(), F.col("key"), "version")
+
+    def merge_batch(self, contributed: DataFrame, stream_batch: int, stream: str = "") -> int:
+        """Fold one batch of a stream into the store; the store's number of the batch is the version of its changes."""
+        batch = folder_number(self.spark, self.root, stream, stream_batch)
+        with scratch(self.spark):
+            self._merge(contributed, batch)
+        return batch
 
-    def merge_batch(self, contributed: DataFrame, batch: int) -> None:
+    def _merge(self, contributed: DataFrame, batch: int) -> None:
         fresh = written(token_set_states(contributed, self.config), "batch-states")
         edges = link_edges(fresh)
         tokens = (fresh.select(F.explode("tokens").alias("token"))
                   .filter(~F.col("token").startswith("key=rawid::")).distinct())
-        old = None
-        if batch:
+        old, has_history = None, batch > 0 and self._exists("index")
+        if has_history:
             known = (self._rows("index", batch).join(tokens, "token", "left_semi")
                      .groupBy("token").agg(F.max_by("key", "batch").alias("key")))
             touched = written(known, "touched")
@@ -94,7 +109,7 @@ class ProfileStore:
         rows = labelled(fresh, labels, self.config).withColumn("old_key", F.lit(None).cast("string"))
         if old is not None:
             nodes = old.withColumn("tokens", F.array(F.concat(F.lit(NODE), "key")))
-            rows = rows.unionByName(labelled(nodes.withColumnRenamed("key", "old_key"), labels, self.config))
+            rows = rows.unionByName(labelled(nodes.withColumnRenamed("key", "old_key").drop("version"), labels, self.config))
         rows = written(rows, "labelled")
         heads = written(
             merge(rows, "label").withColumn("key", F.coalesce(F.col("best")["key"], F.concat(F.lit("?"), "label"))),
@@ -110,7 +125,7 @@ class ProfileStore:
         own = (rows.filter("old_key is null").select("label", F.explode("tokens").alias("token"))
                .filter(~F.col("token").startswith("key=rawid::")).distinct())
         index = lookup(own, keys, "label", share).select("token", "key")
-        if batch:
+        if has_history and not moved.isEmpty():
             earlier = self._rows("index", batch).select("token", F.col("key").alias("old_key")).distinct()
             followers = lookup(earlier, moved, "old_key", share).filter("key is not null")
             index = index.unionByName(followers.select("token", "key"))
@@ -121,6 +136,6 @@ class ProfileStore:
 def profile_query(stream: DataFrame, store: ProfileStore, checkpoint: str, **trigger) -> StreamingQuery:
     """Fold a stream of broker records into the store."""
     def fold(df: DataFrame, batch: int) -> None:
-        store.merge_batch(contribute(messages(df), store.config), batch)
+        store.merge_batch(contribute(messages(df), store.config), batch, stream_id(df.sparkSession))
     return (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

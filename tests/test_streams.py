@@ -6,7 +6,7 @@ from kinfold.operators.resolve import resolved_profiles
 from kinfold.plans.extract import contribute
 from kinfold.sources import landing as L
 from kinfold.sources.envelope import file_stream, messages
-from kinfold.streaming.landing import bounded_dedupe, land_batch, landed, landing_query
+from kinfold.streaming.landing import bounded_dedupe, dead, land_batch, landed, landing_query
 from kinfold.streaming.profiles import ProfileStore, profile_query
 
 from helpers import envelopes, profile_rows
@@ -44,6 +44,27 @@ def test_landing_stream_restarts_from_its_checkpoint(spark, tmp_path):
     assert landed(spark, root).groupBy("batch").count().orderBy("batch").collect() == [(0, 5), (1, 3)]
 
 
+def test_a_new_checkpoint_sees_what_is_landed(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    envelopes(spark, [*BODIES[:5], "{broken"]).coalesce(1).write.parquet(f"{source}/1")
+    landing_query(file_stream(spark, f"{source}/*"), root, f"{root}/cp").awaitTermination()
+    changed = [{"changed": i} for i in range(5)] + ["{broken again", *BODIES[6:]]
+    envelopes(spark, changed).coalesce(1).write.parquet(f"{source}/2")
+    landing_query(file_stream(spark, f"{source}/*"), root, f"{root}/cp2").awaitTermination()
+    rows = landed(spark, root).collect()
+    assert len(rows) == len(BODIES) - 1 and not any("changed" in r["payload"] for r in rows)
+    assert [bytes(r["value"]) for r in dead(spark, root).collect()] == [b"{broken"]
+
+
+def test_two_streams_share_a_store(spark, tmp_path):
+    records = envelopes(spark, BODIES)
+    store = ProfileStore(spark, str(tmp_path / "store"))
+    for i, rows in enumerate(("offset >= 4", "offset < 4")):
+        records.filter(rows).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+        profile_query(file_stream(spark, str(tmp_path / f"in{i}")), store, str(tmp_path / f"cp{i}")).awaitTermination()
+    assert profile_rows(store.profiles()) == profile_rows(resolved_profiles(contribute(messages(records))))
+
+
 def test_bounded_dedupe_keeps_one(spark, tmp_path):
     records = envelopes(spark, BODIES)
     records.unionByName(records).coalesce(1).write.parquet(str(tmp_path / "in"))
