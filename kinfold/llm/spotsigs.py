@@ -14,6 +14,8 @@ counted exactly. Equal fingerprints are one set first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +73,10 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def neighbours(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Each row with ``next_<column>`` of the next row by falling ``doc_id``; after the last comes the first.
+def neighbours(docs: DataFrame, make: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
+    """``make(docs)`` with ``next_<column>`` of the next row by falling ``doc_id``; after the last comes the first.
+
+    What finds the blocks reads ids only, and nothing is made for it.
 
     Blocks of ids, cut at ids that quantiles pick, are sorted independently. Into each block goes a copy of
     the rows that follow it, so that no row needs another block. Ties of ids are taken by text; null ids come last.
@@ -85,8 +89,8 @@ def neighbours(docs: DataFrame, carried: list[str]) -> DataFrame:
     cuts = sorted({c for c in cuts if c < top})
     # block b holds the ids above cut b - 1, up to cut b, which some row has
     below = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < place))
-    own = docs.select("doc_id", *carried, below.alias("block"), F.lit(0).alias("copied"))
-    heads = docs.filter(place.isin([*cuts, top])).select(
+    own = make(docs).select("doc_id", *carried, below.alias("block"), F.lit(0).alias("copied"))
+    heads = make(docs.filter(place.isin([*cuts, top]))).select(
         "doc_id", *carried, F.when(place == top, 0).otherwise(below + 1).alias("block"), F.lit(1).alias("copied"))
     order = Window.partitionBy("block").orderBy("copied", place.desc(), F.asc_nulls_first("text"))
     nexts = {f"next_{c}": F.lead(c).over(order) for c in carried}
@@ -101,7 +105,7 @@ def edited(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = neighbours(signatures(texts, "text", "spots", chain), ["text", "spots"])
+    rows = neighbours(texts, lambda df: signatures(df, "text", "spots", chain), ["text", "spots"])
     cut = F.expr("length(text) div 3").cast("int")
     rows = _once(rows, other=F.concat(F.substring("text", F.lit(1), F.length("text") - cut),
                                       F.substring("next_text", F.lit(1), cut)))
