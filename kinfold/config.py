@@ -25,5 +25,3 @@ class Config:
     skew_seconds: int = 0
     #: A join key with more than 1/hot_key_share of all rows is joined apart.
     hot_key_share: int = 256
-    #: Buckets of the incremental token index.
-    index_buckets: int = 64

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold import vocabulary as V
 from kinfold.functions import text as T
-from kinfold.functions.fields import MAP, any_key, is_object, is_truthy, is_useful, json_of, let
+from kinfold.functions.fields import MAP, any_key, is_object, is_truthy, is_useful, let
 
 
 def _canonical_names(kind: str) -> tuple[list[str], Column]:
@@ -67,11 +67,6 @@ def light_block(fields: Column) -> Column:
     return F.map_from_arrays(F.array(F.lit("raw")), F.array(scalar))
 
 
-def has_useful_fields(block: Column) -> Column:
-    """Some value is neither null nor ``""``. For blocks built here this is: the block is not empty."""
-    return F.exists(F.map_values(block), lambda v: ~F.coalesce(json_of(v), F.lit("null")).isin("null", '""'))
-
-
 def text_of(block: Column, name: str) -> Column:
     """Field of a block when it is a string, else null."""
     return let(F.try_element_at(block, F.lit(name)),

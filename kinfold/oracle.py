@@ -326,7 +326,7 @@ SELECT count(*) AS read, CAST(sum({' + '.join(f'has_{k}::INT' for k in V.KINDS)}
 
 # --- fold and resolution ----------------------------------------------------------------
 ORACLE["profile_completeness"] = (
-    f"{base('personal', 'bank')},{fold('proposed_key', 'live')} "
+    f"{base(*ALL)},{fold('proposed_key', 'live')} "
     "SELECT kinds, is_complete, count(*) AS n FROM profiles GROUP BY ALL")
 ORACLE["profile_fold"] = _profiles(f"SELECT {FLAT} FROM profiles")
 ORACLE["profile_fold_observed"] = f"{base()},{fold('proposed_key', 'live', observed=True)} SELECT {FLAT} FROM profiles"
@@ -499,3 +499,18 @@ ORACLE["merge_groups_chain"] = """WITH kept AS (
 SELECT 'passport::p' || survivor AS grouping_key, 'p' || survivor AS passport,
   epoch_us(TIMESTAMP '2023-01-01' + to_seconds(survivor)) AS created_us,
   epoch_us(TIMESTAMP '2023-01-01' + to_seconds(max(k))) AS updated_us FROM kept GROUP BY survivor"""
+for _kind, _columns in (("personal", "fullname, personal_email AS email"), ("location", "address, country_code"), ("net", "domain, ipv4")):
+    ORACLE[f"wide_{_kind}"] = _profiles(f"SELECT grouping_key AS person_id, {_columns} FROM profiles WHERE {_KIND_FLAGS[_kind]}")
+ORACLE["wide_nested"] = (
+    "SELECT 'k' || c_custkey AS person_id, 'c' AS company, CAST(c_custkey AS BIGINT) AS location_a_b_c_d_e, 'x' AS location_f FROM customer")
+ORACLE["wide_upsert"] = _profiles(
+    f"SELECT grouping_key, {', '.join(V.IDENTIFIERS)}, iban, swift FROM profiles")
+ORACLE["consumer_lag_total"] = (
+    f"{_MESSAGES}, ends AS (SELECT topic, part, max(off) + 1 AS e, count(*) FILTER (topic = 'hr.bank') AS c FROM m GROUP BY ALL) "
+    "SELECT topic, CAST(sum(e - c) AS BIGINT) AS lag FROM ends GROUP BY topic")
+ORACLE["first_rows"] = f"{_MESSAGES} SELECT raw_id, epoch_us(ts) AS ts_us FROM m ORDER BY topic, part, off LIMIT 50"
+ORACLE["sample_messages"] = (
+    f"{_ALL_MESSAGES} SELECT kind, raw_id FROM (SELECT *, coalesce({_exact()}, 'unknown') AS kind FROM m) "
+    "QUALIFY row_number() OVER (PARTITION BY kind ORDER BY topic, part, off) <= 2")
+ORACLE["strict_parse"] = (
+    f"{_ALL_MESSAGES} SELECT topic, count(*) AS n, CAST(sum(len(keys)) AS BIGINT) AS fields FROM m GROUP BY ALL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinfold import vocabulary as V
 from kinfold.config import Config
 from kinfold.functions.fields import is_object, json_of, let
-from kinfold.functions.text import column_name
+from kinfold.functions.text import as_timestamp, column_name
 from kinfold.operators.fold import complete
 from kinfold.operators.upsert import COALESCE_NEW, newest_per_key, upsert
 from kinfold.session import scratch, written
@@ -98,8 +98,11 @@ def payload(df: DataFrame, kind: str) -> Column:
 
 
 def _with_times(df: DataFrame, as_of: Column) -> DataFrame:
-    updated = F.coalesce("updated_at", as_of.cast("timestamp"))
-    return df.withColumns({"created_at": F.coalesce("created_at", updated), "updated_at": updated})
+    """Times as timestamps, from ISO text as well; what is missing or no time is filled."""
+    created, updated = (as_timestamp(F.col(c)) if kind == "string" else F.col(c)
+                        for c, kind in ((c, dict(df.dtypes)[c]) for c in ("created_at", "updated_at")))
+    updated = F.coalesce(updated, as_of.cast("timestamp"))
+    return df.withColumns({"created_at": F.coalesce(created, updated), "updated_at": updated})
 
 
 def persons(profiles: DataFrame, as_of: Column, composed: bool = False) -> DataFrame:
@@ -136,8 +139,20 @@ def _item_text(item: Column) -> Column:
             .when(kind == "BOOLEAN", F.initcap(item.cast("string"))).otherwise(json_of(item)))
 
 
+def nesting(df: DataFrame, block: Column) -> int:
+    """Levels of objects within the blocks of ``df``, their own included: one aggregate over their brackets."""
+    braces = F.regexp_replace(F.regexp_replace(F.to_json(block), r'"(?:[^"\\]|\\.)*"', ""), "[^{}]", "")
+    steps = F.aggregate(F.split(braces, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, c: F.struct(
+        (s["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"),
+        F.greatest(s["most"], s["now"] + F.when(c == "{", 1).otherwise(0)).alias("most")))
+    return df.agg(F.max(steps["most"])).first()[0] or 1
+
+
 def flat_pairs(block: Column, parent: Column | None = None, depth: int = 3) -> Column:
-    """``array<struct<name, value>>`` of a nested block: keys joined and cleaned, lists as text, nulls dropped."""
+    """``array<struct<name, value>>`` of a nested block: keys joined and cleaned, lists as text, nulls dropped.
+
+    ``depth`` is how many levels of objects lie within the block's values; ``nesting`` tells it from the data.
+    """
     def pair(e: Column) -> Column:
         raw = e["key"] if parent is None else F.concat(parent, F.lit("__"), e["key"])
 
@@ -159,10 +174,12 @@ def wide_children(profiles: DataFrame, kind: str) -> DataFrame:
     Only the list of column names and types comes to the driver; it is the table's schema. The
     flattened rows are written before it is read, so profiles are folded once.
     """
-    df = profiles.filter(F.size(payload(profiles, kind)) > 0).select(
-        publish_key(profiles).alias("grouping_key"), "created_at", "updated_at",
-        flat_pairs(payload(profiles, kind)).alias("pairs"))
-    df = written(df, f"wide-{kind}")
+    blocks = written(profiles.filter(F.size(payload(profiles, kind)) > 0).select(
+        publish_key(profiles).alias("grouping_key"), "created_at", "updated_at", payload(profiles, kind).alias("block")),
+        f"blocks-{kind}")
+    depth = nesting(blocks, F.col("block")) - 1
+    df = written(blocks.select("grouping_key", "created_at", "updated_at", flat_pairs(F.col("block"), depth=depth).alias(
+        "pairs")), f"wide-{kind}")
     names = (df.select(F.inline("pairs")).groupBy("name")
              .agg(F.schema_of_variant_agg("value").alias("type")).orderBy("name").collect())
 
@@ -252,6 +269,20 @@ def publish_next(profiles: DataFrame, root: str, as_of: Column, config: Config =
     return version + 1
 
 
+def publish_wide(profiles: DataFrame, root: str, version: int, as_of: Column, previous: int | None = None,
+                 config: Config = Config()) -> None:
+    """Write version ``version`` of the person table, never blanking what is stored, and of all wide child tables."""
+    spark = profiles.sparkSession
+    with scratch(spark):
+        ready = written(_with_times(gate(profiles, config.required_kinds), as_of), "export")
+        tables = {"persons": newest_per_key(persons(ready, as_of, composed=True), "grouping_key", ["updated_at"])}
+        tables |= {name: wide_children(ready, kind) for kind, name in V.CHILD_TABLES.items()}
+        for name, rows in tables.items():
+            old = _stored(spark, f"{root}/version={previous}/{name}", rows)
+            merge = upsert_persons_keep if name == "persons" else upsert_children_wide
+            merge(old, rows).write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
+
+
 def upsert_children_wide(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Wide rows replaced by person; columns new to the table are added; the first creation time stays."""
     return upsert(stored, rows, "person_id")

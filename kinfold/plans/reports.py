@@ -95,6 +95,11 @@ def consumer_lag(offsets: DataFrame, committed: DataFrame) -> DataFrame:
             .withColumn("lag", F.col("end_offset") - F.col("committed")))
 
 
+def total_lag(lag: DataFrame) -> DataFrame:
+    """Lag per topic, summed over its partitions."""
+    return lag.groupBy("topic").agg(F.sum("lag").alias("lag"))
+
+
 def stage_reconciliation(published: DataFrame, landed: DataFrame) -> DataFrame:
     """Rows per topic partition in both stages, and whether they agree."""
     sides = (published.select("topic", "partition", F.lit(1).alias("p"), F.lit(0).alias("l"))

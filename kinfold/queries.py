@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinfold import vocabulary as V
 from kinfold.config import PREFER_OBSERVED, Config
 from kinfold.functions import text as T
+from kinfold.functions.fields import decode
 from kinfold.operators import derive, refine, resolve, typed, upsert
 from kinfold.operators.blocks import light_block
 from kinfold.operators.fold import exact_profiles
@@ -20,7 +21,7 @@ from kinfold.plans import reports as R
 from kinfold.session import configure, scratch_dir, written
 from kinfold.sources import landing as L
 from kinfold.sources import message_view as mv
-from kinfold.sources.envelope import ENVELOPE, dead_letters, decoded, file_stream, with_fields
+from kinfold.sources.envelope import ENVELOPE, dead_letters, decoded, file_stream, strict_fields, with_fields
 from kinfold.streaming import landing as SL
 from kinfold.streaming.profiles import ProfileStore, profile_query
 
@@ -261,7 +262,7 @@ def batch_metrics(spark, sf_dir):
 @query
 def profile_completeness(spark, sf_dir):
     """Flagship: messages to profiles to their distribution by number of kinds."""
-    rows = exact_profiles(contributed(spark, sf_dir, "personal", "bank"))
+    rows = exact_profiles(contributed(spark, sf_dir, *mv.VIEWS))
     return rows.groupBy(F.size("types_received").cast("long").alias("kinds"), "is_complete").agg(
         F.count("*").alias("n"))
 
@@ -393,9 +394,36 @@ def _register_wide(kind: str, columns: list[str]) -> None:
 
 
 _register_wide("bank", ["iban", "swift"])
+_register_wide("personal", ["fullname", "email"])
+_register_wide("location", ["address", "country_code"])
+_register_wide("net", ["domain", "ipv4"])
 _register_wide("professional", ["company", "inferred", "salary"])
 
 
+@query
+def wide_nested(spark, sf_dir):
+    """A block of six levels: every leaf has a column of its own."""
+    deep = F.format_string('{"company":"c","location":{"a":{"b":{"c":{"d":{"e":%d}}}},"f":"x"}}', "c_custkey")
+    rows = mv.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("k"), "c_custkey").alias("grouping_key"), F.lit(None).cast("timestamp").alias("created_at"),
+        F.lit(None).cast("timestamp").alias("updated_at"), decode(deep).alias("professional"))
+    wide = P.wide_children(rows, "professional")
+    return wide.select("person_id", "company", "location_a_b_c_d_e", "location_f")
+
+
+@query
+def wide_upsert(spark, sf_dir):
+    """Two versions of the wide tables: the second adds and replaces, and rows only in the first stay."""
+    root, config = _root(spark), Config(required_kinds=[])
+    made = written(people(spark, sf_dir), "people")
+    half = F.length("grouping_key") % 2 == 0
+    P.publish_wide(made.filter(half), root, 0, _as_of(), config=config)
+    P.publish_wide(made.filter(~half), root, 1, _as_of(), previous=0, config=config)
+    persons = spark.read.parquet(f"{root}/version=1/persons").select("grouping_key", *V.IDENTIFIERS)
+    bank = spark.read.parquet(f"{root}/version=1/{V.CHILD_TABLES['bank']}")
+    return persons.join(bank.select(F.col("person_id").alias("grouping_key"), "iban", "swift"), "grouping_key", "left")
+
+
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stored and incoming person rows made from customers; they overlap in the middle."""
     base = mv.table(spark, sf_dir, "customer").selectExpr(
@@ -484,6 +512,33 @@ def consumer_lag(spark, sf_dir):
     return R.consumer_lag(offsets, done)
 
 
+@query
+def consumer_lag_total(spark, sf_dir):
+    offsets = R.end_offsets(mv.landed(spark, sf_dir))
+    done = mv.landed(spark, sf_dir, "bank").groupBy("topic", "partition").agg(F.count("*").alias("committed"))
+    return R.total_lag(R.consumer_lag(offsets, done))
+
+
+@query
+def first_rows(spark, sf_dir):
+    return L.first_rows(mv.landed(spark, sf_dir), 50).select("raw_id", micros("ts").alias("ts_us"))
+
+
+@query
+def sample_messages(spark, sf_dir):
+    """Two messages of each exact kind."""
+    rows = mv.messages(spark, sf_dir, *mv.VIEWS).select(
+        F.coalesce(typed.exact_kind(F.col("fields")), F.lit("unknown")).alias("kind"), "raw_id", *L.COORDS)
+    return L.per_key_sample(rows, ["kind"], L.COORDS, 2).select("kind", "raw_id")
+
+
+@query
+def strict_parse(spark, sf_dir):
+    """Every message parsed by the reader that stops at the first bad body."""
+    rows = mv.landed(spark, sf_dir, *mv.VIEWS).select("topic", F.size(strict_fields(F.col("payload"))).alias("n"))
+    return rows.groupBy("topic").agg(F.count("*").alias("n"), F.sum("n").cast("long").alias("fields"))
+
+
 @query
 def stage_reconciliation(spark, sf_dir):
     rows = mv.landed(spark, sf_dir)

@@ -77,6 +77,11 @@ def latest(landed: DataFrame, n: int) -> DataFrame:
     return landed.orderBy(*[F.desc(c) for c in ("ts", *COORDS)]).limit(n)
 
 
+def first_rows(landed: DataFrame, n: int) -> DataFrame:
+    """Oldest rows by broker coordinates: a top-k, no full sort."""
+    return landed.orderBy(*COORDS).limit(n)
+
+
 def per_key_sample(rows: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
     """First ``n`` rows of each key.
 
