@@ -2,8 +2,8 @@
 
 Labellers look at one trait of a text each and vote to reject it, to keep it, or not at all. They overlap and
 err. Expectation-maximisation over how often each pattern of votes occurs, at most 3 ** labellers numbers however
-large the corpus, estimates how often each labeller votes what for good and for bad texts, and with that the
-probability that a text of a pattern is bad. These posteriors are the labels of a logistic scorer over hashed
+large the corpus, estimates how often each labeller is right when it votes, and with that the probability that a text of
+a pattern is bad. These posteriors are the labels of a logistic scorer over hashed
 traits, words and word beginnings, which L1 regularisation keeps sparse; the scorer alone decides.
 
 Votes and patterns cover all documents. Two steps look at bounded samples, chosen by a hash of ``doc_id``: the
@@ -36,7 +36,7 @@ ABUSE = ("clown disgusting idiot idiots loser losers moron morons pathetic scum
          "bastard bitch crap cunt dickhead dumbass fag fuck fucking nigger retard shit slut whore").split()
 #: Traits of a text with the values above which they are rejected; each is a share.
 TRAITS = {"symbols": 0.05, "capitals": 0.4, "bars": 0.08, "repeats": 0.2, "sameness": 0.7, "exclamations": 0.3}
-LABELLERS = [*TRAITS, "abuse", "cues", "label"]
+LABELLERS = [*TRAITS, "abuse", "cues", "plain", "label"]
 #: Steps that turn a trait into binary features.
 _STEPS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 
@@ -113,14 +113,21 @@ def _hash_of(words: list[str]) -> np.ndarray:
 
 
 def votes(found: Features, rows: int, cues: np.ndarray) -> np.ndarray:
-    """``(rows, labellers)`` of 1 to reject, -1 to keep, 0 for no vote; the label's own is left at 0."""
+    """``(rows, labellers)`` of 1 to reject, -1 to keep, 0 for no vote.
+
+    Traits and words can only speak against a text; the plain labeller keeps one in which all of them are far from
+    doing so. The label's own vote is left at 0.
+    """
     out = np.zeros((rows, len(LABELLERS)), np.int8)
+    plain = np.ones(rows, bool)
     for j, (trait, above) in enumerate(TRAITS.items()):
-        out[:, j] = np.where(found.traits[trait] > above, 1, np.where(found.traits[trait] < above / 4, -1, 0))
+        out[:, j] = found.traits[trait] > above
+        plain &= found.traits[trait] <= above / 2
     for j, known in ((len(TRAITS), np.sort(_hash_of(ABUSE))), (len(TRAITS) + 1, cues)):
-        hits = np.isin(found.feature, known) if len(known) else np.zeros(len(found.feature), bool)
         if len(known):
-            out[:, j] = np.where(np.bincount(found.row[hits], minlength=rows) > 0, 1, -1)
+            out[:, j] = np.bincount(found.row[np.isin(found.feature, known)], minlength=rows) > 0
+            plain &= out[:, j] == 0
+    out[:, LABELLERS.index("plain")] = np.where(plain, -1, 0)
     return out
 
 
@@ -138,29 +145,30 @@ def hashed(found: Features, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """``(bad, tables)``: each pattern's probability of being bad, and ``tables[y, labeller, vote + 1]``.
+    """``(bad, accuracy)``: each pattern's probability of being bad, and how often each labeller is right if it votes.
 
-    Votes are taken as independent given the class. Counts are smoothed by a prior of a few texts that votes rightly.
+    Votes are taken as independent given the class, and whether a labeller votes as saying nothing. The accuracies
+    start from, and are smoothed by, a prior of ten votes of which eight are right.
     """
-    bad = np.where((patterns == 1).any(axis=1), 0.9, 0.05)
-    prior = np.array([[[2.0, 1.0, 0.1]], [[0.5, 1.0, 1.0]]])
-    tables = np.zeros((2, patterns.shape[1], 3))
+    accuracy, base = np.full(patterns.shape[1], 0.8), 0.3
+    bad = np.zeros(len(patterns))
     for _ in range(rounds):
-        for y, share in enumerate((1 - bad, bad)):
-            weight = share * counts
-            for v in (-1, 0, 1):
-                tables[y, :, v + 1] = (weight[:, None] * (patterns == v)).sum(axis=0)
-        tables += prior
-        tables /= tables.sum(axis=2, keepdims=True)
-        base = ((bad * counts).sum() + 1) / (counts.sum() + 2)
-        logs = np.array([np.log(tables[y][np.arange(patterns.shape[1]), patterns + 1]).sum(axis=1) for y in (0, 1)])
-        bad = 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log((1 - base) / base), -500, 500)))
-    return bad, tables
-
-
-def fitted(rows: list[np.ndarray], target: np.ndarray, epochs: int = 4, rate: float = 0.3, l1: float = 1.0,
+        odds = patterns @ np.log(accuracy / (1 - accuracy)) + np.log(base / (1 - base))
+        bad = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        right = np.where(patterns > 0, bad[:, None], 1 - bad[:, None])
+        voted = (patterns != 0) * counts[:, None]
+        accuracy = np.clip(((right * voted).sum(axis=0) + 8) / (voted.sum(axis=0) + 10), 0.01, 0.999)
+        base = ((bad * counts).sum() + 1) / (counts.sum() + 3)
+    return bad, accuracy
+
+
+def fitted(rows: list[np.ndarray], target: np.ndarray, steps: int = 60_000, rate: float = 0.3, l1: float = 1.0,
            l2: float = 1.0) -> tuple[np.ndarray, float]:
-    """``(weights, bias)`` of a logistic scorer over binary features, by follow-the-regularised-leader."""
+    """``(weights, bias)`` of a logistic scorer over binary features, by follow-the-regularised-leader.
+
+    It goes over the rows four times at least, and so often that it takes ``steps`` steps.
+    """
+    epochs = max(4, -(-steps // max(1, len(rows))))
     size = (1 << BITS) + len(TRAITS) * len(_STEPS)
     z, n, weights = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     pick = np.random.default_rng(7)
@@ -180,7 +188,7 @@ def fitted(rows: list[np.ndarray], target: np.ndarray, epochs: int = 4, rate: fl
 class Model:
     weights: np.ndarray
     bias: float
-    tables: np.ndarray
+    accuracy: np.ndarray
 
 
 def _sample(ids: DataFrame, most: int) -> DataFrame:
@@ -229,7 +237,7 @@ def learned(docs: DataFrame, labels: DataFrame | None, labelled: int = LABELLED,
     patterns = (map_batches(texts, voted, "doc_id long, pattern string").join(label_of, "doc_id", "left")
                 .groupBy(F.concat("pattern", mark).alias("pattern")).agg(F.count("*").alias("n")).collect())
     table = np.array([[int(v) - 1 for v in r["pattern"]] for r in patterns], np.int8).reshape(-1, len(LABELLERS))
-    bad, tables = posteriors(table, np.array([r["n"] for r in patterns], float))
+    bad, accuracy = posteriors(table, np.array([r["n"] for r in patterns], float))
     bad_of = {r["pattern"]: b for r, b in zip(patterns, bad.tolist())}
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -251,7 +259,7 @@ def learned(docs: DataFrame, labels: DataFrame | None, labelled: int = LABELLED,
     order = np.array(sorted(order.tolist(), key=lambda i: (rows_bad[i], len(buckets[i]), buckets[i].tobytes()))) \
         if len(rows_bad := rows.column("bad").to_numpy()) else order
     weights, bias = fitted([buckets[i] for i in order], rows_bad[order])
-    return Model(weights, bias, tables)
+    return Model(weights, bias, accuracy)
 
 
 def scored(docs: DataFrame, labels: DataFrame | None = None, labelled: int = LABELLED, fit_on: int = FITTED) -> DataFrame:
