@@ -147,18 +147,17 @@ def hashed(found: Features, rows: int) -> tuple[np.ndarray, np.ndarray]:
 def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """``(bad, accuracy)``: each pattern's probability of being bad, and how often each labeller is right if it votes.
 
-    Votes are taken as independent given the class, and whether a labeller votes as saying nothing. The accuracies
-    start from, and are smoothed by, a prior of ten votes of which eight are right.
+    Votes are taken as independent given the class, and whether a labeller votes as saying nothing. Classes are
+    taken as equally likely: with labellers that only ever vote one way, their shares and the accuracies could not both be
+    told from votes. Accuracies start from, and are smoothed by, a prior of twenty votes of which eighteen are right.
     """
-    accuracy, base = np.full(patterns.shape[1], 0.8), 0.3
+    accuracy = np.full(patterns.shape[1], 0.9)
     bad = np.zeros(len(patterns))
     for _ in range(rounds):
-        odds = patterns @ np.log(accuracy / (1 - accuracy)) + np.log(base / (1 - base))
-        bad = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        bad = 1 / (1 + np.exp(-np.clip(patterns @ np.log(accuracy / (1 - accuracy)), -500, 500)))
         right = np.where(patterns > 0, bad[:, None], 1 - bad[:, None])
         voted = (patterns != 0) * counts[:, None]
-        accuracy = np.clip(((right * voted).sum(axis=0) + 8) / (voted.sum(axis=0) + 10), 0.01, 0.999)
-        base = ((bad * counts).sum() + 1) / (counts.sum() + 3)
+        accuracy = np.clip(((right * voted).sum(axis=0) + 18) / (voted.sum(axis=0) + 20), 0.01, 0.999)
     return bad, accuracy
 
 
@@ -248,17 +247,18 @@ def learned(docs: DataFrame, labels: DataFrame | None, labelled: int = LABELLED,
                 made[:, -1] = batch.column("mark").slice(lo, hi - lo).cast(pa.int8()).to_numpy(False)
                 row, bucket = hashed(found, hi - lo)
                 cuts = np.searchsorted(row, np.arange(1, hi - lo))
-                yield {"bad": [bad_of["".join(map(str, v))] for v in made.tolist()],
-                       "buckets": np.split(bucket.astype(np.int32), cuts)}
+                split = np.split(bucket.astype(np.int32), cuts)
+                voted = np.flatnonzero((made != 1).any(axis=1)).tolist()  # a text without a vote teaches nothing
+                yield {"bad": [bad_of["".join(map(str, made[i].tolist()))] for i in voted],
+                       "buckets": [split[i] for i in voted]}
     chosen = _sample(texts.filter("doc_id is not null"), fit_on).join(label_of, "doc_id", "left").select(
         "doc_id", mark.alias("mark"))
     rows = map_batches(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "mark"), sampled,
                        "bad double, buckets array<int>").toArrow()
-    order = np.argsort(rows.column("bad").to_numpy(), kind="stable")  # the same fit however the rows arrive
-    buckets = rows.column("buckets").to_numpy()
-    order = np.array(sorted(order.tolist(), key=lambda i: (rows_bad[i], len(buckets[i]), buckets[i].tobytes()))) \
-        if len(rows_bad := rows.column("bad").to_numpy()) else order
-    weights, bias = fitted([buckets[i] for i in order], rows_bad[order])
+    buckets, target = rows.column("buckets").to_numpy(), rows.column("bad").to_numpy()
+    # the same fit however the rows arrive
+    order = sorted(range(len(target)), key=lambda i: (target[i], len(buckets[i]), buckets[i].tobytes()))
+    weights, bias = fitted([buckets[i] for i in order], target[order])
     return Model(weights, bias, accuracy)
 
 
