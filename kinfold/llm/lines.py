@@ -49,13 +49,14 @@ def keyed(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(key, n_docs, last_doc)``: one row for each key of an Arrow batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found: dict[bytes, set] = defaultdict(set)
+            count: dict[bytes, int] = defaultdict(int)
+            last: dict[bytes, int] = {}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                for line in text.split(b"\n"):
-                    if doc_id is not None and (key := line_key(line, min_chars)) is not None:
-                        found[key].add(doc_id)
-            yield {"key": list(found), "n_docs": [len(x) for x in found.values()],
-                   "last_doc": [max(x) for x in found.values()]}
+                if doc_id is not None:
+                    for key in {line_key(line, min_chars) for line in text.split(b"\n")} - {None}:
+                        count[key] += 1
+                        last[key] = max(doc_id, last.get(key, doc_id))
+            yield {"key": list(count), "n_docs": list(count.values()), "last_doc": [last[key] for key in count]}
     return map_batches(id_text(docs), run, _RUN)
 
 
@@ -134,7 +135,7 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
 
     A key of at least ``min_chars`` code points found in at least ``min_docs`` documents loses its lines in
     all documents but the one with the largest id. Null and empty texts are one empty line and become empty
-    texts. Rows that repeat a ``doc_id`` count as one document and each give a row; rows without an id keep all their
+    texts. Each row counts as a document, also where ids repeat; rows without an id do not count and keep all their
     lines. Columns of ``docs`` named as the new ones are replaced.
     """
     runs = LineRuns(docs.sparkSession, fan_in, min_chars)

@@ -96,11 +96,11 @@ def line_key(line):
 
 
 def without_lines(rows, min_docs=3, min_chars=20):
-    held = defaultdict(set)
+    held = defaultdict(list)
     for d, t in rows:
-        for line in (t or "").split("\n"):
-            if d is not None and len(line_key(line)) >= min_chars:
-                held[line_key(line)].add(d)
+        for key in {line_key(line) for line in (t or "").split("\n")}:
+            if d is not None and len(key) >= min_chars:
+                held[key].append(d)
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")
