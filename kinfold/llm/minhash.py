@@ -8,10 +8,11 @@ dart of least rank. That costs O(shingles + k log k), and two documents agree on
 probability of their weighted Jaccard similarity. Documents with an empty coordinate look twice as far.
 
 Coordinates are cut into bands; documents with an equal band meet in a bucket. Equal texts are one document
-first. In a bucket each document is compared with a hub, links are verified on the texts, and linked documents
-become one class before the next round, with eight times as many hubs, compares what is still apart. So a bucket of
-thousands of near copies costs a row for each copy, and only documents of different classes are ever paired.
-It ends when no bucket holds two classes that have not been compared: no candidate is dropped.
+first. Two rounds compare each document with the least hub, the first of a bucket, that it meets, verify links on the
+texts, and join linked documents to classes, so that a bucket of thousands of near copies costs a row for each copy.
+Of what is still in buckets with several classes, shingles that only one document has are counted: they bound
+every similarity exactly, and documents too different from all others go. The rest meets hub by hub, eight times as
+many each round, until no bucket holds two classes that have not been compared. No candidate is dropped.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from kinfold.session import written
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
-#: Times as many hubs in each further round.
-MORE_HUBS = 8
-#: Pairs whose signatures agree on fewer coordinates than this below the similarity are not read: at 0.15 below,
-#: one link in more than a hundred million is missed.
-SLACK = 0.15
+#: First rounds that only join what is plainly alike, and times as many hubs in each round after these.
+GROUPING, MORE_HUBS = 2, 8
+#: Pairs whose signatures agree on fewer coordinates than this below the similarity are not read. It is 4.6 standard
+#: deviations of the estimate: of links just at the similarity two in a million are missed, fewer than by the bands.
+SLACK = 0.12
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1.0, 14.0)]))
 
 
@@ -187,6 +188,24 @@ def connected(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("v"), F.col("v").alias("label"))
 
 
+def own_shingles(texts: DataFrame, length: int, counts: bool) -> DataFrame:
+    """``(doc_id, own)``: the weight of each document's shingles that no other document of ``texts`` has.
+
+    A part of the rows reports a shingle that several of its documents have once, without any of them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            doc = batch.column("doc_id").to_numpy(False)
+            for lo, hi, data, offsets in pieces(batch):
+                element, row, weight = shingles(data, offsets, length)
+                key, first, n = np.unique(element, return_index=True, return_counts=True)
+                held = pa.array(doc[lo:hi][row[first]], mask=n > 1)
+                yield {"key": signed(key), "doc_id": held, "weight": weight[first] if counts else np.ones_like(n)}
+    rows = map_batches(texts, run, "key long, doc_id long, weight long")
+    single = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id"), F.max("weight").alias("weight"))
+    return single.filter("n = 1 and doc_id is not null").groupBy("doc_id").agg(F.sum("weight").alias("own"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHINGLE, bands: int = BANDS,
             rows: int = ROWS, counts: bool = False) -> DataFrame:
     """``(doc_id, class_id)`` of every row: the least id linked to it, directly or not, by near copies.
@@ -199,35 +218,59 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHING
     made = written(sketches(docs, bands, rows, length, counts), "sketches")
     texts = written(made.filter("doc_id is not null").groupBy("text_key").agg(
         F.min_by(F.struct("doc_id", "size", "bands", "bytes"), "doc_id").alias("x")).select("text_key", "x.*"), "texts")
-    sketch = texts.select("doc_id", "bytes")
-    whole = id_text(docs)
-    apart = texts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("v"), "size", F.col("doc_id").alias("label"))
-    labels, links, hubs = None, None, 1
-    while True:
-        several = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        held = written(apart.join(several.select("key"), "key"), "held")
-        slot = F.pmod(F.xxhash64("v", F.lit(hubs)), F.lit(hubs)).alias("slot")
-        hub = written(held.groupBy("key", slot).agg(F.min(F.struct("v", "label", "size")).alias("hub")).select("key", "hub"), "hubs")
-        if hub.isEmpty():
-            break
-        met = held.join(hub, "key").filter("label <> hub.label").filter(
-            F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size"))
-        pairs = met.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
+    sketch, whole = texts.select("doc_id", "bytes"), id_text(docs)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``(a, b)`` that are links: by signature first, then by their texts."""
         close = written(agreeing(
             pairs.join(sketch.withColumnsRenamed({"doc_id": "a", "bytes": "a_bytes"}), "a")
             .join(sketch.withColumnsRenamed({"doc_id": "b", "bytes": "b_bytes"}), "b"), similarity - SLACK), "close")
-        wanted = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        named = written(whole.join(wanted, "doc_id"), "named")
-        found = written(similar(
+        named = written(whole.join(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "doc_id"), "named")
+        return written(similar(
             close.join(named.withColumnsRenamed({"doc_id": "a", "text": "a_text"}), "a")
             .join(named.withColumnsRenamed({"doc_id": "b", "text": "b_text"}), "b"), length, counts, similarity), "links")
-        # hubs have met every document of their buckets and need not meet any again
-        apart = held.join(hub.select("key", F.col("hub.v").alias("v")), ["key", "v"], "left_anti")
+
+    def still_apart(members: DataFrame) -> DataFrame:
+        """The members of buckets that hold two classes."""
+        several = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        return written(members.join(several.select("key"), "key"), "apart")
+
+    def relabelled(members: DataFrame) -> DataFrame:
+        return members.drop("label").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+
+    apart = still_apart(texts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("v"), "size",
+                                     F.lit(0).cast("long").alias("own"), F.col("doc_id").alias("label")))
+    labels, links, hubs, grouped = None, None, 1, 0
+    while not apart.isEmpty():
+        slot = F.pmod(F.xxhash64("v", F.lit(hubs)), F.lit(hubs)).alias("slot")
+        hub = written(apart.groupBy("key", slot).agg(F.min(F.struct("v", "label", "size", "own")).alias("hub")).select(
+            "key", "hub"), "hubs")
+        # the most two sets can share is what neither has alone, and the least they differ by is what each has alone
+        shared = F.least(F.col("size") - F.col("own"), F.col("hub.size") - F.col("hub.own"))
+        met = apart.join(hub, "key").filter("label <> hub.label").filter(
+            (F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size"))
+            & (shared * (1 - similarity) >= (F.col("own") + F.col("hub.own")) * similarity - 1e-6))
+        if grouped < GROUPING:  # each document with the least hub it meets, to join what is plainly alike
+            pairs = met.groupBy("v").agg(F.min("hub.v").alias("h")).select(F.least("v", "h").alias("a"), F.greatest("v", "h").alias("b")).distinct()
+        else:
+            pairs = met.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
+            # these hubs have met every document of their buckets and need not meet any again
+            apart = apart.join(hub.select("key", F.col("hub.v").alias("v")), ["key", "v"], "left_anti")
+            hubs *= MORE_HUBS
+        found = verified(pairs)
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            apart = apart.drop("label").join(labels, "v", "left").select("key", "v", "size", F.coalesce("label", "v").alias("label"))
-        hubs *= MORE_HUBS
+            apart = relabelled(apart)
+        apart = still_apart(apart)
+        grouped += 1
+        if grouped == GROUPING:
+            # an id that stands for several texts has no bound of its own
+            one_text = texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
+            own = own_shingles(whole.join(apart.select(F.col("v").alias("doc_id")).distinct(), "doc_id"), length, counts)
+            own = written(own.join(one_text, "doc_id"), "own")
+            apart = apart.drop("own").join(own.withColumnRenamed("doc_id", "v"), "v", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            apart = still_apart(apart.filter(F.col("own") <= (1 - similarity) * F.col("size") + 1e-6))
     of_text = texts.select("text_key", F.col("doc_id").alias("v"))
     if labels is not None:
         of_text = of_text.join(labels, "v", "left").select("text_key", F.coalesce("label", "v").alias("v"))
