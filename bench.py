@@ -12,7 +12,7 @@ from kinfold.queries import QUERIES
 
 HEADLINES = ["landing_dedupe", "exact_kind_counts", "grouping_key", "scored_kind_counts", "contributions",
              "profile_completeness", "profile_fold", "resolve_components", "child_rows", "upsert_replace",
-             "kind_frequency", "field_frequency", "stream_landing", "stream_kind_counts"]
+             "kind_frequency", "field_frequency", "stream_landing", "stream_kind_counts", "stream_profiles", "publish_late_profiles"]
 
 
 def main() -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinfold.config import PREFER_OBSERVED, Config
 from kinfold.operators.components import components
 from kinfold.operators.fold import exact_profiles
-from kinfold.operators.refine import merge_groups, refine
+from kinfold.operators.refine import final_targets, merge_groups, refine
 from kinfold.operators.resolve import key_mapping, merges, resolved_profiles
 from kinfold.operators.skew import lookup
 from kinfold.operators.upsert import upsert
@@ -185,3 +185,51 @@ def test_published_key_falls_back(spark):
     df = spark.createDataFrame([("", "p", None), (None, None, "t")], "grouping_key string, passport string, tax_id string")
     keys = [r["k"] for r in df.select(P.composed_key(df).alias("k")).collect()]
     assert keys == ["passport::p", "tax::t"]
+
+
+def test_only_small_sources_are_spread(spark, tmp_path):
+    from kinfold.sources import message_view as mv
+    spark.range(40).selectExpr("id as event_id", "id as user_id", "timestamp'2024-01-01 00:00:00' as ts").repartition(16).write.parquet(
+        f"{tmp_path}/events.parquet")
+    spark.range(5).selectExpr("id as c_custkey", "'n' as c_name").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    both = mv.landed(spark, str(tmp_path), "net", "personal")
+    assert both.count() == 45
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and plan.index("Union") < plan.index("Repartition")
+    assert "Repartition" not in mv.landed(spark, str(tmp_path), "net")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_messages_are_parsed_once(spark):
+    from kinfold.operators.typed import typed
+    from kinfold.sources.envelope import messages
+    from helpers import envelopes
+    plan = typed(messages(envelopes(spark, PERSON)), "bank")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_targets_follow_chains_and_circles(spark):
+    pairs = [("a", "b"), ("b", "c"), ("d", "c"), ("d", "x"), ("p", "q"), ("q", "p")]
+    df = spark.createDataFrame(pairs, "source_key string, target_key string")
+    assert {tuple(r) for r in final_targets(df).collect()} == {("a", "c"), ("b", "c"), ("d", "c"), ("q", "p")}
+
+
+def test_blocks_of_any_depth_and_text_times(spark):
+    from kinfold.functions.fields import decode
+    body = '{"a":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}}},"s":"}{","l":[{"x":1}]}'
+    df = spark.createDataFrame([("k", body, "2024-01-02T03:04:05Z", "no time")],
+                               "grouping_key string, p string, created_at string, updated_at string")
+    df = df.withColumn("bank", decode(F.col("p"))).drop("p")
+    as_of = F.lit("2024-02-01").cast("timestamp")
+    wide = P.wide_children(P._with_times(df, as_of), "bank").first().asDict()
+    assert wide["a_b_c_d_e_f_g"] == 1 and wide["s"] == "}{"
+    times = P.persons(df, as_of).select(F.unix_seconds("created_at"), F.unix_seconds("updated_at")).first()
+    assert tuple(times) == (1704164645, 1706745600)
+
+
+def test_messages_without_a_time_have_profiles(spark):
+    from kinfold.plans.extract import contribute
+    from kinfold.sources.envelope import messages
+    from helpers import envelopes
+    records = envelopes(spark, [{"passport": "P1", "IBAN": "ES791234567890123"}]).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    row = exact_profiles(contribute(messages(records))).first()
+    assert row["grouping_key"] == "passport::p1" and row["updated_at"] is None
