@@ -161,19 +161,23 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tu
     return bad, accuracy
 
 
-def fitted(rows: list[np.ndarray], target: np.ndarray, steps: int = 60_000, rate: float = 0.3, l1: float = 1.0,
-           l2: float = 1.0) -> tuple[np.ndarray, float]:
+def fitted(rows: list[np.ndarray], target: np.ndarray, steps: int = 60_000, rate: float = 0.3, l1: float = 3.0,
+           l2: float = 1.0, support: int = 5) -> tuple[np.ndarray, float]:
     """``(weights, bias)`` of a logistic scorer over binary features, by follow-the-regularised-leader.
 
-    It goes over the rows four times at least, and so often that it takes ``steps`` steps.
+    It goes over the rows four times at least, and so often that it takes ``steps`` steps. Features of fewer
+    than ``support`` rows get no weight.
     """
     epochs = max(4, -(-steps // max(1, len(rows))))
     size = (1 << BITS) + len(TRAITS) * len(_STEPS)
+    rows = [np.unique(x) for x in rows]
+    held = np.bincount(np.concatenate(rows), minlength=size) >= support if rows else np.zeros(size, bool)
+    rows = [np.append(x[held[x]], size) for x in rows]
     z, n, weights = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     pick = np.random.default_rng(7)
     for _ in range(epochs if len(rows) else 0):
         for i in pick.permutation(len(rows)):
-            x = np.append(np.unique(rows[i]), size)
+            x = rows[i]
             w = np.where(np.abs(z[x]) <= l1, 0.0, -(z[x] - np.sign(z[x]) * l1) / ((0.1 + np.sqrt(n[x])) / rate + l2))
             weights[x] = w
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -50, 50))) - target[i]
