@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step takes at a time; a single longer text is taken whole.
 PIECE_BYTES = 1 << 20
+#: Bytes of an Arrow batch, so that workers' memory follows neither the number nor the length of texts.
+BATCH_BYTES = "8m"
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
@@ -32,7 +34,8 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, however the driver found it."""
+    """Let Python workers import this package, however the driver found it, and bound what they are sent at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

@@ -128,6 +128,14 @@ def test_packing(spark, rows):
     assert packing.packed(spark.createDataFrame([], EMPTY), Q.packing_encoder).collect() == []
 
 
+def test_packing_ids_are_those_of_the_library():
+    whole = __import__("tokenizers").Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    r = random.Random(3)
+    texts = ["".join(r.choice([*ALPHABET, "<|endoftext|>", " <|endoftext|> ", "\xa0"]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    want = [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in Q.packing_encoder()(texts)] == want
+
+
 def test_first_fit_matches_a_scan():
     r = random.Random(4)
     lengths = np.array(sorted((r.randint(1, 1024) for _ in range(300)), reverse=True))
