@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from kinfold.llm.text import LOWER, id_text, map_batches, pieces, rows_of, signed, word_hashes, word_spans
 
 #: Most labelled documents whose words are counted, and most documents that the scorer is fitted on.
-LABELLED, FITTED = 20_000, 20_000
+LABELLED, FITTED = 20_000, 8_000
 #: A cue is found in so many bad texts of the sample at least, and so many times as often as in good ones.
 CUE_TEXTS, CUE_ODDS = 5, 40.0
 BITS = 18
@@ -39,6 +39,8 @@ TRAITS = {"symbols": 0.05, "capitals": 0.4, "bars": 0.08, "repeats": 0.2, "samen
 LABELLERS = [*TRAITS, "abuse", "cues", "plain", "label"]
 #: Steps that turn a trait into binary features.
 _STEPS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
+#: Buckets of the scorer: words, steps of traits, and whether a word is abuse or a cue.
+SIZE = (1 << BITS) + len(TRAITS) * len(_STEPS) + 2
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#$%&*+<=>@[\\]^_`{}~")] = True
@@ -131,17 +133,20 @@ def votes(found: Features, rows: int, cues: np.ndarray) -> np.ndarray:
     return out
 
 
-def hashed(found: Features, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, bucket)`` of all binary features, sorted by row."""
+def hashed(found: Features, rows: int, cues: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, bucket)`` of all distinct binary features, sorted by row: hashed words, steps of traits, kinds of words."""
     row, bucket = [found.row], [(found.feature >> np.uint64(64 - BITS)).astype(np.int64)]
     for t, trait in enumerate(TRAITS):
         for s, step in enumerate(_STEPS):
             over = np.flatnonzero(found.traits[trait] > step)
             row.append(over)
             bucket.append(np.full(len(over), (1 << BITS) + t * len(_STEPS) + s))
-    row, bucket = np.concatenate(row), np.concatenate(bucket)
-    order = np.argsort(row, kind="stable")
-    return row[order], bucket[order]
+    for k, known in enumerate((np.sort(_hash_of(ABUSE)), cues)):
+        hit = np.unique(found.row[np.isin(found.feature, known)])
+        row.append(hit)
+        bucket.append(np.full(len(hit), SIZE - 2 + k))
+    pair = np.unique(np.concatenate(row) * SIZE + np.concatenate(bucket))
+    return pair // SIZE, pair % SIZE
 
 
 def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -161,30 +166,32 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tu
     return bad, accuracy
 
 
-def fitted(rows: list[np.ndarray], target: np.ndarray, steps: int = 60_000, rate: float = 0.3, l1: float = 3.0,
+def fitted(values: np.ndarray, cuts: np.ndarray, target: np.ndarray, steps: int = 60_000, rate: float = 0.3, l1: float = 3.0,
            l2: float = 1.0, support: int = 5) -> tuple[np.ndarray, float]:
     """``(weights, bias)`` of a logistic scorer over binary features, by follow-the-regularised-leader.
 
+    Row ``i`` has the distinct features ``values[cuts[i]:cuts[i + 1]]``.
+
     It goes over the rows four times at least, and so often that it takes ``steps`` steps. Features of fewer
     than ``support`` rows get no weight.
     """
-    epochs = max(4, -(-steps // max(1, len(rows))))
-    size = (1 << BITS) + len(TRAITS) * len(_STEPS)
-    rows = [np.unique(x) for x in rows]
-    held = np.bincount(np.concatenate(rows), minlength=size) >= support if rows else np.zeros(size, bool)
-    rows = [np.append(x[held[x]], size) for x in rows]
+    epochs = max(4, -(-steps // max(1, len(target))))
+    size = SIZE
+    held = (np.bincount(values, minlength=size) >= support)[values]
+    cuts = np.r_[0, np.cumsum(held)][cuts]
+    values = values[held]
     z, n, weights = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     pick = np.random.default_rng(7)
-    for _ in range(epochs if len(rows) else 0):
-        for i in pick.permutation(len(rows)):
-            x = rows[i]
+    for _ in range(epochs if len(target) else 0):
+        for i in pick.permutation(len(target)):
+            x = np.append(values[cuts[i]:cuts[i + 1]], size)
             w = np.where(np.abs(z[x]) <= l1, 0.0, -(z[x] - np.sign(z[x]) * l1) / ((0.1 + np.sqrt(n[x])) / rate + l2))
             weights[x] = w
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -50, 50))) - target[i]
             z[x] += g - (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / rate * w
             n[x] += g * g
     weights = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((0.1 + np.sqrt(n)) / rate + l2))
-    return weights[:-1], float(weights[-1]) if len(rows) else -10.0
+    return weights[:-1], float(weights[-1]) if len(target) else -10.0
 
 
 @dataclass
@@ -192,6 +199,7 @@ class Model:
     weights: np.ndarray
     bias: float
     accuracy: np.ndarray
+    cues: np.ndarray
 
 
 def _sample(ids: DataFrame, most: int) -> DataFrame:
@@ -249,21 +257,22 @@ def learned(docs: DataFrame, labels: DataFrame | None, labelled: int = LABELLED,
                 found = features(data, offsets)
                 made = votes(found, hi - lo, cues) + 1
                 made[:, -1] = batch.column("mark").slice(lo, hi - lo).cast(pa.int8()).to_numpy(False)
-                row, bucket = hashed(found, hi - lo)
+                row, bucket = hashed(found, hi - lo, cues)
                 cuts = np.searchsorted(row, np.arange(1, hi - lo))
                 split = np.split(bucket.astype(np.int32), cuts)
                 voted = np.flatnonzero((made != 1).any(axis=1)).tolist()  # a text without a vote teaches nothing
-                yield {"bad": [bad_of["".join(map(str, made[i].tolist()))] for i in voted],
+                yield {"doc_id": batch.column("doc_id").slice(lo, hi - lo).take(pa.array(voted, pa.int64())),
+                       "bad": [bad_of["".join(map(str, made[i].tolist()))] for i in voted],
                        "buckets": [split[i] for i in voted]}
     chosen = _sample(texts.filter("doc_id is not null"), fit_on).join(label_of, "doc_id", "left").select(
         "doc_id", mark.alias("mark"))
     rows = map_batches(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "mark"), sampled,
-                       "bad double, buckets array<int>").toArrow()
-    buckets, target = rows.column("buckets").to_numpy(), rows.column("bad").to_numpy()
-    # the same fit however the rows arrive
-    order = sorted(range(len(target)), key=lambda i: (target[i], len(buckets[i]), buckets[i].tobytes()))
-    weights, bias = fitted([buckets[i] for i in order], target[order])
-    return Model(weights, bias, accuracy)
+                       "doc_id long, bad double, buckets array<int>").toArrow()
+    rows = rows.sort_by("doc_id").combine_chunks()  # the same fit however the rows arrive
+    buckets = rows.column("buckets").combine_chunks()
+    weights, bias = fitted(buckets.flatten().to_numpy(), np.r_[0, np.cumsum(pa.compute.list_value_length(buckets).to_numpy(False))],
+                           rows.column("bad").to_numpy())
+    return Model(weights, bias, accuracy, cues)
 
 
 def scored(docs: DataFrame, labels: DataFrame | None = None, labelled: int = LABELLED, fit_on: int = FITTED) -> DataFrame:
@@ -274,7 +283,7 @@ def scored(docs: DataFrame, labels: DataFrame | None = None, labelled: int = LAB
     document with several labels is bad if one of them says so. Columns named as the new ones are replaced.
     """
     model = learned(docs, labels, labelled, fit_on)
-    weights, bias = model.weights, model.bias
+    weights, bias, cues = model.weights, model.bias, model.cues
     own = docs.select(*[docs[c].cast("string").alias(c) if c == "text" else docs[c] for c in docs.columns
                         if c.lower() not in ("score", "rejected")])
     names = own.columns
@@ -282,9 +291,7 @@ def scored(docs: DataFrame, labels: DataFrame | None = None, labelled: int = LAB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch):
-                row, bucket = hashed(features(data, offsets), hi - lo)
-                pair = np.unique(row * len(weights) + bucket)
-                row, bucket = pair // len(weights), pair % len(weights)
+                row, bucket = hashed(features(data, offsets), hi - lo, cues)
                 score = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[bucket], hi - lo) + bias, -50, 50)))
                 yield {n: batch.column(n).slice(lo, hi - lo) for n in names} | {"score": score, "rejected": score >= REJECT}
     return map_batches(own, run, StructType([*own.schema, *StructType.fromDDL("score double, rejected boolean")]))

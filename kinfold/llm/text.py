@@ -57,6 +57,7 @@ def id_text(docs: DataFrame) -> DataFrame:
 def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]],
                 schema: str | StructType) -> DataFrame:
     """``mapInArrow`` of a function that yields columns by name; the schema gives order and types."""
+    importable(df.sparkSession)
     spark_schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
