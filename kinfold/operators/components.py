@@ -18,8 +18,9 @@ from kinfold.session import written
 
 def _with_minimum(edges: DataFrame, share: int) -> DataFrame:
     """Edges ``(u, v)`` with ``m``, the smallest of ``u`` and all its neighbours."""
-    lowest = edges.groupBy("u").agg(F.min("v").alias("low"))
-    return lookup(edges, lowest, "u", share).withColumn("m", F.least("u", "low")).drop("low")
+    lowest = written(edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), "lowest")
+    found = lookup(edges, lowest.select("u", "low"), "u", share, lowest.select("u", "n"))
+    return found.withColumn("m", F.least("u", "low")).drop("low")
 
 
 def _large_star(edges: DataFrame, share: int) -> DataFrame:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, share: int) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, share: int, counts: DataFrame | None = None) -> DataFrame:
     """Left join of ``rows`` to ``table``, which holds at most one row per ``key``.
 
     A key with more than 1/``share`` of all rows is hot; fewer than ``share`` keys can be. Their
     table rows are broadcast, a bound proven by that count, and the hot rows never meet in one
-    task. All other rows join by shuffle, where no key exceeds 1/``share`` of the rows.
+    task. All other rows join by shuffle, where no key exceeds 1/``share`` of the rows. ``counts``, the
+    number ``n`` of rows of each key, saves counting where the caller has it.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    total = rows.select(F.count("*")).scalar()
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    total = counts.select(F.sum("n")).scalar()
     hot_keys = counts.filter((F.col("n") * share > total) & F.col(key).isNotNull()).select(key)
     hot_table = table.join(F.broadcast(hot_keys), key, "left_semi").withColumn("is_hot", F.lit(True))
     marked = rows.join(F.broadcast(hot_keys.withColumn("is_hot", F.lit(True))), key, "left")
