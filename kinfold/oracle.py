@@ -514,3 +514,9 @@ ORACLE["sample_messages"] = (
     "QUALIFY row_number() OVER (PARTITION BY kind ORDER BY topic, part, off) <= 2")
 ORACLE["strict_parse"] = (
     f"{_ALL_MESSAGES} SELECT topic, count(*) AS n, CAST(sum(len(keys)) AS BIGINT) AS fields FROM m GROUP BY ALL")
+_TELLING = {"personal": "personal_email", "location": "country_code", "professional": "company", "bank": "iban", "net": "ipv4"}
+ORACLE["child_payloads"] = _profiles(" UNION ALL ".join(
+    f"SELECT '{k}' AS kind, grouping_key, {c} AS value FROM profiles WHERE {_KIND_FLAGS[k]}" for k, c in _TELLING.items()))
+ORACLE["publish_key_fallback"] = _profiles(
+    "SELECT * FROM (SELECT coalesce(CASE WHEN length(grouping_key) % 2 = 1 THEN grouping_key END, 'passport::' || passport, "
+    "'email::' || email, 'phone::' || phone) AS grouping_key, passport, email, phone FROM profiles) WHERE grouping_key IS NOT NULL")

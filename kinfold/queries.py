@@ -379,6 +379,22 @@ def child_rows(spark, sf_dir):
     return kids.groupBy("kind").agg(F.count("*").alias("n"), F.max(micros("updated_at")).alias("max_us"))
 
 
+@query
+def child_payloads(spark, sf_dir):
+    """Published payloads themselves: the telling field of each kind, read back from the JSON text."""
+    telling = {"personal": "email", "location": "country_code", "professional": "company", "bank": "iban", "net": "ipv4"}
+    kids = P.children(people(spark, sf_dir), _as_of())
+    value = F.coalesce(*[F.when(F.col("kind") == k, F.get_json_object("data", f"$.{f}")) for k, f in telling.items()])
+    return kids.select("kind", "grouping_key", value.alias("value"))
+
+
+@query
+def publish_key_fallback(spark, sf_dir):
+    """Rows whose key is missing get one composed of their identifiers; rows without any are not published."""
+    rows = people(spark, sf_dir).withColumn("grouping_key", F.when(F.length("grouping_key") % 2 == 1, F.col("grouping_key")))
+    return P.persons(rows, _as_of(), composed=True).select("grouping_key", "passport", "email", "phone")
+
+
 @query
 def export_rows_per_table(spark, sf_dir):
     return P.export_metrics(P.gate(people(spark, sf_dir)), _as_of()).select(
