@@ -8,8 +8,8 @@ dart of least rank. That costs O(shingles + k log k), and two documents agree on
 probability of their weighted Jaccard similarity. Documents with an empty coordinate look twice as far.
 
 Coordinates are cut into bands; documents with an equal band meet in a bucket. Equal texts are one document
-first. Two rounds compare each document with the least hub, the first of a bucket, that it meets, verify links on the
-texts, and join linked documents to classes, so that a bucket of thousands of near copies costs a row for each copy.
+first. Then each document is compared with the least hub, the first of a bucket, that it meets, links are verified on
+the texts, and linked documents become classes, so that a bucket of thousands of near copies costs a row for each copy.
 Of what is still in buckets with several classes, shingles that only one document has are counted: they bound
 every similarity exactly, and documents too different from all others go. The rest meets hub by hub, eight times as
 many each round, until no bucket holds two classes that have not been compared. No candidate is dropped.
@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinfold.llm.text import (id_text, map_batches, mixed, pieces, rows_of, signed, texts_of, window_hashes,
                               word_hashes, word_spans)
@@ -31,8 +32,8 @@ from kinfold.session import written
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
-#: First rounds that only join what is plainly alike, and times as many hubs in each round after these.
-GROUPING, MORE_HUBS = 2, 8
+#: Times as many hubs in each further round.
+MORE_HUBS = 8
 #: Pairs whose signatures agree on fewer coordinates than this below the similarity are not read. It is 4.6 standard
 #: deviations of the estimate: of links just at the similarity two in a million are missed, fewer than by the bands.
 SLACK = 0.12
@@ -138,7 +139,13 @@ def sketches(docs: DataFrame, bands: int, rows: int, length: int, counts: bool)
 
 
 def similar(pairs: DataFrame, length: int, counts: bool, similarity: float) -> DataFrame:
-    """Those of ``(a, b, a_text, b_text)`` whose shingles have at least the similarity."""
+    """Those of ``(a, b, ..., a_text, b_text)`` whose shingles have at least the similarity, without the texts.
+
+    With ``a_bytes`` and ``b_bytes``, texts are only read of pairs whose signatures are close enough.
+    """
+    kept = [c for c in pairs.columns if c[2:] not in ("text", "bytes")]
+    signatures = "a_bytes" in pairs.columns
+
     def alike(a: bytes, b: bytes) -> bool:
         element, row, weight = shingles(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]), length)
         weight = weight if counts else np.ones_like(weight)
@@ -149,24 +156,16 @@ def similar(pairs: DataFrame, length: int, counts: bool, similarity: float) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
+            if signatures and batch.num_rows:
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                               for c in ("a_bytes", "b_bytes"))
+                batch = batch.filter(pa.array((left == right).mean(axis=1) >= similarity - SLACK))
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 keep = [alike(a, b) for a, b in zip(texts_of(part, "a_text"), texts_of(part, "b_text"))]
-                chosen = part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-                if chosen.num_rows:
-                    yield {"a": chosen.column("a"), "b": chosen.column("b")}
-    return map_batches(pairs, run, "a long, b long").distinct()
-
-
-def agreeing(pairs: DataFrame, least: float) -> DataFrame:
-    """Those of ``(a, b, a_bytes, b_bytes)`` that agree on at least this share of the bytes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                           for c in ("a_bytes", "b_bytes"))
-            chosen = batch.filter(pa.array((left == right).mean(axis=1) >= least))
-            yield {"a": chosen.column("a"), "b": chosen.column("b")}
-    return map_batches(pairs, run, "a long, b long")
+                chosen = part.select(kept).filter(pa.array(keep, pa.bool_()))
+                yield {c: chosen.column(c) for c in kept}
+    return map_batches(pairs, run, StructType([pairs.schema[c] for c in kept]))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -206,6 +205,18 @@ def own_shingles(texts: DataFrame, length: int, counts: bool) -> DataFrame:
     return single.filter("n = 1 and doc_id is not null").groupBy("doc_id").agg(F.sum("weight").alias("own"))
 
 
+def rooted(links: DataFrame) -> DataFrame:
+    """``(v, label)`` from links ``(a, b)`` of each ``b`` to one smaller ``a``: labels of labels, until none has another."""
+    labels = written(links.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("label")), "labels")
+    while True:
+        above = labels.select(F.col("v").alias("label"), F.col("label").alias("above"))
+        labels = written(labels.join(above, "label", "left").select(
+            "v", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved")), "labels")
+        if labels.filter("moved").isEmpty():
+            return labels.drop("moved")
+        labels = labels.drop("moved")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHINGLE, bands: int = BANDS,
             rows: int = ROWS, counts: bool = False) -> DataFrame:
     """``(doc_id, class_id)`` of every row: the least id linked to it, directly or not, by near copies.
@@ -218,61 +229,59 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHING
     made = written(sketches(docs, bands, rows, length, counts), "sketches")
     texts = written(made.filter("doc_id is not null").groupBy("text_key").agg(
         F.min_by(F.struct("doc_id", "size", "bands", "bytes"), "doc_id").alias("x")).select("text_key", "x.*"), "texts")
-    sketch, whole = texts.select("doc_id", "bytes"), id_text(docs)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of ``(a, b)`` that are links: by signature first, then by their texts."""
-        close = written(agreeing(
-            pairs.join(sketch.withColumnsRenamed({"doc_id": "a", "bytes": "a_bytes"}), "a")
-            .join(sketch.withColumnsRenamed({"doc_id": "b", "bytes": "b_bytes"}), "b"), similarity - SLACK), "close")
-        named = written(whole.join(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "doc_id"), "named")
-        return written(similar(
-            close.join(named.withColumnsRenamed({"doc_id": "a", "text": "a_text"}), "a")
-            .join(named.withColumnsRenamed({"doc_id": "b", "text": "b_text"}), "b"), length, counts, similarity), "links")
-
-    def still_apart(members: DataFrame) -> DataFrame:
-        """The members of buckets that hold two classes."""
-        several = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        return written(members.join(several.select("key"), "key"), "apart")
+    whole = id_text(docs)
 
-    def relabelled(members: DataFrame) -> DataFrame:
-        return members.drop("label").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    def with_texts(pairs: DataFrame, source: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(source.withColumnsRenamed(
+                {"doc_id": side, "text": f"{side}_text", "bytes": f"{side}_bytes"}), side)
+        return pairs
 
-    apart = still_apart(texts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("v"), "size",
-                                     F.lit(0).cast("long").alias("own"), F.col("doc_id").alias("label")))
-    labels, links, hubs, grouped = None, None, 1, 0
+    def still_apart(rows: DataFrame) -> DataFrame:
+        """The members of buckets that hold two classes."""
+        several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        return written(rows.join(several.select("key"), "key"), "apart")
+
+    def near_in_size(a: str, b: str) -> Column:
+        return F.least(a, b) >= similarity * F.greatest(a, b)
+
+    # first each document meets the least hub of its buckets, to group what is plainly alike
+    members = texts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("v"), "size")
+    bucket = members.groupBy("key").agg(F.min(F.struct("v", "size")).alias("hub"), F.max("v").alias("top")).filter("hub.v < top")
+    met = members.join(bucket, "key").filter("v <> hub.v").filter(near_in_size("size", "hub.size"))
+    pairs = met.groupBy(F.col("v").alias("b")).agg(F.min("hub.v").alias("a"))
+    labels = rooted(similar(with_texts(pairs, whole), length, counts, similarity))
+    apart = still_apart(members.join(labels, "v", "left").select("key", "v", "size", F.coalesce("label", "v").alias("label")))
+    merged, hubs = [], 1
+    if not apart.isEmpty():
+        # an id that stands for several texts has no bound of its own
+        ids = apart.select(F.col("v").alias("doc_id")).distinct()
+        open_texts = written(whole.join(ids, "doc_id").join(texts.select("doc_id", "bytes"), "doc_id"), "open")
+        single = open_texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
+        own = own_shingles(open_texts, length, counts).join(single, "doc_id").withColumnRenamed("doc_id", "v")
+        apart = apart.join(own, "v", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        apart = still_apart(apart.filter(F.col("own") <= (1 - similarity) * F.col("size") + 1e-6))
     while not apart.isEmpty():
         slot = F.pmod(F.xxhash64("v", F.lit(hubs)), F.lit(hubs)).alias("slot")
         hub = written(apart.groupBy("key", slot).agg(F.min(F.struct("v", "label", "size", "own")).alias("hub")).select(
             "key", "hub"), "hubs")
         # the most two sets can share is what neither has alone, and the least they differ by is what each has alone
         shared = F.least(F.col("size") - F.col("own"), F.col("hub.size") - F.col("hub.own"))
-        met = apart.join(hub, "key").filter("label <> hub.label").filter(
-            (F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size"))
-            & (shared * (1 - similarity) >= (F.col("own") + F.col("hub.own")) * similarity - 1e-6))
-        if grouped < GROUPING:  # each document with the least hub it meets, to join what is plainly alike
-            pairs = met.groupBy("v").agg(F.min("hub.v").alias("h")).select(F.least("v", "h").alias("a"), F.greatest("v", "h").alias("b")).distinct()
-        else:
-            pairs = met.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
-            # these hubs have met every document of their buckets and need not meet any again
-            apart = apart.join(hub.select("key", F.col("hub.v").alias("v")), ["key", "v"], "left_anti")
-            hubs *= MORE_HUBS
-        found = verified(pairs)
+        met = apart.join(hub, "key").filter("label <> hub.label").filter(near_in_size("size", "hub.size") & (
+            shared * (1 - similarity) >= (F.col("own") + F.col("hub.own")) * similarity - 1e-6))
+        pairs = met.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b"), F.col("label").alias("u"),
+                           F.col("hub.label").alias("v")).dropDuplicates(["a", "b"])
+        found = written(similar(with_texts(pairs, open_texts), length, counts, similarity), "links")
+        # these hubs have met every document of their buckets and need not meet any again
+        apart = apart.join(hub.select("key", F.col("hub.v").alias("v")), ["key", "v"], "left_anti")
         if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            apart = relabelled(apart)
+            merged.append(connected(found.select("u", "v")).select(F.col("v").alias("label"), F.col("label").alias("into")))
+            apart = apart.join(merged[-1], "label", "left").withColumn("label", F.coalesce("into", "label")).drop("into")
         apart = still_apart(apart)
-        grouped += 1
-        if grouped == GROUPING:
-            # an id that stands for several texts has no bound of its own
-            one_text = texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
-            own = own_shingles(whole.join(apart.select(F.col("v").alias("doc_id")).distinct(), "doc_id"), length, counts)
-            own = written(own.join(one_text, "doc_id"), "own")
-            apart = apart.drop("own").join(own.withColumnRenamed("doc_id", "v"), "v", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-            apart = still_apart(apart.filter(F.col("own") <= (1 - similarity) * F.col("size") + 1e-6))
-    of_text = texts.select("text_key", F.col("doc_id").alias("v"))
-    if labels is not None:
-        of_text = of_text.join(labels, "v", "left").select("text_key", F.coalesce("label", "v").alias("v"))
+        hubs *= MORE_HUBS
+    of_text = texts.select("text_key", F.col("doc_id").alias("v")).join(labels, "v", "left").select(
+        "text_key", F.coalesce("label", "v").alias("label"))
+    for step in merged:
+        of_text = of_text.join(step, "label", "left").select("text_key", F.coalesce("into", "label").alias("label"))
     return made.select("doc_id", "text_key").join(of_text, "text_key", "left").select(
-        "doc_id", F.col("v").alias("class_id"))
+        "doc_id", F.col("label").alias("class_id"))
