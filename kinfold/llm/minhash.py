@@ -11,7 +11,7 @@ Coordinates are cut into bands; documents with an equal band meet in a bucket. E
 first. Then each document is compared with the least hub, the first of a bucket, that it meets, links are verified on
 the texts, and linked documents become classes, so that a bucket of thousands of near copies costs a row for each copy.
 Of what is still in buckets with several classes, shingles that only one document has are counted: they bound
-every similarity exactly, and documents too different from all others go. The rest meets hub by hub, eight times as
+every similarity exactly, and documents too different from all others go. The rest meets hub by hub, many times as
 many each round, until no bucket holds two classes that have not been compared. No candidate is dropped.
 """
 
@@ -32,8 +32,8 @@ from kinfold.session import written
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
-#: Times as many hubs in each further round.
-MORE_HUBS = 8
+#: Hubs of a bucket in the first round after the grouping, and times as many in each further round.
+HUBS, MORE_HUBS = 8, 32
 #: Pairs whose signatures agree on fewer coordinates than this below the similarity are not read. It is 4.6 standard
 #: deviations of the estimate: of links just at the similarity two in a million are missed, fewer than by the bands.
 SLACK = 0.12
@@ -138,6 +138,12 @@ def sketches(docs: DataFrame, bands: int, rows: int, length: int, counts: bool)
     return map_batches(id_text(docs), run, "doc_id long, text_key binary, size long, bands array<long>, bytes binary")
 
 
+def _agreement(batch: pa.RecordBatch) -> np.ndarray:
+    left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                   for c in ("a_bytes", "b_bytes"))
+    return (left == right).mean(axis=1)
+
+
 def similar(pairs: DataFrame, length: int, counts: bool, similarity: float) -> DataFrame:
     """Those of ``(a, b, ..., a_text, b_text)`` whose shingles have at least the similarity, without the texts.
 
@@ -157,9 +163,7 @@ def similar(pairs: DataFrame, length: int, counts: bool, similarity: float) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             if signatures and batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                               for c in ("a_bytes", "b_bytes"))
-                batch = batch.filter(pa.array((left == right).mean(axis=1) >= similarity - SLACK))
+                batch = batch.filter(pa.array(_agreement(batch) >= similarity - SLACK))
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 keep = [alike(a, b) for a, b in zip(texts_of(part, "a_text"), texts_of(part, "b_text"))]
@@ -187,6 +191,16 @@ def connected(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("v"), F.col("v").alias("label"))
 
 
+def agreeing(pairs: DataFrame, least: float) -> DataFrame:
+    """Those of ``(a, b, a_bytes, b_bytes)`` whose signatures agree on at least this share of coordinates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            if batch.num_rows:
+                chosen = batch.filter(pa.array(_agreement(batch) >= least))
+                yield {"a": chosen.column("a"), "b": chosen.column("b")}
+    return map_batches(pairs, run, "a long, b long")
+
+
 def own_shingles(texts: DataFrame, length: int, counts: bool) -> DataFrame:
     """``(doc_id, own)``: the weight of each document's shingles that no other document of ``texts`` has.
 
@@ -250,9 +264,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHING
     bucket = members.groupBy("key").agg(F.min(F.struct("v", "size")).alias("hub"), F.max("v").alias("top")).filter("hub.v < top")
     met = members.join(bucket, "key").filter("v <> hub.v").filter(near_in_size("size", "hub.size"))
     pairs = met.groupBy(F.col("v").alias("b")).agg(F.min("hub.v").alias("a"))
-    labels = rooted(similar(with_texts(pairs, whole), length, counts, similarity))
+    close = agreeing(with_texts(pairs, texts.select("doc_id", "bytes")), similarity - SLACK)
+    labels = rooted(similar(with_texts(close, whole), length, counts, similarity))
     apart = still_apart(members.join(labels, "v", "left").select("key", "v", "size", F.coalesce("label", "v").alias("label")))
-    merged, hubs = [], 1
+    merged, hubs = [], HUBS
     if not apart.isEmpty():
         # an id that stands for several texts has no bound of its own
         ids = apart.select(F.col("v").alias("doc_id")).distinct()
