@@ -33,7 +33,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 #: Hubs of a bucket in the first round after the grouping, and times as many in each further round.
-HUBS, MORE_HUBS = 8, 32
+HUBS, MORE_HUBS = 1, 8
 #: Pairs whose signatures agree on fewer coordinates than this below the similarity are not read. It is 4.6 standard
 #: deviations of the estimate: of links just at the similarity two in a million are missed, fewer than by the bands.
 SLACK = 0.12
@@ -262,7 +262,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHING
     # first each document meets the least hub of its buckets, to group what is plainly alike
     members = texts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("v"), "size")
     bucket = members.groupBy("key").agg(F.min(F.struct("v", "size")).alias("hub"), F.max("v").alias("top")).filter("hub.v < top")
-    met = members.join(bucket, "key").filter("v <> hub.v").filter(near_in_size("size", "hub.size"))
+    members = written(members.join(bucket, "key").select("key", "v", "size", "hub"), "members")
+    met = members.filter("v <> hub.v").filter(near_in_size("size", "hub.size"))
     pairs = met.groupBy(F.col("v").alias("b")).agg(F.min("hub.v").alias("a"))
     close = agreeing(with_texts(pairs, texts.select("doc_id", "bytes")), similarity - SLACK)
     labels = rooted(similar(with_texts(close, whole), length, counts, similarity))
@@ -287,12 +288,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHING
         pairs = met.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b"), F.col("label").alias("u"),
                            F.col("hub.label").alias("v")).dropDuplicates(["a", "b"])
         found = written(similar(with_texts(pairs, open_texts), length, counts, similarity), "links")
-        # these hubs have met every document of their buckets and need not meet any again
-        apart = apart.join(hub.select("key", F.col("hub.v").alias("v")), ["key", "v"], "left_anti")
         if not found.isEmpty():
             merged.append(connected(found.select("u", "v")).select(F.col("v").alias("label"), F.col("label").alias("into")))
             apart = apart.join(merged[-1], "label", "left").withColumn("label", F.coalesce("into", "label")).drop("into")
-        apart = still_apart(apart)
+        # these hubs have met every document of their buckets and need not meet any again
+        apart = written(still_apart(apart).join(hub.select("key", F.col("hub.v").alias("v")), ["key", "v"], "left_anti"), "apart")
         hubs *= MORE_HUBS
     of_text = texts.select("text_key", F.col("doc_id").alias("v")).join(labels, "v", "left").select(
         "text_key", F.coalesce("label", "v").alias("label"))
