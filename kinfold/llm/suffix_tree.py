@@ -1,40 +1,49 @@
 """A probabilistic suffix tree over words, and texts scored by it (after Ron, Singer and Tishby, 1996).
 
 Learning takes one pass for words and one for each depth of contexts. A context of d words is a candidate if
-it makes up at least ``CONTEXT_SHARE`` of the training tokens, a symbol of a context is kept apart if the two
-together make up at least ``SYMBOL_SHARE``. So a depth has at most 1 / CONTEXT_SHARE contexts and 1 /
-SYMBOL_SHARE symbols, however large the corpus: that is what the driver sees and what is broadcast. A candidate
-is retained if its next-symbol distribution diverges from that of its longest retained suffix by at least
-``DIVERGENCE`` bits. Retained contexts discount their counts and give what is left to that suffix; the root
-is the smoothed distribution of all words, so every context's probabilities add up to one.
-
-A text's state at each word is its longest retained suffix. Symbols that the model holds are scored in place;
-for all other words the tree only says how much probability is handed down to the root, and their counts come
-from the table of all words by a join. That table grows with the corpus and is never collected.
+the training texts hold it ``CONTEXT_COUNT`` times, a symbol of a context is kept apart if the two together occur
+``SYMBOL_COUNT`` times. Both are counts, so the model grows with the corpus. Candidates, tests and
+probabilities are tables, which each depth joins to those of the depth before. A candidate is retained if its
+next-symbol distribution diverges from that of its longest retained suffix by at least ``DIVERGENCE`` bits more than
+its kept symbols would by chance, 1 / (2 ln 2) bits each and occurrence. Retained contexts discount their counts
+and give what is left to that suffix; the root is the smoothed distribution of all words, so every context's
+probabilities add up to one.
+
+A word's score is that of the longest retained suffix before it, as a sum over the n-grams that end there: if a
+context holds a symbol, so does its suffix, and what the context adds to the suffix's logarithm is a number of the
+n-gram. So a text's score is a sum over its n-grams, found by one join. N-grams that make up ``HELD_SHARE`` of the
+training tokens are broadcast and added in place, which changes no score but keeps hot keys from the join.
+Before each join a bit filter of fixed size drops most n-grams that the other side does not have.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.text import LOWER, id_text, map_batches, pieces, rows_of, signed, word_hashes, word_spans
-from kinfold.session import written
+from kinfold.llm.text import LOWER, id_text, map_batches, mixed, pieces, rows_of, signed, word_hashes, word_spans
+from kinfold.session import erase, free_shuffles, written
 
 DEPTH = 3
-CONTEXT_SHARE = 2e-5
-SYMBOL_SHARE = 2e-6
+CONTEXT_COUNT = 20
+SYMBOL_COUNT = 2
 DIVERGENCE = 0.02
 DISCOUNT = 0.5
 PSEUDO = 0.1
+#: Share of the training tokens from which a word or n-gram is held by every task.
+HELD_SHARE = 2e-6
+FILTER_BITS = 26
 #: The hash that stands for the end of a text.
 END = np.uint64(1)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Pieces of text whose counts are added before they are shuffled.
 ADDED = 24
 
@@ -46,18 +55,18 @@ def held_out(doc_id: int | None) -> bool:
 
 @dataclass
 class Tree:
-    """Words by hash, and for each depth the candidates by ``candidate of the first words * words + last word``."""
+    """The part of a model that tasks hold, sorted by key: all of a small one, else its commonest words and n-grams.
+
+    ``grams`` is what an n-gram adds to the score of its last word, ``rests`` what it adds as the context of the next.
+    """
 
-    hashes: np.ndarray
-    counts: np.ndarray
     total: int
     distinct: int
-    keys: list[np.ndarray] = field(default_factory=list)
-    states: list[np.ndarray] = field(default_factory=list)
-    parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    entry_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    entry_logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    keys: np.ndarray
+    grams: np.ndarray
+    rests: np.ndarray
+    #: For the root and each retained context held here its suffix of one word less, 0 being the root.
+    parent: np.ndarray
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         """Probability of words with these counts before any context."""
@@ -86,15 +95,29 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, row, np.arange(len(hashes)) - bounds[row]
 
 
+def ngrams(hashes: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each length up to ``length`` the key of the n-gram that ends at each token, whatever row it begins in."""
+    keys = [hashes]
+    for _ in range(1, length):
+        before = np.zeros_like(hashes)
+        before[1:] = keys[-1][:-1]
+        keys.append(mixed(before * STEP + hashes))
+    return keys
+
+
 def _training(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array([not held_out(d) for d in batch.column("doc_id").to_pylist()], pa.bool_()))
 
 
-def _counted(docs: DataFrame, keys_of) -> DataFrame:
-    """``(key, n)``: how often the training texts hold each key; ``keys_of(hash, row, number)`` gives them."""
-    def added(parts: list[np.ndarray]) -> dict:
-        key, n = np.unique(np.concatenate(parts), return_counts=True)
-        return {"key": signed(key) if key.dtype == np.uint64 else key, "n": n}
+def _counted(docs: DataFrame, keys_of, names: tuple[str, ...] = ("key",)) -> DataFrame:
+    """``(*names, n)``: how often the training texts hold each key, and the columns that follow from it.
+
+    ``keys_of(hash, row, number)`` gives one array for each name.
+    """
+    def added(parts: list[tuple]) -> dict:
+        key, at, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
+        rest = {name: signed(np.concatenate([p[i] for p in parts])[at]) for i, name in enumerate(names) if i}
+        return {"key": signed(key), "n": n} | rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         parts: list = []
@@ -106,122 +129,123 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
                     parts = []
         if parts:
             yield added(parts)
-    return map_batches(id_text(docs), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _candidates(tree: Tree, word: np.ndarray, number: np.ndarray, depth: int) -> np.ndarray:
-    """For each token the candidate that the ``depth`` words before it are, or -1."""
-    size, n = len(tree.hashes), len(word)
-    at = np.full(n, -1)
-    begins = np.arange(n - depth)
-    begins = begins[number[depth:] >= depth]
-    state = np.zeros(len(begins), np.int64)
-    for d in range(depth):
-        w = word[begins + d]
-        state = np.where(w >= 0, found_in(tree.keys[d], state * size + w), -1)
-        begins, state = begins[state >= 0], state[state >= 0]
-    at[begins + depth] = state
-    return at
+    schema = ", ".join(f"{name} long" for name in (*names, "n"))
+    return map_batches(id_text(docs), run, schema).groupBy("key").agg(
+        F.sum("n").alias("n"), *[F.min(name).alias(name) for name in names[1:]])
 
 
 def words(docs: DataFrame) -> DataFrame:
     """``(key, n)`` for every distinct training token, the end of a text among them."""
-    return _counted(docs, lambda hashes, row, number: hashes)
+    return _counted(docs, lambda hashes, row, number: (hashes,))
 
 
-def learned(docs: DataFrame, table: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of the training texts, whose words ``table`` counts."""
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of a key's first ``FILTER_BITS`` bits: ``_maybe`` is never wrong about keys it has not.
+
+    The driver sees 2 ** (FILTER_BITS - 6) rows at most. Keys that meet by chance are sorted out by later joins.
+    """
+    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    rows = keys.select(slot.alias("slot")).groupBy(F.expr("slot >> 6").alias("at")).agg(F.bit_or(bit).alias("bits"))
+    rows = rows.toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys >> np.uint64(64 - FILTER_BITS)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def model(docs: DataFrame, table: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
+    """``(key, n, base, gram, rest, parent)`` of words and n-grams that bear on scores, tokens, and distinct tokens.
+
+    A word's ``base`` and ``gram`` are its logarithm at the root. An n-gram's ``gram`` is what its last word gains by
+    the context before it over the context's suffix, less the context's ``rest``; ``rest`` is the logarithm of what
+    the n-gram, as a retained context, hands down for words it does not hold. The rows of one key add up.
+    """
     spark = docs.sparkSession
     total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # at most 1 / SYMBOL_SHARE words, and the end
-    often = table.filter((F.col("n") >= SYMBOL_SHARE * total) | (F.col("key") == int(END))).toPandas()
-    hashes = often["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    tree = Tree(hashes[order], often["n"].to_numpy(np.int64)[order], total, distinct)
-    size = len(tree.hashes)
-    end = int(found_in(tree.hashes, np.array([END]))[0])
-    least = CONTEXT_SHARE * total
-
-    names = [(w,) for w in np.flatnonzero(tree.counts >= least).tolist() if w != end]
-    occurs = [int(tree.counts[w]) for (w,) in names]
-    tree.keys.append(np.array([w for (w,) in names], np.int64))
-    state_of: dict[tuple, int] = {(): 0}
-    parent, rest, chance = [0], [0.0], {}
-    for d in range(1, depth + 1):
-        tree.states.append(np.zeros(len(names), np.int64))
-        if not names:
-            continue
-        given = spark.sparkContext.broadcast(tree)
-
-        def pairs(hashes: np.ndarray, row: np.ndarray, number: np.ndarray, given=given, d=d) -> np.ndarray:
-            known = given.value
-            word = found_in(known.hashes, hashes)
-            at = _candidates(known, word, number, d)
-            live = (at >= 0) & (word >= 0)
-            return at[live] * len(known.hashes) + word[live]
-        # at most 1 / SYMBOL_SHARE pairs
-        kept = _counted(docs, pairs).filter(F.col("n") >= SYMBOL_SHARE * total).toPandas().sort_values("key")
-        key, n = kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
+    root = (F.col("n") + PSEUDO) / (total + PSEUDO * (distinct + 1))
+    none, no_base = F.lit(None).cast("long"), F.lit(None).cast("double")
+    known = table.select("key", "n", F.lit(0).cast("long").alias("suffix"), root.alias("chance"))
+    parts = [known.select("key", "n", F.log10("chance").alias("base"), F.log10("chance").alias("gram"),
+                          F.lit(0.0).alias("rest"), none.alias("parent"))]
+    for length in range(2, depth + 2):
+        contexts = known.filter(F.col("n") >= CONTEXT_COUNT)
+        # a pair is no more frequent than its context's suffix and the symbol
+        given = spark.sparkContext.broadcast((_filter_of(contexts), _filter_of(known.filter(F.col("n") >= SYMBOL_COUNT))))
+
+        def pairs(hashes: np.ndarray, row: np.ndarray, number: np.ndarray, given=given, length=length) -> tuple:
+            *_, shorter, key = ngrams(hashes, length)
+            at = np.flatnonzero(number >= length - 1)
+            at = at[_maybe(given.value[0], shorter[at - 1])]
+            at = at[_maybe(given.value[1], shorter[at])]
+            return key[at], shorter[at - 1], shorter[at]
+        seen = _counted(docs, pairs, ("key", "context", "suffix")).filter(F.col("n") >= SYMBOL_COUNT)
+        seen = written(seen.join(known.select(F.col("key").alias("suffix"), F.col("chance").alias("expected")), "suffix"),
+                       "pairs")
         given.unpersist()
-        candidate, symbol = key // max(size, 1), key % max(size, 1)
-        cuts = np.searchsorted(candidate, np.arange(len(names) + 1))
-        for c, name in enumerate(names):
-            lo, hi = cuts[c], cuts[c + 1]
-            suffix = next(name[i:] for i in range(1, d + 1) if name[i:] in state_of)
-            above = state_of[suffix]
-            seen, share = n[lo:hi], n[lo:hi] / occurs[c]
-            expected = np.empty(hi - lo)
-            for i, w in enumerate(symbol[lo:hi].tolist()):
-                at, handed = above, 1.0
-                while at and (at, w) not in chance:
-                    handed, at = handed * rest[at], parent[at]
-                expected[i] = handed * (chance[at, w] if at else tree.root(tree.counts[w]))
-            other, other_expected = max(0.0, 1 - share.sum()), max(1e-12, 1 - expected.sum())
-            divergence = (share * np.log2(share / expected)).sum() + (
-                other * np.log2(other / other_expected) if other > 0 else 0.0)
-            if hi > lo and divergence >= DIVERGENCE:
-                state = state_of[name] = len(parent)
-                tree.states[-1][c] = state
-                parent.append(above)
-                rest.append(1 - (seen - DISCOUNT).sum() / occurs[c])
-                for w, own, e in zip(symbol[lo:hi].tolist(), (seen - DISCOUNT) / occurs[c], expected):
-                    chance[state, w] = own + rest[state] * e
-        deeper = np.flatnonzero((n >= least) & (symbol != end))
-        names = [(*names[c], w) for c, w in zip(candidate[deeper].tolist(), symbol[deeper].tolist())]
-        occurs = n[deeper].tolist()
-        tree.keys.append(key[deeper])
-    tree.parent, tree.rest = np.array(parent), np.array(rest)
-    flat = sorted((state * size + w, np.log10(p)) for (state, w), p in chance.items())
-    tree.entry_keys = np.array([k for k, _ in flat], np.int64)
-    tree.entry_logs = np.array([x for _, x in flat])
-    return tree
-
-
-def in_place(tree: Tree, hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sums = seen.groupBy("context").agg(
+            F.sum(F.col("n") * F.log2(F.col("n") / F.col("expected"))).alias("bits"), F.sum("n").alias("held"),
+            F.sum("expected").alias("expected"), F.count("*").alias("kept"))
+        sums = sums.join(contexts.select(F.col("key").alias("context"), F.col("n").alias("occurs"),
+                                         F.col("suffix").alias("parent")), "context")
+        other = 1 - F.col("held") / F.col("occurs")
+        above = F.greatest(F.lit(1e-12), 1 - F.col("expected"))
+        bits = (F.col("bits") - F.col("held") * F.log2("occurs")) / F.col("occurs") + F.when(
+            other > 1e-12, other * F.log2(other / above)).otherwise(0.0)
+        by_chance = F.col("kept") / (2 * math.log(2) * F.col("occurs"))
+        handed = 1 - (F.col("held") - DISCOUNT * F.col("kept")) / F.col("occurs")
+        tested = written(sums.select("context", "occurs", "parent",
+                                     F.when(bits - by_chance >= DIVERGENCE, handed).alias("handed")), "contexts")
+        parts.append(tested.filter("handed is not null").select(
+            F.col("context").alias("key"), F.col("occurs").alias("n"), no_base, F.lit(0.0), F.log10("handed"), "parent"))
+        own = (F.col("n") - DISCOUNT) / F.col("occurs") + F.col("handed") * F.col("expected")
+        known = written(seen.join(tested.drop("parent"), "context").select(
+            "key", "n", F.when(F.col("n") >= CONTEXT_COUNT, F.col("suffix")).alias("suffix"),
+            F.coalesce(own, F.col("expected")).alias("chance"),
+            (F.log10(own / F.col("expected")) - F.log10("handed")).alias("gram")), "chances")
+        erase(seen)
+        del seen, sums, bits, own, other, above, handed
+        free_shuffles(spark)
+        parts.append(known.filter("gram is not null").select("key", "n", no_base, "gram", F.lit(0.0), none))
+    return functools.reduce(DataFrame.union, parts), total, distinct
+
+
+def _held(made: DataFrame, total: int, distinct: int) -> Tree:
+    """What tasks hold: for each length of n-grams at most 1 / HELD_SHARE."""
+    rows = made.filter(F.col("n") >= HELD_SHARE * total).groupBy("key").agg(
+        F.sum("gram").alias("gram"), F.sum("rest").alias("rest"), F.max("parent").alias("parent")).toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    parent = rows.column("parent").drop_null().to_numpy()
+    return Tree(total, distinct, keys[order], rows.column("gram").to_numpy()[order], rows.column("rest").to_numpy()[order],
+                np.r_[0, parent])
+
+
+def learned(docs: DataFrame, table: DataFrame, depth: int = DEPTH) -> Tree:
+    """The tree of the training texts, whose words ``table`` counts, as far as tasks hold it."""
+    return _held(*model(docs, table, depth))
+
+
+def in_place(tree: Tree, hashes: np.ndarray, number: np.ndarray, depth: int = DEPTH) -> tuple:
     """``(word, score, base)`` of each token; a word the tree does not hold, -1, has only what leads to the root."""
-    word = found_in(tree.hashes, hashes)
-    state = np.zeros(len(word), np.int64)
-    for d, states in enumerate(tree.states, 1):
-        if len(states):
-            at = _candidates(tree, word, number, d)
-            longer = np.where(at >= 0, states[at], 0)
-            state = np.where(longer > 0, longer, state)
-    held = word >= 0
-    base = np.where(held, np.log10(tree.root(tree.counts[word])) if len(tree.counts) else 0.0, 0.0)
-    score = np.zeros(len(word))
-    live = np.arange(len(word))
-    with np.errstate(divide="ignore"):
-        rest = np.log10(tree.rest)
-    while len(live):
-        done = state[live] == 0
-        score[live[done]] += base[live[done]]
-        live = live[~done]
-        at = np.where(held[live], found_in(tree.entry_keys, state[live] * len(tree.hashes) + word[live]), -1)
-        hit = at >= 0
-        score[live[hit]] += tree.entry_logs[at[hit]]
-        live = live[~hit]
-        score[live] += rest[state[live]]
-        state[live] = tree.parent[state[live]]
+    score = np.zeros(len(hashes))
+    base, word = score, None
+    for length, keys in enumerate(ngrams(hashes, depth + 1), 1):
+        at = found_in(tree.keys, keys)
+        at[number < length - 1] = -1
+        hit = np.flatnonzero(at >= 0)
+        if word is None:
+            word = at
+            base = np.zeros(len(hashes))
+            base[hit] = tree.grams[at[hit]]
+        score[hit] += tree.grams[at[hit]]
+        # an n-gram that ends a text has no rest, so what follows is in the same row
+        hit = hit[hit < len(hashes) - 1]
+        score[hit + 1] += tree.rests[at[hit]]
     return word, score, base
 
 
@@ -232,19 +256,30 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     are their end alone. Repeated rows are learned from and scored once each. Without training texts every token is
     unknown and all scores are the smoothed zero count's.
     """
-    table = written(words(docs), "words")
-    tree = learned(docs, table, depth)
-    given = docs.sparkSession.sparkContext.broadcast(tree)
+    spark = docs.sparkSession
+    made, total, distinct = model(docs, written(words(docs), "words"), depth)
+    given = spark.sparkContext.broadcast((_held(made, total, distinct), _filter_of(made)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = given.value
+        held, bits = given.value
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch):
                 hashes, row, number = tokens(data, offsets)
-                word, score, base = in_place(known, hashes, number)
                 rows, ids = hi - lo, batch.column("doc_id").slice(lo, hi - lo)
-                rare = word < 0
-                owner, key = row[rare], hashes[rare]
+                known, base, score = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
+                owners, far = [], []
+                for length, keys in enumerate(ngrams(hashes, depth + 1), 1):
+                    at = found_in(held.keys, keys)
+                    whole = number >= length - 1
+                    hit = np.flatnonzero((at >= 0) & whole)
+                    score += np.bincount(row[hit], held.grams[at[hit]] + held.rests[at[hit]], rows)
+                    if length == 1:
+                        known += np.bincount(row[hit], minlength=rows)
+                        base += np.bincount(row[hit], held.grams[at[hit]], rows)
+                    rest = np.flatnonzero((at < 0) & whole & _maybe(bits, keys))
+                    owners.append(row[rest])
+                    far.append(keys[rest])
+                owner, key = np.concatenate(owners), np.concatenate(far)
                 order = np.lexsort((key, owner))
                 owner, key = owner[order], key[order]
                 new = np.ones(len(key), bool)
@@ -253,19 +288,19 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 cuts = np.searchsorted(owner[new], np.arange(rows + 1)).astype(np.int32)
                 pair = pa.StructArray.from_arrays([pa.array(signed(key[new])), pa.array(n)], ["key", "n"])
                 yield {"doc_id": ids, "held_out": [held_out(d) for d in ids.to_pylist()],
-                       "n_tokens": np.bincount(row, minlength=rows), "n_known": np.bincount(row[~rare], minlength=rows),
-                       "base": np.bincount(row, base, rows), "score": np.bincount(row, score, rows),
-                       "rare": pa.ListArray.from_arrays(pa.array(cuts), pair)}
-    rows = map_batches(id_text(docs), run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-                                           "score double, rare array<struct<key: long, n: long>>")
+                       "n_tokens": np.bincount(row, minlength=rows), "known": known, "base": base, "score": score,
+                       "far": pa.ListArray.from_arrays(pa.array(cuts), pair)}
+    rows = map_batches(id_text(docs), run, "doc_id long, held_out boolean, n_tokens long, known long, base double, "
+                                           "score double, far array<struct<key: long, n: long>>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    words_of = rows.select("row", F.inline("rare")).join(table.withColumnRenamed("n", "count"), "key", "left")
-    count = F.coalesce("count", F.lit(0))
-    chance = (count + PSEUDO) / (tree.total + PSEUDO * (tree.distinct + 1))
-    rest = words_of.groupBy("row").agg(F.sum(F.col("n") * F.log10(chance)).alias("logs"),
-                                       F.sum(F.when(count > 0, F.col("n")).otherwise(0)).alias("more"))
-    logs = F.coalesce("logs", F.lit(0.0))
-    return rows.join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"),
-        (F.col("score") + logs).alias("score"))
+    met = rows.select("row", F.inline("far")).join(
+        made.select("key", "base", (F.col("gram") + F.col("rest")).alias("value")), "key")
+    more = met.groupBy("row").agg(F.sum(F.col("n") * F.col("base")).alias("more_base"),
+                                  F.sum(F.col("n") * F.col("value")).alias("more_score"),
+                                  F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("more_known"))
+    rows = rows.drop("far").join(more, "row", "left").withColumn("n_known", F.col("known") + F.coalesce("more_known", F.lit(0)))
+    unseen = (F.col("n_tokens") - F.col("n_known")) * math.log10(PSEUDO / (total + PSEUDO * (distinct + 1)))
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + unseen).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0)) + unseen).alias("score"))
