@@ -1,7 +1,10 @@
 """Approximate nearest neighbours by inner product, with cross-polytope hashing (Andoni et al., 2015).
 
-Vectors are scaled by the largest norm and get one more coordinate that makes them unit vectors; a query gets a
-zero there, so that the order by inner product becomes the order by angle. Each table has a pseudo-rotation: three
+Vectors are indexed by bands of norm, each a factor of ``BAND`` wide and counted down from the largest norm. In a band
+they are scaled by its largest norm and get one more coordinate that makes them unit vectors; a query gets a zero
+there, so that the order by inner product becomes the order by angle. That coordinate stays below
+sqrt(1 - 1 / BAND ** 2), so buckets tell directions whatever the norms. Every query probes every band; a band of at most
+``PART`` vectors, as those of rare large norms are, is one bucket that every query meets. Each table has a pseudo-rotation: three
 rounds of random signs and a fast Hadamard transform. A vector falls into the bucket of the signed axis nearest
 to it. A query probes, in each table, the buckets of its ``probes`` nearest signed axes, and what it meets there
 is ranked by exact inner products of the original vectors.
@@ -25,6 +28,7 @@ NEIGHBOURS = 20
 #: Measured on the embeddings of the tests, these give a recall above 0.95.
 TABLES, PROBES = 10, 20
 PART = 2048
+BAND = 1.1
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -69,21 +73,42 @@ def _matrix(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return column.flatten().to_numpy(False).reshape(batch.num_rows, -1)
 
 
-def _with_axes(rows: DataFrame, tables: int, count: int, largest: float, is_query: bool) -> DataFrame:
-    """Add ``axes``: ``count`` buckets for each table, as ``table * 2 ** 20 + axis``."""
+def _with_axes(rows: DataFrame, tables: int, count: int, bands: dict[int, tuple] | None = None) -> DataFrame:
+    """Add ``axes``: ``count`` buckets for each table, as ``band * 2 ** 32 + table * 2 ** 20 + axis``.
+
+    ``bands`` has the largest norm and the size of each band; without it rows are queries, which have no band. The
+    one bucket of a small band is that of a further table.
+    """
+    small = {b for b, (_, n) in (bands or {}).items() if n <= PART}
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            unit = np.hstack([x / norm, np.zeros_like(norm)]) if is_query else \
-                np.hstack([x / largest, np.sqrt(np.maximum(0, 1 - (norm / largest) ** 2))])
-            axes = np.hstack([nearest_axes(unit, t, count) + (t << 20) for t in range(tables)])
+            x, norm = _matrix(batch), batch.column("norm").to_numpy()[:, None]
+            band = batch.column("band").to_numpy()[:, None]
+            if bands is None:
+                unit, band = np.hstack([x / norm, np.zeros_like(norm)]), np.zeros_like(band)
+            else:
+                top = np.array([bands[b][0] for b in band[:, 0].tolist()])[:, None]
+                unit = np.hstack([x / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))])
+            axes = np.hstack([nearest_axes(unit, t, count) + (t << 20) for t in range(tables)]
+                             + [np.full_like(band, tables << 20)]) + (band << 32)
+            if bands is not None:
+                axes = [a[-1:] if b in small else a[:-1] for a, b in zip(axes, batch.column("band").to_pylist())]
             yield {"vec_id": batch.column("vec_id"), "embedding": batch.column("embedding"), "axes": list(axes)}
     return map_batches(rows, run, "vec_id long, embedding array<double>, axes array<long>")
 
 
+def _with_bands(rows: DataFrame) -> DataFrame:
+    """Add ``norm`` and ``band``, 0 for the largest norms."""
+    rows = rows.withColumn("norm", F.array_max(F.transform("embedding", F.abs)))
+    rows = rows.withColumn("norm", F.col("norm") * F.sqrt(F.aggregate(
+        F.transform("embedding", lambda x: x / F.col("norm")), F.lit(0.0), lambda s, x: s + x * x)))
+    top = rows.agg(F.max("norm")).first()[0] or 1.0
+    return rows.withColumn("band", F.floor((F.log(F.lit(top)) - F.log("norm")) / F.log(F.lit(BAND))))
+
+
 def nearest(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS, tables: int = TABLES,
             probes: int = PROBES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row that ``is_query``, the nearest other rows found.
@@ -91,22 +116,24 @@ def nearest(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS,
     Ties of the score go to the least id. Vectors that are null, zero, or hold nulls or non-finite values are
     neither queries nor candidates, nor are those of another length than the commonest. No rows: no result.
     """
-    rows = written(usable(vectors), "vectors")
-    largest = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
+    rows = _with_bands(written(usable(vectors), "vectors"))
+    # doubles have fewer than 15,000 bands
+    bands = {r.band: (r.top, r.n) for r in rows.groupBy("band").agg(F.max("norm").alias("top"), F.count("*").alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     kept = rows.withColumn("copy", rank).filter(F.col("copy") <= neighbours + 1).drop("copy")
-    index = written(_with_axes(kept, tables, 1, largest, False), "index")
-    asked = written(_with_axes(rows.filter(is_query), tables, probes, largest, True), "queries")
+    index = written(_with_axes(kept, tables, 1, bands), "index")
+    asked = written(_with_axes(rows.filter(is_query), tables, probes), "queries")
 
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        sizes = df.select(F.explode("axes").alias("axis")).groupBy("axis").agg(F.count("*").alias("n"))
-        return sizes.select("axis", F.ceil(F.col("n") / PART).cast("int").alias(name))
-    # one row for each bucket: tables * axes
-    cut = F.broadcast(written(parts(index, "v_parts").join(parts(asked, "q_parts"), "axis"), "parts"))
+    def parts(df: DataFrame, axis: str, name: str) -> DataFrame:
+        sizes = df.select(F.explode("axes").alias(axis)).groupBy(axis).agg(F.count("*").alias("n"))
+        return sizes.select(axis, F.ceil(F.col("n") / PART).cast("int").alias(name))
+    # one row for each bucket: bands * tables * axes
+    cut = parts(index, "axis", "v_parts").withColumn("probe", F.col("axis").bitwiseAND(F.lit((1 << 32) - 1)))
+    cut = F.broadcast(written(cut.join(parts(asked, "probe", "q_parts"), "probe"), "parts"))
 
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+    def dealt(df: DataFrame, on: str, own: str, other: str) -> DataFrame:
         """Each row once in a part of its own side, for every part of the other side."""
-        placed = df.withColumn("axis", F.explode("axes")).drop("axes").join(cut, "axis")
+        placed = df.withColumn(on, F.explode("axes")).drop("axes").join(cut, on).drop("probe")
         placed = placed.withColumn(own[0], F.pmod(F.xxhash64("vec_id", "axis"), F.col(own)).cast("int"))
         return placed.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("v_parts", "q_parts")
 
@@ -126,9 +153,11 @@ def nearest(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS,
                 out.append((np.repeat(own, real.sum(axis=1)), ids[order][real], picked[real]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
-    keys = ["axis", "v", "q"]
-    met = dealt(asked, "q_parts", "v_parts").groupBy(*keys).cogroup(dealt(index, "v_parts", "q_parts").groupBy(*keys))
-    found = met.applyInArrow(best, "query_id long, vec_id long, score double")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(ranked))
-            .filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score"))
+    def matched(queries: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+        both = queries.groupBy(*keys).cogroup(found.groupBy(*keys))
+        pairs = both.applyInArrow(best, "query_id long, vec_id long, score double")
+        ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return (pairs.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(ranked))
+                .filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score"))
+    return matched(dealt(asked, "probe", "q_parts", "v_parts"), dealt(index, "axis", "v_parts", "q_parts"),
+                          "axis", "v", "q")

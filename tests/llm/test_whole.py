@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import suffix_tree
+from kinfold.llm import ann, suffix_tree
 
 from llm import cases
 
@@ -73,3 +73,30 @@ def test_rare_contexts_are_kept_in_a_large_corpus(spark):
     got = [x for x in suffix_tree.scored(cases.frame(spark, rows)).collect() if x.held_out]
     # "phrase", "here" and the end follow with certainty; only "rare" is as unlikely as at the root
     assert got[0].score > got[0].base_score + 10
+
+
+def _neighbours_met(spark, x):
+    """Share of the true neighbours that are found; every query has as many rows as there can be."""
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for g in ann.nearest(rows, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(g.query_id, []).append((g.rank, g.vec_id))
+    score, hits, total = x @ x.T, 0, min(20, len(x) - 1)
+    for q in range(0, len(x), 20):
+        want = [i for i in np.argsort(-score[q], kind="stable") if i != q][:total]
+        found = sorted(got[q])
+        assert [r for r, _ in found] == list(range(1, total + 1))
+        hits += len({i for _, i in found} & set(want))
+    return hits / total / len(range(0, len(x), 20))
+
+
+@pytest.mark.parametrize("norms", ["outlier", "mixed"])
+def test_neighbours_of_vectors_of_any_norm(spark, norms):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "outlier":
+        x[1] *= 20
+    else:
+        x *= r.lognormal(0, 1, (len(x), 1))
+    assert _neighbours_met(spark, x) >= 0.95
