@@ -12,6 +12,8 @@ is ranked by exact inner products of the original vectors.
 Equal vectors are one group of which only the ``neighbours + 1`` least ids can ever be an answer; the others
 are left out by a rank that is limited before the shuffle. A bucket is cut into parts of about ``PART``
 vectors and ``PART`` queries, from counts of the buckets; parts are matched independently and each query's best of each are merged.
+
+A query that met fewer rows than it can have is answered by an exact scan of all vectors, in blocks.
 """
 
 from __future__ import annotations
@@ -119,6 +121,7 @@ def nearest(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS,
     rows = _with_bands(written(usable(vectors), "vectors"))
     # doubles have fewer than 15,000 bands
     bands = {r.band: (r.top, r.n) for r in rows.groupBy("band").agg(F.max("norm").alias("top"), F.count("*").alias("n")).collect()}
+    wanted = min(neighbours, sum(n for _, n in bands.values()) - 1)
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     kept = rows.withColumn("copy", rank).filter(F.col("copy") <= neighbours + 1).drop("copy")
     index = written(_with_axes(kept, tables, 1, bands), "index")
@@ -159,5 +162,17 @@ def nearest(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS,
         ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return (pairs.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(ranked))
                 .filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score"))
-    return matched(dealt(asked, "probe", "q_parts", "v_parts"), dealt(index, "axis", "v_parts", "q_parts"),
-                          "axis", "v", "q")
+    met = written(matched(dealt(asked, "probe", "q_parts", "v_parts"), dealt(index, "axis", "v_parts", "q_parts"),
+                          "axis", "v", "q"), "met")
+    full = met.groupBy("query_id").count().filter(F.col("count") >= wanted).select("query_id")
+    short = written(asked.drop("axes").join(full.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti"), "short")
+    n_short = short.count()
+    if not n_short:
+        return met
+
+    def blocks(df: DataFrame, own: str, n: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    q, v = -(-n_short // PART), -(-index.count() // PART)
+    scan = matched(blocks(short, "q", q, "v", v), blocks(index.drop("axes"), "v", v, "q", q), "v", "q")
+    return met.join(full, "query_id", "left_semi").unionByName(scan)

@@ -100,3 +100,14 @@ def test_neighbours_of_vectors_of_any_norm(spark, norms):
     else:
         x *= r.lognormal(0, 1, (len(x), 1))
     assert _neighbours_met(spark, x) >= 0.95
+
+
+def test_few_vectors_are_all_neighbours(spark):
+    r = np.random.default_rng(10)
+    for n in (1 + 1, 15, 41):
+        assert _neighbours_met(spark, r.normal(size=(n, 64))) == 1.0
+
+
+def test_queries_whose_buckets_hold_too_few_rows_are_scanned(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART", 8)
+    assert _neighbours_met(spark, np.random.default_rng(10).normal(size=(41, 64))) >= 0.6
