@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import ann, bpe, lines, minhash, packing, quality, sharding, spotsigs, substrings, suffix_tree, text
+from kinfold.llm import (ann, bpe, divergence, lines, minhash, negatives, packing, quality, sharding, spotsigs, substrings,
+                         suffix_tree, text, token_files)
 from kinfold.llm.text import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +126,85 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = text.importable(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+def token_encoder() -> token_files.Encoder:
+    import public_tokenizers
+    return token_files.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = token_files.new_folder(spark)
+    token_files.written_files(documents(spark, sf_dir), token_encoder, end=1, vocabulary=49408, root=root)
+    return token_files.read_back(spark, root)
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(documents(spark, sf_dir))
+
+
+ORACLE["op12_source_divergence"] = r"""
+with docs as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text
+  from documents),
+occurring as (
+  select row, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from docs),
+kept as (select lang, term from occurring group by lang, term having count(distinct row) >= 3),
+groups as (select distinct lang, source from docs),
+counts as (
+  select lang, source, term, count(*) as n from occurring join kept using (lang, term) group by lang, source, term),
+dense as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint as n
+  from groups g join kept k using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+shares as (
+  select lang, source, term, n, 1 + (1000000000::hugeint * (n + 1)) // (sum(n) over g + count(*) over g)::hugeint as p
+  from dense window g as (partition by lang, source)),
+whole as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(n)::hugeint + 1))
+    // (sum(sum(n)) over (partition by lang) + count(*) over (partition by lang))::hugeint as q
+  from dense group by lang, term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+both_parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q)) // q from shares join whole using (lang, term) where n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from both_parts)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked
+where part = 'pair' or rank <= 200"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = text.importable(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_hard_negatives"] = r"""
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from rows a, rows b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (
+         partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5"""
