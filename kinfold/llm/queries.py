@@ -130,7 +130,7 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_encoder() -> token_files.Encoder:
     import public_tokenizers
-    return token_files.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.piece_encoder(public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query

@@ -74,7 +74,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(name).cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-def pieces(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, name: str = "text", size: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows as ``(first, last + 1, bytes, offsets)``; null texts are empty."""
     column = batch.column(name).cast(pa.large_binary()).fill_null(b"")
     _, place, data = column.buffers()
@@ -82,7 +82,7 @@ def pieces(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), len(column))
         yield first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
         first = last

@@ -14,6 +14,7 @@ mount, or a store that ``pyarrow.fs`` knows by its URI, which is read in blocks
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,66 +25,161 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.text import id_text, map_batches, pieces
+from kinfold.llm.text import LOWER, SEPARATOR, id_text, map_batches, pieces, word_spans
 from kinfold.session import scratch_dir
 
 #: Bytes of text, and documents, that a part is meant to hold.
 PART_TEXT, PART_DOCS = 64 << 20, 1 << 22
+#: Bytes of text that are encoded at a time; a single longer text is taken whole.
+ENCODED = 1 << 21
 #: Ids that a reader turns into rows at a time; a longer document is taken whole.
 READ_IDS = 1 << 20
-#: Distinct words whose ids an encoder keeps, and the longest of them in bytes.
-KNOWN_WORDS, KNOWN_BYTES = 1 << 18, 64
+#: Distinct pieces whose ids an encoder keeps, and how many it asks the library for as one text.
+KNOWN, ASKED = 1 << 18, 1000
+#: Put between words that the library cuts itself.
+MARK = b"\x01"
+#: Letters, digits and what is neither, of lower-case ASCII; the letters that make an ending by themselves.
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_CLASS = np.full(256, _SIGN, np.int8)
+_CLASS[97:123], _CLASS[48:58], _CLASS[SEPARATOR] = _LETTER, _DIGIT, 0
+_SHORT = np.frombuffer(b"stmd", np.uint8)
+#: First byte of U+00C0 to U+00FF, and all bytes that words which are cut consist of.
+_LATIN = 0xC3
+_CUT = bytes([*range(0xC0), _LATIN])
 _MANIFEST = "part int, name string, n_docs long, n_null long, n_ids long, id_bytes int"
 
-Encoder = Callable[[list[bytes]], list[np.ndarray]]
+#: From the bytes of some texts and where each begins, closed by the end of the last, to all ids and the number of each.
+Encoder = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def word_encoder(path: str) -> Encoder:
-    """The ``tokenizers`` vocabulary at ``path`` as an encoder that asks the library for each distinct word once.
+def library_encoder(path: str) -> Encoder:
+    """Any ``tokenizers`` vocabulary, every text given to the library as it is."""
+    from tokenizers import Tokenizer
+    made = Tokenizer.from_file(path)
+
+    def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text = data.tobytes()
+        return _joined(made, [text[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
+    return encode
+
+
+def _joined(made, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    ids = [e.ids for e in made.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+    return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
 
-    Only for vocabularies that drop white space before they look for tokens, so that a text's ids are those of the words
-    between its ASCII spaces, in turn. Words it has seen are kept up to a bound; when it is met all are
-    forgotten, and long words are asked for each time.
+def piece_encoder(path: str) -> Encoder:
+    """The same ids as ``library_encoder``, but the library is asked for each distinct piece of text once.
+
+    Only for vocabularies that, as that of ``cut_pieces``, lower-case, drop white space and cut at its classes before they
+    merge, and mark the last token of a piece by ``</w>``: a text's ids are those of its pieces in turn. Pieces it has seen are
+    kept up to a bound; when it is met all are forgotten. Texts with a special token's name are left to the library whole.
     """
     from tokenizers import Tokenizer
     made = Tokenizer.from_file(path)
+    special = [t.content.encode() for t in made.get_added_tokens_decoder().values()]
+    last = np.zeros(made.get_vocab_size(), bool)
+    for token, i in made.get_vocab().items():
+        last[i] = token.endswith("</w>")
+    mark = _joined(made, [MARK])[0]
     known: dict[bytes, int] = {}
     flat, starts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
 
-    def learn(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = made.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in got]
-        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+    def asked(pieces: list[bytes], between: bytes, ends: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each piece, many pieces to a text; ``ends`` tells the last id of each."""
+        ids, _ = _joined(made, [between.join(pieces[i:i + ASKED] + [b""]) for i in range(0, len(pieces), ASKED)])
+        sizes = np.diff(np.flatnonzero(ends(ids)) + 1, prepend=0)
+        if len(sizes) != len(pieces):
+            raise ValueError("the vocabulary does not cut text where this encoder does")
+        return ids, sizes
+
+    def learn(new: list[bytes]) -> None:
+        """Pieces that were cut end with a token that is marked so; after other words a mark of their own is put."""
+        plain, words, rest = [], [], []
+        for w in new:
+            (plain if not w.translate(None, _CUT) else rest if MARK in w else words).append(w)
+        ids, sizes = asked(plain, b" ", lambda x: last[x])
+        more, spans = asked(words, b" " + MARK + b" ", lambda x: x == mark)
+        own, lengths = _joined(made, rest)
+        flat[0] = np.concatenate([flat[0], ids, more[more != mark], own])
+        starts[0] = np.concatenate([starts[0], starts[0][-1] + np.cumsum(np.concatenate([sizes, spans - 1, lengths]))])
+        known.update(zip(plain + words + rest, range(len(known), len(known) + len(new))))
 
-    def encode(texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        if len(known) > KNOWN_WORDS:
+    def of_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(known) > KNOWN:
             known.clear()
             flat[0], starts[0] = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        new = list({w for ws in words for w in ws if w not in known})
-        all_flat, all_starts, index = flat[0], starts[0], known
-        if new:
-            new.sort(key=len)
-            ids, sizes = learn(new)
-            base = len(all_starts) - 1
-            all_flat = np.concatenate([all_flat, ids])
-            all_starts = np.concatenate([all_starts, all_starts[-1] + np.cumsum(sizes)])
-            short = sum(len(w) <= KNOWN_BYTES for w in new)
-            known.update(zip(new[:short], range(base, base + short)))
-            flat[0], starts[0] = all_flat[:all_starts[base + short]].copy(), all_starts[:base + short + 1].copy()
-            if short < len(new):
-                index = known | dict(zip(new[short:], range(base + short, base + len(new))))
-        out = []
-        for ws in words:
-            at = np.fromiter((index[w] for w in ws), np.int64, len(ws))
-            sizes = all_starts[at + 1] - all_starts[at]
-            ends = np.cumsum(sizes)
-            places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(all_starts[at] - (ends - sizes), sizes)
-            out.append(all_flat[places])
-        return out
+        pieces, first = cut_pieces(data, offsets)
+        found = pieces.dictionary_encode()
+        names = found.dictionary.to_pylist()
+        if new := [w for w in names if w not in known]:
+            learn(new)
+        at = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[found.indices.to_numpy()]
+        begin = starts[0][at]
+        sizes = starts[0][at + 1] - begin
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        return flat[0][np.arange(ends[-1]) + np.repeat(begin - ends[:-1], sizes)], np.diff(ends[first])
+
+    def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text = data.tobytes()
+        if not any(s in text for s in special):
+            return of_pieces(data, offsets)
+        each = [text[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        made_of = [_joined(made, [t]) if any(s in t for s in special) else of_pieces(
+            np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in each]
+        return np.concatenate([m[0] for m in made_of]), np.concatenate([m[1] for m in made_of])
     return encode
 
 
+def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of some texts, and the number of pieces before each text.
+
+    A word of ASCII and the letters from U+00C0 to U+00FF, which no normal form changes, is lower-cased and cut into runs of
+    letters, single digits, runs of anything else, and the English endings ``'s 't 're 've 'm 'll 'd`` where nothing but
+    a letter or digit precedes the quote. A word that holds any other character is one piece, as it is.
+    """
+    starts, ends, _ = word_spans(data, offsets)
+    low, inside = LOWER[data], ~SEPARATOR[data]
+    kind = _CLASS[low]
+    odd = data >= 128
+    latin = np.flatnonzero(data == _LATIN)  # U+00C0 and on: this byte and one more
+    odd[latin] = odd[latin + 1] = False
+    second = low[latin + 1]
+    sign = (second == 0x97) | (second == 0xB7)  # the signs of multiplication and division
+    kind[latin] = kind[latin + 1] = np.where(sign, _SIGN, _LETTER)
+    low[latin + 1] = np.where((second <= 0x9E) & ~sign, second + 32, second)
+    high = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(odd, out=high[1:])
+    other = high[ends] > high[starts]
+    whole = np.zeros(len(data) + 1, np.int8)
+    whole[starts[other]] += 1
+    np.subtract.at(whole, ends[other], 1)
+    whole = np.cumsum(whole[:-1], dtype=np.int8).view(bool)
+    kind[whole] = 0
+    new = inside & (kind == _DIGIT)
+    new[1:] |= inside[1:] & (kind[1:] != kind[:-1])
+    begins = np.zeros(len(data) + 3, bool)  # and what is behind the end begins nothing that an ending could reach into
+    begins[starts], begins[len(data):] = True, True
+    new |= begins[:len(data)]
+    padded = np.concatenate([low, np.zeros(3, np.uint8)])
+    quote = np.flatnonzero(new & (low == 39) & ~whole)
+    one, two = padded[quote + 1], padded[quote + 2]
+    short = np.isin(one, _SHORT) & ~begins[quote + 1]
+    long = ~begins[quote + 1] & ~begins[quote + 2] & (
+        ((two == 101) & ((one == 114) | (one == 118))) | ((one == 108) & (two == 108)))
+    new = np.concatenate([new, np.zeros(3, bool)])
+    for hit, size in ((quote[short], 2), (quote[long], 3)):
+        new[hit + 1] = False
+        behind = hit + size
+        new[behind] |= (np.concatenate([inside, np.zeros(3, bool)]))[behind]
+    new = np.flatnonzero(new[:len(data)])
+    packed = np.where(whole, data, low)[inside]
+    before = np.cumsum(inside, dtype=np.int32) - inside
+    places = np.append(before[new], len(packed)).astype(np.int64)
+    made = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(places), pa.py_buffer(packed)])
+    return made, np.searchsorted(new, offsets)
+
+
 def _place(root: str) -> tuple:
     """The file system of a folder and its path there."""
     from pyarrow import fs
@@ -117,13 +213,11 @@ def written_files(docs: DataFrame, encoder: Callable[[], Encoder], end: int, voc
                 store.open_output_stream(f"{folder}/offsets-{name}.bin") as offsets_out, \
                 store.open_output_stream(f"{folder}/docs-{name}.bin") as docs_out:
             for batch in (b for some in ((first,), filled) for b in some):
-                for low, high, data, offsets in pieces(batch):
+                for low, high, data, offsets in pieces(batch, size=ENCODED):
                     own = batch.column("doc_id").slice(low, high - low)
-                    data = data.tobytes()
-                    found = [np.append(x, np.uint32(end)) for x in encode(
-                        [data[a:b] for a, b in zip(offsets[:-1], offsets[1:])])]
-                    sizes = np.array([len(x) for x in found], np.int64)
-                    ids_out.write(np.concatenate(found).astype(kind).tobytes())
+                    ids, sizes = encode(data, offsets)
+                    ids_out.write(np.insert(ids, np.cumsum(sizes), end).astype(kind).tobytes())
+                    sizes = sizes + 1
                     offsets_out.write((at + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
                     docs_out.write(own.fill_null(0).to_numpy().astype("<i8").tobytes())
                     at, docs_n, nulls = at + int(sizes.sum()), docs_n + len(sizes), nulls + own.null_count

@@ -60,13 +60,26 @@ def test_token_files_wide_ids_repeats_and_nothing(spark):
     assert token_files.read_back(spark, root).collect() == []
 
 
-def test_word_encoder_forgets_and_still_agrees(monkeypatch):
+def encoded(encode, texts):
+    raw = [t.encode() for t in texts]
+    ids, sizes = encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+QUOTES = ["don't", "'s", "it''s", "'", "''", "x'", "'re've'll", "'rex", "i'l", "'tis 'twas", "a'S!", "!'s", "9's'9", "o'clock' s", "'ll'", "d'", "'d",
+          "rock'n'roll'm", "'v", "'r", "s", "t", "", "re", "'x's", "é's don't", "l\x01'été x\x01y", "ÀÞßÿ×÷ É's é×3 Ð'S \u00d7\u00f7' ª²\u00a0x Ÿ", "H\u0331 h\u0331 A\u030a"]
+
+
+def test_piece_encoder_equals_the_library(monkeypatch):
     import public_tokenizers
-    monkeypatch.setattr(token_files, "KNOWN_WORDS", 20)
-    encode, texts = token_files.word_encoder(public_tokenizers.path("word_bpe_49k.json")), [t or "" for _, t in corpus(1, 30)] + ODD
-    for at in range(0, len(texts), 3):
-        some = texts[at:at + 3]
-        assert [x.tolist() for x in encode([t.encode() for t in some])] == library()(some)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [t or "" for _, t in corpus(1, 30)] + ODD + QUOTES + ["".join(random.Random(i).choice("ab'st  9!.éÉ×’\n<|lre") for _ in range(60)) for i in range(300)]
+    for known, step in ((20, 3), (1 << 18, 1000)):
+        monkeypatch.setattr(token_files, "KNOWN", known)
+        encode, plain = token_files.piece_encoder(path), token_files.library_encoder(path)
+        for at in range(0, len(texts), step):
+            some = texts[at:at + step]
+            assert encoded(encode, some) == encoded(plain, some) == library()(some)
 
 
 def test_op11_whole_table(spark):
