@@ -91,7 +91,8 @@ def counted(texts: DataFrame) -> DataFrame:
                         found, held = {}, 0
         if held:
             yield given()
-    parts = map_batches(texts, run, _COUNTED)
+    # rows are gathered before they leave the worker, so another round of it before the shuffle would only cost time
+    parts = map_batches(texts, run, _COUNTED).repartition("lang", "source", "term")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
