@@ -14,6 +14,7 @@ mount, or a store that ``pyarrow.fs`` knows by its URI, which is read in blocks
 
 from __future__ import annotations
 
+import functools
 import itertools
 import uuid
 import zlib
@@ -52,6 +53,7 @@ _MANIFEST = "part int, name string, n_docs long, n_null long, n_ids long, id_byt
 Encoder = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+@functools.cache
 def library_encoder(path: str) -> Encoder:
     """Any ``tokenizers`` vocabulary, every text given to the library as it is."""
     from tokenizers import Tokenizer
@@ -68,12 +70,13 @@ def _joined(made, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
+@functools.cache
 def piece_encoder(path: str) -> Encoder:
     """The same ids as ``library_encoder``, but the library is asked for each distinct piece of text once.
 
     Only for vocabularies that, as that of ``cut_pieces``, lower-case, drop white space and cut at its classes before they
     merge, and mark the last token of a piece by ``</w>``: a text's ids are those of its pieces in turn. Pieces it has seen are
-    kept up to a bound; when it is met all are forgotten. Texts with a special token's name are left to the library whole.
+    kept up to a bound by the worker, for all its tasks; when it is met all are forgotten. Texts with a special token's name are left to the library whole.
     """
     from tokenizers import Tokenizer
     made = Tokenizer.from_file(path)
