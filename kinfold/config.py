@@ -25,3 +25,5 @@ class Config:
     skew_seconds: int = 0
     #: A join key with more than 1/hot_key_share of all rows is joined apart.
     hot_key_share: int = 256
+    #: Folders of a published table; an export rewrites those it has rows for.
+    key_buckets: int = 64

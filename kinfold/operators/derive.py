@@ -88,10 +88,13 @@ def exploded(contributed: DataFrame) -> DataFrame:
 
 def batch_metrics(contributed: DataFrame) -> DataFrame:
     """Counts of one batch: read, upserts (also per kind), skipped messages."""
+    return contributed.agg(*[c.alias(n) for n, c in batch_counts().items()])
+
+
+def batch_counts() -> dict[str, Column]:
+    """The same as aggregates, for a job that counts while it folds."""
     none = F.array_contains("observed", F.col("kind"))
-    return contributed.agg(
-        F.count("*").alias("read"),
-        sum((F.count(f"c_{k}") for k in V.KINDS[1:]), F.count(f"c_{V.KINDS[0]}")).alias("upserts"),
-        *[F.count(f"c_{k}").alias(k) for k in V.KINDS],
-        F.count_if(F.col("kind") == UNKNOWN).alias("skipped_unknown"),
-        F.count_if((F.col("kind") != UNKNOWN) & ~none).alias("skipped_empty"))
+    upserts = sum((F.count(f"c_{k}") for k in V.KINDS[1:]), F.count(f"c_{V.KINDS[0]}"))
+    return {"read": F.count("*"), "upserts": upserts, **{k: F.count(f"c_{k}") for k in V.KINDS},
+            "skipped_unknown": F.count_if(F.col("kind") == UNKNOWN),
+            "skipped_empty": F.count_if((F.col("kind") != UNKNOWN) & ~none)}

@@ -520,3 +520,47 @@ ORACLE["child_payloads"] = _profiles(" UNION ALL ".join(
 ORACLE["publish_key_fallback"] = _profiles(
     "SELECT * FROM (SELECT coalesce(CASE WHEN length(grouping_key) % 2 = 1 THEN grouping_key END, 'passport::' || passport, "
     "'email::' || email, 'phone::' || phone) AS grouping_key, passport, email, phone FROM profiles) WHERE grouping_key IS NOT NULL")
+ORACLE["wide_type_change"] = """WITH c AS (SELECT c_custkey AS k FROM customer),
+stored AS (
+  SELECT 0 AS e, k, k::VARCHAR AS score, '9007199254740993' AS large, 'true' AS sure, NULL AS added_late FROM c
+  UNION ALL
+  SELECT 1, k, CASE WHEN k % 3 >= 1 THEN k || '.5' ELSE k || '.0' END, CASE WHEN k % 3 >= 1 THEN '0.5' ELSE '9007199254740993' END,
+    'true', NULL FROM c
+  UNION ALL
+  SELECT 2, k, CASE k % 3 WHEN 2 THEN 'n/a' WHEN 1 THEN k || '.5' ELSE k || '.0' END,
+    CASE WHEN k % 3 >= 1 THEN '0.5' ELSE '9007199254740993' END, CASE k % 3 WHEN 2 THEN '1' ELSE 'true' END,
+    CASE k % 3 WHEN 2 THEN '1,x' END FROM c)
+SELECT CAST(e AS BIGINT) AS export, 'k' || k AS person_id, score, CASE e WHEN 0 THEN 'bigint' WHEN 1 THEN 'double' ELSE 'string' END AS score_type,
+  large, CASE e WHEN 0 THEN 'bigint' ELSE 'string' END AS large_type, sure, CASE WHEN e < 2 THEN 'boolean' ELSE 'string' END AS sure_type,
+  'c' || k AS company, 'string' AS company_type, added_late, CASE e WHEN 2 THEN 'string' END AS added_late_type FROM stored"""
+ORACLE["export_partial_rewrite"] = _profiles(
+    "SELECT grouping_key, passport, CASE grouping_key WHEN 'passport::p7' THEN 'changed' ELSE phone END AS phone, "
+    "count(*) OVER () AS first_export, CAST(1 AS BIGINT) AS second_export, true AS one_bucket_a_table FROM profiles "
+    "WHERE grouping_key LIKE 'passport::%'")
+_LATE = base("personal", "bank")
+ORACLE["export_counters"] = f"""{_LATE},
+late AS (SELECT *, topic = 'hr.bank' AND regexp_matches(passport, '[13579]$') AS second FROM live),
+states AS (
+  SELECT e.export, proposed_key, max(second::INT) AS newest, {', '.join(f'bool_or(has_{k}) AS {k}' for k in V.KINDS)}
+  FROM late, (VALUES (0), (1)) e(export) WHERE e.export = 1 OR NOT second GROUP BY ALL),
+changed AS (SELECT * FROM states WHERE newest = export),
+ready AS (SELECT *, personal AND bank AS complete FROM changed)
+SELECT CAST(export AS BIGINT) AS export, count(*) AS changed, count(*) FILTER (complete) AS published,
+  count(*) FILTER (complete) AS persons, {', '.join(f"count(*) FILTER (complete AND {k}) AS {t}" for k, t in V.CHILD_TABLES.items())},
+  true AS timed FROM ready GROUP BY ALL"""
+ORACLE["stream_landing_counters"] = f"""
+SELECT CAST(2 AS BIGINT) AS batches, count(*) + count(*) FILTER (event_id // 3 % 3 = 0) AS consumed,
+  count(*) FILTER ({_BAD}) + count(*) FILTER ({_BAD} AND event_id // 3 % 3 = 0) AS errors,
+  count(*) FILTER (NOT ({_BAD})) AS landed, count(*) FILTER ({_BAD}) AS dead,
+  count(*) FILTER (NOT ({_BAD}) AND event_id // 3 % 3 = 0) AS duplicates, true AS timed FROM events"""
+_MADE = (f"CAST(sum({' + '.join(f'has_{k}::INT' for k in V.KINDS)}) AS BIGINT) AS upserts, "
+         f"{', '.join(f'count(*) FILTER (has_{k}) AS {k}' for k in V.KINDS)}, count(*) FILTER (kind = 'unknown') AS skipped_unknown, "
+         f"count(*) FILTER (kind <> 'unknown' AND NOT CASE kind {' '.join(f"WHEN '{k}' THEN own_{k}" for k in V.KINDS)} END) AS skipped_empty")
+ORACLE["stream_profile_counters"] = f"""{base("personal", "net")}
+SELECT CAST((topic = 'hr.personal')::INT AS BIGINT) AS batch, count(*) + any_value(bad) AS consumed, any_value(bad) AS errors,
+  count(*) AS read, {_MADE}, any_value(merged) AS merges, true AS timed
+FROM (SELECT *, CASE topic WHEN 'hr.net' THEN (SELECT count(*) FROM events WHERE {_BAD}) ELSE 0 END AS bad,
+        CASE topic WHEN 'hr.personal' THEN (
+          SELECT count(DISTINCT user_id) FROM events JOIN customer ON user_id = c_custkey
+          WHERE NOT ({_BAD}) AND event_id % 8 IN (0, 2, 4)) ELSE 0 END AS merged
+      FROM added WHERE NOT (topic = 'hr.net' AND off % 50 IN (0, 10, 20, 30))) GROUP BY topic"""

@@ -9,9 +9,13 @@ from kinfold import vocabulary as V
 from kinfold.config import Config
 from kinfold.functions.fields import is_object, json_of, let
 from kinfold.functions.text import as_timestamp, column_name
+from kinfold.operators.counters import Counters
 from kinfold.operators.fold import complete
 from kinfold.operators.upsert import COALESCE_NEW, newest_per_key, upsert
+from kinfold.plans.tables import merge_into
+from kinfold.plans.wide import item_text, wide_rows
 from kinfold.session import scratch, written
+from kinfold.streaming.profiles import ProfileStore
 from kinfold.streaming.store import stored
 
 
@@ -133,32 +137,17 @@ def children(profiles: DataFrame, as_of: Column) -> DataFrame:
             .select("kind", "grouping_key", F.to_json("block").alias("data"), "updated_at"))
 
 
-def _item_text(item: Column) -> Column:
-    kind = F.schema_of_variant(item)
-    return (F.when(F.is_variant_null(item), "None").when(kind == "STRING", item.cast("string"))
-            .when(kind == "BOOLEAN", F.initcap(item.cast("string"))).otherwise(json_of(item)))
-
-
-def nesting(df: DataFrame, block: Column) -> int:
-    """Levels of objects within the blocks of ``df``, their own included: one aggregate over their brackets."""
-    braces = F.regexp_replace(F.regexp_replace(F.to_json(block), r'"(?:[^"\\]|\\.)*"', ""), "[^{}]", "")
-    steps = F.aggregate(F.split(braces, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, c: F.struct(
-        (s["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"),
-        F.greatest(s["most"], s["now"] + F.when(c == "{", 1).otherwise(0)).alias("most")))
-    return df.agg(F.max(steps["most"])).first()[0] or 1
-
-
 def flat_pairs(block: Column, parent: Column | None = None, depth: int = 3) -> Column:
     """``array<struct<name, value>>`` of a nested block: keys joined and cleaned, lists as text, nulls dropped.
 
-    ``depth`` is how many levels of objects lie within the block's values; ``nesting`` tells it from the data.
+    ``depth`` is how many levels of objects lie within the block's values; ``plans.wide`` needs no such bound.
     """
     def pair(e: Column) -> Column:
         raw = e["key"] if parent is None else F.concat(parent, F.lit("__"), e["key"])
 
         def rows(name: Column) -> Column:
             value = e["value"]
-            listed = F.array_join(F.transform(value.cast("array<variant>"), _item_text), ",").cast("variant")
+            listed = F.array_join(F.transform(value.cast("array<variant>"), item_text), ",").cast("variant")
             one = F.array(F.struct(name.alias("name"), F.when(
                 F.schema_of_variant(value).startswith("ARRAY"), listed).otherwise(value).alias("value")))
             nothing = F.filter(one, lambda _: F.lit(False))
@@ -169,33 +158,9 @@ def flat_pairs(block: Column, parent: Column | None = None, depth: int = 3) -> C
 
 
 def wide_children(profiles: DataFrame, kind: str) -> DataFrame:
-    """One typed column per field of the kind's blocks, person key and times in front.
-
-    Only the list of column names and types comes to the driver; it is the table's schema. The
-    flattened rows are written before it is read, so profiles are folded once.
-    """
-    blocks = written(profiles.filter(F.size(payload(profiles, kind)) > 0).select(
-        publish_key(profiles).alias("grouping_key"), "created_at", "updated_at", payload(profiles, kind).alias("block")),
-        f"blocks-{kind}")
-    depth = nesting(blocks, F.col("block")) - 1
-    df = written(blocks.select("grouping_key", "created_at", "updated_at", flat_pairs(F.col("block"), depth=depth).alias(
-        "pairs")), f"wide-{kind}")
-    names = (df.select(F.inline("pairs")).groupBy("name")
-             .agg(F.schema_of_variant_agg("value").alias("type")).orderBy("name").collect())
-
-    def column_type(found: str) -> str:
-        if found.startswith("DECIMAL") or found in ("DOUBLE", "FLOAT"):
-            return "double"
-        return {"BOOLEAN": "boolean", "BIGINT": "bigint"}.get(found, "string")
-
-    def column(name: str, found: str) -> Column:
-        value = F.element_at(F.filter("pairs", lambda p: p["name"] == name), -1)
-        kind_of = column_type(found)
-        has = F.exists("pairs", lambda p: p["name"] == name)
-        return F.when(has, value["value"].cast(kind_of)).alias(name)
-
-    return df.select(F.col("grouping_key").alias("person_id"), "grouping_key", "created_at", "updated_at",
-                     *[column(r["name"], r["type"]) for r in names])
+    """One typed column per field of the kind's blocks, person key and times in front."""
+    return wide_rows(profiles.filter(F.size(payload(profiles, kind)) > 0).select(
+        publish_key(profiles).alias("grouping_key"), "created_at", "updated_at", payload(profiles, kind).alias("block")))
 
 
 def export_metrics(profiles: DataFrame, as_of: Column) -> DataFrame:
@@ -216,6 +181,22 @@ def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return spark.createDataFrame([], like.schema)
 
 
+def tables_of(ready: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """Rows of the person table and of each child table."""
+    tables = {"persons": newest_per_key(persons(ready, as_of), "grouping_key", ["updated_at"])}
+    kids = written(children(ready, as_of), "children")
+    for kind, name in V.CHILD_TABLES.items():
+        rows = kids.filter(F.col("kind") == kind).drop("kind")
+        tables[name] = newest_per_key(rows, "grouping_key", ["updated_at"])
+    return tables
+
+
+def wide_tables_of(ready: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """Rows of the person table and of each child table with a column for each field."""
+    tables = {"persons": newest_per_key(persons(ready, as_of, composed=True), "grouping_key", ["updated_at"])}
+    return tables | {name: wide_children(ready, kind) for kind, name in V.CHILD_TABLES.items()}
+
+
 def publish(profiles: DataFrame, root: str, version: int, as_of: Column, previous: int | None = None,
             config: Config = Config(), policy: str = "replace") -> None:
     """Write version ``version`` of all tables under ``root``: the previous one with ``profiles`` merged in.
@@ -225,13 +206,7 @@ def publish(profiles: DataFrame, root: str, version: int, as_of: Column, previou
     """
     spark = profiles.sparkSession
     ready = written(gate(profiles, config.required_kinds), "export")
-    people = newest_per_key(persons(ready, as_of), "grouping_key", ["updated_at"])
-    kids = written(children(ready, as_of), "children")
-    tables = {"persons": people}
-    for kind, name in V.CHILD_TABLES.items():
-        rows = kids.filter(F.col("kind") == kind).drop("kind")
-        tables[name] = newest_per_key(rows, "grouping_key", ["updated_at"])
-    for name, rows in tables.items():
+    for name, rows in tables_of(ready, as_of).items():
         old = _stored(spark, f"{root}/version={previous}/{name}", rows)
         keep = ("created_at",) if name == "persons" else ()
         upsert(old, rows, "grouping_key", policy, keep_first=keep).write.mode("overwrite").parquet(
@@ -275,19 +250,65 @@ def publish_wide(profiles: DataFrame, root: str, version: int, as_of: Column, pr
     spark = profiles.sparkSession
     with scratch(spark):
         ready = written(_with_times(gate(profiles, config.required_kinds), as_of), "export")
-        tables = {"persons": newest_per_key(persons(ready, as_of, composed=True), "grouping_key", ["updated_at"])}
-        tables |= {name: wide_children(ready, kind) for kind, name in V.CHILD_TABLES.items()}
-        for name, rows in tables.items():
+        for name, rows in wide_tables_of(ready, as_of).items():
             old = _stored(spark, f"{root}/version={previous}/{name}", rows)
             merge = upsert_persons_keep if name == "persons" else upsert_children_wide
             merge(old, rows).write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
 
 
 def upsert_children_wide(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    """Wide rows replaced by person; columns new to the table are added; the first creation time stays."""
-    return upsert(stored, rows, "person_id")
+    """Fields a person's block has replace the stored ones, and those it lacks stay; so does the first creation time.
+
+    Columns new to the table are added, and a column whose field changed its type is widened.
+    """
+    return upsert(stored, rows, "person_id", COALESCE_NEW)
 
 
 def upsert_persons_keep(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Person rows merged without ever blanking a stored identifier."""
     return upsert(stored, rows, "grouping_key", COALESCE_NEW)
+
+
+#: What an export counts: profiles that changed and those of them it published, buckets it rewrote, rows for each table.
+EXPORTED = ["changed", "published", "buckets", "persons", *V.CHILD_TABLES.values()]
+
+
+def publish_changes(store: ProfileStore, root: str, as_of: Column, config: Config = Config()) -> int | None:
+    """Merge all complete profiles that changed behind the checkpoint into the tables under ``root``, then move it.
+
+    A batch writes the whole state of each profile it touches, so the folders of later batches hold all there is to
+    publish: nothing older is read, and a profile that is complete by now has a state there. Of each table only
+    the buckets of those profiles are rewritten. Tables come first, the checkpoint last: a job lost in between publishes the
+    same rows again, which the upsert makes harmless. The number of the export, None when nothing changed.
+    """
+    spark, counted = store.spark, Counters()
+    export, upto, _ = load_checkpoint(spark, root)
+    with scratch(spark):
+        changed = counted.watch(store.changes(upto), changed=F.count("*"), upto=F.max("version"))
+        ready = written(counted.watch(gate(changed, config.required_kinds), published=F.count("*")), "pending")
+        totals = counted.totals()
+        if not totals["changed"]:
+            return None
+        for name, rows in tables_of(ready, as_of).items():
+            counted.add(buckets=merge_into(
+                counted.watch(rows, **{name: F.count("*")}), f"{root}/{name}", "grouping_key", config.key_buckets,
+                keep_first=("created_at",) if name == "persons" else ()))
+    counted.save(spark, root, export + 1, *EXPORTED)
+    state = spark.createDataFrame([(totals["upto"], None)], "change long, last_id string")
+    state.coalesce(1).write.mode("overwrite").parquet(f"{root}/state/version={export + 1}")
+    return export + 1
+
+
+def export_wide(profiles: DataFrame, root: str, as_of: Column, config: Config = Config()) -> Counters:
+    """Merge complete profiles into the wide tables under ``root``, of which only their buckets are rewritten.
+
+    A field whose type changed widens its column, in all files of its table.
+    """
+    spark, counted = profiles.sparkSession, Counters()
+    with scratch(spark):
+        ready = written(_with_times(counted.watch(
+            gate(profiles, config.required_kinds), published=F.count("*")), as_of), "export")
+        for name, rows in wide_tables_of(ready, as_of).items():
+            counted.add(buckets=merge_into(counted.watch(rows, **{name: F.count("*")}), f"{root}/{name}",
+                                           "grouping_key" if name == "persons" else "person_id", config.key_buckets, COALESCE_NEW))
+    return counted

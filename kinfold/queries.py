@@ -14,16 +14,18 @@ from kinfold.functions import text as T
 from kinfold.functions.fields import decode
 from kinfold.operators import derive, refine, resolve, typed, upsert
 from kinfold.operators.blocks import light_block
+from kinfold.operators.counters import counters, summed
 from kinfold.operators.fold import exact_profiles
 from kinfold.plans import extract as E
 from kinfold.plans import publish as P
 from kinfold.plans import reports as R
+from kinfold.plans.tables import table
 from kinfold.session import configure, scratch_dir, written
 from kinfold.sources import landing as L
 from kinfold.sources import message_view as mv
 from kinfold.sources.envelope import ENVELOPE, dead_letters, decoded, file_stream, strict_fields, with_fields
 from kinfold.streaming import landing as SL
-from kinfold.streaming.profiles import ProfileStore, profile_query
+from kinfold.streaming.profiles import FOLDED, ProfileStore, profile_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -440,6 +442,47 @@ def wide_upsert(spark, sf_dir):
     return persons.join(bank.select(F.col("person_id").alias("grouping_key"), "iban", "swift"), "grouping_key", "left")
 
 
+def _one_block(spark: SparkSession, sf_dir: str, kind: str, body: Column, rows: Column) -> DataFrame:
+    """Profiles of customers with a single block, read from the JSON text ``body``."""
+    nothing = F.lit(None).cast("map<string,variant>")
+    return mv.table(spark, sf_dir, "customer").filter(rows).select(
+        F.concat(F.lit("k"), "c_custkey").alias("grouping_key"), F.array(F.lit(kind)).alias("types_received"),
+        *[F.lit("2024-01-15").cast("timestamp").alias(c) for c in ("created_at", "updated_at")],
+        F.struct(*[(decode(body) if k == kind else nothing).alias(k) for k in V.KINDS]).alias("data"))
+
+
+@query
+def wide_type_change(spark, sf_dir):
+    """Fields that are whole numbers, then fractions, then text: their columns widen and keep what is stored."""
+    root, config = _root(spark), Config(required_kinds=[], key_buckets=8)
+    bodies = ('{"score":%1$d,"large":9007199254740993,"sure":true,"company":"c%1$d"}', '{"score":%1$d.5,"large":0.5}',
+              '{"score":"n/a","sure":1,"added":{"late":[1,"x"]}}')
+    seen = []
+    for i, body in enumerate(bodies):
+        rows = _one_block(spark, sf_dir, "professional", F.format_string(body, "c_custkey"), F.col("c_custkey") % 3 >= i)
+        P.export_wide(rows, root, _as_of(), config)
+        stored = written(table(spark, f"{root}/{V.CHILD_TABLES['professional']}"), "stored")
+        types = dict(stored.dtypes)
+        seen.append(stored.select(
+            F.lit(i).cast("long").alias("export"), "person_id", *[c for n in ("score", "large", "sure", "company", "added_late") for c in (
+                (F.col(n) if n in types else F.lit(None)).cast("string").alias(n), F.lit(types.get(n)).alias(f"{n}_type"))]))
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
+
+
+@query
+def export_partial_rewrite(spark, sf_dir):
+    """Tables after a second export of a few profiles: those rows are new, all others stay, few buckets are written."""
+    root, config = _root(spark), Config(required_kinds=[], key_buckets=64)
+    made = written(people(spark, sf_dir).filter("grouping_key like 'passport::%'"), "people")
+    first = P.export_wide(made, root, _as_of(), config).totals()
+    some = made.filter("grouping_key = 'passport::p7'").withColumn("identifiers", F.col("identifiers").withField("phone", F.lit("changed")))
+    second = P.export_wide(some, root, _as_of(), config).totals()
+    rows = table(spark, f"{root}/persons").select("grouping_key", "passport", "phone")
+    one_bucket_a_table = second["buckets"] == sum(n > 0 for t, n in second.items() if t not in ("buckets", "published"))
+    return rows.select("*", F.lit(first["published"]).cast("long").alias("first_export"), F.lit(second["published"]).cast(
+        "long").alias("second_export"), F.lit(one_bucket_a_table).alias("one_bucket_a_table"))
+
+
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stored and incoming person rows made from customers; they overlap in the middle."""
     base = mv.table(spark, sf_dir, "customer").selectExpr(
@@ -669,16 +712,54 @@ def stream_profiles_two_sources(spark, sf_dir):
     return flat(store.profiles())
 
 
-@query
-def publish_late_profiles(spark, sf_dir):
-    """Profiles that messages older than the last export complete are published by the next one, each once."""
+def _late_exports(spark: SparkSession, sf_dir: str) -> tuple[str, list[DataFrame]]:
+    """A store fed and exported twice; bank messages of odd passports come with the second batch. The persons after each."""
     root, config = _root(spark), Config(required_kinds=["personal", "bank"])
-    store = ProfileStore(spark, f"{root}/store", config)
+    store, people = ProfileStore(spark, f"{root}/store", config), []
     bank = mv.envelopes(spark, sf_dir, "bank")
     odd = F.get_json_object(F.col("value").cast("string"), "$.passport").rlike("[13579] $")
     for i, rows in enumerate((mv.envelopes(spark, sf_dir, "personal").unionByName(bank.filter(~odd)), bank.filter(odd))):
         profile_query(file_stream(spark, _as_files(spark, rows, 1), 1), store, f"{root}/checkpoint{i}").awaitTermination()
-        P.publish_next(store.profiles(), f"{root}/tables", _as_of(), config)
-    people = [spark.read.parquet(f"{root}/tables/version={v}/persons") for v in (0, 1)]
+        P.publish_changes(store, f"{root}/tables", _as_of(), config)
+        people.append(written(table(spark, f"{root}/tables/persons"), "persons"))
+    return root, people
+
+
+@query
+def publish_late_profiles(spark, sf_dir):
+    """Profiles that messages older than the last export complete are published by the next one, each once."""
+    _, people = _late_exports(spark, sf_dir)
     first = people[0].select("grouping_key", F.lit(0).cast("long").alias("export"))
     return people[1].join(first, "grouping_key", "left").select("grouping_key", F.coalesce("export", F.lit(1).cast("long")).alias("export"))
+
+
+@query
+def export_counters(spark, sf_dir):
+    """What two exports counted while they ran: profiles changed and published, rows for each table."""
+    root, _ = _late_exports(spark, sf_dir)
+    return counters(spark, f"{root}/tables", *P.EXPORTED).select(
+        F.col("batch").alias("export"), "changed", "published", "persons", *V.CHILD_TABLES.values(),
+        ((F.col("seconds") > 0) & (F.col("rate") > 0)).alias("timed"))
+
+
+@query
+def stream_landing_counters(spark, sf_dir):
+    """What the batches of a landing stream counted while they ran, summed."""
+    records, root = _broken(spark, sf_dir), _root(spark)
+    stream = file_stream(spark, _as_files(spark, records.unionByName(records.filter("offset % 3 = 0")), 4), 2)
+    SL.landing_query(stream, root, f"{root}/checkpoint").awaitTermination()
+    whole = summed(counters(spark, root, *SL.COUNTED), *SL.COUNTED)
+    return whole.select("batches", *SL.COUNTED, (F.col("consumed") - F.col("errors") - F.col("landed")).alias("duplicates"),
+                        ((F.col("seconds") > 0) & (F.col("rate") > 0)).alias("timed"))
+
+
+@query
+def stream_profile_counters(spark, sf_dir):
+    """What two batches of a profile stream counted while they ran: messages, errors, upserts, groups merged away."""
+    root = _root(spark)
+    store = ProfileStore(spark, f"{root}/store")
+    for i, rows in enumerate((_broken(spark, sf_dir), mv.envelopes(spark, sf_dir, "personal"))):
+        profile_query(file_stream(spark, _as_files(spark, rows, 1), 1), store, f"{root}/checkpoint{i}").awaitTermination()
+    return counters(spark, store.root, *FOLDED).select(
+        "batch", "consumed", "errors", "read", "upserts", "merges", *V.KINDS, "skipped_unknown", "skipped_empty",
+        ((F.col("seconds") > 0) & (F.col("rate") > 0)).alias("timed"))

@@ -72,17 +72,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the ``scratch`` it is asked for in."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The plan is computed once, its lineage is cut, and a lost executor costs only a re-read.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

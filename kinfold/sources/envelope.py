@@ -55,7 +55,12 @@ def decoded(envelopes: DataFrame, *kept: str) -> DataFrame:
 
 def messages(envelopes: DataFrame) -> DataFrame:
     """Good messages only."""
-    return decoded(envelopes).filter(F.col("fields").isNotNull()).drop("value")
+    return good(decoded(envelopes))
+
+
+def good(rows: DataFrame) -> DataFrame:
+    """Those of decoded rows that are messages."""
+    return rows.filter(F.col("fields").isNotNull()).drop("value")
 
 
 def dead_letters(envelopes: DataFrame) -> DataFrame:

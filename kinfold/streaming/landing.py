@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kinfold.operators.counters import Counters
 from kinfold.operators.typed import exact_kind
 from kinfold.sources.envelope import decoded
 from kinfold.sources.landing import COORDS, new_rows
 from kinfold.streaming.store import folder_number, stored, stream_id
 
+#: What a batch counts: records, those it could not read, and new rows of both tables.
+COUNTED = ["consumed", "errors", "landed", "dead"]
 LANDED = ("topic string, partition int, offset long, ts timestamp, raw_id string, payload string, batch long")
 DEAD = "topic string, partition int, offset long, ts timestamp, raw_id string, value binary, batch long"
 
@@ -30,7 +33,7 @@ def land_batch(envelopes: DataFrame, batch: int, root: str, stream: str = "") ->
     Of several bodies at one coordinate the first stays: of those of earlier batches, of whatever stream,
     then of those of this batch in the order they are read. The same holds for dead letters.
     """
-    spark = envelopes.sparkSession
+    spark, counted = envelopes.sparkSession, Counters()
     number = folder_number(spark, root, stream, batch)
     rows = decoded(envelopes.withColumn("arrival", F.monotonically_increasing_id()), "arrival")
     rows = rows.withColumn("good", F.col("fields").isNotNull()).drop("fields").persist(StorageLevel.MEMORY_AND_DISK)
@@ -38,15 +41,18 @@ def land_batch(envelopes: DataFrame, batch: int, root: str, stream: str = "") ->
     def add(fresh: DataFrame, earlier: DataFrame, name: str) -> None:
         """File statistics prune the earlier rows to the offset range of this batch."""
         known = earlier.filter((F.col("batch") != number) & F.col("offset").between(low, high))
-        new = new_rows(fresh, known, "arrival").drop("arrival")
+        new = counted.watch(new_rows(fresh, known, "arrival").drop("arrival"), **{name: F.count("*")})
         new.sortWithinPartitions(*COORDS).write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
     try:
-        spread = rows.agg(F.min("offset").alias("low"), F.max("offset").alias("high")).first()
+        spread = rows.agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.count("*").alias("n"),
+                          F.count_if(~F.col("good")).alias("bad")).first()
         low, high = (spread["low"] or 0), (spread["high"] or 0)
+        counted.add(consumed=spread["n"], errors=spread["bad"])
         add(rows.filter("good").drop("good", "value"), landed(spark, root), "landed")
         add(rows.filter("not good").drop("good", "payload"), dead(spark, root), "dead")
     finally:
         rows.unpersist()
+    counted.save(spark, root, number, *COUNTED)
 
 
 def landing_query(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -15,15 +15,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kinfold.config import Config
 from kinfold.operators.components import components
+from kinfold.operators.counters import Counters
+from kinfold.operators.derive import batch_counts
 from kinfold.operators.fold import SLOTS, merge, profiles
 from kinfold.operators.resolve import labelled, link_edges, token_set_states
 from kinfold.operators.skew import lookup
 from kinfold.plans.extract import contribute
 from kinfold.session import scratch, written
-from kinfold.sources.envelope import messages
+from kinfold.sources.envelope import decoded, good
 from kinfold.streaming.store import folder_number, stored, stream_id
+from kinfold.vocabulary import KINDS
 
 STATE = [*SLOTS, "best", "first_ts", "last_ts"]
+#: What a batch counts: envelopes and those it could not read, then messages, upserts of blocks, profiles written and merged away.
+FOLDED = ["consumed", "errors", "read", "upserts", "profiles", "merges", *KINDS, "skipped_unknown", "skipped_empty"]
 #: Marks a stored profile as a vertex of the link graph; no token starts like this.
 NODE = "~"
 
@@ -84,14 +89,24 @@ class ProfileStore:
     def profiles(self) -> DataFrame:
         return profiles(self.current(), F.col("key"), "version")
 
-    def merge_batch(self, contributed: DataFrame, stream_batch: int, stream: str = "") -> int:
-        """Fold one batch of a stream into the store; the store's number of the batch is the version of its changes."""
+    def changes(self, since: int | None) -> DataFrame:
+        """Profiles that batches behind ``since`` changed, as they are now, from the folders of those batches alone."""
+        rows = self._rows("states", None)
+        return profiles(self._newest_states(rows if since is None else rows.filter(F.col("batch") > since)), F.col("key"), "version")
+
+    def merge_batch(self, contributed: DataFrame, stream_batch: int, stream: str = "", counted: Counters | None = None) -> int:
+        """Fold one batch of a stream into the store; the store's number of the batch is the version of its changes.
+
+        What the batch did is counted while it runs, and kept as the batch's row of counters.
+        """
         batch = folder_number(self.spark, self.root, stream, stream_batch)
+        counted = counted or Counters()
         with scratch(self.spark):
-            self._merge(contributed, batch)
+            self._merge(counted.watch(contributed, **batch_counts()), batch, counted)
+        counted.save(self.spark, self.root, batch, *FOLDED)
         return batch
 
-    def _merge(self, contributed: DataFrame, batch: int) -> None:
+    def _merge(self, contributed: DataFrame, batch: int, counted: Counters) -> None:
         fresh = written(token_set_states(contributed, self.config), "batch-states")
         edges = link_edges(fresh)
         tokens = (fresh.select(F.explode("tokens").alias("token"))
@@ -111,13 +126,13 @@ class ProfileStore:
             nodes = old.withColumn("tokens", F.array(F.concat(F.lit(NODE), "key")))
             rows = rows.unionByName(labelled(nodes.withColumnRenamed("key", "old_key").drop("version"), labels, self.config))
         rows = written(rows, "labelled")
-        heads = written(
-            merge(rows, "label").withColumn("key", F.coalesce(F.col("best")["key"], F.concat(F.lit("?"), "label"))),
-            "heads")
+        heads = merge(rows, "label").withColumn("key", F.coalesce(F.col("best")["key"], F.concat(F.lit("?"), "label")))
+        heads = written(counted.watch(heads, profiles=F.count("*")), "heads")
         keys = heads.select("label", "key")
         share = self.config.hot_key_share
-        moved = written(lookup(rows.filter("old_key is not null").select("label", "old_key"), keys, "label", share)
-                        .filter("old_key <> key").select("old_key", "key"), "moved")
+        moved = lookup(rows.filter("old_key is not null").select("label", "old_key"), keys, "label", share).filter(
+            "old_key <> key").select("old_key", "key")
+        moved = written(counted.watch(moved, merges=F.count("*")), "moved")
         gone = moved.select(F.col("old_key").alias("key"), F.lit(True).alias("gone"))
         (heads.select("key", *STATE).withColumn("gone", F.lit(False))
          .unionByName(gone, allowMissingColumns=True)
@@ -136,6 +151,8 @@ class ProfileStore:
 def profile_query(stream: DataFrame, store: ProfileStore, checkpoint: str, **trigger) -> StreamingQuery:
     """Fold a stream of broker records into the store."""
     def fold(df: DataFrame, batch: int) -> None:
-        store.merge_batch(contribute(messages(df), store.config), batch, stream_id(df.sparkSession))
+        counted = Counters()
+        rows = counted.watch(decoded(df), consumed=F.count("*"), errors=F.count_if(F.col("fields").isNull()))
+        store.merge_batch(contribute(good(rows), store.config), batch, stream_id(df.sparkSession), counted)
     return (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
