@@ -331,7 +331,7 @@ ORACLE["profile_completeness"] = (
 ORACLE["profile_fold"] = _profiles(f"SELECT {FLAT} FROM profiles")
 ORACLE["profile_fold_observed"] = f"{base()},{fold('proposed_key', 'live', observed=True)} SELECT {FLAT} FROM profiles"
 _TOKENS = ", ".join(f"'{i}=' || {i}" for i in V.IDENTIFIERS)
-RESOLVED = f"""{base(*PEOPLE)},
+_RESOLVE = f""",
 tokens AS (
   SELECT *, list_filter([{_TOKENS}, CASE WHEN proposed_key LIKE 'fullnamedob::%' THEN 'key=' || proposed_key END],
                         lambda t: t IS NOT NULL) AS ts_list FROM added),
@@ -351,6 +351,8 @@ grouped AS (
   WHERE {' OR '.join('has_' + k for k in V.KINDS)}),
 heads AS (SELECT label, arg_min(proposed_key, row(31 - presence, ord)) AS out_key FROM grouped GROUP BY label),
 resolved AS (SELECT g.*, h.out_key FROM grouped g JOIN heads h USING (label))"""
+RESOLVED = base(*PEOPLE) + _RESOLVE
+ORACLE["resolve_all_views"] = f"{base(*ALL)}{_RESOLVE},{fold('label', 'resolved', out_key='out_key')} SELECT {FLAT} FROM profiles"
 ORACLE["resolve_components"] = f"{RESOLVED},{fold('label', 'resolved', out_key='out_key')} SELECT {FLAT} FROM profiles"
 ORACLE["resolve_mapping"] = (
     f"{RESOLVED} SELECT DISTINCT proposed_key, out_key AS grouping_key FROM resolved WHERE proposed_key <> out_key")
@@ -564,3 +566,33 @@ FROM (SELECT *, CASE topic WHEN 'hr.net' THEN (SELECT count(*) FROM events WHERE
           SELECT count(DISTINCT user_id) FROM events JOIN customer ON user_id = c_custkey
           WHERE NOT ({_BAD}) AND event_id % 8 IN (0, 2, 4)) ELSE 0 END AS merged
       FROM added WHERE NOT (topic = 'hr.net' AND off % 50 IN (0, 10, 20, 30))) GROUP BY topic"""
+ORACLE["hub_identifiers"] = """WITH tokens AS (
+  SELECT unnest(['passport=p' || user_id, 'phone=+34 ' || CASE WHEN event_id % 3 = 0 THEN '000' ELSE event_id::VARCHAR END,
+    CASE WHEN event_id % 20 = 0 THEN 'email=desk' || (event_id % 40) || '@acme.com' END]) AS token FROM events),
+counted AS (SELECT token, count(*) AS n FROM tokens WHERE token IS NOT NULL GROUP BY token),
+whole AS (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS "of" FROM counted)
+SELECT token, n, "of" FROM whole WHERE n * 250 > "of\""""
+ORACLE["extract_addresses"] = (
+    f"{base('text', 'chat')} SELECT raw_id, iban, swift, ipv4, md5(ipv6) AS ipv6_md5 FROM scored WHERE coalesce(iban, swift, ipv4, ipv6) IS NOT NULL")
+_TIMES = "[epoch_us(TIMESTAMP '2024-01-10 03:04:05'), epoch_us(TIMESTAMP '2024-01-10 01:04:05'), epoch_us(TIMESTAMP '2024-01-10 03:04:05'), NULL]"
+ORACLE["persons_text_times"] = _profiles(
+    "SELECT grouping_key, coalesce(created, updated) AS created_us, updated AS updated_us FROM (SELECT grouping_key, "
+    f"{_TIMES}[length(grouping_key) % 4 + 2] AS created, coalesce({_TIMES}[length(grouping_key) % 4 + 1], "
+    "epoch_us(TIMESTAMP '2024-02-01')) AS updated FROM profiles)")
+ORACLE["first_hundred_fields"] = (
+    f"{_ALL_MESSAGES}, oldest AS (SELECT *, row_number() OVER (ORDER BY ts, topic, part, off) AS place FROM m QUALIFY place <= 100) "
+    "SELECT 'field' AS part, item, count(*) AS n FROM (SELECT unnest(keys) AS item FROM oldest) GROUP BY item UNION ALL "
+    "SELECT 'sample', raw_id, place FROM oldest WHERE place <= 5")
+ORACLE["stream_kind_sets"] = f"""{RESOLVED},{fold('label', 'resolved', out_key='out_key')}
+SELECT 'kinds' AS report, kinds::VARCHAR AS item, count(*) AS n FROM profiles GROUP BY ALL
+UNION ALL SELECT 'kind', unnest(string_split(types, ',')) AS item, count(*) FROM profiles GROUP BY item
+UNION ALL SELECT 'profiles', 'all', count(*) FROM profiles
+UNION ALL SELECT 'profiles', 'complete', count(*) FILTER (is_complete) FROM profiles
+UNION ALL SELECT 'completeness', 'received', CAST(sum(kinds) AS BIGINT) FROM profiles
+UNION ALL SELECT 'completeness', 'needed', count(*) * 5 FROM profiles"""
+ORACLE["landing_expiry"] = f"""
+SELECT ts::DATE::VARCHAR AS day, CASE WHEN {_BAD} THEN 'dead' ELSE 'landed' END AS state, count(*) AS n FROM events
+WHERE ts::DATE >= (SELECT max(ts::DATE) FROM events WHERE NOT ({_BAD})) - 10 GROUP BY ALL"""
+ORACLE["stream_progress"] = """
+SELECT CAST(3 AS BIGINT) AS batches, count(*) FILTER (event_id // 3 % 4 < 3) AS rows, count(*) FILTER (event_id // 3 % 4 = 3) AS pending,
+  true AS timed FROM events"""

@@ -14,7 +14,7 @@ from kinfold.operators.fold import complete
 from kinfold.operators.upsert import COALESCE_NEW, newest_per_key, upsert
 from kinfold.plans.tables import merge_into
 from kinfold.plans.wide import item_text, wide_rows
-from kinfold.session import scratch, written
+from kinfold.session import exists, scratch, written
 from kinfold.streaming.profiles import ProfileStore
 from kinfold.streaming.store import stored
 
@@ -173,12 +173,7 @@ def export_metrics(profiles: DataFrame, as_of: Column) -> DataFrame:
 
 
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], like.schema)
+    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], like.schema)
 
 
 def tables_of(ready: DataFrame, as_of: Column) -> dict[str, DataFrame]:

@@ -53,6 +53,24 @@ def global_completeness(profiles: DataFrame) -> DataFrame:
     return sums.withColumn("completeness_pct", percent(F.col("received"), F.col("needed")))
 
 
+def kind_sets(profiles: DataFrame) -> DataFrame:
+    """``(kinds, n)``: profiles of each set of kinds. There are at most 32, and the reports below need no more."""
+    return profiles.groupBy(F.array_sort(types_or_empty()).alias("kinds")).agg(F.count("*").alias("n"))
+
+
+def kind_set_reports(sets: DataFrame, required: list[str] = V.KINDS) -> DataFrame:
+    """``(report, item, n)``: profiles by number of kinds, by kind, complete, all; and kinds received and possible."""
+    def row(report: str, item: Column, n: Column) -> Column:
+        return F.struct(F.lit(report).alias("report"), item.alias("item"), n.cast("long").alias("n"))
+    size, n = F.size("kinds"), F.col("n")
+    rows = F.concat(
+        F.array(row("kinds", size.cast("string"), n), row("profiles", F.lit("all"), n),
+                row("profiles", F.lit("complete"), F.when(complete(F.col("kinds"), required), n).otherwise(0)),
+                row("completeness", F.lit("received"), size * n), row("completeness", F.lit("needed"), n * len(V.KINDS))),
+        F.transform("kinds", lambda k: row("kind", k, n)))
+    return sets.select(F.inline(rows)).groupBy("report", "item").agg(F.sum("n").alias("n"))
+
+
 def field_frequency(messages: DataFrame, first: int | None = None) -> DataFrame:
     """Messages per top-level field; over all messages unless ``first`` asks for the oldest few."""
     rows = messages if first is None else messages.orderBy("ts", "topic", "partition", "offset").limit(first)
@@ -60,6 +78,22 @@ def field_frequency(messages: DataFrame, first: int | None = None) -> DataFrame:
             .groupBy("field").agg(F.count("*").alias("n")))
 
 
+def first_fields(messages: DataFrame, first: int = 100, samples: int = 5) -> DataFrame:
+    """``(part, item, n)``: messages per field over the oldest ``first``, and the ids of the oldest ``samples`` by place.
+
+    Both come from one top-k; what follows works on ``first`` rows.
+    """
+    rows = messages.orderBy("ts", "topic", "partition", "offset").limit(first)
+    place = F.row_number().over(Window.orderBy("ts", "topic", "partition", "offset")).cast("long")
+
+    def part(name: str, item: Column, n: Column) -> Column:
+        return F.struct(F.lit(name).alias("part"), item.alias("item"), n.cast("long").alias("n"))
+    fields = F.transform(F.array_distinct(F.map_keys("fields")), lambda k: part("field", k, F.lit(1)))
+    sample = F.filter(F.array(part("sample", F.col("raw_id"), F.col("place"))), lambda s: s["n"] <= samples)
+    parts = rows.withColumn("place", place).select(F.inline(F.concat(fields, sample)))
+    return parts.groupBy("part", "item").agg(F.sum("n").alias("n"))
+
+
 def count_by_field(messages: DataFrame, field: str) -> DataFrame:
     """Messages per value of a top-level field (as JSON text; null when absent)."""
     value = F.to_json(F.try_element_at("fields", F.lit(field)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators.upsert import REPLACE, merged_types, upsert
-from kinfold.session import written
+from kinfold.session import exists, written
 
 #: Names of fields never begin with an underscore once they are cleaned.
 BUCKET = "_bucket"
@@ -26,12 +26,7 @@ def table(spark: SparkSession, path: str) -> DataFrame | None:
 
     Files written before a column came up lack it, so schemas are merged.
     """
-    try:
-        return spark.read.option("mergeSchema", True).parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return None
+    return spark.read.option("mergeSchema", True).parquet(path) if exists(spark, path) else None
 
 
 def merge_into(rows: DataFrame, path: str, key: str, buckets: int, policy: str = REPLACE,

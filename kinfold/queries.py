@@ -12,7 +12,7 @@ from kinfold import vocabulary as V
 from kinfold.config import PREFER_OBSERVED, Config
 from kinfold.functions import text as T
 from kinfold.functions.fields import decode
-from kinfold.operators import derive, refine, resolve, typed, upsert
+from kinfold.operators import derive, hubs, refine, resolve, typed, upsert
 from kinfold.operators.blocks import light_block
 from kinfold.operators.counters import counters, summed
 from kinfold.operators.fold import exact_profiles
@@ -26,6 +26,7 @@ from kinfold.sources import message_view as mv
 from kinfold.sources.envelope import ENVELOPE, dead_letters, decoded, file_stream, strict_fields, with_fields
 from kinfold.streaming import landing as SL
 from kinfold.streaming.profiles import FOLDED, ProfileStore, profile_query
+from kinfold.streaming.progress import ProgressTable, progress_rows, remaining
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,6 +202,15 @@ def extract_patterns(spark, sf_dir):
                         T.find_ipv4(F.col("joined")).alias("ipv4"))
 
 
+@query
+def extract_addresses(spark, sf_dir):
+    """What the pattern rules read from free text and conversations, as it goes into the blocks; long values by their hash."""
+    rows = E.extract(mv.messages(spark, sf_dir, "text", "chat"))
+    found = rows.select("raw_id", *[block_text(F.col(b), f).alias(f) for b, f in (
+        ("b_bank", "iban"), ("b_bank", "swift"), ("b_net", "ipv4"), ("b_net", "ipv6"))])
+    return found.filter("coalesce(iban, swift, ipv4, ipv6) is not null").select("raw_id", "iban", "swift", "ipv4", F.md5("ipv6").alias("ipv6_md5"))
+
+
 @query
 def identifiers(spark, sf_dir):
     rows = E.keyed(mv.messages(spark, sf_dir))
@@ -299,6 +309,32 @@ def resolve_mapping(spark, sf_dir):
     return resolve.merges(resolve.key_mapping(contributed(spark, sf_dir, *PEOPLE)))
 
 
+@query
+def resolve_all_views(spark, sf_dir):
+    """Persons over the messages of all seven views: free text and conversations name identifiers of nobody or anybody."""
+    return flat(resolve.resolved_profiles(contributed(spark, sf_dir, *mv.VIEWS)))
+
+
+def _switchboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event messages of which a third name one telephone, and a twentieth one of two e-mail addresses."""
+    rows = mv.table(spark, sf_dir, "events")
+    phone = F.when(F.col("event_id") % 3 == 0, "+34 000").otherwise(F.concat(F.lit("+34 "), "event_id"))
+    email = F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("desk"), F.col("event_id") % 40, F.lit("@acme.com")))
+    body = F.to_json(F.struct(F.concat(F.lit("P"), "user_id").alias("passport"), phone.alias("phone"), email.alias("email")))
+    return with_fields(rows.select(
+        F.lit("hr.desk").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").cast("long").alias("offset"),
+        F.col("ts").cast("timestamp").alias("ts"), body.alias("payload"), F.concat(F.lit("desk_"), "event_id").alias("raw_id")))
+
+
+@query
+def hub_identifiers(spark, sf_dir):
+    """Identifiers that more than one in 250 links goes through, from merged sketches of four batches."""
+    tokens = written(hubs.linking_tokens(E.keyed(_switchboard(spark, sf_dir)).select("offset", "tokens")), "tokens")
+    batches = [hubs.sketched(tokens.filter(F.pmod(F.xxhash64("token", F.monotonically_increasing_id()), F.lit(4)) == i)) for i in range(4)]
+    sketches = written(batches[0].unionByName(batches[1]).unionByName(batches[2]).unionByName(batches[3]), "sketches")
+    return hubs.hubs(tokens, hubs.combined(sketches), 250)
+
+
 @query
 def merge_groups(spark, sf_dir):
     """Groups of the exact fold merged along the identifier they share with a customer's passport group."""
@@ -375,6 +411,16 @@ def persons_rows(spark, sf_dir):
                                             micros("updated_at").alias("updated_us"))
 
 
+@query
+def persons_text_times(spark, sf_dir):
+    """Times that came as text: with a zone, with an offset, without either, and no time at all."""
+    texts = ["2024-01-10T03:04:05Z", "2024-01-10T03:04:05+02:00", "2024-01-10 03:04:05", "soon"]
+    which = F.length("grouping_key") % 4
+    text = F.get(F.array(*[F.lit(t) for t in texts]), which)
+    rows = people(spark, sf_dir).withColumns({"created_at": F.get(F.array(*[F.lit(t) for t in texts[1:]]), which), "updated_at": text})
+    return P.persons(rows, _as_of()).select("grouping_key", micros("created_at").alias("created_us"), micros("updated_at").alias("updated_us"))
+
+
 @query
 def child_rows(spark, sf_dir):
     kids = P.children(people(spark, sf_dir), _as_of())
@@ -546,6 +592,12 @@ def field_frequency(spark, sf_dir):
     return R.field_frequency(mv.messages(spark, sf_dir, *mv.VIEWS))
 
 
+@query
+def first_hundred_fields(spark, sf_dir):
+    """Fields of the hundred oldest messages, and the five oldest."""
+    return R.first_fields(mv.messages(spark, sf_dir, *mv.VIEWS))
+
+
 @query
 def count_by_field(spark, sf_dir):
     return R.count_by_field(mv.messages(spark, sf_dir, *mv.VIEWS), "lang")
@@ -674,6 +726,42 @@ def stream_profiles(spark, sf_dir):
     return flat(store.profiles())
 
 
+@query
+def stream_kind_sets(spark, sf_dir):
+    """Reports kept up by the changes of three batches, of which later ones merge and complete profiles of earlier ones."""
+    root = _root(spark)
+    store = ProfileStore(spark, f"{root}/store")
+    for i, view in enumerate(("net", "personal", "bank")):
+        stream = file_stream(spark, _as_files(spark, mv.envelopes(spark, sf_dir, view), 1), 1)
+        profile_query(stream, store, f"{root}/checkpoint{i}").awaitTermination()
+    return R.kind_set_reports(store.kind_sets())
+
+
+@query
+def landing_expiry(spark, sf_dir):
+    """A landed month after all but its last ten whole days have been deleted: rows a day, and folders that went."""
+    root = _root(spark)
+    SL.landing_query(file_stream(spark, _as_files(spark, _broken(spark, sf_dir), 2), 1), root, f"{root}/checkpoint").awaitTermination()
+    SL.expire_behind(spark, root, 10)
+    kept = [df.select("day", F.lit(state).alias("state")) for df, state in ((SL.landed(spark, root), "landed"), (SL.dead(spark, root), "dead"))]
+    return kept[0].unionByName(kept[1]).groupBy(F.col("day").cast("string").alias("day"), "state").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_progress(spark, sf_dir):
+    """Progress rows of a landing stream, saved by its listener: batches, rows, what is pending of all events."""
+    root, records = _root(spark), mv.envelopes(spark, sf_dir, "net")
+    progress = ProgressTable(spark, f"{root}/progress")
+    spark.streams.addListener(progress)
+    try:
+        stream = file_stream(spark, _as_files(spark, records.filter("offset % 4 < 3"), 3), 1)
+        progress.finish(SL.landing_query(stream, root, f"{root}/checkpoint"))
+    finally:
+        spark.streams.removeListener(progress)
+    left = remaining(progress_rows(spark, f"{root}/progress"), records.count())
+    return left.select("batches", "rows", "pending", ((F.col("rate") > 0) & (F.col("eta_seconds") > 0)).alias("timed"))
+
+
 @query
 def stream_landing_replay(spark, sf_dir):
     """The topic read again under a new checkpoint, with other bodies: what landed first stays, once."""

@@ -90,15 +90,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str) -> tuple:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store."""
+    store, place = _place(spark, path)
+    return store.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever store holds it."""
+    store, place = _place(spark, path)
+    store.delete(place, True)
 
 
 def erase(df: DataFrame) -> None:
     """Delete what ``written`` gave back as ``df`` before its job ends; nothing may read it any more."""
     for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -115,4 +127,4 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _open.pop():
-            _delete(spark, path)
+            delete(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,14 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kinfold.operators.counters import Counters
 from kinfold.operators.typed import exact_kind
+from kinfold.session import delete
 from kinfold.sources.envelope import decoded
 from kinfold.sources.landing import COORDS, new_rows
 from kinfold.streaming.store import folder_number, stored, stream_id
 
 #: What a batch counts: records, those it could not read, and new rows of both tables.
 COUNTED = ["consumed", "errors", "landed", "dead"]
-LANDED = ("topic string, partition int, offset long, ts timestamp, raw_id string, payload string, batch long")
-DEAD = "topic string, partition int, offset long, ts timestamp, raw_id string, value binary, batch long"
+LANDED = ("topic string, partition int, offset long, ts timestamp, raw_id string, payload string, batch long, day date")
+DEAD = "topic string, partition int, offset long, ts timestamp, raw_id string, value binary, batch long, day date"
 
 
 def landed(spark: SparkSession, root: str) -> DataFrame:
@@ -42,7 +45,8 @@ def land_batch(envelopes: DataFrame, batch: int, root: str, stream: str = "") ->
         """File statistics prune the earlier rows to the offset range of this batch."""
         known = earlier.filter((F.col("batch") != number) & F.col("offset").between(low, high))
         new = counted.watch(new_rows(fresh, known, "arrival").drop("arrival"), **{name: F.count("*")})
-        new.sortWithinPartitions(*COORDS).write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+        by_day = new.withColumn("day", F.to_date("ts")).sortWithinPartitions("day", *COORDS)
+        by_day.write.mode("overwrite").partitionBy("day").parquet(f"{root}/{name}/batch={number}")
     try:
         spread = rows.agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.count("*").alias("n"),
                           F.count_if(~F.col("good")).alias("bad")).first()
@@ -55,6 +59,27 @@ def land_batch(envelopes: DataFrame, batch: int, root: str, stream: str = "") ->
     counted.save(spark, root, number, *COUNTED)
 
 
+def expire(spark: SparkSession, root: str, before: datetime.date) -> int:
+    """Delete the landed rows and dead letters of all days before ``before``; the number of folders that went.
+
+    Days are partitions, so nothing is read or rewritten. Rows without a time have no day and stay. A record of a day that
+    is gone would land again if the topic still held it, as after any expiry.
+    """
+    gone = 0
+    for name, schema in (("landed", LANDED), ("dead", DEAD)):
+        days = stored(spark, f"{root}/{name}", schema).filter(F.col("day") < F.lit(before)).select("batch", "day").distinct()
+        for row in days.collect():  # one row a folder
+            delete(spark, f"{root}/{name}/batch={row['batch']}/day={row['day']}")
+            gone += 1
+    return gone
+
+
+def expire_behind(spark: SparkSession, root: str, days: int) -> int:
+    """Expire what is more than ``days`` whole days older than the newest landed row."""
+    newest = landed(spark, root).agg(F.max("day")).first()[0]
+    return 0 if newest is None else expire(spark, root, newest - datetime.timedelta(days=days))
+
+
 def landing_query(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Start landing; ``trigger`` as in ``writeStream.trigger`` (default: all available data, then stop)."""
     def land(df: DataFrame, batch: int) -> None:

@@ -17,7 +17,7 @@ from kinfold.config import Config
 from kinfold.operators.components import components
 from kinfold.operators.counters import Counters
 from kinfold.operators.derive import batch_counts
-from kinfold.operators.fold import SLOTS, merge, profiles
+from kinfold.operators.fold import SLOTS, kinds_of, merge, profiles
 from kinfold.operators.resolve import labelled, link_edges, token_set_states
 from kinfold.operators.skew import lookup
 from kinfold.plans.extract import contribute
@@ -39,12 +39,7 @@ class ProfileStore:
 
     def _compacted(self, before: int | None) -> int | None:
         """Last batch held by the newest finished compaction."""
-        try:
-            marks = self.spark.read.schema("done boolean, upto int").parquet(f"{self.root}/compacted")
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return None
+        marks = stored(self.spark, f"{self.root}/compacted", "done boolean, upto int")
         marks = marks if before is None else marks.filter(F.col("upto") < before)
         return marks.agg(F.max("upto")).first()[0]
 
@@ -94,6 +89,11 @@ class ProfileStore:
         rows = self._rows("states", None)
         return profiles(self._newest_states(rows if since is None else rows.filter(F.col("batch") > since)), F.col("key"), "version")
 
+    def kind_sets(self) -> DataFrame:
+        """``(kinds, n)``: profiles of each set of kinds, from the changes of all batches; no profile is read."""
+        changes = stored(self.spark, f"{self.root}/kind_changes", "kinds array<string>, n long, batch long")
+        return changes.groupBy("kinds").agg(F.sum("n").alias("n")).filter("n <> 0")
+
     def merge_batch(self, contributed: DataFrame, stream_batch: int, stream: str = "", counted: Counters | None = None) -> int:
         """Fold one batch of a stream into the store; the store's number of the batch is the version of its changes.
 
@@ -133,6 +133,10 @@ class ProfileStore:
         moved = lookup(rows.filter("old_key is not null").select("label", "old_key"), keys, "label", share).filter(
             "old_key <> key").select("old_key", "key")
         moved = written(counted.watch(moved, merges=F.count("*")), "moved")
+        signed = rows.filter("old_key is not null").withColumn("n", F.lit(-1)).select("best", "n", *SLOTS).unionByName(
+            heads.withColumn("n", F.lit(1)).select("best", "n", *SLOTS))
+        (signed.filter("best is not null").groupBy(F.array_sort(kinds_of()).alias("kinds")).agg(F.sum("n").alias("n"))
+         .write.mode("overwrite").parquet(f"{self.root}/kind_changes/batch={batch}"))
         gone = moved.select(F.col("old_key").alias("key"), F.lit(True).alias("gone"))
         (heads.select("key", *STATE).withColumn("gone", F.lit(False))
          .unionByName(gone, allowMissingColumns=True)

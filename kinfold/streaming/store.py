@@ -11,17 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.session import exists
+
 LOG = "stream string, stream_batch long, number int"
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that need not exist yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def stream_id(spark: SparkSession) -> str:

@@ -16,7 +16,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 #: Queries whose parts no other test here covers; the full set is compared by the verification run.
 CHECKED = ["landing_metrics", "typed_location", "block_fields", "extract_patterns", "contributions", "batch_metrics",
            "profile_fold", "resolve_components", "export_keyset", "child_rows", "wide_professional", "upsert_target_wins",
-           "pipeline_stats", "kind_frequency", "field_frequency", "consumer_lag", "progress_snapshots", "stream_landing"]
+           "pipeline_stats", "kind_frequency", "field_frequency", "consumer_lag", "progress_snapshots", "stream_landing", "wide_type_change", "extract_addresses", "persons_text_times",
+           "first_hundred_fields", "hub_identifiers"]
 
 
 @pytest.fixture(scope="module")
