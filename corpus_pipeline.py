@@ -1,13 +1,13 @@
 """A corpus cleaned and packed: quality, lines, near copies, repeated passages, sequences.
 
 Each stage takes and returns rows with the columns of ``documents``, with ``n_chars`` kept true to the text,
-but for the last, which returns the packed pieces. Rows without an id pass all stages but the quality filter
-unchanged in number.
+but for the last, which returns the packed pieces. Rows without an id, or with one that others have too, are decided
+like all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import lines, minhash, packing, quality, substrings
@@ -33,14 +33,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id; of rows that repeat an id the least text.
+    """Of each class of near copies the row with the least id, none coming last; of several the one whose text has the least hash.
 
-    Rows without an id cannot be told apart and stay.
+    Rows are told apart by a number of their own, so texts that share an id but are not alike all stay.
     """
-    first = minhash.classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__copy", copy).filter("__copy = 1").drop("__copy")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    number = "__row" + "_" * sum(c.startswith("__row") for c in docs.columns)
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = minhash.classes(rows.select(F.col(number).alias("doc_id"), "text")).withColumnRenamed("doc_id", number)
+    place = rows.select(number, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2(
+        F.coalesce("text", F.lit("")), 256).alias("hash"), number).alias("place"))
+    first = found.join(place, number).groupBy("class_id").agg(F.min("place").alias("place")).select(f"place.{number}")
+    return rows.join(first, number, "left_semi").select(docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
