@@ -1,7 +1,7 @@
 """Packing documents into sequences: first fit decreasing with a tournament tree, in random groups.
 
 A document's ids end with one separator id. It is cut at every ``SEQUENCE`` ids, so all pieces but its
-last one fill a sequence by themselves. The last pieces are dealt by a hash of document and start to groups of
+last one fill a sequence by themselves. All pieces are dealt by a hash of their number in the written table to groups of
 about ``GROUP`` pieces, and each group is packed by itself: pieces by falling length, each to the first
 bin with room. A tournament tree over the bins' free room finds that bin in log(bins) steps. Groups are
 random samples of all pieces, so each wastes little more than one packing of everything would, and no
@@ -91,14 +91,15 @@ def packed(docs: DataFrame, encoder: Callable[[], Callable], separator: int = 0,
     """Pieces with ``sequence_id`` and ``offset``: every id of every document lies in exactly one.
 
     Null and empty texts are packed as their separator. Repeated rows are packed once for each row. A null
-    ``doc_id`` stays null. Ties in length are taken by document and start. No documents: no pieces.
+    ``doc_id`` stays null. Ties in length are taken by document, start and checksum. No documents: no pieces.
     """
     table = written(cut(docs, encoder, separator, sequence), "pieces")
     groups = -(-table.count() // group) or 1
-    dealt = table.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.lit("group")), F.lit(groups)))
+    # a number of its own for each piece: rows that share an id, or have none, spread like all others
+    dealt = table.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("group")), F.lit(groups)))
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        order = pa.compute.sort_indices(rows, [("length", "descending"), *[(c, "ascending") for c in ("doc_id", "start", "ids_crc32")]])
         rows = rows.take(order)
         bins, offsets = first_fit(rows.column("length").to_numpy(), sequence)
         ids = (key[0].as_py() << 32) + bins

@@ -8,7 +8,7 @@ traits, words and word beginnings, which L1 regularisation keeps sparse; the sco
 
 Votes and patterns cover all documents. Two steps look at bounded samples, chosen by a hash of ``doc_id``: the
 cue labeller counts words in at most ``LABELLED`` documents that the label table covers, and the scorer is
-fitted on at most ``FITTED`` documents.
+fitted on at most ``FITTED`` documents, in one task that holds their features; the driver sees its weights.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from kinfold.llm.text import LOWER, id_text, map_batches, pieces, rows_of, signed, word_hashes, word_spans
 
 #: Most labelled documents whose words are counted, and most documents that the scorer is fitted on.
-LABELLED, FITTED = 20_000, 8_000
+LABELLED, FITTED = 20_000, 20_000
 #: A cue is found in so many bad texts of the sample at least, and so many times as often as in good ones.
 CUE_TEXTS, CUE_ODDS = 5, 40.0
 BITS = 18
@@ -266,13 +266,20 @@ def learned(docs: DataFrame, labels: DataFrame | None, labelled: int = LABELLED,
                        "buckets": [split[i] for i in voted]}
     chosen = _sample(texts.filter("doc_id is not null"), fit_on).join(label_of, "doc_id", "left").select(
         "doc_id", mark.alias("mark"))
-    rows = map_batches(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "mark"), sampled,
-                       "doc_id long, bad double, buckets array<int>").toArrow()
-    rows = rows.sort_by("doc_id").combine_chunks()  # the same fit however the rows arrive
-    buckets = rows.column("buckets").combine_chunks()
-    weights, bias = fitted(buckets.flatten().to_numpy(), np.r_[0, np.cumsum(pa.compute.list_value_length(buckets).to_numpy(False))],
-                           rows.column("bad").to_numpy())
-    return Model(weights, bias, accuracy, cues)
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id").combine_chunks()  # the same fit however the rows arrive
+        buckets = rows.column("buckets").combine_chunks()
+        cuts = np.r_[0, np.cumsum(pa.compute.list_value_length(buckets).to_numpy(False))]
+        own, bias = fitted(buckets.flatten().to_numpy(), cuts, rows.column("bad").to_numpy())
+        at = np.flatnonzero(own)
+        return pa.table({"bucket": np.append(at, SIZE).astype(np.int32), "weight": np.append(own[at], bias)})
+    sample = map_batches(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "mark"), sampled,
+                         "doc_id long, bad double, buckets array<int>")
+    found = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "bucket int, weight double").toArrow()
+    weights = np.zeros(SIZE + 1)
+    weights[found.column("bucket").to_numpy()] = found.column("weight").to_numpy()
+    return Model(weights[:-1], float(weights[-1]) if found.num_rows else -10.0, accuracy, cues)
 
 
 def scored(docs: DataFrame, labels: DataFrame | None = None, labelled: int = LABELLED, fit_on: int = FITTED) -> DataFrame:

@@ -35,24 +35,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op5_line_dedup"] = r"""
-with split as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
-  from documents),
+with numbered as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+split as (
+  select row, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place
+  from numbered),
 keyed as (
-  select doc_id, place, line,
+  select row, doc_id, place, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
   from split),
 often as (
-  select key, max(doc_id) as last_doc from keyed where length(key) >= 20
-  group by key having count(distinct doc_id) >= 3),
+  select key, max(doc_id) as last_doc from keyed where length(key) >= 20 and doc_id is not null
+  group by key having count(distinct row) >= 3),
 marked as (
-  select k.doc_id, place, line, o.key is not null and k.doc_id < o.last_doc as gone
+  select k.row, k.doc_id, place, line, o.key is not null and k.doc_id < o.last_doc as gone
   from keyed k left join often o on k.key = o.key)
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not gone), '')) as kept_sha256
-from marked group by doc_id"""
+from marked group by row, doc_id"""
 
 
 @query

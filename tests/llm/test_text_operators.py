@@ -136,6 +136,20 @@ def test_packing_ids_are_those_of_the_library():
     assert [x.tolist() for x in Q.packing_encoder()(texts)] == want
 
 
+def test_packing_ids_of_the_given_texts():
+    import pyarrow.parquet as pq
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    want = [x.ids for x in __import__("tokenizers").Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in Q.packing_encoder()(texts)] == want
+
+
+def test_rows_without_an_id_are_packed_in_many_groups(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('word ', id) as text")
+    got = packing.packed(docs, Q.packing_encoder, group=500).collect()
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(groups) == 8 and max(groups.values()) < 700 and len(got) == 4000
+
+
 def test_first_fit_matches_a_scan():
     r = random.Random(4)
     lengths = np.array(sorted((r.randint(1, 1024) for _ in range(300)), reverse=True))
