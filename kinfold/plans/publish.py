@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from kinfold.operators.fold import complete
 from kinfold.operators.upsert import COALESCE_NEW, newest_per_key, upsert
 from kinfold.plans.tables import merge_into
 from kinfold.plans.wide import item_text, wide_rows
-from kinfold.session import exists, scratch, written
+from kinfold.session import exists, scratch, side_by_side, written
 from kinfold.streaming.profiles import ProfileStore
 from kinfold.streaming.store import stored
 
@@ -186,10 +189,11 @@ def tables_of(ready: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     return tables
 
 
-def wide_tables_of(ready: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    """Rows of the person table and of each child table with a column for each field."""
-    tables = {"persons": newest_per_key(persons(ready, as_of, composed=True), "grouping_key", ["updated_at"])}
-    return tables | {name: wide_children(ready, kind) for kind, name in V.CHILD_TABLES.items()}
+def wide_tables_of(ready: DataFrame, as_of: Column) -> dict[str, Callable[[], DataFrame]]:
+    """What makes the rows of the person table and of each child table with a column for each field."""
+    def people() -> DataFrame:
+        return newest_per_key(persons(ready, as_of, composed=True), "grouping_key", ["updated_at"])
+    return {"persons": people} | {name: partial(wide_children, ready, kind) for kind, name in V.CHILD_TABLES.items()}
 
 
 def publish(profiles: DataFrame, root: str, version: int, as_of: Column, previous: int | None = None,
@@ -245,7 +249,8 @@ def publish_wide(profiles: DataFrame, root: str, version: int, as_of: Column, pr
     spark = profiles.sparkSession
     with scratch(spark):
         ready = written(_with_times(gate(profiles, config.required_kinds), as_of), "export")
-        for name, rows in wide_tables_of(ready, as_of).items():
+        for name, make in wide_tables_of(ready, as_of).items():
+            rows = make()
             old = _stored(spark, f"{root}/version={previous}/{name}", rows)
             merge = upsert_persons_keep if name == "persons" else upsert_children_wide
             merge(old, rows).write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
@@ -284,10 +289,10 @@ def publish_changes(store: ProfileStore, root: str, as_of: Column, config: Confi
         totals = counted.totals()
         if not totals["changed"]:
             return None
-        for name, rows in tables_of(ready, as_of).items():
-            counted.add(buckets=merge_into(
-                counted.watch(rows, **{name: F.count("*")}), f"{root}/{name}", "grouping_key", config.key_buckets,
-                keep_first=("created_at",) if name == "persons" else ()))
+        def merged(name: str, rows: DataFrame) -> int:
+            return merge_into(counted.watch(rows, **{name: F.count("*")}), f"{root}/{name}", "grouping_key", config.key_buckets,
+                              keep_first=("created_at",) if name == "persons" else ())
+        counted.add(buckets=sum(side_by_side([partial(merged, *t) for t in tables_of(ready, as_of).items()])))
     counted.save(spark, root, export + 1, *EXPORTED)
     state = spark.createDataFrame([(totals["upto"], None)], "change long, last_id string")
     state.coalesce(1).write.mode("overwrite").parquet(f"{root}/state/version={export + 1}")
@@ -303,7 +308,9 @@ def export_wide(profiles: DataFrame, root: str, as_of: Column, config: Config =
     with scratch(spark):
         ready = written(_with_times(counted.watch(
             gate(profiles, config.required_kinds), published=F.count("*")), as_of), "export")
-        for name, rows in wide_tables_of(ready, as_of).items():
-            counted.add(buckets=merge_into(counted.watch(rows, **{name: F.count("*")}), f"{root}/{name}",
-                                           "grouping_key" if name == "persons" else "person_id", config.key_buckets, COALESCE_NEW))
+
+        def merged(name: str, make: Callable[[], DataFrame]) -> int:
+            return merge_into(counted.watch(make(), **{name: F.count("*")}), f"{root}/{name}",
+                              "grouping_key" if name == "persons" else "person_id", config.key_buckets, COALESCE_NEW)
+        counted.add(buckets=sum(side_by_side([partial(merged, *t) for t in wide_tables_of(ready, as_of).items()])))
     return counted

@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,6 +91,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def side_by_side(jobs: list[Callable[[], int]]) -> list[int]:
+    """Results of independent jobs that the driver submits at once; Spark fills the cores that one of them leaves idle."""
+    with ThreadPoolExecutor(max(1, len(jobs))) as threads:
+        return list(threads.map(lambda job: job(), jobs))
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
