@@ -19,6 +19,7 @@ Before each join a bit filter of fixed size drops most n-grams that the other si
 from __future__ import annotations
 
 import functools
+import gc
 import math
 import zlib
 from collections.abc import Iterator
@@ -26,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.text import LOWER, id_text, map_batches, mixed, pieces, rows_of, signed, word_hashes, word_spans
-from kinfold.session import erase, free_shuffles, written
+from kinfold.session import delete, written
 
 DEPTH = 3
 CONTEXT_COUNT = 20
@@ -48,6 +49,18 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 ADDED = 24
 
 
+def erase(df: DataFrame) -> None:
+    """Delete what ``written`` gave back as ``df`` before its job ends; nothing may read it any more."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files of plans that are no longer referred to; else it waits for a full heap."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def held_out(doc_id: int | None) -> bool:
     """Whether a document is kept from training; one without an id is not."""
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
