@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import functools
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -114,18 +113,6 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(place, True)
 
 
-def erase(df: DataFrame) -> None:
-    """Delete what ``written`` gave back as ``df`` before its job ends; nothing may read it any more."""
-    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        delete(df.sparkSession, path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner find the shuffle files of plans that are no longer referred to; else it waits for a full heap."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what ``written`` wrote inside; results must have been stored elsewhere by then."""
