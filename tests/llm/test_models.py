@@ -195,6 +195,79 @@ def test_em_tells_good_labellers_from_bad():
     assert np.allclose(accuracy, (0.95, 0.85, 0.8, 0.55), atol=0.05)
 
 
+def test_em_equals_one_document_at_a_time():
+    r = np.random.default_rng(3)
+    votes = r.choice([-1, 0, 1], (300, 4), p=[0.3, 0.4, 0.3])
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    bad, accuracy = quality.posteriors(patterns, counts.astype(float))
+    own = [0.9] * 4
+    for _ in range(60):
+        chance = []
+        for vote in votes.tolist():
+            yes, no = 1.0, 1.0
+            for v, a in zip(vote, own):
+                if v:
+                    yes, no = (yes * a, no * (1 - a)) if v > 0 else (yes * (1 - a), no * a)
+            chance.append(yes / (yes + no))
+        for j in range(4):
+            cast = [(c if vote[j] > 0 else 1 - c) for c, vote in zip(chance, votes.tolist()) if vote[j]]
+            own[j] = min(0.999, max(0.01, (sum(cast) + 18) / (len(cast) + 20)))
+    assert np.allclose(accuracy, own) and np.allclose(bad[at.ravel()], chance)
+
+
+def _plain_fit(rows, target, epochs, rate=0.3, l1=3.0, l2=1.0, support=5):
+    """The same learner with a dictionary for each feature's sums."""
+    held = Counter(x for xs in rows for x in xs)
+    z, n = Counter(), Counter()
+
+    def weight(x):
+        return 0.0 if abs(z[x]) <= l1 else -(z[x] - math.copysign(l1, z[x])) / ((0.1 + math.sqrt(n[x])) / rate + l2)
+    pick = np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in pick.permutation(len(rows)):
+            own = [*[x for x in rows[i] if held[x] >= support], None]
+            before = {x: weight(x) for x in own}
+            g = 1 / (1 + math.exp(-sum(before.values()))) - target[i]
+            for x in own:
+                z[x] += g - (math.sqrt(n[x] + g * g) - math.sqrt(n[x])) / rate * before[x]
+                n[x] += g * g
+    return {x: weight(x) for x in [*held, None]}
+
+
+def test_scorer_equals_plain_learner():
+    r = random.Random(5)
+    rows = [sorted(r.sample(range(40), r.randint(0, 8))) for _ in range(200)]
+    target = np.array([0.9 if 3 in x or 7 in x else 0.1 for x in rows])
+    weights, bias = quality.fitted(np.array([x for xs in rows for x in xs]), np.cumsum([0, *map(len, rows)]), target, steps=1000)
+    want = _plain_fit(rows, target, 5)
+    assert bias == pytest.approx(want.pop(None)) and all(weights[x] == pytest.approx(w) for x, w in want.items())
+    assert weights[3] > 0 and not weights[40:].any()
+
+
+def test_whole_classifier_equals_plain_version(spark):
+    """Votes, posteriors, fit and scores of a small table, step by step on plain lists."""
+    rows, labels = _labelled(6, 240)
+    got = {x.doc_id: x.score for x in quality.scored(cases.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, bad boolean")).collect()}
+    data = {d: quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for d, t in rows}
+    label, bads, goods = dict(labels), Counter(), Counter()
+    for d, bad in labels:
+        (bads if bad else goods).update(set(data[d].feature.tolist()))
+    n_bad, n_good = sum(label.values()), len(label) - sum(label.values())
+    cues = np.array(sorted(w for w, n in bads.items() if n >= quality.CUE_TEXTS
+                           and (n / n_bad) / ((goods[w] + 0.5) / (n_good + 1)) >= quality.CUE_ODDS), np.uint64)
+    votes = {d: quality.votes(f, 1, cues)[0].tolist() for d, f in data.items()}
+    for d, bad in labels:
+        votes[d][-1] = 1 if bad else -1
+    table = np.array([votes[d] for d, _ in rows])
+    bad, _ = quality.posteriors(table, np.ones(len(table)))
+    taught = [(d, b) for (d, _), b in sorted(zip(rows, bad)) if any(votes[d])]
+    features = {d: quality.hashed(f, 1, cues)[1].tolist() for d, f in data.items()}
+    want = _plain_fit([features[d] for d, _ in taught], [b for _, b in taught], max(4, -(-60_000 // len(taught))))
+    for d, _ in rows:
+        score = 1 / (1 + math.exp(-sum(want.get(x, 0.0) for x in features[d]) - want[None]))
+        assert got[d] == pytest.approx(score, rel=1e-6, abs=1e-9)
+
+
 def test_pipeline_of_nothing_and_of_clashing_columns(spark, tmp_path):
     import corpus_pipeline
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
