@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.skew import lookup
 from kinfold.session import written
 
 #: Common words of the corpus' languages that stand before content words.
@@ -127,9 +128,13 @@ def near_pairs(docs: DataFrame, similarity: float = 0.8, chain: int = CHAIN) ->
     members = made.join(sets, "spots").select("doc_id", "class_id")
     size = F.size("spots")
     span = F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / similarity)))
-    # two matching sets cannot both avoid each other in their first size - ceil(similarity * size) + 1 members
-    head = F.slice("spots", 1, size - F.ceil(size * similarity - 1e-9).cast("int") + 1)
-    heads = sets.filter(size > 0).select("class_id", size.alias("size"), span.alias("span"), F.explode(head).alias("spot"))
+    # in one order of all signatures, two matching sets share one of their first size - ceil(similarity * size) + 1; with
+    # the rarest first, a signature of many sets is among the first of few
+    each = sets.filter(size > 0).select("class_id", size.alias("size"), span.alias("span"), F.explode("spots").alias("spot"))
+    often = written(each.groupBy("spot").agg(F.count("*").alias("n")), "often")
+    rarest = Window.partitionBy("class_id").orderBy("n", "spot")
+    heads = written(lookup(each, often, "spot", 256).withColumn("turn", F.row_number().over(rarest)).filter(
+        F.col("turn") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).drop("turn", "n"), "heads")
     small = heads.select(F.col("class_id").alias("a"), F.col("size").alias("a_size"), "spot", "span")
     large = heads.select(F.col("class_id").alias("b"), F.col("size").alias("b_size"), "spot",
                          F.explode(F.array("span", F.col("span") - 1)).alias("span"))

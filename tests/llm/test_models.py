@@ -76,6 +76,18 @@ def test_near_fingerprints(spark):
     assert {tuple(sorted((x.a, x.b))) for x in pairs.collect()} == want
 
 
+def test_common_signatures_bring_no_pairs_together(spark, monkeypatch):
+    """A hundred texts share half of their chains, two of them nearly all: only what is rare is in the heads that meet."""
+    shared = " ".join(f"the common{i} thing{i}" for i in range(20))
+    rows = [(i, shared + " " + " ".join(f"the own{i}x{j} word{i}y{j}" for j in range(20))) for i in range(100)]
+    rows.append((500, rows[7][1] + " the one more"))
+    heads, made = [], spotsigs.written
+    monkeypatch.setattr(spotsigs, "written", lambda df, name: (heads.append(df) if name == "heads" else None, made(df, name))[1])
+    _, pairs = spotsigs.near_pairs(cases.frame(spark, rows), 0.8)
+    assert [(x.a, x.b) for x in pairs.collect()] in ([(7, 500)], [(500, 7)])
+    assert heads[0].groupBy("spot").count().agg(F.max("count")).first()[0] <= 2
+
+
 def _tokens(text):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     return (text or "").encode().translate(lower).split() + [None]
