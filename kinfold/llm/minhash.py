@@ -12,7 +12,8 @@ first. Then each document is compared with the least hub, the first of a bucket,
 the texts, and linked documents become classes, so that a bucket of thousands of near copies costs a row for each copy.
 Of what is still in buckets with several classes, shingles that only one document has are counted: they bound
 every similarity exactly, and documents too different from all others go. The rest meets hub by hub, many times as
-many each round, until no bucket holds two classes that have not been compared. No candidate is dropped.
+many each round, until no bucket holds two classes that have not been compared. No candidate is dropped. Members and
+hubs carry their signatures, which are compared within the join: texts are read of pairs that may be links, no others.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def dart_minhash(element: np.ndarray, row: np.ndarray, weight: np.ndarray, rows:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, length: int, counts: bool) -> DataFrame:
-    """``(doc_id, text_key, size, bands, bytes)``: one byte of each coordinate is kept to compare signatures."""
+    """``(doc_id, text_key, size, bands, marks)``: one byte of each coordinate is kept to compare signatures, seven to a number."""
     import hashlib
     k = bands * rows
 
@@ -129,28 +130,31 @@ def sketches(docs: DataFrame, bands: int, rows: int, length: int, counts: bool)
                 key = mixed(key + np.arange(1, bands + 1, dtype=np.uint64))
                 size = np.bincount(row, weight, hi - lo).astype(np.int64)
                 kept = (mixed(signature) >> np.uint64(56)).astype(np.uint8)
+                marks = np.zeros((hi - lo, -(-k // 7), 8), np.uint8)
+                marks[:, :, :7] = np.pad(kept, ((0, 0), (0, -k % 7))).reshape(hi - lo, -1, 7)
                 raw = data.tobytes()
                 yield {"doc_id": batch.column("doc_id").slice(lo, hi - lo),
                        "text_key": [hashlib.blake2b(raw[a:b], digest_size=16).digest()
                                     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())],
                        "size": size, "bands": [x if n else [] for x, n in zip(list(signed(key)), size.tolist())],
-                       "bytes": [x.tobytes() for x in kept]}
-    return map_batches(id_text(docs), run, "doc_id long, text_key binary, size long, bands array<long>, bytes binary")
+                       "marks": list(marks.reshape(hi - lo, -1).view("<i8"))}
+    return map_batches(id_text(docs), run, "doc_id long, text_key binary, size long, bands array<long>, marks array<long>")
 
 
-def _agreement(batch: pa.RecordBatch) -> np.ndarray:
-    left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                   for c in ("a_bytes", "b_bytes"))
-    return (left == right).mean(axis=1)
+def agreement(a: str, b: str, coordinates: int) -> Column:
+    """The share of coordinates on which two columns of marks agree: seven bytes a number, compared at once."""
+    low, high = (F.lit(int.from_bytes(bytes([x] * 7))) for x in (0x7F, 0x80))
 
+    def unlike(x: Column, y: Column) -> Column:
+        both = x.bitwiseXOR(y)
+        return F.bit_count((both.bitwiseAND(low) + low).bitwiseOR(both).bitwiseAND(high))
+    apart = F.aggregate(F.zip_with(a, b, unlike), F.lit(0), lambda n, x: n + x)
+    return 1 - apart / F.lit(coordinates)
 
-def similar(pairs: DataFrame, length: int, counts: bool, similarity: float) -> DataFrame:
-    """Those of ``(a, b, ..., a_text, b_text)`` whose shingles have at least the similarity, without the texts.
 
-    With ``a_bytes`` and ``b_bytes``, texts are only read of pairs whose signatures are close enough.
-    """
-    kept = [c for c in pairs.columns if c[2:] not in ("text", "bytes")]
-    signatures = "a_bytes" in pairs.columns
+def similar(pairs: DataFrame, length: int, counts: bool, similarity: float) -> DataFrame:
+    """Those of ``(a, b, ..., a_text, b_text)`` whose shingles have at least the similarity, without the texts."""
+    kept = [c for c in pairs.columns if c[2:] != "text"]
 
     def alike(a: bytes, b: bytes) -> bool:
         element, row, weight = shingles(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]), length)
@@ -162,8 +166,6 @@ def similar(pairs: DataFrame, length: int, counts: bool, similarity: float) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            if signatures and batch.num_rows:
-                batch = batch.filter(pa.array(_agreement(batch) >= similarity - SLACK))
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 keep = [alike(a, b) for a, b in zip(texts_of(part, "a_text"), texts_of(part, "b_text"))]
@@ -191,16 +193,6 @@ def connected(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("v"), F.col("v").alias("label"))
 
 
-def agreeing(pairs: DataFrame, least: float) -> DataFrame:
-    """Those of ``(a, b, a_bytes, b_bytes)`` whose signatures agree on at least this share of coordinates."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            if batch.num_rows:
-                chosen = batch.filter(pa.array(_agreement(batch) >= least))
-                yield {"a": chosen.column("a"), "b": chosen.column("b")}
-    return map_batches(pairs, run, "a long, b long")
-
-
 def own_shingles(texts: DataFrame, length: int, counts: bool) -> DataFrame:
     """``(doc_id, own)``: the weight of each document's shingles that no other document of ``texts`` has.
 
@@ -237,18 +229,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHING
 
     Two texts are linked if their sets of ``length``-word shingles (with ``counts``, their bags) have at least
     the Jaccard similarity. Equal texts are always linked, null as empty. A text without words is linked
-    to equal texts only. Rows that repeat an id are linked. A null id has the class of its text's other rows,
-    null if none has an id. Words are bytes between white space, unchanged.
+    to equal texts only. A row's class is that of its text, so texts that share an id are not linked by it. A null id has the
+    class of its text's other rows, null if none has an id. Words are bytes between white space, unchanged.
     """
     made = written(sketches(docs, bands, rows, length, counts), "sketches")
     texts = written(made.filter("doc_id is not null").groupBy("text_key").agg(
-        F.min_by(F.struct("doc_id", "size", "bands", "bytes"), "doc_id").alias("x")).select("text_key", "x.*"), "texts")
+        F.min_by(F.struct("doc_id", "size", "bands", "marks"), "doc_id").alias("x")).select("text_key", "x.*"), "texts")
     whole = id_text(docs)
 
     def with_texts(pairs: DataFrame, source: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(source.withColumnsRenamed(
-                {"doc_id": side, "text": f"{side}_text", "bytes": f"{side}_bytes"}), side)
+                {"doc_id": side, "text": f"{side}_text", "marks": f"{side}_marks"}), side)
         return pairs
 
     def still_apart(rows: DataFrame) -> DataFrame:
@@ -265,26 +257,29 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHING
     members = written(members.join(bucket, "key").select("key", "v", "size", "hub"), "members")
     met = members.filter("v <> hub.v").filter(near_in_size("size", "hub.size"))
     pairs = met.groupBy(F.col("v").alias("b")).agg(F.min("hub.v").alias("a"))
-    close = agreeing(with_texts(pairs, texts.select("doc_id", "bytes")), similarity - SLACK)
+    close = with_texts(pairs, texts.select("doc_id", "marks")).filter(
+        agreement("a_marks", "b_marks", bands * rows) >= similarity - SLACK).select("a", "b")
     labels = rooted(similar(with_texts(close, whole), length, counts, similarity))
     apart = still_apart(members.join(labels, "v", "left").select("key", "v", "size", F.coalesce("label", "v").alias("label")))
     merged, hubs = [], HUBS
     if not apart.isEmpty():
         # an id that stands for several texts has no bound of its own
         ids = apart.select(F.col("v").alias("doc_id")).distinct()
-        open_texts = written(whole.join(ids, "doc_id").join(texts.select("doc_id", "bytes"), "doc_id"), "open")
+        open_texts = written(whole.join(ids, "doc_id"), "open")
         single = open_texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
         own = own_shingles(open_texts, length, counts).join(single, "doc_id").withColumnRenamed("doc_id", "v")
         apart = apart.join(own, "v", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        apart = still_apart(apart.filter(F.col("own") <= (1 - similarity) * F.col("size") + 1e-6))
+        apart = still_apart(apart.filter(F.col("own") <= (1 - similarity) * F.col("size") + 1e-6).join(
+            texts.select(F.col("doc_id").alias("v"), "marks"), "v"))
     while not apart.isEmpty():
         slot = F.pmod(F.xxhash64("v", F.lit(hubs)), F.lit(hubs)).alias("slot")
-        hub = written(apart.groupBy("key", slot).agg(F.min(F.struct("v", "label", "size", "own")).alias("hub")).select(
+        hub = written(apart.groupBy("key", slot).agg(F.min(F.struct("v", "label", "size", "own", "marks")).alias("hub")).select(
             "key", "hub"), "hubs")
         # the most two sets can share is what neither has alone, and the least they differ by is what each has alone
         shared = F.least(F.col("size") - F.col("own"), F.col("hub.size") - F.col("hub.own"))
         met = apart.join(hub, "key").filter("label <> hub.label").filter(near_in_size("size", "hub.size") & (
-            shared * (1 - similarity) >= (F.col("own") + F.col("hub.own")) * similarity - 1e-6))
+            shared * (1 - similarity) >= (F.col("own") + F.col("hub.own")) * similarity - 1e-6) & (
+            agreement("marks", "hub.marks", bands * rows) >= similarity - SLACK))
         pairs = met.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b"), F.col("label").alias("u"),
                            F.col("hub.label").alias("v")).dropDuplicates(["a", "b"])
         found = written(similar(with_texts(pairs, open_texts), length, counts, similarity), "links")
