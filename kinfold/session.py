@@ -113,6 +113,16 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(place, True)
 
 
+@contextlib.contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Add what ``written`` writes inside to ``paths``, for the caller to delete."""
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what ``written`` wrote inside; results must have been stored elsewhere by then."""
