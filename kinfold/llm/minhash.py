@@ -11,8 +11,8 @@ Coordinates are cut into bands; documents with an equal band meet in a bucket. E
 first. Then each document is compared with the least hub, the first of a bucket, that it meets, links are verified on
 the texts, and linked documents become classes, so that a bucket of thousands of near copies costs a row for each copy.
 Of what is still in buckets with several classes, shingles that only one document has are counted: they bound
-every similarity exactly, and documents too different from all others go. The rest meets hub by hub, many times as
-many each round, until no bucket holds two classes that have not been compared. No candidate is dropped. Members and
+every similarity exactly, and documents too different from all others go. The rest meets hub by hub, those in the most
+company first, which are what others are copies of, and many times as many each round, until no bucket holds two classes that have not been compared. No candidate is dropped. Members and
 hubs carry their signatures, which are compared within the join: texts are read of pairs that may be links, no others.
 """
 
@@ -269,12 +269,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHING
         single = open_texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
         own = own_shingles(open_texts, length, counts).join(single, "doc_id").withColumnRenamed("doc_id", "v")
         apart = apart.join(own, "v", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        apart = still_apart(apart.filter(F.col("own") <= (1 - similarity) * F.col("size") + 1e-6).join(
-            texts.select(F.col("doc_id").alias("v"), "marks"), "v"))
+        apart = still_apart(apart.filter(F.col("own") <= (1 - similarity) * F.col("size") + 1e-6))
+        # the text that others are copies of lies in the buckets of nearly all of them, and so in more company than any copy
+        company = apart.join(apart.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("v").agg(F.sum("n").alias("company"))
+        apart = written(apart.join(company, "v").join(texts.select(F.col("doc_id").alias("v"), "marks"), "v"), "apart")
     while not apart.isEmpty():
         slot = F.pmod(F.xxhash64("v", F.lit(hubs)), F.lit(hubs)).alias("slot")
-        hub = written(apart.groupBy("key", slot).agg(F.min(F.struct("v", "label", "size", "own", "marks")).alias("hub")).select(
-            "key", "hub"), "hubs")
+        hub = written(apart.groupBy("key", slot).agg(F.max_by(F.struct("v", "label", "size", "own", "marks"), F.struct(
+            "company", "v")).alias("hub")).select("key", "hub"), "hubs")
         # the most two sets can share is what neither has alone, and the least they differ by is what each has alone
         shared = F.least(F.col("size") - F.col("own"), F.col("hub.size") - F.col("hub.own"))
         met = apart.join(hub, "key").filter("label <> hub.label").filter(near_in_size("size", "hub.size") & (
