@@ -7,13 +7,33 @@ like all others.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import lines, minhash, packing, quality, substrings
 from kinfold.llm.queries import labels_of, packing_encoder
 from kinfold.llm.text import importable
-from kinfold.session import written
+from kinfold.session import delete, noted, written
+
+
+#: Tables that stages wrote for themselves. They go when a later stage begins, whose documents have been stored by then.
+_left: list[str] = []
+
+
+def _tidy(stage: Callable) -> Callable:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        spent = [path for path in _left if not any(f"{path}/" in file for file in read)]
+        for path in spent:
+            delete(spark, path)
+            _left.remove(path)
+        with noted(_left):
+            return stage(spark, docs, sf_dir)
+    return run
 
 
 def _as_documents(made: DataFrame, docs: DataFrame) -> DataFrame:
@@ -22,16 +42,19 @@ def _as_documents(made: DataFrame, docs: DataFrame) -> DataFrame:
         if "n_chars" in docs.columns else made.select(docs.columns)
 
 
+@_tidy
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return quality.scored(docs, labels_of(importable(spark), sf_dir)).filter("not rejected").select(docs.columns)
 
 
+@_tidy
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of three or more documents stay in the last of them only."""
     return _as_documents(lines.deduplicated(docs), docs)
 
 
+@_tidy
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the row with the least id, none coming last; of several the one whose text has the least hash.
 
@@ -46,11 +69,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(first, number, "left_semi").select(docs.columns)
 
 
+@_tidy
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more stay in the first document that holds them."""
     return _as_documents(substrings.deduplicated(docs), docs)
 
 
+@_tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, as pieces of sequences of 1024 tokens."""
     return packing.packed(docs, packing_encoder)
