@@ -69,7 +69,22 @@ class Features:
     traits: dict[str, np.ndarray]
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> Features:
+def among(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``wanted`` are in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(wanted), bool)
+    return known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
+
+
+def by_row(row: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by row, then value. Row numbers of a piece mostly fit 16 bits, which numpy sorts by digits."""
+    order = np.argsort(values)
+    own = row[order]
+    return order[np.argsort(own.astype(np.uint16) if len(row) and row.max() < 1 << 16 else own, kind="stable")]
+
+
+def features(data: np.ndarray, offsets: np.ndarray, distinct: bool = True) -> Features:
+    """What a text is judged by; votes, which only ask whether a text has a feature, need not have them ``distinct``."""
     rows, sizes = len(offsets) - 1, np.diff(offsets)
     lower = LOWER[data]
     starts, ends, first = word_spans(lower, offsets)
@@ -77,10 +92,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Features:
     plain = word_hashes(lower, starts, ends)
     again = np.zeros(len(row), bool)
     again[1:] = (plain[1:] == plain[:-1]) & (row[1:] == row[:-1])
-    order = np.lexsort((plain, row))
-    distinct = np.ones(len(row), bool)
-    distinct[1:] = (plain[order][1:] != plain[order][:-1]) | (row[order][1:] != row[order][:-1])
-    kinds = np.bincount(row[order][distinct], minlength=rows)
+    order = by_row(row, plain)
+    first_of = np.ones(len(row), bool)
+    first_of[1:] = (plain[order][1:] != plain[order][:-1]) | (row[order][1:] != row[order][:-1])
+    kinds = np.bincount(row[order][first_of], minlength=rows)
     bars = np.bincount(row[(ends - starts == 1) & (lower[starts] == 124)], minlength=rows)
     letters = np.r_[0, np.cumsum(_LETTER[data])]
     letters = letters[offsets[1:]] - letters[offsets[:-1]]
@@ -101,7 +116,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Features:
     longer = [stop - bare > n for n in (4, 5, 6)]
     feature = np.concatenate([word, *(h[x] for h, x in zip(begin, longer))])
     owner = np.concatenate([row, *(row[x] for x in longer)])
-    order = np.lexsort((feature, owner))
+    if not distinct:
+        return Features(owner, feature, word, traits)
+    order = by_row(owner, feature)
     feature, owner = feature[order], owner[order]
     new = np.ones(len(owner), bool)
     new[1:] = (feature[1:] != feature[:-1]) | (owner[1:] != owner[:-1])
@@ -127,7 +144,7 @@ def votes(found: Features, rows: int, cues: np.ndarray) -> np.ndarray:
         plain &= found.traits[trait] <= above / 2
     for j, known in ((len(TRAITS), np.sort(_hash_of(ABUSE))), (len(TRAITS) + 1, cues)):
         if len(known):
-            out[:, j] = np.bincount(found.row[np.isin(found.feature, known)], minlength=rows) > 0
+            out[:, j] = np.bincount(found.row[among(known, found.feature)], minlength=rows) > 0
             plain &= out[:, j] == 0
     out[:, LABELLERS.index("plain")] = np.where(plain, -1, 0)
     return out
@@ -142,7 +159,7 @@ def hashed(found: Features, rows: int, cues: np.ndarray) -> tuple[np.ndarray, np
             row.append(over)
             bucket.append(np.full(len(over), (1 << BITS) + t * len(_STEPS) + s))
     for k, known in enumerate((np.sort(_hash_of(ABUSE)), cues)):
-        hit = np.unique(found.row[np.isin(found.feature, known)])
+        hit = np.unique(found.row[among(known, found.feature)])
         row.append(hit)
         bucket.append(np.full(len(hit), SIZE - 2 + k))
     pair = np.unique(np.concatenate(row) * SIZE + np.concatenate(bucket))
@@ -240,7 +257,7 @@ def learned(docs: DataFrame, labels: DataFrame | None, labelled: int = LABELLED,
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch):
-                made = votes(features(data, offsets), hi - lo, cues) + 1
+                made = votes(features(data, offsets, distinct=False), hi - lo, cues) + 1
                 yield {"doc_id": batch.column("doc_id").slice(lo, hi - lo),
                        "pattern": ["".join(map(str, v)) for v in made[:, :-1].tolist()]}
     label_of = labels.groupBy("doc_id").agg(F.max("bad").alias("bad"))
