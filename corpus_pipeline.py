@@ -19,6 +19,10 @@ from kinfold.llm.text import importable
 from kinfold.session import delete, noted, written
 
 
+#: Ids below this leave room above them for as many numbers again.
+FAR = 1 << 62
+#: Ids of several rows that are broadcast; more of them are joined by a shuffle.
+FEW = 100_000
 #: Tables that stages wrote for themselves. They go when a later stage begins, whose documents have been stored by then.
 _left: list[str] = []
 
@@ -58,10 +62,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the row with the least id, none coming last; of several the one whose text has the least hash.
 
-    Rows are told apart by a number of their own, so texts that share an id but are not alike all stay.
+    Rows are told apart by a number of their own, so texts that share an id but are not alike all stay: their id where no other
+    row has it, so that originals, which come before their copies, stay in front; else one that no row has as its id.
     """
     number = "__row" + "_" * sum(c.startswith("__row") for c in docs.columns)
-    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    low, top = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    repeated = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(
+        F.col("doc_id").alias("__again")), "repeated")
+    if repeated.count() <= FEW:
+        repeated = F.broadcast(repeated)  # so many numbers at most
+    place = F.monotonically_increasing_id()
+    other = F.lit((top or 0) + 1) + place if (top or 0) < FAR else F.lit(low - 1) - place if low > -FAR else F.xxhash64("doc_id", place)
+    rows = written(docs.join(repeated, F.col("doc_id") == F.col("__again"), "left").withColumn(number, F.when(
+        F.col("doc_id").isNotNull() & F.col("__again").isNull(), F.col("doc_id")).otherwise(other)).drop("__again"), "rows")
     found = minhash.classes(rows.select(F.col(number).alias("doc_id"), "text")).withColumnRenamed("doc_id", number)
     place = rows.select(number, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2(
         F.coalesce("text", F.lit("")), 256).alias("hash"), number).alias("place"))
