@@ -1,12 +1,13 @@
 """Line dedup by levelled sorted runs of line hashes.
 
-A run is a table of ``(key, n_docs, last_doc)``, one row a key, dealt by ranges of the key and sorted in each
+A run is a table of ``(key, n_docs, last_doc)``, one row a key, dealt by a hash of the key and sorted in each
 file. A batch of documents makes a run of its own on level 0. ``fan_in`` runs of a level are merged into
 one run of the next level, so every row is rewritten once a level and there are few runs to read.
 Counts and maxima merge in any order; a document must not come in two batches.
 
-Dropping lines is a merge anti-join: the runs, merged, give the keys found in enough documents, and each
-document loses its lines with such a key unless it is the last document that holds it.
+Lines are dropped after the last batch: the runs, merged, give the keys found in enough documents, and in one
+join with all lines each document loses those with such a key unless it is the last document that holds it. Every row
+is a document of its own, also where rows share an id.
 
 A key is 128 bits of BLAKE2 of the stripped, lower-cased line. A line's rows are reduced within each Arrow batch
 of documents and again within each task, so a line that a third of all documents hold is a few rows.
