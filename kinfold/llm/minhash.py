@@ -261,7 +261,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHING
         agreement("a_marks", "b_marks", bands * rows) >= similarity - SLACK).select("a", "b")
     labels = rooted(similar(with_texts(close, whole), length, counts, similarity))
     apart = still_apart(members.join(labels, "v", "left").select("key", "v", "size", F.coalesce("label", "v").alias("label")))
-    merged, hubs = [], HUBS
+    merged, hubs = None, HUBS
     if not apart.isEmpty():
         # an id that stands for several texts has no bound of its own
         ids = apart.select(F.col("v").alias("doc_id")).distinct()
@@ -286,14 +286,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHING
                            F.col("hub.label").alias("v")).dropDuplicates(["a", "b"])
         found = written(similar(with_texts(pairs, open_texts), length, counts, similarity), "links")
         if not found.isEmpty():
-            merged.append(connected(found.select("u", "v")).select(F.col("v").alias("label"), F.col("label").alias("into")))
-            apart = apart.join(merged[-1], "label", "left").withColumn("label", F.coalesce("into", "label")).drop("into")
+            step = connected(found.select("u", "v")).select(F.col("v").alias("label"), F.col("label").alias("into"))
+            apart = apart.join(step, "label", "left").withColumn("label", F.coalesce("into", "label")).drop("into")
+            # what earlier rounds merged follows this one; labels that went never come back, so each is there once
+            merged = step if merged is None else written(merged.join(
+                step.select(F.col("label").alias("into"), F.col("into").alias("next")), "into", "left").select(
+                "label", F.coalesce("next", "into").alias("into")).unionByName(step), "merged")
         # these hubs have met every document of their buckets and need not meet any again
         apart = written(still_apart(apart).join(hub.select("key", F.col("hub.v").alias("v")), ["key", "v"], "left_anti"), "apart")
         hubs *= MORE_HUBS
     of_text = texts.select("text_key", F.col("doc_id").alias("v")).join(labels, "v", "left").select(
         "text_key", F.coalesce("label", "v").alias("label"))
-    for step in merged:
-        of_text = of_text.join(step, "label", "left").select("text_key", F.coalesce("into", "label").alias("label"))
+    if merged is not None:
+        of_text = of_text.join(merged, "label", "left").select("text_key", F.coalesce("into", "label").alias("label"))
     return made.select("doc_id", "text_key").join(of_text, "text_key", "left").select(
         "doc_id", F.col("label").alias("class_id"))
