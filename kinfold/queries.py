@@ -696,6 +696,12 @@ def _as_files(spark: SparkSession, records: DataFrame, files: int) -> str:
     return path
 
 
+def _stream(spark: SparkSession, records: DataFrame, batches: int = 1) -> DataFrame:
+    """Records as a stream of at most ``batches`` batches, each of a file for each core, so that no task reads a batch alone."""
+    cores = spark.sparkContext.defaultParallelism
+    return file_stream(spark, _as_files(spark, records, batches * cores), cores)
+
+
 def _root(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -720,7 +726,7 @@ def stream_kind_counts(spark, sf_dir):
 @query
 def stream_profiles(spark, sf_dir):
     root = _root(spark)
-    stream = file_stream(spark, _as_files(spark, mv.envelopes(spark, sf_dir, *PEOPLE), 4), 2)
+    stream = _stream(spark, mv.envelopes(spark, sf_dir, *PEOPLE), 2)
     store = ProfileStore(spark, f"{root}/store")
     profile_query(stream, store, f"{root}/checkpoint").awaitTermination()
     return flat(store.profiles())
@@ -732,7 +738,7 @@ def stream_kind_sets(spark, sf_dir):
     root = _root(spark)
     store = ProfileStore(spark, f"{root}/store")
     for i, view in enumerate(("net", "personal", "bank")):
-        stream = file_stream(spark, _as_files(spark, mv.envelopes(spark, sf_dir, view), 1), 1)
+        stream = _stream(spark, mv.envelopes(spark, sf_dir, view))
         profile_query(stream, store, f"{root}/checkpoint{i}").awaitTermination()
     return R.kind_set_reports(store.kind_sets())
 
@@ -795,7 +801,7 @@ def stream_profiles_two_sources(spark, sf_dir):
     root = _root(spark)
     store = ProfileStore(spark, f"{root}/store")
     for i, views in enumerate((("net", "bank"), ("personal",))):
-        stream = file_stream(spark, _as_files(spark, mv.envelopes(spark, sf_dir, *views), 2), 2)
+        stream = _stream(spark, mv.envelopes(spark, sf_dir, *views))
         profile_query(stream, store, f"{root}/checkpoint{i}").awaitTermination()
     return flat(store.profiles())
 
@@ -807,7 +813,7 @@ def _late_exports(spark: SparkSession, sf_dir: str) -> tuple[str, list[DataFrame
     bank = mv.envelopes(spark, sf_dir, "bank")
     odd = F.get_json_object(F.col("value").cast("string"), "$.passport").rlike("[13579] $")
     for i, rows in enumerate((mv.envelopes(spark, sf_dir, "personal").unionByName(bank.filter(~odd)), bank.filter(odd))):
-        profile_query(file_stream(spark, _as_files(spark, rows, 1), 1), store, f"{root}/checkpoint{i}").awaitTermination()
+        profile_query(_stream(spark, rows), store, f"{root}/checkpoint{i}").awaitTermination()
         P.publish_changes(store, f"{root}/tables", _as_of(), config)
         people.append(written(table(spark, f"{root}/tables/persons"), "persons"))
     return root, people
@@ -847,7 +853,7 @@ def stream_profile_counters(spark, sf_dir):
     root = _root(spark)
     store = ProfileStore(spark, f"{root}/store")
     for i, rows in enumerate((_broken(spark, sf_dir), mv.envelopes(spark, sf_dir, "personal"))):
-        profile_query(file_stream(spark, _as_files(spark, rows, 1), 1), store, f"{root}/checkpoint{i}").awaitTermination()
+        profile_query(_stream(spark, rows), store, f"{root}/checkpoint{i}").awaitTermination()
     return counters(spark, store.root, *FOLDED).select(
         "batch", "consumed", "errors", "read", "upserts", "merges", *V.KINDS, "skipped_unknown", "skipped_empty",
         ((F.col("seconds") > 0) & (F.col("rate") > 0)).alias("timed"))

@@ -36,6 +36,17 @@ def file_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(path)
 
 
+def spread(batch: DataFrame) -> DataFrame:
+    """Records of a batch over all cores where it comes in fewer parts, as of a topic of few partitions or from one file.
+
+    Reading a message costs far more than moving it.
+    """
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    if batch.rdd.getNumPartitions() >= cores:
+        return batch
+    return batch.repartition(cores, "topic", "partition", "offset", "timestamp")
+
+
 def raw_id() -> Column:
     return F.concat_ws("_", "topic", "partition", "offset")
 

@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _source(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The table that drives a view, over all cores where it is a few small files that cannot be split.
+
+    Making and parsing messages costs far more than moving such rows. A table of as many files as there are cores, any
+    large one that is, is left as it is, whatever other sources it is read with.
+    """
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, key)
+
+
 def _message(rows: DataFrame, topic: str, key: str, ts: str, payload: str) -> DataFrame:
     return rows.selectExpr(
         f"'{topic}' as topic", f"cast({key} % 3 as int) as partition", f"cast({key} div 3 as bigint) as offset",
@@ -31,7 +41,7 @@ def _after(day: str, seconds: str) -> str:
 
 def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _message(
-        table(spark, sf_dir, "customer"), "hr.personal", "c_custkey", _after("2023-01-01", "c_custkey"),
+        _source(spark, sf_dir, "customer", "c_custkey"), "hr.personal", "c_custkey", _after("2023-01-01", "c_custkey"),
         f"""to_json(named_struct(
             'name', c_name, 'last_name', concat('L', c_custkey % 97),
             'sex', array(if(c_custkey % 2 = 0, 'M', 'F')), 'telfnumber', concat('+34 ', c_custkey),
@@ -40,7 +50,7 @@ def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth message nests its fields."""
-    rows = table(spark, sf_dir, "customer").join(
+    rows = _source(spark, sf_dir, "customer", "c_custkey").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return _message(
         rows, "hr.location", "c_custkey", _after("2023-06-01", "c_custkey"),
@@ -51,7 +61,7 @@ def location(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def professional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").join(
+    rows = _source(spark, sf_dir, "supplier", "s_suppkey").join(
         table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return _message(
         rows, "hr.professional", "s_suppkey", _after("2023-09-01", "s_suppkey"),
@@ -63,7 +73,7 @@ def professional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _message(
-        table(spark, sf_dir, "orders"), "hr.bank", "o_orderkey", "o_orderdate",
+        _source(spark, sf_dir, "orders", "o_orderkey"), "hr.bank", "o_orderkey", "o_orderdate",
         """to_json(named_struct(
             'passport', concat(' p', o_custkey, ' '),
             'IBAN', concat(case o_orderkey % 4 when 0 then 'ES' when 1 then 'FR' when 2 then 'DE' else 'XX' end,
@@ -74,7 +84,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def net(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the messages carry no passport: e-mail, phone, both or nothing."""
     return _message(
-        table(spark, sf_dir, "events"), "hr.net", "event_id", "ts",
+        _source(spark, sf_dir, "events", "event_id"), "hr.net", "event_id", "ts",
         f"""to_json(named_struct(
             'address', concat('node ', event_id % 100),
             'IPv4', concat('10.', event_id % 200, '.', user_id % 250, '.', event_id % 7),
@@ -86,13 +96,13 @@ def net(spark: SparkSession, sf_dir: str) -> DataFrame:
 def free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as messages."""
     return _message(
-        table(spark, sf_dir, "documents"), "hr.text", "doc_id", _after("2023-11-01", "doc_id"),
+        _source(spark, sf_dir, "documents", "doc_id"), "hr.text", "doc_id", _after("2023-11-01", "doc_id"),
         "to_json(named_struct('doc', doc_id, 'text', text, 'lang', lang, 'source', source))")
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _message(
-        table(spark, sf_dir, "conversations"), "hr.chat", "(conv_id * 1000 + turn)",
+        _source(spark, sf_dir, "conversations", "conv_id"), "hr.chat", "(conv_id * 1000 + turn)",
         _after("2023-12-01", "conv_id"), "to_json(named_struct('turn', turn, 'role', role, 'text', text))")
 
 
@@ -100,26 +110,10 @@ KIND_VIEWS = {"personal": personal, "location": location, "professional": profes
 VIEWS = {**KIND_VIEWS, "text": free_text, "chat": chat}
 
 
-#: Table whose rows drive each view.
-SOURCES = {"personal": "customer", "location": "customer", "professional": "supplier", "bank": "orders",
-           "net": "events", "text": "documents", "chat": "conversations"}
-
-
-def _spread(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """Messages of a view, over all cores where its source is a few small files that cannot be split.
-
-    Parsing costs far more than moving such files. A source of as many files as there are cores, any large
-    table that is, is left as it is, whatever other sources it is read with.
-    """
-    rows = VIEWS[view](spark, sf_dir)
-    cores = spark.sparkContext.defaultParallelism
-    return rows if len(table(spark, sf_dir, SOURCES[view]).inputFiles()) >= cores else rows.repartition(cores)
-
-
 def landed(spark: SparkSession, sf_dir: str, *views: str) -> DataFrame:
     """Landed rows ``topic, partition, offset, ts, payload, raw_id`` of the named views (default: five kinds)."""
     names = views or tuple(KIND_VIEWS)
-    rows = reduce(DataFrame.unionByName, [_spread(spark, sf_dir, v) for v in names])
+    rows = reduce(DataFrame.unionByName, [VIEWS[v](spark, sf_dir) for v in names])
     return rows.withColumn("raw_id", raw_id())
 
 

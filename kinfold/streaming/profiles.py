@@ -22,7 +22,7 @@ from kinfold.operators.resolve import labelled, link_edges, token_set_states
 from kinfold.operators.skew import lookup
 from kinfold.plans.extract import contribute
 from kinfold.session import scratch, written
-from kinfold.sources.envelope import decoded, good
+from kinfold.sources.envelope import decoded, good, spread
 from kinfold.streaming.store import folder_number, stored, stream_id
 from kinfold.vocabulary import KINDS
 
@@ -156,7 +156,7 @@ def profile_query(stream: DataFrame, store: ProfileStore, checkpoint: str, **tri
     """Fold a stream of broker records into the store."""
     def fold(df: DataFrame, batch: int) -> None:
         counted = Counters()
-        rows = counted.watch(decoded(df), consumed=F.count("*"), errors=F.count_if(F.col("fields").isNull()))
+        rows = counted.watch(decoded(spread(df)), consumed=F.count("*"), errors=F.count_if(F.col("fields").isNull()))
         store.merge_batch(contribute(good(rows), store.config), batch, stream_id(df.sparkSession), counted)
     return (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

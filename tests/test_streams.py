@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from kinfold import queries
 from kinfold.operators.resolve import resolved_profiles
 from kinfold.plans.extract import contribute
 from kinfold.sources import landing as L
-from kinfold.sources.envelope import file_stream, messages
+from kinfold.sources.envelope import file_stream, messages, spread
 from kinfold.streaming.landing import bounded_dedupe, dead, land_batch, landed, landing_query
 from kinfold.streaming.profiles import ProfileStore, profile_query
 
@@ -101,3 +102,22 @@ def test_replay_and_unprocessed(spark):
     assert L.unprocessed(L.replay(marked)).count() == 3
     assert "processed" not in L.replay(marked, unset=True).columns
     assert L.retained(spark.range(3).withColumn("ts", F.timestamp_seconds("id")), F.timestamp_seconds(F.lit(1))).count() == 2
+
+
+def test_a_batch_from_one_file_is_parsed_on_all_cores(spark, tmp_path):
+    """One file that cannot be split was one task before, whatever it held."""
+    envelopes(spark, [{"passport": f"p{i}"} for i in range(200)]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    assert batch.rdd.getNumPartitions() == 1
+    spread_out = spread(batch)
+    assert spread_out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r["offset"] for r in spread_out.collect()) == list(range(200))
+    assert spread(spread_out) is spread_out
+
+
+def test_streams_of_queries_have_a_file_for_each_core(spark):
+    records = envelopes(spark, [{"passport": f"p{i}"} for i in range(500)])
+    stream, seen = queries._stream(spark, records), []
+    stream.writeStream.foreachBatch(lambda df, batch: seen.append((df.rdd.getNumPartitions(), df.count()))).trigger(
+        availableNow=True).start().awaitTermination()
+    assert [n for _, n in seen] == [500] and seen[0][0] > 1
