@@ -29,10 +29,11 @@ def _slot(value: Column, rank: Column) -> Column:
         F.struct(rank.alias("rank"), order().alias("at")).alias("ord"), value.alias("value")))
 
 
-def message_states(contributed: DataFrame, config: Config = Config()) -> DataFrame:
-    """One state per message, with its tokens and proposed key.
+def message_states(contributed: DataFrame, *by: str, config: Config = Config()) -> DataFrame:
+    """States of messages merged by the columns ``by``.
 
-    Messages that add nothing leave no state; they are kept only where they link identifiers.
+    Messages that add nothing leave no state; they are kept only where they link identifiers. A message goes
+    through the first sort with its order once, not once a slot: the slots are made as it is merged.
     """
     adds = reduce(lambda a, b: a | b, [F.col(f"c_{k}").isNotNull() for k in V.KINDS])
 
@@ -41,20 +42,26 @@ def message_states(contributed: DataFrame, config: Config = Config()) -> DataFra
             return F.lit(0)
         return F.array_contains("observed", kind).cast("int")
 
-    kinds = [_slot(F.col(f"c_{k}"), rank(k)).alias(f"k_{k}") for k in V.KINDS]
-    ids = [F.when(adds, _slot(F.col(f"id_{i}"), F.lit(0))).alias(f"i_{i}") for i in V.IDENTIFIERS]
-    best = F.when(adds, F.struct((31 - presence(id_columns())).alias("rank"), order().alias("at"),
-                                 F.col("proposed_key").alias("key")))
-    return contributed.filter(adds | (F.size("tokens") > 1)).select(
-        "tokens", "proposed_key", *kinds, *ids, best.alias("best"),
-        F.when(adds, F.col("ts")).alias("first_ts"), F.when(adds, F.col("ts")).alias("last_ts"))
+    slots = {f"k_{k}": _slot(F.col(f"c_{k}"), rank(k)) for k in V.KINDS}
+    slots |= {f"i_{i}": F.when(F.col("adds"), _slot(F.col(f"id_{i}"), F.lit(0))) for i in V.IDENTIFIERS}
+    best = F.when(F.col("adds"), F.struct((31 - presence(id_columns())).alias("rank"), order().alias("at"),
+                                          F.col("proposed_key").alias("key")))
+    at = F.when(F.col("adds"), F.col("ts"))
+    rows = contributed.withColumn("adds", adds).filter(F.col("adds") | (F.size("tokens") > 1))
+    return _merged(rows, by, slots, best, at, at)
 
 
 def merge(states: DataFrame, *by: str) -> DataFrame:
     """Merge states that share ``by``. Spark pre-aggregates per task, so a hot key sends one row per task."""
-    return states.groupBy(*by).agg(
-        *[F.max_by(s, F.col(s)["ord"]).alias(s) for s in SLOTS],
-        F.min("best").alias("best"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    return _merged(states, by, {s: F.col(s) for s in SLOTS}, F.col("best"), F.col("first_ts"), F.col("last_ts"))
+
+
+def _merged(rows: DataFrame, by: tuple[str, ...], slots: dict[str, Column], best: Column, first: Column, last: Column) -> DataFrame:
+    """A hash leads the grouping, as rows are sorted for it: keys that begin alike, or lists, would be compared whole each time."""
+    made = rows.groupBy(F.xxhash64(*by).alias("by_hash"), *by).agg(
+        *[F.max_by(c, c["ord"]).alias(s) for s, c in slots.items()],
+        F.min(best).alias("best"), F.min(first).alias("first_ts"), F.max(last).alias("last_ts"))
+    return made.drop("by_hash")
 
 
 def kinds_of() -> Column:
@@ -81,5 +88,4 @@ def profiles(states: DataFrame, key: Column, *kept: str) -> DataFrame:
 
 def exact_profiles(contributed: DataFrame, config: Config = Config()) -> DataFrame:
     """Profiles by proposed key alone, without identifier resolution."""
-    states = message_states(contributed, config).filter(F.col("best").isNotNull())
-    return profiles(merge(states, "proposed_key"), F.col("proposed_key"))
+    return profiles(message_states(contributed, "proposed_key", config=config), F.col("proposed_key"))

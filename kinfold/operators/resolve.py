@@ -19,7 +19,7 @@ from kinfold.session import written
 
 def token_set_states(contributed: DataFrame, config: Config = Config()) -> DataFrame:
     """States merged per distinct token set: a heavy person is a handful of rows from here on."""
-    return merge(message_states(contributed, config), "tokens")
+    return message_states(contributed, "tokens", config=config)
 
 
 def link_edges(states: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def resolved_profiles(contributed: DataFrame, config: Config = Config()) -> Data
 
 def key_mapping(contributed: DataFrame, config: Config = Config()) -> DataFrame:
     """``(proposed_key, grouping_key)``: where each group proposed by some message ended up."""
-    states = written(merge(message_states(contributed, config), "tokens", "proposed_key"), "proposed")
+    states = written(message_states(contributed, "tokens", "proposed_key", config=config), "proposed")
     labels = components(link_edges(states), config)
     rows = written(labelled(states, labels, config).filter(F.col("best").isNotNull())
                    .select("proposed_key", "label", "best"), "labelled")

@@ -8,7 +8,7 @@ from kinfold.config import PREFER_OBSERVED, Config
 from kinfold.operators.components import components
 from kinfold.operators.fold import exact_profiles
 from kinfold.operators.refine import final_targets, merge_groups, refine
-from kinfold.operators.resolve import key_mapping, merges, resolved_profiles
+from kinfold.operators.resolve import key_mapping, merges, resolved_profiles, token_set_states
 from kinfold.operators.skew import lookup
 from kinfold.operators.upsert import upsert
 from kinfold.plans import publish as P
@@ -22,6 +22,16 @@ PERSON = [
 ]
 
 
+def test_rows_are_sorted_by_a_hash_and_carry_their_order_once(spark):
+    """Keys begin alike and token sets are lists, so a sort by them alone compares whole values; slots repeat the order ten times."""
+    for made, by in ((exact_profiles(contributed(spark, PERSON)), "proposed_key"),
+                     (token_set_states(contributed(spark, PERSON)), "tokens")):
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        first = plan[plan.rindex("SortAggregate("):].splitlines()
+        keys = first[0].split("key=[")[1]
+        assert by in keys and "," in keys[:keys.index(by)] and "k_personal" not in first[1] and "i_email" not in first[1], first[:2]
+
+
 def test_newest_block_wins_and_kinds_unite(spark):
     got = exact(spark, PERSON)["passport::p1"]
     assert got["types"] == ["bank", "location", "net", "personal", "professional"] and got["complete"]
