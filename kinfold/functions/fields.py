@@ -110,14 +110,18 @@ def any_key(stream_keys: Column, wanted: list[str]) -> Column:
     return F.arrays_overlap(stream_keys, F.array(*[F.lit(k) for k in wanted]))
 
 
-def first_hit(stream: Column, keys: list[str]) -> Column:
-    """First entry, in document order, whose key is one of ``keys`` (even with a null value)."""
-    return F.get(F.filter(stream, lambda e: e["k"].isin(keys)), F.lit(0))
+def norms(stream: Column) -> Column:
+    """Normalised texts, at the places of their keys."""
+    return F.transform(stream, lambda e: e["n"])
 
 
-def first_text(stream: Column, keys: list[str]) -> Column:
-    """Normalised text of the first hit; null when there is none or it is not a string."""
-    return first_hit(stream, keys)["n"]
+def first_text(stream_keys: Column, texts: Column, wanted: list[str]) -> Column:
+    """Normalised text of the first entry, in document order, whose key is one of ``wanted`` (even with a null value).
+
+    Null when there is none or it is not a string. Places of keys need no lambda, which Spark would interpret.
+    """
+    places = F.array(*[F.array_position(stream_keys, key) for key in wanted])
+    return F.get(texts, (F.array_min(F.array_remove(places, F.lit(0).cast("long"))) - 1).cast("int"))
 
 
 def json_of(value: Column) -> Column:

@@ -40,7 +40,7 @@ def _by_alphabet(text: Column, plain: Column, unicode: Column) -> Column:
 
 def _found(text: Column, pattern: str) -> Column:
     hit = _by_alphabet(text, F.regexp_extract(text, pattern, 0), F.regexp_extract(text, "(?iU)" + pattern, 0))
-    return let(hit, lambda h: F.when(h != "", h))
+    return F.when(hit != "", hit)
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -48,14 +48,16 @@ def _matches(text: Column, pattern: str) -> Column:
 
 
 _SIGNAL_PATTERNS = {"bank": [V.IBAN_PATTERN, V.SWIFT_PATTERN], "net": [V.IPV4_PATTERN]}
+#: The same patterns by the name of the field that they fill.
+SIGNAL_FIELDS = {"bank": ["iban", "swift"], "net": ["ipv4"]}
 
 
 def find_iban(text: Column) -> Column:
-    return let(F.upper(text), lambda up: _found(up, V.IBAN_PATTERN))
+    return _found(F.upper(text), V.IBAN_PATTERN)
 
 
 def find_swift(text: Column) -> Column:
-    return let(F.upper(text), lambda up: _found(up, V.SWIFT_PATTERN))
+    return _found(F.upper(text), V.SWIFT_PATTERN)
 
 
 def find_ipv4(text: Column) -> Column:
@@ -67,27 +69,35 @@ def find_ipv6(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(":")) & _matches(text, V.IPV6_PATTERN), text)
 
 
+def has_word(lowered: Column, kind: str) -> Column:
+    """True when a lower-cased text holds a keyword of ``kind``."""
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(word)) for word in V.KEYWORDS[kind]])
+
+
+def text_has_word(text: Column, kind: str) -> Column:
+    return let(F.lower(text), lambda low: has_word(low, kind))
+
+
+def has_shape(text: Column, kind: str) -> Column:
+    """True when a text matches one of the patterns of ``kind``."""
+    return reduce(lambda a, b: a | b, [_matches(text, p) for p in _SIGNAL_PATTERNS[kind]])
+
+
 def has_signal(text: Column, kind: str) -> Column:
     """True when a string value speaks for ``kind``: a keyword, or one of the kind's patterns."""
-    hit = let(F.lower(text), lambda low: reduce(
-        lambda a, b: a | b, [F.contains(low, F.lit(word)) for word in V.KEYWORDS[kind]]))
-    return reduce(lambda a, b: a | b, [_matches(text, p) for p in _SIGNAL_PATTERNS.get(kind, [])], hit)
+    return text_has_word(text, kind) | has_shape(text, kind)
 
 
-def may_signal(joined: Column, lowered: Column, kind: str) -> Column:
-    """False only when no string of a message can speak for ``kind``.
-
-    One test on the joined strings (and their lower case) outside any lambda, which keeps the
-    per-string test for the messages that need it. Neither keywords nor patterns span the joint.
-    """
-    words = [F.contains(lowered, F.lit(word)) for word in V.KEYWORDS[kind]]
-    return reduce(lambda a, b: a | b, words + [_matches(joined, p) for p in _SIGNAL_PATTERNS.get(kind, [])])
+def may_match(joined: Column, kind: str, hits: dict[str, Column]) -> Column:
+    """``has_shape`` of the joined strings, from what the patterns found in them where they are ASCII text."""
+    found = reduce(lambda a, b: a | b, [hits[name].isNotNull() for name in SIGNAL_FIELDS[kind]])
+    return _by_alphabet(joined, found, has_shape(joined, kind))
 
 
 def email_domain(email: Column) -> Column:
     """Everything after the first ``@``; null without one or when nothing follows."""
-    after = F.substr(email, F.instr(email, "@") + 1)
-    return F.when(F.instr(email, "@") > 0, let(strip(F.lower(after)), lambda d: F.when(d != "", d)))
+    domain = strip(F.lower(F.when(F.instr(email, "@") > 0, F.substr(email, F.instr(email, "@") + 1))))
+    return F.when(domain != "", domain)
 
 
 def company_from_domain(domain: Column) -> Column:

@@ -16,47 +16,53 @@ def _canonical_names(kind: str) -> tuple[list[str], Column]:
     return [alias for alias, _ in pairs], names
 
 
-def alias_block(stream: Column, kind: str) -> Column:
+def alias_block(stream: Column, stream_keys: Column, kind: str) -> Column:
     """Canonical fields of ``kind`` by alias, first hit in document order, useless values dropped.
 
     Text is normalised, but only trimmed for bank data, where case carries meaning.
     """
     keys, names = _canonical_names(kind)
+    plain = [name for name in V.ALIASES[kind] if name in keys]
 
-    def build(hits: Column) -> Column:
-        slots = F.transform(hits, lambda e: F.element_at(names, e["k"]))
-        return let(slots, lambda ss: F.transform(F.array_distinct(ss), lambda n: let(
-            F.element_at(hits, F.array_position(ss, n).cast("int")), lambda e: F.struct(
-                n.alias("key"), (T.strip(e["s"]) if kind == "bank" else e["n"]).alias("text"),
-                e["v"].alias("value")))))
+    def pair(e: Column, text: Column) -> Column:
+        return F.struct(
+            F.when(e["k"].isin(plain), e["k"]).otherwise(F.element_at(names, e["k"])).alias("key"),
+            F.when(text.isNotNull(), text.cast("variant")).otherwise(e["v"]).alias("value"),
+            F.when(text.isNotNull(), text != "").otherwise(is_useful(e["v"])).alias("useful"))
 
-    pairs = let(F.filter(stream, lambda e: e["k"].isin(keys)), build)
-    useful = F.filter(pairs, lambda p: F.when(p["text"].isNotNull(), p["text"] != "").otherwise(is_useful(p["value"])))
-    return F.map_from_entries(F.transform(useful, lambda p: F.struct(
-        p["key"].alias("key"),
-        F.when(p["text"].isNotNull(), p["text"].cast("variant")).otherwise(p["value"]).alias("value"))))
+    def entry(e: Column) -> Column:
+        return let(T.strip(e["s"]), lambda text: pair(e, text)) if kind == "bank" else pair(e, e["n"])
+
+    def build(pairs: Column) -> Column:
+        first = F.filter(pairs, lambda p, i: p["useful"] & (F.array_position(pairs["key"], p["key"]) == i + 1))
+        return F.map_from_entries(F.transform(first, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))))
+
+    found = let(F.transform(F.filter(stream, lambda e: e["k"].isin(keys)), entry), build)
+    return F.when(any_key(stream_keys, keys), found).otherwise(empty_block())
+
+
+#: Fields that a pattern fills when no alias does, by kind.
+PATTERN_FIELDS = {"bank": ["iban", "swift"], "net": ["ipv4", "ipv6"]}
+
+
+def pattern_hits(strings: Column, joined: Column) -> dict[str, Column]:
+    """What each pattern finds first in any string, or null."""
+    whole = F.get(F.filter(F.transform(strings, T.find_ipv6), lambda s: s.isNotNull()), F.lit(0))
+    return {"iban": T.find_iban(joined), "swift": T.find_swift(joined), "ipv4": T.find_ipv4(joined),
+            "ipv6": F.when(F.contains(joined, F.lit(":")), T.normalize(whole))}
 
 
 def _filled(block: Column, name: str, found: Column) -> Column:
-    """Fill ``name`` from ``found`` when the alias gave nothing truthy."""
-    def fill(b: Column) -> Column:
-        def add(value: Column) -> Column:
-            extra = F.map_from_arrays(F.array(F.lit(name)), F.array(value.cast("variant")))
-            rest = F.map_filter(b, lambda k, _: k != name)
-            return F.when(value.isNull(), b).otherwise(F.map_concat(rest, extra))
-        return F.when(is_truthy(F.try_element_at(b, F.lit(name))), b).otherwise(let(found, add))
-    return let(block, fill)
-
-
-def block_of(kind: str, stream: Column, keys: Column, strings: Column, joined: Column) -> Column:
-    """Block of ``kind``: aliases, then (bank, net) the first pattern found in any string."""
-    block = F.when(any_key(keys, _canonical_names(kind)[0]), alias_block(stream, kind)).otherwise(empty_block())
-    if kind == "bank":
-        block = _filled(_filled(block, "iban", T.find_iban(joined)), "swift", T.find_swift(joined))
-    if kind == "net":
-        whole = F.when(F.contains(joined, F.lit(":")), F.get(F.filter(
-            F.transform(strings, T.find_ipv6), lambda s: s.isNotNull()), F.lit(0)))
-        block = _filled(_filled(block, "ipv4", T.find_ipv4(joined)), "ipv6", T.normalize(whole))
+    """Fill ``name`` from ``found`` when the alias gave nothing truthy. Most messages need neither look-up nor lambda."""
+    rest = F.map_filter(block, lambda k, _: k != name)
+    return F.when(found.isNull() | is_truthy(F.try_element_at(block, F.lit(name))), block).otherwise(
+        F.map_concat(rest, F.create_map(F.lit(name), found.cast("variant"))))
+
+
+def filled(kind: str, block: Column, hits: dict[str, Column]) -> Column:
+    """Block of ``kind`` over columns: its ``alias_block``, then (bank, net) the first pattern found in any string."""
+    for name in PATTERN_FIELDS.get(kind, []):
+        block = _filled(block, name, hits[name])
     return block
 
 
@@ -69,8 +75,8 @@ def light_block(fields: Column) -> Column:
 
 def text_of(block: Column, name: str) -> Column:
     """Field of a block when it is a string, else null."""
-    return let(F.try_element_at(block, F.lit(name)),
-               lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string")))
+    value = F.try_element_at(block, F.lit(name))
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
 
 def empty_block() -> Column:

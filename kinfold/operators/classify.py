@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +13,21 @@ from kinfold.functions import text as T
 UNKNOWN = "unknown"
 
 
-def score(kind: str, block: Column, strings: Column, joined: Column, lowered: Column) -> Column:
-    """Fields of the block plus strings that speak for the kind."""
-    signals = F.when(T.may_signal(joined, lowered, kind),
-                     F.size(F.filter(strings, lambda s: T.has_signal(s, kind)))).otherwise(0)
-    return F.size(block) + signals
+def score(kind: str, block: Column, strings: Column, joined: Column, lowered: Column, hits: dict[str, Column]) -> Column:
+    """Fields of the block plus strings that speak for the kind.
+
+    Tests on the joined strings, outside any lambda, say which tests strings need one by one. Neither keywords nor
+    patterns span the joint.
+    """
+    def count(test: Callable[[Column, str], Column]) -> Column:
+        return F.size(F.filter(strings, lambda s: test(s, kind)))
+
+    words = T.has_word(lowered, kind)
+    if kind not in T.SIGNAL_FIELDS:
+        return F.size(block) + F.when(words, count(T.text_has_word)).otherwise(0)
+    shape = T.may_match(joined, kind, hits)
+    return F.size(block) + (F.when(words & shape, count(T.has_signal)).when(shape, count(T.has_shape))
+                            .when(words, count(T.text_has_word)).otherwise(0))
 
 
 def winner(scores: dict[str, Column]) -> Column:

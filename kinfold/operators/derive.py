@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,32 +18,37 @@ from kinfold.operators.identifiers import Ids, id_columns
 
 def _text_map(**values: Column) -> Column:
     """Map of the given non-null texts; null when all are null."""
-    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("variant").alias("value"))
-                               for k, v in values.items()]), lambda p: p["value"].isNotNull())
-    return let(pairs, lambda ps: F.when(F.size(ps) > 0, F.map_from_entries(ps)))
+    sets = [names for n in range(len(values), 0, -1) for names in combinations(values, n)]
+    return F.coalesce(*[
+        F.when(reduce(lambda a, b: a & b, [values[k].isNotNull() for k in names]),
+               F.create_map(*[x for k in names for x in (F.lit(k), values[k].cast("variant"))])) for names in sets])
+
+
+def source_columns() -> dict[str, Column]:
+    """What derived blocks are made from, over blocks and identifiers, as columns: each is used several times."""
+    mail = T.email_domain(F.col("id_email"))
+    return {"country_code": T.iban_country_code(text_of(F.col("b_bank"), "iban")), "mail_domain": mail,
+            "domain": F.coalesce(mail, text_of(F.col("b_net"), "domain"))}
 
 
-def location_from_bank(bank: Column) -> Column:
+def location_from_bank(code: Column) -> Column:
     """Country of the IBAN."""
-    code = let(text_of(bank, "iban"), T.iban_country_code)
-    return let(code, lambda c: F.when(c.isNotNull(), _text_map(country_code=c, country=T.country_name(c))))
+    return _text_map(country_code=code, country=T.country_name(code))
 
 
 def personal_from_ids(ids: Ids) -> Column:
     return _text_map(email=ids["email"], phone=ids["phone"])
 
 
-def net_from_email(ids: Ids) -> Column:
-    return _text_map(domain=T.email_domain(ids["email"]))
+def net_from_email(mail_domain: Column) -> Column:
+    return _text_map(domain=mail_domain)
 
 
-def professional_from_domain(ids: Ids, net: Column) -> Column:
+def professional_from_domain(domain: Column) -> Column:
     """Company named by the mail domain, else by the net block's domain; marked as inferred."""
-    domain = F.coalesce(T.email_domain(ids["email"]), text_of(net, "domain"))
-    company = let(domain, T.company_from_domain)
-    return let(company, lambda c: F.when(c.isNotNull(), F.map_from_arrays(
+    return F.when(domain.isNotNull(), let(T.company_from_domain(domain), lambda c: F.when(c.isNotNull(), F.map_from_arrays(
         F.array(F.lit("company"), F.lit("_inferred")),
-        F.array(c.cast("variant"), F.lit(True).cast("variant")))))
+        F.array(c.cast("variant"), F.lit(True).cast("variant"))))))
 
 
 def contribution_columns() -> dict[str, Column]:
@@ -62,15 +70,15 @@ def contribution_columns() -> dict[str, Column]:
     real_job = F.when(F.size(block("professional")) > 0, block("professional"))
     made = {
         "personal": F.coalesce(own("personal"), personal_from_ids(ids)),
-        "location": F.coalesce(own("location"), location_from_bank(block("bank"))),
-        "professional": F.coalesce(real_job, professional_from_domain(ids, block("net"))),
+        "location": F.coalesce(own("location"), location_from_bank(F.col("country_code"))),
+        "professional": F.coalesce(real_job, professional_from_domain(F.col("domain"))),
         "bank": own("bank"),
-        "net": F.coalesce(own("net"), net_from_email(ids)),
+        "net": F.coalesce(own("net"), net_from_email(F.col("mail_domain"))),
     }
-    observed = F.filter(F.array(
+    observed = F.array_except(F.array(
         F.coalesce(*[F.when((kind == k) & (F.size(block(k)) > 0), kind) for k in V.KINDS]),
-        F.when((kind != "professional") & real_job.isNotNull(), F.lit("professional"))),
-        lambda k: k.isNotNull())
+        F.when((kind != "professional") & (F.size(block("professional")) > 0), F.lit("professional"))),
+        F.array(F.lit(None).cast("string")))
     return {"observed": observed, **{f"c_{k}": made[k] for k in V.KINDS}}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinfold import vocabulary as V
-from kinfold.functions.fields import first_text, let
+from kinfold.functions.fields import first_text
 
 
 #: Identifiers as columns by name. They travel as flat columns ``id_<name>``: pruning fields of a
@@ -18,15 +18,16 @@ def id_columns() -> Ids:
     return {name: F.col(f"id_{name}") for name in V.IDENTIFIERS}
 
 
-def identifiers(stream: Column) -> Ids:
+def identifiers(keys: Column, texts: Column) -> Ids:
     """The five identifiers, normalised; null where absent or no string."""
-    return {name: F.nullif(first_text(stream, V.IDENTIFIER_ALIASES[name]), F.lit("")) for name in V.IDENTIFIERS}
+    found = {name: first_text(keys, texts, V.IDENTIFIER_ALIASES[name]) for name in V.IDENTIFIERS}
+    return {name: F.when(text != "", text) for name, text in found.items()}
 
 
-def name_birth_key(stream: Column) -> Column:
+def name_birth_key(keys: Column, texts: Column) -> Column:
     """``fullnamedob::name::birth`` when both are strings."""
-    return F.concat(F.lit("fullnamedob::"), first_text(stream, V.FULLNAME_ALIASES),
-                    F.lit("::"), first_text(stream, V.BIRTH_ALIASES))
+    return F.concat(F.lit("fullnamedob::"), first_text(keys, texts, V.FULLNAME_ALIASES),
+                    F.lit("::"), first_text(keys, texts, V.BIRTH_ALIASES))
 
 
 def grouping_key(ids: Ids, name_birth: Column, raw_id: Column) -> Column:
@@ -46,10 +47,9 @@ def tokens(ids: Ids, name_birth: Column, raw_id: Column) -> Column:
 
     A message with none of these stands alone under its raw id.
     """
-    found = F.filter(
-        F.array(*[F.concat(F.lit(f"{name}="), ids[name]) for name in V.IDENTIFIERS],
-                F.when(ids["passport"].isNull() & ids["email"].isNull() & ids["phone"].isNull(),
-                       F.concat(F.lit("key="), name_birth))),
-        lambda t: t.isNotNull())
-    return let(found, lambda ts: F.when(F.size(ts) > 0, ts).otherwise(
-        F.array(F.concat(F.lit("key=rawid::"), raw_id))))
+    named = F.array(*[F.concat(F.lit(f"{name}="), ids[name]) for name in V.IDENTIFIERS],
+                    F.when(ids["passport"].isNull() & ids["email"].isNull() & ids["phone"].isNull(),
+                           F.concat(F.lit("key="), name_birth)))
+    # No two begin alike, so that only the nulls go.
+    found = F.array_except(named, F.array(F.lit(None).cast("string")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.concat(F.lit("key=rawid::"), raw_id)))

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from kinfold import vocabulary as V
 from kinfold.config import Config
-from kinfold.functions.fields import entries, joined, keys, strings
-from kinfold.operators.blocks import block_of
+from kinfold.functions.fields import entries, joined, keys, norms, strings
+from kinfold.operators.blocks import alias_block, filled, pattern_hits
 from kinfold.operators.classify import score, winner
-from kinfold.operators.derive import contribution_columns
+from kinfold.operators.derive import contribution_columns, source_columns
 from kinfold.operators.identifiers import grouping_key, id_columns, identifiers, name_birth_key, tokens
 from kinfold.session import computed_once, per_context
 
 COORDINATES = ["topic", "partition", "offset", "ts", "raw_id"]
 IDS = [f"id_{name}" for name in V.IDENTIFIERS]
+#: What the patterns found in a message, as columns ``hit_<field>``.
+HITS = ["iban", "swift", "ipv4", "ipv6"]
 
 
 @per_context
@@ -28,7 +30,12 @@ def _text_columns(scan_metadata: bool) -> dict[str, Column]:
     scanned = strings(F.col("stream"))
     if scan_metadata:
         scanned = F.concat(scanned, F.array("raw_id", "topic"))
-    return {"strings": scanned, "keys": keys(F.col("stream"))}
+    return {"strings": scanned, **_key_text_columns()}
+
+
+@per_context
+def _key_text_columns() -> dict[str, Column]:
+    return {"keys": keys(F.col("stream")), "norms": norms(F.col("stream"))}
 
 
 @per_context
@@ -38,21 +45,24 @@ def _joined_columns() -> dict[str, Column]:
 
 @per_context
 def _identifier_columns() -> dict[str, Column]:
-    found = {f"id_{name}": c for name, c in identifiers(F.col("stream")).items()}
-    return {**found, "name_birth": name_birth_key(F.col("stream"))}
+    found = {f"id_{name}": c for name, c in identifiers(F.col("keys"), F.col("norms")).items()}
+    return {**found, "name_birth": name_birth_key(F.col("keys"), F.col("norms"))}
 
 
 @per_context
 def _block_columns() -> dict[str, Column]:
-    stream, words, text = F.col("stream"), F.col("strings"), F.col("joined")
-    blocks = {f"b_{k}": block_of(k, stream, F.col("keys"), words, text) for k in V.KINDS}
-    return {**blocks, **_identifier_columns(), "lowered": F.lower("joined")}
+    blocks = {f"a_{k}": alias_block(F.col("stream"), F.col("keys"), k) for k in V.KINDS}
+    hits = {f"hit_{name}": c for name, c in pattern_hits(F.col("strings"), F.col("joined")).items()}
+    return {**blocks, **hits, **_identifier_columns(), "lowered": F.lower("joined")}
 
 
 @per_context
 def _score_columns() -> dict[str, Column]:
     words, text, lowered = F.col("strings"), F.col("joined"), F.col("lowered")
-    return {f"s_{k}": score(k, F.col(f"b_{k}"), words, text, lowered) for k in V.KINDS}
+    hits = {name: F.col(f"hit_{name}") for name in HITS}
+    blocks = {k: filled(k, F.col(f"a_{k}"), hits) for k in V.KINDS}
+    scores = {f"s_{k}": score(k, blocks[k], words, text, lowered, hits) for k in V.KINDS}
+    return {**{f"b_{k}": blocks[k] for k in V.KINDS}, **scores}
 
 
 @per_context
@@ -63,7 +73,7 @@ def _key_columns() -> dict[str, Column]:
 
 @per_context
 def _kind_columns() -> dict[str, Column]:
-    return {"kind": winner({k: F.col(f"s_{k}") for k in V.KINDS}), **_key_columns()}
+    return {"kind": winner({k: F.col(f"s_{k}") for k in V.KINDS}), **_key_columns(), **source_columns()}
 
 
 @per_context
@@ -78,7 +88,8 @@ def field_streams(messages: DataFrame) -> DataFrame:
 
 def keyed(messages: DataFrame) -> DataFrame:
     """Identifiers, proposed key and link tokens only (no blocks)."""
-    made = computed_once(field_streams(messages), COORDINATES, **_identifier_columns())
+    scanned = computed_once(field_streams(messages), COORDINATES, **_key_text_columns())
+    made = computed_once(scanned, COORDINATES, **_identifier_columns())
     return computed_once(made, [*COORDINATES, *IDS], **_key_columns())
 
 
@@ -86,15 +97,14 @@ def texts(messages: DataFrame, config: Config = Config()) -> DataFrame:
     """Field stream, its strings, and the strings joined."""
     scanned = computed_once(field_streams(messages), [*COORDINATES, "stream"],
                             **_text_columns(config.scan_metadata))
-    return computed_once(scanned, [*COORDINATES, "stream", "strings", "keys"], **_joined_columns())
+    return computed_once(scanned, [*COORDINATES, "stream", "strings", "keys", "norms"], **_joined_columns())
 
 
 def extract(messages: DataFrame, config: Config = Config()) -> DataFrame:
-    """Blocks, scores, kind, identifiers, proposed key and tokens of every message."""
-    names = [f"b_{k}" for k in V.KINDS]
+    """Blocks, kind, identifiers, proposed key, tokens and sources of derived blocks of every message."""
     blocks = computed_once(texts(messages, config), [*COORDINATES, "strings", "joined"], **_block_columns())
-    scored = computed_once(blocks, [*COORDINATES, *names, *IDS, "name_birth"], **_score_columns())
-    return computed_once(scored, [*COORDINATES, *names, *IDS], **_kind_columns())
+    scored = computed_once(blocks, [*COORDINATES, *IDS, "name_birth"], **_score_columns())
+    return computed_once(scored, [*COORDINATES, *[f"b_{k}" for k in V.KINDS], *IDS], **_kind_columns())
 
 
 def contribute(messages: DataFrame, config: Config = Config()) -> DataFrame:
