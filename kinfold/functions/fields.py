@@ -1,4 +1,4 @@
-"""The ordered, typed field stream of a JSON message.
+"""The ordered, typed field stream of a JSON message: lists of its keys, texts and values, by place.
 
 Three facts drive the form of these expressions. Alias lookup is by document order, so objects are
 parsed to maps, which keep it (VARIANT objects sort their keys). Value types matter, so map values
@@ -8,11 +8,13 @@ raw text is taken from a second, string-valued parse.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinfold import vocabulary as V
-from kinfold.functions.text import let, normalize
+from kinfold.functions.text import clean, let
 
 #: Every key some rule looks for; only their texts are normalised.
 KNOWN_KEYS = sorted({key for lists in [*V.ALIASES.values(), V.IDENTIFIER_ALIASES] for keys in lists.values()
@@ -60,37 +62,60 @@ def _nested_entries(payload: Column, top: Column) -> Column:
     return let(texts, unpack)
 
 
-def entries(payload: Column, fields: Column) -> Column:
-    """Field stream ``array<struct<k,s,n,v>>``: top-level pairs, then those of nested objects.
-
-    ``k`` is the lower-cased key, ``v`` the value, ``s`` its text when it is a string, ``n`` that
-    text normalised when some rule may ask for the key.
-    """
+def pairs(payload: Column, fields: Column) -> Column:
+    """Pairs ``array<struct<key,value>>`` of a message: top-level ones, then those of nested objects."""
     has_inner = F.instr(F.substr(F.ltrim(payload), F.lit(2)), "{") > 0
+    top = F.map_entries(fields)
+    return F.when(has_inner, let(top, lambda t: F.concat(t, _nested_entries(payload, t)))).otherwise(top)
+
+
+#: Fields that are read place by place. Lambdas, which Spark interprets, read those of messages with more.
+PLACES = 8
+
+
+def _by_place(size: Column, at: Callable[[int], Column], longer: Column) -> Column:
+    """Array of ``at(place)`` for ``size`` places."""
+    return F.when(size <= PLACES, F.slice(F.array(*[at(i) for i in range(PLACES)]), F.lit(1), size)).otherwise(longer)
+
+
+#: Between keys that are lower-cased at once.
+_BETWEEN = "\x01"
+
 
-    def all_pairs(top: Column) -> Column:
-        return F.when(has_inner, F.concat(top, _nested_entries(payload, top))).otherwise(top)
+def keys(names: Column) -> Column:
+    """Names in lower case, at once where none changes or all are ASCII."""
+    whole = F.array_join(names, _BETWEEN)
+    parts = F.split(F.lower(whole), _BETWEEN)
+    return (F.when(F.lower(whole) == whole, names)
+            .when((F.octet_length(whole) == F.char_length(whole)) & (F.size(parts) == F.size(names)), parts)
+            .otherwise(F.transform(names, F.lower)))
 
-    pairs = let(F.map_entries(fields), all_pairs)
-    typed = F.transform(pairs, lambda e: F.struct(
-        F.lower(e["key"]).alias("k"),
-        F.when(F.schema_of_variant(e["value"]) == "STRING", e["value"].cast("string")).alias("s"),
-        e["value"].alias("v")))
-    return F.transform(typed, lambda e: F.struct(
-        e["k"].alias("k"), e["s"].alias("s"),
-        F.when(e["s"].isNotNull() & e["k"].isin(KNOWN_KEYS), normalize(e["s"])).alias("n"),
-        e["v"].alias("v")))
 
+def texts(values: Column) -> Column:
+    """Texts of the values that are strings, null for others, at the places of their keys."""
+    def text(v: Column) -> Column:
+        return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+    return _by_place(F.size(values), lambda i: text(F.get(values, F.lit(i))), F.transform(values, text))
 
-def strings(stream: Column) -> Column:
-    """Every string of the stream, including strings inside lists."""
-    def of_value(e: Column) -> Column:
-        items = F.transform(F.filter(e["v"].cast("array<variant>"),
+
+def norms(stream_keys: Column, found: Column) -> Column:
+    """Texts normalised, at the places of their keys, where some rule may ask for the key."""
+    def norm(text: Column, key: Column) -> Column:
+        return F.when(text.isNotNull() & key.isin(KNOWN_KEYS), clean(F.lower(text)))
+    return _by_place(F.size(found), lambda i: norm(F.get(found, F.lit(i)), F.get(stream_keys, F.lit(i))),
+                     F.transform(found, lambda text, i: norm(text, F.get(stream_keys, i))))
+
+
+def strings(has_lists: Column, found: Column, values: Column) -> Column:
+    """Every string of the stream, including strings inside lists. Other fields may stand as nulls."""
+    def of_value(v: Column, i: Column) -> Column:
+        items = F.transform(F.filter(v.cast("array<variant>"),
                                      lambda x: F.schema_of_variant(x) == "STRING"),
                             lambda x: x.cast("string"))
-        return (F.when(e["s"].isNotNull(), F.array(e["s"]))
-                .when(F.schema_of_variant(e["v"]).startswith("ARRAY"), items))
-    return F.flatten(F.filter(F.transform(stream, of_value), lambda x: x.isNotNull()))
+        return (F.when(F.get(found, i).isNotNull(), F.array(F.get(found, i)))
+                .when(F.schema_of_variant(v).startswith("ARRAY"), items))
+    inside = F.flatten(F.filter(F.transform(values, of_value), lambda x: x.isNotNull()))
+    return F.when(has_lists, inside).otherwise(found)
 
 
 #: Joins the strings of a message for whole-message pattern tests; no pattern or keyword holds it.
@@ -102,19 +127,6 @@ def joined(strings: Column) -> Column:
     return F.array_join(strings, JOINT)
 
 
-def keys(stream: Column) -> Column:
-    return F.transform(stream, lambda e: e["k"])
-
-
-def any_key(stream_keys: Column, wanted: list[str]) -> Column:
-    return F.arrays_overlap(stream_keys, F.array(*[F.lit(k) for k in wanted]))
-
-
-def norms(stream: Column) -> Column:
-    """Normalised texts, at the places of their keys."""
-    return F.transform(stream, lambda e: e["n"])
-
-
 def first_text(stream_keys: Column, texts: Column, wanted: list[str]) -> Column:
     """Normalised text of the first entry, in document order, whose key is one of ``wanted`` (even with a null value).
 

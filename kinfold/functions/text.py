@@ -16,14 +16,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def normalize(text: Column) -> Column:
-    """Lower case, white space runs collapsed to one blank, ends trimmed.
+def clean(low: Column) -> Column:
+    """White space runs collapsed to one blank, ends trimmed. Plain printable text with single inner blanks is left."""
+    return F.when(low.rlike(r"^ |  | $|[^\x20-\x7e]"), F.trim(F.regexp_replace(low, V.WHITESPACE, " "))).otherwise(low)
+
 
-    Plain printable text with single inner blanks needs no more than lower-casing.
-    """
-    def clean(low: Column) -> Column:
-        return F.when(low.rlike(r"^ |  | $|[^\x20-\x7e]"),
-                      F.trim(F.regexp_replace(low, V.WHITESPACE, " "))).otherwise(low)
+def normalize(text: Column) -> Column:
+    """Lower case, white space runs collapsed to one blank, ends trimmed."""
     return let(F.lower(text), clean)
 
 
@@ -88,6 +87,12 @@ def has_signal(text: Column, kind: str) -> Column:
     return text_has_word(text, kind) | has_shape(text, kind)
 
 
+def lines_with(lowered: Column, kind: str, words: bool, shape: bool) -> Column:
+    """Lines of lower-cased ASCII text with a keyword (``words``) or a pattern (``shape``) of ``kind``: each match takes the rest of its line."""
+    signs = [*(V.KEYWORDS[kind] if words else []), *(_SIGNAL_PATTERNS[kind] if shape else [])]
+    return F.regexp_count(lowered, F.lit(f"(?i)(?:{'|'.join(signs)})[^\n]*"))
+
+
 def may_match(joined: Column, kind: str, hits: dict[str, Column]) -> Column:
     """``has_shape`` of the joined strings, from what the patterns found in them where they are ASCII text."""
     found = reduce(lambda a, b: a | b, [hits[name].isNotNull() for name in SIGNAL_FIELDS[kind]])

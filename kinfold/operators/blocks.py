@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinfold import vocabulary as V
 from kinfold.functions import text as T
-from kinfold.functions.fields import MAP, any_key, is_object, is_truthy, is_useful, let
+from kinfold.functions.fields import MAP, is_object, is_truthy, is_useful, let
 
 
 def _canonical_names(kind: str) -> tuple[list[str], Column]:
@@ -16,29 +18,51 @@ def _canonical_names(kind: str) -> tuple[list[str], Column]:
     return [alias for alias, _ in pairs], names
 
 
-def alias_block(stream: Column, stream_keys: Column, kind: str) -> Column:
-    """Canonical fields of ``kind`` by alias, first hit in document order, useless values dropped.
+def alias_hits(keys: Column, kind: str) -> Column:
+    """Keys of a message that are aliases of ``kind``, each once, in document order."""
+    return F.array_intersect(keys, F.array(*[F.lit(alias) for alias in _canonical_names(kind)[0]]))
 
-    Text is normalised, but only trimmed for bank data, where case carries meaning.
-    """
-    keys, names = _canonical_names(kind)
-    plain = [name for name in V.ALIASES[kind] if name in keys]
 
-    def pair(e: Column, text: Column) -> Column:
-        return F.struct(
-            F.when(e["k"].isin(plain), e["k"]).otherwise(F.element_at(names, e["k"])).alias("key"),
-            F.when(text.isNotNull(), text.cast("variant")).otherwise(e["v"]).alias("value"),
-            F.when(text.isNotNull(), text != "").otherwise(is_useful(e["v"])).alias("useful"))
+#: Fields of a block that are taken one by one, without lambdas; blocks with more take them.
+FIELDS = 4
+
 
-    def entry(e: Column) -> Column:
-        return let(T.strip(e["s"]), lambda text: pair(e, text)) if kind == "bank" else pair(e, e["n"])
+def alias_block(hits: Column, keys: Column, texts: Column, norms: Column, values: Column, kind: str) -> Column:
+    """Canonical fields of ``kind`` by alias (``alias_hits``), first hit in document order, useless values dropped.
+
+    Text is normalised, but only trimmed for bank data, where case carries meaning.
+    """
+    _, names = _canonical_names(kind)
+    plain = [name for name, aliases in V.ALIASES[kind].items() if name in aliases]
+
+    def name(key: Column) -> Column:
+        return F.when(key.isin(plain), key).otherwise(F.element_at(names, key))
+
+    def field(key: Column) -> tuple[Column, Column]:
+        """Whether the first value of a key is of use, and that value."""
+        place = (F.array_position(keys, key) - 1).cast("int")
+        value = F.get(values, place)
+        text = T.strip(F.get(texts, place)) if kind == "bank" else F.get(norms, place)
+        return (F.when(text.isNotNull(), text != "").otherwise(is_useful(value)),
+                F.when(text.isNotNull(), text.cast("variant")).otherwise(value))
+
+    def single(i: int) -> Column:
+        key, earlier = F.get(hits, F.lit(i)), [F.get(hits, F.lit(j)) for j in range(i)]
+        useful, value = field(key)
+        wanted = reduce(lambda a, b: a & b, [F.size(hits) > i, *[name(key) != name(e) for e in earlier], useful])
+        return F.when(wanted, F.create_map(name(key), value)).otherwise(empty_block())
+
+    def pair(key: Column) -> Column:
+        useful, value = field(key)
+        return F.struct(name(key).alias("key"), value.alias("value"), useful.alias("useful"))
 
     def build(pairs: Column) -> Column:
         first = F.filter(pairs, lambda p, i: p["useful"] & (F.array_position(pairs["key"], p["key"]) == i + 1))
         return F.map_from_entries(F.transform(first, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))))
 
-    found = let(F.transform(F.filter(stream, lambda e: e["k"].isin(keys)), entry), build)
-    return F.when(any_key(stream_keys, keys), found).otherwise(empty_block())
+    n = F.size(hits)
+    return (F.when(n == 0, empty_block()).when(n == 1, single(0))
+            .when(n <= FIELDS, F.map_concat(*[single(i) for i in range(FIELDS)])).otherwise(let(F.transform(hits, pair), build)))
 
 
 #: Fields that a pattern fills when no alias does, by kind.

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from kinfold import vocabulary as V
 from kinfold.config import Config
-from kinfold.functions.fields import entries, joined, keys, norms, strings
-from kinfold.operators.blocks import alias_block, filled, pattern_hits
+from kinfold.functions.fields import JOINT, joined, keys, norms, pairs, strings, texts
+from kinfold.operators.blocks import alias_block, alias_hits, filled, pattern_hits
 from kinfold.operators.classify import score, winner
 from kinfold.operators.derive import contribution_columns, source_columns
 from kinfold.operators.identifiers import grouping_key, id_columns, identifiers, name_birth_key, tokens
@@ -16,26 +16,38 @@ from kinfold.session import computed_once, per_context
 
 COORDINATES = ["topic", "partition", "offset", "ts", "raw_id"]
 IDS = [f"id_{name}" for name in V.IDENTIFIERS]
+#: The field stream: lists by place.
+STREAM = ["keys", "texts", "norms", "values"]
 #: What the patterns found in a message, as columns ``hit_<field>``.
 HITS = ["iban", "swift", "ipv4", "ipv6"]
 
 
+@per_context
+def _pair_columns() -> dict[str, Column]:
+    """Lists are written with a bracket, line breaks inside strings with a backslash."""
+    return {"pairs": pairs(F.col("payload"), F.col("fields")), "has_lists": F.contains("payload", F.lit("[")),
+            "has_escapes": F.contains("payload", F.lit("\\"))}
+
+
 @per_context
 def _stream_columns() -> dict[str, Column]:
-    return {"stream": entries(F.col("payload"), F.col("fields"))}
+    values = F.col("pairs")["value"]
+    return {"keys": keys(F.col("pairs")["key"]), "texts": texts(values), "values": values}
 
 
 @per_context
-def _text_columns(scan_metadata: bool) -> dict[str, Column]:
-    scanned = strings(F.col("stream"))
-    if scan_metadata:
-        scanned = F.concat(scanned, F.array("raw_id", "topic"))
-    return {"strings": scanned, **_key_text_columns()}
+def _norm_columns() -> dict[str, Column]:
+    return {"norms": norms(F.col("keys"), F.col("texts"))}
 
 
 @per_context
-def _key_text_columns() -> dict[str, Column]:
-    return {"keys": keys(F.col("stream")), "norms": norms(F.col("stream"))}
+def _text_columns(scan_metadata: bool) -> dict[str, Column]:
+    scanned, escapes = strings(F.col("has_lists"), F.col("texts"), F.col("values")), F.col("has_escapes")
+    if scan_metadata:
+        scanned = F.concat(scanned, F.array("raw_id", "topic"))
+        escapes = escapes | F.contains(F.concat("raw_id", "topic"), F.lit(JOINT))
+    return {"strings": scanned, "has_breaks": escapes, **_norm_columns(),
+            **{f"h_{k}": alias_hits(F.col("keys"), k) for k in V.KINDS}}
 
 
 @per_context
@@ -51,9 +63,11 @@ def _identifier_columns() -> dict[str, Column]:
 
 @per_context
 def _block_columns() -> dict[str, Column]:
-    blocks = {f"a_{k}": alias_block(F.col("stream"), F.col("keys"), k) for k in V.KINDS}
+    stream = [F.col(name) for name in STREAM]
+    blocks = {f"a_{k}": alias_block(F.col(f"h_{k}"), *stream, k) for k in V.KINDS}
     hits = {f"hit_{name}": c for name, c in pattern_hits(F.col("strings"), F.col("joined")).items()}
-    return {**blocks, **hits, **_identifier_columns(), "lowered": F.lower("joined")}
+    return {**blocks, **hits, **_identifier_columns(), "lowered": F.lower("joined"),
+            "plain": ~F.col("has_breaks") & (F.octet_length("joined") == F.char_length("joined"))}
 
 
 @per_context
@@ -61,7 +75,7 @@ def _score_columns() -> dict[str, Column]:
     words, text, lowered = F.col("strings"), F.col("joined"), F.col("lowered")
     hits = {name: F.col(f"hit_{name}") for name in HITS}
     blocks = {k: filled(k, F.col(f"a_{k}"), hits) for k in V.KINDS}
-    scores = {f"s_{k}": score(k, blocks[k], words, text, lowered, hits) for k in V.KINDS}
+    scores = {f"s_{k}": score(k, blocks[k], words, text, lowered, F.col("plain"), hits) for k in V.KINDS}
     return {**{f"b_{k}": blocks[k] for k in V.KINDS}, **scores}
 
 
@@ -82,27 +96,28 @@ def _contribution_columns() -> dict[str, Column]:
 
 
 def field_streams(messages: DataFrame) -> DataFrame:
-    """``messages(topic, partition, offset, ts, raw_id, payload, fields)`` + ``stream``."""
-    return computed_once(messages, COORDINATES, **_stream_columns())
+    """``messages(topic, partition, offset, ts, raw_id, payload, fields)`` to ``keys``, ``texts`` and ``values`` by place."""
+    paired = computed_once(messages, COORDINATES, **_pair_columns())
+    return computed_once(paired, [*COORDINATES, "has_lists", "has_escapes"], **_stream_columns())
 
 
 def keyed(messages: DataFrame) -> DataFrame:
     """Identifiers, proposed key and link tokens only (no blocks)."""
-    scanned = computed_once(field_streams(messages), COORDINATES, **_key_text_columns())
+    scanned = computed_once(field_streams(messages), [*COORDINATES, "keys"], **_norm_columns())
     made = computed_once(scanned, COORDINATES, **_identifier_columns())
     return computed_once(made, [*COORDINATES, *IDS], **_key_columns())
 
 
-def texts(messages: DataFrame, config: Config = Config()) -> DataFrame:
+def texts_of(messages: DataFrame, config: Config = Config()) -> DataFrame:
     """Field stream, its strings, and the strings joined."""
-    scanned = computed_once(field_streams(messages), [*COORDINATES, "stream"],
+    scanned = computed_once(field_streams(messages), [*COORDINATES, "keys", "texts", "values"],
                             **_text_columns(config.scan_metadata))
-    return computed_once(scanned, [*COORDINATES, "stream", "strings", "keys", "norms"], **_joined_columns())
+    return computed_once(scanned, [*COORDINATES, "strings", "has_breaks", *STREAM, *[f"h_{k}" for k in V.KINDS]], **_joined_columns())
 
 
 def extract(messages: DataFrame, config: Config = Config()) -> DataFrame:
     """Blocks, kind, identifiers, proposed key, tokens and sources of derived blocks of every message."""
-    blocks = computed_once(texts(messages, config), [*COORDINATES, "strings", "joined"], **_block_columns())
+    blocks = computed_once(texts_of(messages, config), [*COORDINATES, "strings", "joined"], **_block_columns())
     scored = computed_once(blocks, [*COORDINATES, *IDS, "name_birth"], **_score_columns())
     return computed_once(scored, [*COORDINATES, *[f"b_{k}" for k in V.KINDS], *IDS], **_kind_columns())
 

@@ -197,7 +197,7 @@ def light_unknown_block(spark, sf_dir):
 @query
 def extract_patterns(spark, sf_dir):
     rows = mv.messages(spark, sf_dir, "text")
-    texts = E.texts(rows)
+    texts = E.texts_of(rows)
     return texts.select("raw_id", T.find_iban(F.col("joined")).alias("iban"), T.find_swift(F.col("joined")).alias("swift"),
                         T.find_ipv4(F.col("joined")).alias("ipv4"))
 

@@ -146,3 +146,27 @@ def test_first_alias_counts_even_when_useless(spark):
     assert list(rows[1]["b_bank"].items()) == [("iban", "a"), ("swift", "DEUTDEFF")]
     assert rows[2]["b_bank"] == {"iban": "ES12XX1234567890123"} and rows[2]["kind"] == "bank"
     assert rows[3]["b_net"] == {"ipv4": "10.0.0.1"} and rows[3]["kind"] == "net"
+
+
+def test_fields_of_short_messages_are_read_without_lambdas(spark):
+    for column in (E._stream_columns()["texts"], E._norm_columns()["norms"]):
+        assert "slice(" in str(column) and "lambda" not in str(column).lower().rsplit("else", 1)[0]
+    # Those of long ones, and blocks of many fields, are read by lambdas with the same results.
+    short = {"Town": " Rome ", "zip": 0, "CITY": "Oslo", "IBAN": " es79AB ", "swift": "", "note": "my bank"}
+    full = {"city": "Rome", "addr": "A", "zip": "1", "pais": "IT", "lat": 1.5, "lon": ["x"], "town": "Oslo", "state": ""}
+    filler = {f"f{i}": i for i in range(12)}
+    rows = extracted(spark, [short, {**short, **filler}, full, {**full, **filler}])
+    assert rows[0]["b_location"] == {"city": "rome", "postal_code": 0} and rows[0]["b_bank"] == {"iban": "es79AB"}
+    assert set(rows[2]["b_location"]) == {"city", "address", "postal_code", "country", "latitude", "longitude"}
+    for a, b in ((0, 1), (2, 3)):
+        assert all(rows[a][f"b_{k}"] == rows[b][f"b_{k}"] for k in V.KINDS) and rows[a]["kind"] == rows[b]["kind"]
+
+
+def test_lines_are_counted_as_strings(spark):
+    # Counted at once, one string after another (a list, an escape), and where a string holds a break.
+    rows = extracted(spark, [
+        {"a": "my bank", "b": "swift account", "c": "street city", "d": "name"},
+        {"a": ["my bank", "swift account"], "c": "street city", "d": "name"},
+        {"a": "my bank\nswift account", "c": "street", "d": "city"},
+        {"a": "calle", "b": "es12xx1234567890123", "c": "DE12XX1234567890123", "d": "pais"}])
+    assert [rows[i]["kind"] for i in range(4)] == ["bank", "bank", "location", "bank"]
