@@ -9,7 +9,7 @@ from kinfold import vocabulary as V
 from kinfold.config import Config
 from kinfold.operators.components import components
 from kinfold.operators.fold import complete
-from kinfold.operators.skew import lookup
+from kinfold.operators.skew import lookup, shuffled
 from kinfold.session import written
 
 
@@ -42,7 +42,7 @@ def final_targets(mapping: DataFrame, config: Config = Config()) -> DataFrame:
     """
     hops = written(mapping.groupBy("source_key").agg(F.min("target_key").alias("target_key")), "hops")
     labels = written(components(hops.select(F.col("source_key").alias("u"), F.col("target_key").alias("v")), config), "chains")
-    ends = (labels.join(hops.select(F.col("source_key").alias("token")), "token", "left_anti")
+    ends = (labels.join(shuffled(hops.select(F.col("source_key").alias("token"))), "token", "left_anti")
             .select("label", F.col("token").alias("end")))
     found = lookup(labels, ends, "label", config.hot_key_share)
     return (found.select(F.col("token").alias("source_key"), F.coalesce("end", "label").alias("target_key"))
@@ -59,7 +59,7 @@ def merge_groups(profiles: DataFrame, mapping: DataFrame, config: Config = Confi
     targets = profiles.select(F.col("grouping_key").alias("target_key"), F.lit(True).alias("exists"))
     valid = final_targets(lookup(mapping.filter("source_key <> target_key"), targets, "target_key", config.hot_key_share)
                           .filter("exists").drop("exists"), config)
-    moved = (profiles.join(valid.withColumnRenamed("source_key", "grouping_key"), "grouping_key", "left")
+    moved = (profiles.join(shuffled(valid.withColumnRenamed("source_key", "grouping_key")), "grouping_key", "left")
              .withColumn("is_source", F.col("target_key").isNotNull())
              .withColumn("into", F.coalesce("target_key", "grouping_key")))
     rank = F.struct("is_source", "grouping_key")

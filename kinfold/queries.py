@@ -16,6 +16,7 @@ from kinfold.operators import derive, hubs, refine, resolve, typed, upsert
 from kinfold.operators.blocks import light_block
 from kinfold.operators.counters import counters, summed
 from kinfold.operators.fold import exact_profiles
+from kinfold.operators.skew import shuffled
 from kinfold.plans import extract as E
 from kinfold.plans import publish as P
 from kinfold.plans import reports as R
@@ -343,7 +344,7 @@ def merge_groups(spark, sf_dir):
         F.col("grouping_key").alias("target_key"), F.col("identifiers")["email"].alias("email"))
     mapping = (groups.filter(F.col("grouping_key").startswith("email::"))
                .select(F.col("grouping_key").alias("source_key"), F.col("identifiers")["email"].alias("email"))
-               .join(targets, "email").select("source_key", "target_key"))
+               .join(shuffled(targets), "email").select("source_key", "target_key"))
     return flat(refine.merge_groups(groups, mapping))
 
 

@@ -19,7 +19,7 @@ from kinfold.operators.counters import Counters
 from kinfold.operators.derive import batch_counts
 from kinfold.operators.fold import SLOTS, kinds_of, merge, profiles
 from kinfold.operators.resolve import labelled, link_edges, token_set_states
-from kinfold.operators.skew import lookup
+from kinfold.operators.skew import lookup, shuffled
 from kinfold.plans.extract import contribute
 from kinfold.session import scratch, written
 from kinfold.sources.envelope import decoded, good, spread
@@ -113,13 +113,13 @@ class ProfileStore:
                   .filter(~F.col("token").startswith("key=rawid::")).distinct())
         old, has_history = None, batch > 0 and self._exists("index")
         if has_history:
-            known = (self._rows("index", batch).join(tokens, "token", "left_semi")
+            known = (self._rows("index", batch).join(shuffled(tokens), "token", "left_semi")
                      .groupBy("token").agg(F.max_by("key", "batch").alias("key")))
             touched = written(known, "touched")
             edges = edges.unionByName(touched.select(
                 F.col("token").alias("u"), F.concat(F.lit(NODE), "key").alias("v")))
             keys = touched.select("key").distinct()
-            old = self._newest_states(self._rows("states", batch).join(keys, "key", "left_semi"))
+            old = self._newest_states(self._rows("states", batch).join(shuffled(keys), "key", "left_semi"))
         labels = components(edges, self.config)
         rows = labelled(fresh, labels, self.config).withColumn("old_key", F.lit(None).cast("string"))
         if old is not None:
