@@ -6,9 +6,13 @@ import pytest
 
 from kinfold.operators import components, refine
 from kinfold.operators.fold import exact_profiles
+from kinfold.plans.extract import contribute
 from kinfold.session import written
+from kinfold.sources.envelope import messages
+from kinfold.streaming import profiles
 
-from helpers import contributed
+from helpers import contributed, envelopes
+from test_upkeep import BATCHES
 
 
 def left_to_spark(df):
@@ -26,7 +30,7 @@ def seen(monkeypatch):
     def noting(df, name):
         found.append((name, *left_to_spark(df)))
         return written(df, name)
-    for module in (components, refine):
+    for module in (components, profiles, refine):
         monkeypatch.setattr(module, "written", noting)
     return found
 
@@ -38,3 +42,11 @@ def test_merged_groups_are_not_broadcast(spark, seen):
     assert [r["grouping_key"] for r in merged.collect()] == ["passport::p3"]
     seen.append(("merged", *left_to_spark(merged)))
     assert [x for x in seen if x[1]] == [] and sum(n for *_, n in seen) > 8
+
+
+def test_store_batches_are_not_broadcast(spark, tmp_path, seen):
+    store = profiles.ProfileStore(spark, str(tmp_path))
+    for i, bodies in enumerate(BATCHES[:2]):
+        store.merge_batch(contribute(messages(envelopes(spark, bodies, topic=f"t{i}"))), i, "s")
+    assert {"touched", "labelled", "moved"} <= {x[0] for x in seen}
+    assert [x for x in seen if x[1]] == [] and sum(n for *_, n in seen) > 8
