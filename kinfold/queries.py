@@ -825,7 +825,7 @@ def publish_late_profiles(spark, sf_dir):
     """Profiles that messages older than the last export complete are published by the next one, each once."""
     _, people = _late_exports(spark, sf_dir)
     first = people[0].select("grouping_key", F.lit(0).cast("long").alias("export"))
-    return people[1].join(first, "grouping_key", "left").select("grouping_key", F.coalesce("export", F.lit(1).cast("long")).alias("export"))
+    return people[1].join(shuffled(first), "grouping_key", "left").select("grouping_key", F.coalesce("export", F.lit(1).cast("long")).alias("export"))
 
 
 @query
