@@ -24,6 +24,7 @@ import functools
 import gc
 import math
 import pickle
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,9 +69,14 @@ def erase(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner find the shuffle files of plans that are no longer referred to; else it waits for a full heap."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner find the shuffle files of plans that are no longer referred to; else it waits for a full heap.
+
+    What Python let go of is gone from the JVM a moment later, and the cleaner takes its time as well.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -224,7 +230,8 @@ def _pairs(docs: DataFrame, keys_of, derived: bool) -> DataFrame:
     parts_of = _parts(docs.sparkSession)
 
     def added(parts: list[tuple]) -> dict:
-        key, suffix, context = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 1))
+        key, suffix = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
+        context = suffix if derived else np.concatenate([p[1] for p in parts])
         order = np.argsort(key)
         key = key[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
@@ -240,7 +247,8 @@ def _pairs(docs: DataFrame, keys_of, derived: bool) -> DataFrame:
         parts: list = []
         for batch in map(_training, batches):
             for _, _, data, offsets in pieces(batch):
-                parts.append(keys_of(*tokens(data, offsets)))
+                key, context, suffix = keys_of(*tokens(data, offsets))
+                parts.append((key, None if derived else context, suffix))
                 if len(parts) == ADDED:
                     yield added(parts)
                     parts = []
